@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, sentencepiece_bpe, simhash, toxicity
+from brindle.llm import decontamination, pii, sentencepiece_bpe, simhash, toxicity
 from brindle.llm.common import table
 
 
@@ -35,11 +35,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The key of the registered query; a deployment passes its own secret.
+PII_KEY = b"a key for tests and reports only"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return got.withColumn("n_entities", sum(F.col(f"n_{t}") for t in pii.TYPES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}

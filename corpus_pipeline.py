@@ -1,11 +1,59 @@
-"""A corpus pipeline of five stages over the operators of brindle.llm; see README."""
-from brindle.llm import simhash  # noqa: F401
+"""A corpus pipeline: five stages over the operators of brindle.llm, each working on all that the one before it kept.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again for the next. All
+but the last return the columns of ``documents``.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import decontamination, pii, queries, sentencepiece_bpe, simhash, toxicity
+from brindle.llm.common import checkpointed, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the model is fitted on labelled rows of ``docs``."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that chains of near-equal fingerprints join, the one with the smallest doc_id stays."""
+    return simhash.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes surrogates; n_chars follows the text."""
+    got = pii.replaced(docs, queries.PII_KEY)
+    return got.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of the text decoded from them."""
+    return sentencepiece_bpe.tokenized(docs, queries.model_path()).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("pii", replace_personal_data),
+    ("sentencepiece", tokenize),
+]
+
+#: SQL can express neither the compression distances nor the token ids; tests/llm compares with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between two of them the rows are cut off by a checkpoint in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, checkpointed(docs) if i else docs, sf_dir)
     return docs
