@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, pii, sentencepiece_bpe, simhash, toxicity
+from brindle.llm import chat_format, decontamination, pii, sentencepiece_bpe, simhash, toxicity
 from brindle.llm.common import table
 
 
@@ -31,6 +31,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, text FROM VALUES (0L, 'user', '{said}'), (1L, 'assistant', '{said}') AS t(turn, role, text)")
+    return chat_format.digests(chat_format.formatted(rows.unionByName(extra)))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,8 +55,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A control string, escaped or not, in a text; the formatter escapes texts that hold one.
+_CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|OUT\]|/?R:)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_format": rf"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), parts AS (
+            SELECT *, length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g'))
+                + CASE role WHEN 'user' THEN 23 WHEN 'assistant' THEN 13
+                  ELSE 19 + CASE WHEN regexp_full_match(role, '[A-Za-z_-]+') THEN length(role) ELSE 1 + 2 * strlen(role) END END AS chars
+            FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            sum(chars)::BIGINT AS formatted_chars
+        FROM parts GROUP BY conv_id
+    """,
+}
