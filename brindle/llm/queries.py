@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat_format, decontamination, pii, quality, sentencepiece_bpe, simhash, toxicity
+from brindle.llm import chat_format, decontamination, pii, quality, sentencepiece_bpe, simhash, toxicity, vector_search
 from brindle.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op7_vector_search": op7_vector_search,
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
