@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat_format, decontamination, pii, quality, sentencepiece_bpe, simhash, toxicity, vector_search
+from brindle.llm import chat_format, decontamination, licenses, pii, quality, sentencepiece_bpe, simhash, toxicity, vector_search, warc_fixity
 from brindle.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_hits(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.audited_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -60,10 +68,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op6_warc_fixity": op6_warc_fixity,
     "op7_vector_search": op7_vector_search,
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
@@ -74,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|OUT\]|/?R:)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses.oracle(),
+    "op6_warc_fixity": warc_fixity.ORACLE,
     "op8_chat_format": rf"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
