@@ -49,3 +49,14 @@ def crc_mod(column: str, modulus: int):
 def arrow_function(kind: pa.DataType) -> Callable:
     """Decorates a function from Arrow arrays to one Arrow array of ``kind`` as a function of columns."""
     return F.arrow_udf(returnType=from_arrow_type(kind))
+
+
+_slot: dict[str, tuple[object, object]] = {}
+
+
+def worker_slot(owner: str, key: object, make: Callable[[], object]):
+    """What ``make`` builds, kept in this Python worker until another operator or another key needs the room: workers outlive jobs, and their memory is bounded."""
+    if owner not in _slot or _slot[owner][0] != key:
+        _slot.clear()
+        _slot[owner] = (key, make())
+    return _slot[owner][1]

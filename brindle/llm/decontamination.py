@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_function, bounded_batches, checkpointed
+from brindle.llm.common import arrow_function, bounded_batches, checkpointed, worker_slot
 
 WINDOW = 10
 #: (window, item) pairs in one automaton: some 300 bytes each in a worker. A larger benchmark is scanned in blocks of so many, one after the other.
@@ -89,7 +89,6 @@ class Scanner:
 #: What is known of a document after a block.
 _FIELDS = "struct<n_words: bigint, runs: array<struct<start: bigint, end: bigint>>, items: array<string>>"
 _TYPE = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-_scanners: dict[object, Scanner] = {}
 
 
 def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,10 +106,7 @@ def _scan_with(block):
 
     @arrow_function(_TYPE)
     def scan(texts: pa.Array, so_far: pa.Array) -> pa.Array:
-        if block.id not in _scanners:
-            _scanners.clear()
-            _scanners[block.id] = Scanner(block.value)
-        scanner, out = _scanners[block.id], []
+        scanner, out = worker_slot("decontamination", block.id, lambda: Scanner(block.value)), []
         for text, old in zip(texts.to_pylist(), so_far.to_pylist()):
             found = words(text)
             runs, items = scanner.scan(found)
@@ -165,6 +161,8 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: st
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)))
     out = docs.withColumn("found", F.lit(None).cast(_FIELDS))
     for k in range(blocks):
+        if k and k % 3 == 0:
+            out = checkpointed(out)  # each scan has a worker of its own: so many at a time
         block = _Block(spark, pairs.where(F.col("block") == k).collect())  # bounded: the share of one block
         out = out.withColumn("found", _scan_with(block)(F.col(f"`{text_col}`"), F.col("found")))
     return out

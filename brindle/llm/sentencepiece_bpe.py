@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_function, bounded_batches
+from brindle.llm.common import arrow_function, bounded_batches, worker_slot
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _NEVER = float("inf")
 #: Entries a worker keeps: encoded stretches between spaces, and tested pairs. Only what it keeps is bounded; the rest is worked out again.
-KEPT_STRETCHES, KEPT_PAIRS, KEPT_LENGTH = 800_000, 1_000_000, 48
+KEPT_STRETCHES, KEPT_PAIRS, KEPT_LENGTH = 400_000, 400_000, 48
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -243,15 +243,9 @@ def _utf8(run: bytes) -> str:
     return "".join(out)
 
 
-_models: dict[bytes, Model] = {}
-
-
 def model_of(raw: bytes) -> Model:
     """The model of a file's bytes, built once in each process."""
-    key = hashlib.sha256(raw).digest()
-    if key not in _models:
-        _models[key] = Model(raw)
-    return _models[key]
+    return worker_slot("sentencepiece", hashlib.sha256(raw).digest(), lambda: Model(raw))
 
 
 _TYPE = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

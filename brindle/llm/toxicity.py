@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_function, bounded_batches, crc_mod
+from brindle.llm.common import arrow_function, bounded_batches, crc_mod, worker_slot
 
 #: The labelled sample that a model is fitted on: so many documents of each class, of at most so many characters.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2_000, 4_000, 20_000
@@ -31,7 +31,7 @@ LEAST_DOCS, LEAST_RATIO, LEAST_G2 = 3, 4.0, 25.0
 WORD_ENTRIES, RUN_ENTRIES = 4_000, 2_000
 WORD_SAVINGS = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
 RUN_SAVINGS = (1, 2, 3, 4, 6, 8)
-KEPT_WORDS, KEPT_LENGTH = 400_000, 40
+KEPT_WORDS, KEPT_LENGTH = 300_000, 40
 
 
 def _characteristic(toxic: list[str], ordinary: list[str]) -> tuple[list[str], list[str]]:
@@ -125,24 +125,8 @@ def _summary(savings: np.ndarray, thresholds) -> list[float]:
     return [*map(math.log1p, over), *(k / n for k in over), float(savings.mean()), math.log1p(n), float(top.mean())]
 
 
-_windows: dict[Model, Windows] = {}
-
-
 def _windows_of(model: Model) -> Windows:
-    key = Model(model.word_toxic, model.word_ordinary, model.run_toxic, model.run_ordinary)
-    if key not in _windows:
-        _windows.clear()
-        _windows[key] = Windows(key)
-    return _windows[key]
-
-
-def _featured(model: Model):
-    @arrow_function(pa.list_(pa.float64()))
-    def features(texts: pa.Array) -> pa.Array:
-        windows = _windows_of(model)
-        return pa.array([windows.features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
-
-    return features
+    return worker_slot("toxicity", model, lambda: Windows(model))
 
 
 def _scorer(model: Model):
