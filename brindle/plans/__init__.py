@@ -1 +1,10 @@
+"""Which modules register tables and queries."""
 
+from importlib import import_module
+
+MODULES = ("sources.domain", "operators.staging", "operators.orders", "operators.relational")
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f"brindle.{name}")
