@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sources.domain", "operators.staging", "operators.orders", "operators.relational")
+MODULES = ("sources.domain", "operators.staging", "operators.orders", "operators.relational", "operators.inventory", "operators.ledger")
 
 
 def load() -> None:
