@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sources.domain", "operators.staging", "operators.orders", "operators.relational", "operators.inventory", "operators.ledger")
+MODULES = ("sources.domain", "operators.staging", "operators.orders", "operators.relational", "operators.inventory", "operators.ledger", "operators.attribution", "operators.quality", "operators.monitoring", "operators.reports")
 
 
 def load() -> None:
