@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 #: Rows and bytes of a batch sent to a Python worker: one batch stays small beside the worker's memory however long the texts are.
-BATCH_ROWS, BATCH_BYTES = 2_000, "4m"
+BATCH_ROWS, BATCH_BYTES = 500, "1m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _NEVER = float("inf")
 #: Entries a worker keeps: encoded stretches between spaces, and tested pairs. Only what it keeps is bounded; the rest is worked out again.
-KEPT_STRETCHES, KEPT_PAIRS, KEPT_LENGTH = 400_000, 400_000, 48
+KEPT_STRETCHES, KEPT_PAIRS, KEPT_LENGTH = 200_000, 250_000, 48
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -249,25 +250,33 @@ def model_of(raw: bytes) -> Model:
 
 
 _TYPE = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-_FULL = pa.struct([*_TYPE, pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())])
+_WITH_IDS = pa.struct([*_TYPE, pa.field("ids", pa.list_(pa.int32()))])
 
 
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _encoder(raw: bytes, full: bool):
-    kind = _FULL if full else _TYPE
+def _encoder(raw: bytes, with_ids: bool):
+    kind = _WITH_IDS if with_ids else _TYPE
 
     @arrow_function(kind)
     def encode(texts: pa.Array) -> pa.Array:
-        model, out = model_of(raw), []
+        model = model_of(raw)
+        sizes, id_digests, text_digests, ids_of = [], [], [], []
         for text in texts.to_pylist():
             parts = model.parts(text)
             ids, decoded = ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])[1:]  # without the dummy prefix
-            row = {"n_tokens": ids.count(",") + 1 if ids else 0, "ids_sha256": _sha(ids), "decoded_sha256": _sha(decoded)}
-            out.append(row | {"ids": [int(i) for i in ids.split(",") if i], "decoded": decoded} if full else row)
-        return pa.array(out, kind)
+            sizes.append(ids.count(",") + 1 if ids else 0)
+            id_digests.append(_sha(ids))
+            text_digests.append(_sha(decoded))
+            if with_ids:
+                ids_of.append(np.array(ids.split(","), np.int32) if ids else np.empty(0, np.int32))
+        columns = [pa.array(sizes, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+        if with_ids:
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids_of])]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids_of, np.empty(0, np.int32)]))))
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
 
     return encode
 
@@ -286,7 +295,7 @@ def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 
 def tokenized(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``token_digests`` with the ids themselves and the text decoded from them."""
+    """As ``token_digests`` with the ids themselves, as an array of integers."""
     bounded_batches(docs.sparkSession)
     got = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _encoder(read_model(model_path), True)(F.col(f"`{text_col}`")).alias("r"))
-    return got.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256", "r.ids", "r.decoded")
+    return got.select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256", "r.ids")

@@ -31,7 +31,7 @@ LEAST_DOCS, LEAST_RATIO, LEAST_G2 = 3, 4.0, 25.0
 WORD_ENTRIES, RUN_ENTRIES = 4_000, 2_000
 WORD_SAVINGS = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
 RUN_SAVINGS = (1, 2, 3, 4, 6, 8)
-KEPT_WORDS, KEPT_LENGTH = 300_000, 40
+KEPT_WORDS, KEPT_LENGTH = 150_000, 40
 
 
 def _characteristic(toxic: list[str], ordinary: list[str]) -> tuple[list[str], list[str]]:

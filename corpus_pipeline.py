@@ -36,7 +36,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text decoded from them."""
-    return sentencepiece_bpe.tokenized(docs, queries.model_path()).drop("decoded")
+    return sentencepiece_bpe.tokenized(docs, queries.model_path())
 
 
 STAGES = [
