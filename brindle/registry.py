@@ -60,19 +60,23 @@ def _used(sql: str) -> set[str]:
 
 
 def oracle(sql: str) -> str:
-    """A query's SQL with the tables that it uses in front."""
-    needed: set[str] = set()
-    todo = _used(sql)
-    while todo:
-        needed |= todo
-        todo = {n for t in todo for n in _used(TABLES[t][1])} - needed
-    ctes = [f"{name} AS ({sql_})" for name, (_, sql_) in TABLES.items() if name in needed]
+    """A query's SQL with the tables that it uses in front, each behind those that it uses itself."""
+    ctes: dict[str, str] = {}
+
+    def add(name: str) -> None:
+        if name not in ctes:
+            for other in sorted(_used(TABLES[name][1]) - {name}):
+                add(other)
+            ctes[name] = f"{name} AS ({TABLES[name][1]})"
+
+    for name in sorted(_used(sql)):
+        add(name)
     body = sql.strip()
     if not ctes:
         return body
     if re.match(r"WITH\b", body):
-        return f"WITH {', '.join(ctes)}, {body[4:]}"
-    return f"WITH {', '.join(ctes)} {body}"
+        return f"WITH {', '.join(ctes.values())}, {body[4:]}"
+    return f"WITH {', '.join(ctes.values())} {body}"
 
 
 def oracles() -> dict[str, str]:
