@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import exact_sum, look_back
-from brindle.registry import query, table
+from brindle.registry import query, table, whole_table
 
 LOOK_BACK_DAYS, HALF_LIFE_DAYS, ENDS = 7, 7.0, 0.4
 MODELS = ("last_click", "last_non_direct", "first_click", "linear", "time_decay", "position_based")
@@ -77,24 +77,25 @@ def fct_attribution(journey_touches: DataFrame) -> DataFrame:
     return shares.unpivot(ids, list(MODELS), "model", "weight")
 
 
-def attributed() -> Column:
-    return exact_sum(F.round(F.col("weight") * F.col("revenue"), 9), 9)
+def attributed(digits: int = 4) -> Column:
+    """Attributed revenue, summed and rounded as decimals."""
+    return F.round(F.sum(F.round(F.col("weight") * F.col("revenue"), 9).cast("decimal(38,9)")), digits).cast("double")
 
 
-@table("SELECT order_date AS date, source, model, session_source, session_medium, session_campaign, round(sum(weight), 6) AS orders, round(sum(weight * revenue), 4) AS revenue_usd FROM fct_attribution WHERE weight > 0 GROUP BY ALL")
+@table("SELECT order_date AS date, source, model, session_source, session_medium, session_campaign, round(sum(weight), 6) AS orders, round(sum(round(weight * revenue, 9)::DECIMAL(38,9)), 4)::DOUBLE AS revenue_usd FROM fct_attribution WHERE weight > 0 GROUP BY ALL")
 def mart_attribution_daily(fct_attribution: DataFrame) -> DataFrame:
     keys = [F.col("order_date").alias("date"), "source", "model", "session_source", "session_medium", "session_campaign"]
-    return fct_attribution.where("weight > 0").groupBy(*keys).agg(F.round(exact_sum(F.col("weight")), 6).alias("orders"), F.round(attributed(), 4).alias("revenue_usd"))
+    return fct_attribution.where("weight > 0").groupBy(*keys).agg(F.round(exact_sum(F.col("weight")), 6).alias("orders"), attributed().alias("revenue_usd"))
 
 
-query("k01_attributable_orders", "SELECT * FROM attributable_orders")(lambda attributable_orders: attributable_orders)
+whole_table("k01_attributable_orders", "attributable_orders")
 query("k02_is_direct", "SELECT session_key, coalesce(session_source = '(direct)' AND session_medium IN ('(none)', '(not set)'), false) AS direct FROM fct_sessions")(lambda fct_sessions: fct_sessions.select("session_key", is_direct().alias("direct")))
 query("k03_touches", "SELECT source, order_id, session_key, position, touches, own, direct, round(days_before, 6) AS days_before FROM journey_touches")(lambda journey_touches: journey_touches.select("source", "order_id", "session_key", "position", "touches", "own", "direct", F.round("days_before", 6).alias("days_before")))
 query("k04_look_back_complete", "SELECT DISTINCT source, order_id, complete FROM journey_touches")(lambda journey_touches: journey_touches.select("source", "order_id", "complete").distinct())
 for _k, _m in zip(("k05", "k06", "k07", "k08", "k09", "k10"), MODELS):
     query(f"{_k}_{_m}", f"SELECT source, order_id, session_key, round(weight, 9) AS weight FROM fct_attribution WHERE model = '{_m}'")(lambda fct_attribution, m=_m: fct_attribution.where(F.col("model") == m).select("source", "order_id", "session_key", F.round("weight", 9).alias("weight")))
 query("k11_attribution", "SELECT source, order_id, session_key, model, round(weight * revenue, 6) AS attributed_revenue FROM fct_attribution")(lambda fct_attribution: fct_attribution.select("source", "order_id", "session_key", "model", F.round(F.col("weight") * F.col("revenue"), 6).alias("attributed_revenue")))
-query("k12_attribution_daily", "SELECT * FROM mart_attribution_daily")(lambda mart_attribution_daily: mart_attribution_daily)
+whole_table("k12_attribution_daily", "mart_attribution_daily")
 
 
 def gate(attribution: DataFrame, tolerance: float = 1e-6) -> DataFrame:

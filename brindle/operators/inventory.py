@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import QTY, as_of_ts
-from brindle.registry import query, table
+from brindle.registry import query, table, whole_table
 from brindle.sources.domain import AS_OF
 
 
@@ -21,7 +21,7 @@ def current_stock(stock_levels: DataFrame, products: DataFrame, categories: Data
     return named.select("product_id", "sku", "product", "category", "warehouse_id", "code", "quantity", "reorder_point", "reorder_quantity")
 
 
-query("f01_current_stock", "SELECT * FROM current_stock")(lambda current_stock: current_stock)
+whole_table("f01_current_stock", "current_stock")
 
 
 @query("f02_low_stock_items", "SELECT sku, code, quantity, reorder_point, reorder_point - quantity AS deficit, greatest(reorder_quantity, reorder_point - quantity)::INT AS suggested_order_qty FROM current_stock WHERE quantity < reorder_point")
@@ -39,7 +39,7 @@ def purchase_order_summary(purchase_orders: DataFrame, purchase_order_items: Dat
     return purchase_orders.join(sums, "po_id", "left").select("po_id", "supplier_id", "status", "order_date", "expected_date", zero("lines", "long"), zero("ordered", "long"), zero("received", "long"), zero("value", QTY))
 
 
-query("f03_purchase_order_summary", "SELECT * FROM purchase_order_summary")(lambda purchase_order_summary: purchase_order_summary)
+whole_table("f03_purchase_order_summary", "purchase_order_summary")
 
 
 @table("SELECT w.warehouse_id, w.code, sum(quantity)::BIGINT AS units, sum(quantity * unit_cost)::DECIMAL(18,2) AS cost_value, sum(quantity * unit_price)::DECIMAL(18,2) AS retail_value FROM warehouses w LEFT JOIN stock_levels USING (warehouse_id) LEFT JOIN products USING (product_id) GROUP BY 1, 2")
@@ -48,7 +48,7 @@ def stock_valuation(warehouses: DataFrame, stock_levels: DataFrame, products: Da
     return warehouses.select("warehouse_id", "code").join(sums, "warehouse_id", "left")
 
 
-query("f04_stock_valuation", "SELECT * FROM stock_valuation")(lambda stock_valuation: stock_valuation)
+whole_table("f04_stock_valuation", "stock_valuation")
 
 
 @table(f"""SELECT movement_id, created_at, movement_type, m.quantity, sku, code FROM stock_movements m JOIN products USING (product_id) JOIN warehouses USING (warehouse_id)
@@ -59,7 +59,7 @@ def recent_movements(stock_movements: DataFrame, products: DataFrame, warehouses
     return recent.join(products.select("product_id", "sku"), "product_id").join(F.broadcast(warehouses.select("warehouse_id", "code")), "warehouse_id").select("movement_id", "created_at", "movement_type", "quantity", "sku", "code")
 
 
-query("f05_recent_movements", "SELECT * FROM recent_movements")(lambda recent_movements: recent_movements)
+whole_table("f05_recent_movements", "recent_movements")
 
 
 @query("f06_below_reorder_anywhere", "SELECT product_id, sku FROM products p WHERE product_id IN (SELECT product_id FROM stock_levels s WHERE s.quantity < p.reorder_point)")

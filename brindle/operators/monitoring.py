@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.registry import query, table
+from brindle.registry import query, table, whole_table
 
 WINDOW_DAYS, MIN_HISTORY, MIN_WEEKDAY = 21, 14, 2
 K, K_CRITICAL, MAD_SCALE, LOG_OFFSET = 1.5, 3.0, 1.4826, 1.0
@@ -31,7 +31,7 @@ def kpi_series(mart_kpi_daily: DataFrame) -> DataFrame:
     return mart_kpi_daily.select("source", F.col("date").alias("day"), F.inline(F.array(*[point(m, r[1]) for m, r in RULES.items()]))).select("source", "metric", "day", "value", "volume")
 
 
-query("l01_kpi_series", "SELECT * FROM kpi_series")(lambda kpi_series: kpi_series)
+whole_table("l01_kpi_series", "kpi_series")
 
 
 @table("SELECT source, event_name || '/' || check_name AS metric, date AS day, violation_rate AS value, events::DOUBLE AS volume, status, check_kind FROM mart_tag_health_daily")
@@ -39,7 +39,7 @@ def health_series(mart_tag_health_daily: DataFrame) -> DataFrame:
     return mart_tag_health_daily.select("source", F.concat("event_name", F.lit("/"), "check_name").alias("metric"), F.col("date").alias("day"), F.col("violation_rate").alias("value"), F.col("events").cast("double").alias("volume"), "status", "check_kind")
 
 
-query("l02_health_series", "SELECT * FROM health_series")(lambda health_series: health_series)
+whole_table("l02_health_series", "health_series")
 
 
 @table("SELECT source, unnest(generate_series(min(date), greatest(max(date), DATE '2024-02-03'), INTERVAL 1 DAY))::DATE AS day FROM mart_kpi_daily GROUP BY 1")
@@ -49,7 +49,7 @@ def source_calendar(mart_kpi_daily: DataFrame, through: str = "2024-02-03") -> D
     return span.select("source", F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
 
 
-query("l03_calendar", "SELECT * FROM source_calendar")(lambda source_calendar: source_calendar)
+whole_table("l03_calendar", "source_calendar")
 
 
 @table("SELECT source, event_name, date AS day, max(events)::DOUBLE AS n FROM mart_tag_health_daily WHERE event_name <> '(session)' AND NOT (event_name = 'purchase' AND date IN (DATE '2024-01-22', DATE '2024-01-27')) GROUP BY 1, 2, 3")
@@ -59,7 +59,7 @@ def event_counts(mart_tag_health_daily: DataFrame) -> DataFrame:
     return kept.groupBy("source", "event_name", F.col("date").alias("day")).agg(F.max("events").cast("double").alias("n"))
 
 
-query("l04_event_counts", "SELECT * FROM event_counts")(lambda event_counts: event_counts)
+whole_table("l04_event_counts", "event_counts")
 
 
 def rules(spark) -> DataFrame:
@@ -128,11 +128,9 @@ def bands(judgeable: DataFrame, window: int = WINDOW_DAYS) -> DataFrame:
     same = ys(F.filter("history", lambda p: p["d"] == F.dayofweek("day")))
     residual = lambda p, i: p["y"] - median(F.transform(F.filter(F.transform("history", lambda q, j: F.struct(q["d"].alias("d"), q["y"].alias("y"), j.alias("j"))), lambda q: (q["d"] == p["d"]) & (q["j"] != i)), lambda q: q["y"]))
     residuals = F.array_compact(F.transform("history", residual))
-    weekday = F.size(same) >= MIN_WEEKDAY
     h = h.withColumn("same", same).withColumn("residuals", residuals)
     center = F.when(F.size("same") >= MIN_WEEKDAY, median(F.col("same"))).otherwise(median(ys(F.col("history"))))
     spread = F.when((F.size("same") >= MIN_WEEKDAY) & (F.size("residuals") >= MIN_HISTORY), mad(F.col("residuals"))).otherwise(mad(ys(F.col("history"))))
-    del weekday
     return h.select(*judgeable.columns, F.size("history").cast("long").alias("history_days"), center.alias("center"), F.greatest(spread, F.lit(MIN_SPREAD)).alias("spread"))
 
 
@@ -184,7 +182,7 @@ def vanished_alerts(event_counts: DataFrame, mart_kpi_daily: DataFrame, window:
 
 
 for _n, _t in (("l09_mad_rule", "mad_alerts"), ("l10_floor_rule", "floor_alerts"), ("l11_contract_rule", "contract_alerts"), ("l12_no_data_rule", "no_data_alerts"), ("l13_vanished_rule", "vanished_alerts")):
-    exec(f"query({_n!r}, 'SELECT * FROM {_t}')(lambda {_t}: {_t})")
+    whole_table(_n, _t)
 
 
 @table(" UNION ALL ".join(f"SELECT * FROM {t}" for t in ("mad_alerts", "floor_alerts", "contract_alerts", "no_data_alerts", "vanished_alerts")))
@@ -195,7 +193,7 @@ def alerts(mad_alerts: DataFrame, floor_alerts: DataFrame, contract_alerts: Data
     return out
 
 
-query("l14_detect", "SELECT * FROM alerts")(lambda alerts: alerts)
+whole_table("l14_detect", "alerts")
 query("l15_fresh", "SELECT * FROM alerts WHERE day >= DATE '2024-01-25'")(lambda alerts: fresh(alerts, "2024-01-25"))
 
 
@@ -204,7 +202,7 @@ def fresh(alerts: DataFrame, since: str) -> DataFrame:
 
 
 def upsert_alerts(now: DataFrame, before: DataFrame, at: str) -> DataFrame:
-    """Alerts that fire now, with when each was first detected and when it was last notified of; those that no longer fire are dropped. ValueError-free: equal keys are merged to the most severe."""
+    """Alerts that fire now, with when each was first detected and when it was last notified of; those that no longer fire are dropped. Equal keys are merged to the most severe."""
     key = ["source", "metric", "day", "rule"]
     one = now.groupBy(*key).agg(F.min("severity").alias("severity"), F.max("value").alias("value"))
     old = before.select(*key, F.col("first_detected_at").alias("__first"), "notified_at")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import exact_sum
-from brindle.registry import query, table
+from brindle.registry import query, table, whole_table
 
 FIELDS = ("source", "medium", "campaign")
 
@@ -207,11 +207,11 @@ query("i06_session_person", "SELECT session_key, person_id, user_id, identity_ru
 query("i07_session_metrics", "SELECT session_key, events, page_views, engagement_time_msec, is_engaged, analytics_storage, has_view_item, has_add_to_cart, has_begin_checkout, purchase_events, orders, zero_value_orders, converted, revenue_usd FROM fct_sessions")(
     lambda fct_sessions: fct_sessions.select("session_key", "events", "page_views", "engagement_time_msec", "is_engaged", "analytics_storage", "has_view_item", "has_add_to_cart", "has_begin_checkout", "purchase_events", "orders", "zero_value_orders", "converted", "revenue_usd")
 )
-query("i08_orders", "SELECT * FROM fct_orders")(lambda fct_orders: fct_orders)
-query("i09_order_items", "SELECT * FROM fct_order_items")(lambda fct_order_items: fct_order_items)
-query("i10_campaign_mart", "SELECT * FROM mart_campaign_daily")(lambda mart_campaign_daily: mart_campaign_daily)
-query("i11_funnel", "SELECT * FROM mart_funnel_daily")(lambda mart_funnel_daily: mart_funnel_daily)
-query("i12_kpi_mart", "SELECT * FROM mart_kpi_daily")(lambda mart_kpi_daily: mart_kpi_daily)
+whole_table("i08_orders", "fct_orders")
+whole_table("i09_order_items", "fct_order_items")
+whole_table("i10_campaign_mart", "mart_campaign_daily")
+whole_table("i11_funnel", "mart_funnel_daily")
+whole_table("i12_kpi_mart", "mart_kpi_daily")
 query("i15_catalog_cost", "SELECT item_id, unit_cost_usd FROM catalog")(lambda catalog: catalog.select("item_id", "unit_cost_usd"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.staging import EMAIL
-from brindle.registry import query, table
+from brindle.registry import query, table, whole_table
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
@@ -210,7 +210,7 @@ def mart_tag_health_daily(stg_events: DataFrame, fct_sessions: DataFrame) -> Dat
     return known.select("date", "source", "event_name", "check_name", "check_kind", "field", "events", "violations", F.round(F.col("violations") / F.col("events"), 6).alias("violation_rate"), status.alias("status"), F.when(F.col("violations") > 0, F.col("reason")).alias("expectation"))
 
 
-query("i13_tag_health", "SELECT * FROM mart_tag_health_daily")(lambda mart_tag_health_daily: mart_tag_health_daily)
+whole_table("i13_tag_health", "mart_tag_health_daily")
 
 
 @query("j13_tag_health_coverage", "SELECT date, source, event_name, sum(events)::BIGINT AS checked, max(n) AS present FROM mart_tag_health_daily m JOIN (SELECT event_date AS date, source, event_name, count(*) AS n FROM stg_events GROUP BY 1, 2, 3) e USING (date, source, event_name) WHERE check_kind <> 'pii' GROUP BY 1, 2, 3 HAVING sum(events) <> max(n) * 2")

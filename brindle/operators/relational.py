@@ -511,7 +511,7 @@ def ratio_to_first_month(stock_movements: DataFrame) -> DataFrame:
 
 def ranked_over_all(df: DataFrame, order: str, name: str) -> DataFrame:
     """Row numbers over a whole table without one task for all rows: rows are range-partitioned, and each partition's numbers begin where those before it end."""
-    by_range = df.repartitionByRange(df.sparkSession.conf.get("spark.sql.shuffle.partitions") and int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order)
+    by_range = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order)
     placed = by_range.sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
     counts = placed.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
     before = counts.select(F.col("__p"), "__first", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))

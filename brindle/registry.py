@@ -12,6 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.session import kept
+
+#: Tables that a query writes out once when several of its tables read them; the others are computed where they are read.
+KEPT = {"stg_events", "fct_sessions", "fct_orders", "mart_kpi_daily", "mart_tag_health_daily", "early_stg_events", "early_fct_sessions"}
 TABLES: dict[str, tuple[Callable, str | None]] = {}
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -33,26 +37,47 @@ def query(name: str, sql: str | None = None, **settings) -> Callable:
     return add
 
 
+def whole_table(name: str, of: str) -> None:
+    """Registers a table itself as a query."""
+    QUERIES[name] = (TABLES[of][0], f"SELECT * FROM {of}")
+
+
 class Tables:
     """The tables under one folder, read or made when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._made, self._readers = spark, sf_dir, {}, {}
+
+    def _count(self, f: Callable, seen: set[str]) -> None:
+        """How many functions of the query read each table."""
+        for n in _reads(f):
+            self._readers[n] = self._readers.get(n, 0) + 1
+            if n in TABLES and n not in seen:
+                seen.add(n)
+                self._count(TABLES[n][0], seen)
 
     def __getitem__(self, name: str):
         if name in ("spark", "sf_dir"):
             return getattr(self, name)
         if name not in self._made:
-            self._made[name] = self.call(TABLES[name][0]) if name in TABLES else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self._call(TABLES[name][0]) if name in TABLES else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._made[name] = kept(df) if name in KEPT and self._readers.get(name, 0) > 1 else df
         return self._made[name]
 
-    def call(self, f: Callable) -> DataFrame:
-        needed = [p.name for p in inspect.signature(f).parameters.values() if p.default is p.empty]
-        return f(**{n: self[n] for n in needed})
+    def _call(self, f: Callable) -> DataFrame:
+        return f(**{n: self[n] for n in _reads(f)})
+
+    def run(self, f: Callable) -> DataFrame:
+        self._count(f, set())
+        return self._call(f)
+
+
+def _reads(f: Callable) -> list[str]:
+    return [p.name for p in inspect.signature(f).parameters.values() if p.default is p.empty]
 
 
 def runnable() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: Tables(spark, sf_dir).call(f)) for name, (f, _) in QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f: Tables(spark, sf_dir).run(f)) for name, (f, _) in QUERIES.items()}
 
 
 def _used(sql: str) -> set[str]:
