@@ -17,7 +17,7 @@ MIN_SPREAD = 0.02
 #: metric: (scale, volume column, least volume, direction, floor, least move)
 RULES = {
     "sessions": ("log", None, 0, "both", 30.0, 1.0),
-    "orders": ("log", None, 0, "down", None, 1.0),
+    "orders": ("log", None, 0, "down", 25.0, 1.0),
     "revenue_usd": ("log", None, 0, "both", None, 5.0),
     "conversion_rate": ("linear", "sessions", 30, "both", None, 0.0),
 }
