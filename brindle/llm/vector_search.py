@@ -173,7 +173,7 @@ def valid(vectors: DataFrame) -> DataFrame:
 
     Of rows that share an id with different vectors the one with the smallest vector stays; repeated rows are one.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     return rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(good).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
@@ -191,11 +191,11 @@ def _distinct(rows: DataFrame, members: int) -> DataFrame:
 def index(vectors: DataFrame, k: int = NEAREST, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame, float]:
     """(graph, members, longest): the graph's rows (dim, shard, node, embedding, edges, start), each node's members, and the largest squared length."""
     nodes = checkpointed(_distinct(vectors, k + 1).withColumn("dim", F.size("embedding")))
-    squared = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    squared = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     n, longest = nodes.agg(F.count("*"), F.max(squared)).first()
     shards = max(1, -(-n // shard_rows))
     dealt = nodes.select("dim", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "embedding")
-    graph = dealt.groupBy("dim", "shard").applyInArrow(_grown(float(longest or 0)), "dim int, shard int, node long, embedding array<float>, edges array<int>, start boolean")
+    graph = dealt.groupBy("dim", "shard").applyInArrow(_grown(float(longest or 0)), "dim int, shard int, node long, embedding array<double>, edges array<int>, start boolean")
     return checkpointed(graph), nodes.select("node", "members"), float(longest or 0)
 
 
