@@ -15,7 +15,7 @@ from brindle.registry import query
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/work-{uuid.uuid4().hex}"
 
 
