@@ -16,6 +16,9 @@ from brindle.session import kept
 
 #: Tables that a query writes out once when several of its tables read them; the others are computed where they are read.
 KEPT = {"stg_events", "fct_sessions", "fct_orders", "mart_kpi_daily", "mart_tag_health_daily", "early_stg_events", "early_fct_sessions"}
+#: Always written out: its columns are long expressions that a reader uses several times, and would be worked out anew at each use.
+WRITTEN = {"bands"}
+
 TABLES: dict[str, tuple[Callable, str | None]] = {}
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -61,7 +64,7 @@ class Tables:
             return getattr(self, name)
         if name not in self._made:
             df = self._call(TABLES[name][0]) if name in TABLES else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            self._made[name] = kept(df) if name in KEPT and self._readers.get(name, 0) > 1 else df
+            self._made[name] = kept(df) if name in WRITTEN or name in KEPT and self._readers.get(name, 0) > 1 else df
         return self._made[name]
 
     def _call(self, f: Callable) -> DataFrame:
