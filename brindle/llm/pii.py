@@ -10,9 +10,11 @@ permuted lists of the same script and gender, and by permuted letters where no l
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,23 +50,38 @@ _LOW = "[a-zß-öø-ÿā-žά-ώа-џ]"
 _NAME = f"{_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)?"
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 
+_HEX = "[0-9A-Fa-f]{1,4}"
+_GAP = r"[ \u00a0\u202f./-]"
+_NATIONAL = r"(?<![\d.,/+-])(?!\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})"  # no number grouped as a card's
+_OTHER = r"(?:\d{1,3}\.){3}\d|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|\d{4}[ -]\d{6}[ -]\d{5}|\d{13}|\d{3}-\d{2}-\d{4}"  # what a phone number's groups don't run into
+_STEP = f"(?:{_GAP}(?!{_OTHER}))?"
+_KEYWORD = "api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password|passphrase|pwd"
+
 # In the order in which they are tried at one place.
 ENTITIES = re.compile(
     rf"""
       (?P<email> (?<![\w.+-]) [\w][\w.+-]{{0,63}} @ (?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}} \b )
-    | (?P<iban>  \b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b )
-    | (?P<ip>    (?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d) )
-    | (?P<phone> (?:(?<![\d+])\+\d{{1,3}}[ .-]?)(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}(?!\d)
-               | (?<!\d)\(\d{{3}}\)[ ]?\d{{3}}-\d{{4}}(?!\d) | (?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-]) )
-    | (?P<ssn>   (?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]) )
-    | (?P<card>  (?<!\d)\d(?:[ -]?\d){{12,18}}(?!\d) )
-    | (?P<secret> (?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passwd|password)\b)["']?[ ]?[=:][ ]?["']? (?P<value>[A-Za-z0-9_+/-]{{8,200}}) )
-    | (?P<named> \b(?:{_TITLE})\b\.?[ ] (?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}}) )
+    | (?P<iban>  (?=[A-Z])\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b )
+    | (?P<ip>    (?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d) )
+    | (?P<ip6>   (?=[0-9A-Fa-f:])(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX} | (?:{_HEX}(?::{_HEX}){{0,6}})?::{_HEX}(?::{_HEX}){{0,6}} | {_HEX}(?::{_HEX}){{0,6}}::)(?![\w:]|\.\d) )
+    | (?P<phone> (?=[\d+(])(?:(?<![\d+])\+1{_GAP}?(?:\(\d{{3}}\)|\d{{3}}){_GAP}?\d{{3}}{_GAP}?\d{{4}}(?!\d) | (?<![\d+])\+3[34]{_GAP}?(?:\(0\){_GAP}?)?\d(?:{_GAP}?\d){{8}}(?!\d)
+               | (?:(?<![\d+])\+|{_NATIONAL}00(?=[1-9]))\d{{1,3}}{_STEP}(?:\(\d{{1,5}}\){_STEP})?\d(?:{_STEP}\d){{5,13}}(?!\d|\.\d)
+               | {_NATIONAL}0[1-9](?:{_GAP}?\d{{2}}){{4}}(?!\d)
+               | {_NATIONAL}0[1-9]\d{{1,3}}{_GAP}\d{{3,8}}(?:{_STEP}\d{{2,5}})?(?!\d|\.\d) | {_NATIONAL}0[1-9]\d{{8,10}}(?!\d)
+               | {_NATIONAL}[6-9]\d{{2}}(?:(?:{_GAP}\d{{3}}){{2}}|(?:{_GAP}\d{{2}}){{3}})(?!\d|[.,-]\d)
+               | (?<!\d)\(\d{{3}}\)[ ]?\d{{3}}-\d{{4}}(?!\d) | (?<!\d)(?:\d[ -]?)?\(\d{{2,5}}\)[ ]?(?:\d{{5,8}}|\d{{3,4}}(?:[ -](?!{_OTHER})\d{{2,4}}){{1,3}})(?!\d|\.\d)
+               | (?<![\d.,-])(?:1[ .-])?\d{{3}}(?P<gap>[ .-])\d{{3}}(?P=gap)\d{{4}}(?!\d|[.-]\d)) )
+    | (?P<ssn>   (?=\d)(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]) )
+    | (?P<card>  (?=\d)(?<!\d)\d(?:[ -]?\d){{12,18}}(?!\d) )
+    | (?P<secret> (?=[AaPpSsTt])(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{_KEYWORD})(?i:[_-]?(?:key|value|id|hash))?(?![A-Za-z0-9_])["']?[ ]{{0,4}}(?:=>|:=|[=:])[ ]{{0,4}}
+                 (?: "(?P<double>(?:[^"\\\n]|\\.){{8,}})" | '(?P<single>(?:[^'\\\n]|\\.){{8,}})'
+                   | ["']?(?P<value>(?:[^\s"'<>,;&]|[,;&](?!\s|\w+["']?[=:]|$)){{7,}}[^\s"'<>,;&.:)\]}}]) ) )
+    | (?P<named> (?={_CAP}|[κг])\b(?:{_TITLE})\b\.?[ ] (?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}}) )
     """,
     re.VERBOSE,
 )
 #: A text without any of these can hold none of the entities.
-_HINT = re.compile(rf"[0-9@]|(?i:secret|token|passw|key)|\b(?:{_TITLE})\b")
+_HINT = re.compile(rf"[0-9@]|(?i:secret|token|passw|passphrase|pwd|key)|::|\b(?:{_TITLE})\b")
 TYPES = ("email", "iban", "ip", "phone", "ssn", "card", "secret", "name")
 
 
@@ -72,14 +89,38 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
     """(type, start, end) of each entity, from left to right and never overlapping."""
     for m in ENTITIES.finditer(text) if text and _HINT.search(text) else ():
         kind = m.lastgroup
-        if kind in ("secret", "value"):
-            yield "secret", *m.span("value")
+        if kind in ("secret", "double", "single", "value"):
+            at = m.span(next(g for g in ("double", "single", "value") if m[g] is not None))
+            if any(c.isalnum() for c in text[at[0] : at[1]]):  # a row of asterisks hides its secret already
+                yield "secret", *at
         elif kind in ("named", "name"):
             yield "name", *m.span("name")
+        elif kind in ("phone", "gap"):
+            yield "phone", *m.span()
+        elif kind == "ip6":
+            if _is_ip6(m["ip6"]):
+                yield "ip", *m.span()
         else:
             yield kind, *m.span()
 
 
+def _is_ip6(text: str) -> bool:
+    """An address that isn't one of all hosts (::, ::1), nor two words of code about ::."""
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return int(address) > 1 and any(c.isdigit() for c in text)
+
+
+@lru_cache(4096)
+def _block(c: str) -> str:
+    """The letters or digits around one that isn't ASCII, in lower case; empty where cases don't pair one to one."""
+    kind, start = unicodedata.category(c), ord(c) // 128 * 128
+    near = "".join(x for x in map(chr, range(max(start, 128), start + 128)) if unicodedata.category(x) == kind and len(x.upper()) == 1 and x.upper().lower() == x)
+    return near if c in near else ""
+
+
 class Surrogates:
     """The surrogates under a key."""
 
@@ -160,6 +201,8 @@ class Surrogates:
 
     def ip(self, text: str) -> str:
         """Another address; the shares of leading octets that private networks have stay."""
+        if ":" in text:
+            return self._ip6(text)
         octets = [int(x) for x in text.split(".")]
         keep = 1 if octets[0] in (10, 127) else 2 if (octets[0], octets[1]) == (192, 168) else 0
         new = self.permuted(f"ip|{octets[:keep]}", octets[keep:], [256] * (4 - keep))
@@ -167,9 +210,19 @@ class Surrogates:
             new = self.permuted("ip|[]", new, [256] * 4)  # walks on until it is a public address again
         return ".".join(map(str, octets[:keep] + new))
 
+    def _ip6(self, text: str) -> str:
+        """Groups of zeros stay, the others become others, so that :: stands where it stood."""
+        groups = [int(g, 16) for g in ipaddress.IPv6Address(text).exploded.split(":")]
+        have = [g - 1 for g in groups if g]
+        new = self.permuted(f"ip6|{[bool(g) for g in groups]}", [d for g in have for d in divmod(g, 257)], [255, 257] * len(have))
+        rest = iter([a * 257 + b + 1 for a, b in zip(new[::2], new[1::2])])
+        return re.sub("[0-9A-Fa-f]+", lambda m: m[0] if not int(m[0], 16) else f"{next(rest):0{len(m[0]) if m[0][0] == '0' else 1}{'X' if m[0].isupper() else 'x'}}", text)
+
     def phone(self, text: str) -> str:
-        """Other digits, however they are spaced; a leading + keeps the digit behind it."""
-        return self._digits("phone", text, keep=int(text[0] == "+"))
+        """Other digits, however they are spaced; the digits stay that tell an international (+, 00) or national (0, a Spanish first digit) number."""
+        digits = [c for c in text if c.isdigit()]
+        keep = 1 if text[0] == "+" else 3 if digits[:2] == ["0", "0"] else 2 if digits[0] == "0" else int(len(digits) == 9)
+        return self._digits("phone", text, keep)
 
     def ssn(self, text: str) -> str:
         return self._digits("ssn", text)
@@ -190,13 +243,19 @@ class Surrogates:
         """Hex stays hex, letters keep their case; at each place an alphabet of its own kind."""
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
             return self._by_class("hex", text, lambda c: "0123456789abcdef") if text == text.lower() else self._by_class("hex", text.lower(), lambda c: "0123456789abcdef").upper()
-        places = [(i, a, a.index(c)) for i, c in enumerate(text) if (a := next((x for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in x), ""))]
+        places = [(i, a, a.index(c)) for i, c in enumerate(text) if (a := next((x for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in x), "") or self._other(c))]
         new = self.permuted("secret|" + "".join("?" if c.isalnum() else c for c in text), [d for _, _, d in places], [len(a) for _, a, _ in places])
         out = list(text)
         for (i, a, _), d in zip(places, new):
             out[i] = a[d]
         return "".join(out)
 
+    @staticmethod
+    def _other(c: str) -> str:
+        """The letters of its kind and case around one that isn't ASCII."""
+        low = c.lower()
+        return "" if c.isascii() or len(low) != 1 else _block(low).upper() if c.isupper() else _block(low)
+
     def name(self, text: str, gender: str = "") -> str:
         """Given names that a list has become others of its list; other words get other letters, vowels for vowels, and never a listed name."""
         return " ".join("-".join(self._word(part, gender) for part in word.split("-")) for word in text.split(" "))
@@ -224,7 +283,7 @@ class Surrogates:
         if kind in ("phone", "card", "ssn"):
             return "+" * text.startswith("+") + "".join(c for c in text if c.isdigit())
         if kind == "ip":
-            return ".".join(str(int(x)) for x in text.split("."))
+            return ipaddress.IPv6Address(text).compressed if ":" in text else ".".join(str(int(x)) for x in text.split("."))
         return text.replace(" ", "") if kind == "iban" else text if kind == "secret" else text.lower()
 
     def of(self, kind: str, text: str) -> str:

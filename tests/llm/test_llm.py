@@ -305,6 +305,35 @@ def test_surrogates_keep_type_and_tell_entities_apart(spark):
     assert pii.collisions(spark.createDataFrame([("ip", "a", "x"), ("ip", "b", "x")], "type string, entity string, surrogate string")).count() == 1
 
 
+def surrogate_text(s, text):
+    for kind, a, b in reversed(list(pii.entities(text))):
+        text = text[:a] + s.of(kind, text[a:b]) + text[b:]
+    return text
+
+
+def test_secrets_phones_and_addresses_are_found_to_their_ends():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    values = {"token=": "a1B2c3" * 50, "token: ": jwt, "API_TOKEN=": "abcd1234efgh", "db_password=": "hunter2hunter2", "AWS_SECRET_ACCESS_KEY=": "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY", "password: ": "P@ssw0rd!xyz", "clientSecret = ": "Zx8Zx8Zx8Zx8", "pwd: ": "пароль12"}
+    for before, value in values.items():
+        assert [(k, (before + value + ".")[a:b]) for k, a, b in pii.entities(before + value + ".")] == [("secret", value)]
+    quoted = "password = \"a, b;c's & d.e!\" x"
+    assert [(k, quoted[a:b]) for k, a, b in pii.entities(quoted)] == [("secret", "a, b;c's & d.e!")]
+    for phone in ("+33 6 12 34 56 78", "06 12 34 56 78", "0171 2345678", "555.123.4567", "030/1234567", "612 345 678", "+49 171 2345678", "8 (495) 123-45-67", "0033 6 12 34 56 78"):
+        assert [(k, f"Tel {phone}, x"[a:b]) for k, a, b in pii.entities(f"Tel {phone}, x")] == [("phone", phone)]
+    for phone in ("+1 (826) 555-4081", "+33 6 12 34 56 78", "0171 2345678", "(377) 555-0271", "+49 171 2345678"):
+        for kind, other in (("ip", "190.137.223.204"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111111"), ("ssn", "123-45-6789")):
+            assert [(k, f"{phone} {other} x"[a:b]) for k, a, b in pii.entities(f"{phone} {other} x")] == [("phone", phone), (kind, other)]
+    for ip in ("2001:db8::ff00:42:8329", "fe80::1", "2001:0DB8:0:0:0:0:0:1", "::ffff:102:304"):
+        assert [(k, f"at {ip}, x"[a:b]) for k, a, b in pii.entities(f"at {ip}, x")] == [("ip", ip)]
+    assert not [k for t in ("on 01.02.2024 at 10:30:45", "std::add a::b", "password: ********", "in 2024-01-02 10 of 12") for k, _, _ in pii.entities(t)]
+    s = pii.Surrogates(b"key")
+    assert s.canonical("ip", s.of("ip", "2001:db8::1")) == s.canonical("ip", s.of("ip", "2001:0DB8:0:0:0:0:0:1"))
+    for text in ("password: пароль12", "at fe80::1", "Tel 06 12 34 56 78", "Tel 612 345 678"):
+        new = surrogate_text(s, text)
+        assert new != text and [k for k, _, _ in pii.entities(new)] == [k for k, _, _ in pii.entities(text)]
+    assert not set("пароль") <= set(surrogate_text(s, "password: пароль12"))
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
