@@ -1,8 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 An entity's characters are read as one number in a mixed base (a place for each letter or digit that may
-change) and that number is permuted by a keyed Feistel network over exactly the numbers of its format. A permutation gives
-different entities different surrogates and the same entity the same one in every document, with no table
+change) and that number moves one step along a keyed cycle through exactly the numbers of its format. Such a permutation gives
+different entities different surrogates, none its own, and the same entity the same one in every document, with no table
 of the corpus's entities to build or to send; a check over the distinct entities confirms it. Names go by
 permuted lists of the same script and gender, and by permuted letters where no list has them.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import arrow_function, bounded_batches, checkpointed, without
 
 ROUNDS = 6
+FEW = 1_024  # lists of digits up to which their order is written out
 
 # Given names by script and gender. Titles tell the gender of a name that no list has.
 NAMES = {
@@ -91,7 +93,7 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
         kind = m.lastgroup
         if kind in ("secret", "double", "single", "value"):
             at = m.span(next(g for g in ("double", "single", "value") if m[g] is not None))
-            if any(c.isalnum() for c in text[at[0] : at[1]]):  # a row of asterisks hides its secret already
+            if any(map(_changes, text[at[0] : at[1]])):  # a row of asterisks hides its secret already
                 yield "secret", *at
         elif kind in ("named", "name"):
             yield "name", *m.span("name")
@@ -100,10 +102,15 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
         elif kind == "ip6":
             if _is_ip6(m["ip6"]):
                 yield "ip", *m.span()
-        else:
+        elif kind != "email" or any(map(_changes, m["email"].rpartition(".")[0])):
             yield kind, *m.span()
 
 
+def _changes(c: str) -> bool:
+    """Whether a surrogate may have another character in this one's place."""
+    return c.isalnum() if c.isascii() else len(c.lower()) == 1 and bool(_block(c.lower()))
+
+
 def _is_ip6(text: str) -> bool:
     """An address that isn't one of all hosts (::, ::1), nor two words of code about ::."""
     try:
@@ -121,6 +128,16 @@ def _block(c: str) -> str:
     return near if c in near else ""
 
 
+@lru_cache(512)
+def _cycle(key: bytes, tag: str, size: int) -> tuple[list[int], list[int]]:
+    """The numbers below ``size`` in an order that the key and the tag give, and the place of each."""
+    order = sorted(range(size), key=lambda i: (hashlib.blake2b(f"{tag}|{size}|{i}".encode(), key=key).digest(), i))
+    place = [0] * size
+    for at, i in enumerate(order):
+        place[i] = at
+    return order, place
+
+
 class Surrogates:
     """The surrogates under a key."""
 
@@ -135,17 +152,32 @@ class Surrogates:
         return int.from_bytes(digest + hashlib.blake2b(digest, key=self.key, digest_size=32).digest()) % modulus
 
     def permuted(self, tag: str, digits: list[int], bases: list[int]) -> list[int]:
-        """Other digits in the same bases: a permutation of all such lists, keyed by tag. One round in turn adds to each half what a hash makes of the other."""
+        """Other digits in the same bases: a permutation of all such lists, keyed by tag, that leaves none of them as it is if there are two or more.
+
+        It is one step on one cycle through all lists: that of their keyed order if they are few, else that of a Feistel network (there, one on, and back).
+        """
         if not digits:
             return []
+        size = math.prod(bases)
+        if size <= FEW:
+            value = 0
+            for d, b in zip(digits, bases):
+                value = value * b + d
+            order, place = _cycle(self.key, tag, size)
+            value, out = order[(place[value] + 1) % size], []
+            for b in reversed(bases):
+                value, d = divmod(value, b)
+                out.append(d)
+            return out[::-1]
         cut = len(bases) // 2
         sizes, halves = [1, 1], [0, 0]
         for i, (d, b) in enumerate(zip(digits, bases)):
             h = i >= cut
             sizes[h], halves[h] = sizes[h] * b, halves[h] * b + d
-        for r in range(ROUNDS):
-            h = r % 2
-            halves[h] = (halves[h] + self._number(f"{tag}|{r}|{sizes}", halves[1 - h], sizes[h])) % sizes[h]
+        self._feistel(tag, halves, sizes, 1)
+        on, halves[1] = divmod(halves[1] + 1, sizes[1])
+        halves[0] = (halves[0] + on) % sizes[0]
+        self._feistel(tag, halves, sizes, -1)
         out = []
         for i in range(len(bases) - 1, -1, -1):
             h = i >= cut
@@ -153,6 +185,12 @@ class Surrogates:
             out.append(d)
         return out[::-1]
 
+    def _feistel(self, tag: str, halves: list[int], sizes: list[int], sign: int) -> None:
+        """One round in turn adds to each half what a hash makes of the other; a sign of -1 takes the rounds back."""
+        for r in range(ROUNDS)[::sign]:
+            h = r % 2
+            halves[h] = (halves[h] + sign * self._number(f"{tag}|{r}|{sizes}", halves[1 - h], sizes[h])) % sizes[h]
+
     def _by_class(self, tag: str, text: str, alphabet_of) -> str:
         """Each character that alphabet_of gives an alphabet is permuted within it; the others and the cases of letters stay."""
         places = [(i, a, a.index(c.lower())) for i, c in enumerate(text) if (a := alphabet_of(c))]
@@ -187,7 +225,7 @@ class Surrogates:
     def email(self, text: str) -> str:
         local, _, domain = text.rpartition("@")
         name, _, top = domain.rpartition(".")
-        mark = lambda c: self._plain(c) or self._spoken(c)
+        mark = lambda c: self._plain(c) or self._spoken(c) or ("" if c.isascii() or len(c.lower()) != 1 else _block(c.lower()))
         return f"{self._by_class('local', local, mark)}@{'.'.join(self._by_class('label', x, self._plain) for x in name.split('.'))}.{top}"
 
     def iban(self, text: str) -> str:
@@ -264,7 +302,7 @@ class Surrogates:
         low = word.casefold()
         for (script, g), (names, at) in self.lists.items():
             if low in at:
-                new = names[self.permuted(f"name|{script}|{g}", [0, at[low]], [1, len(names)])[1]]
+                new = names[self.permuted(f"name|{script}|{g}", [at[low]], [len(names)])[0]]
                 return new.upper() if word.isupper() else new
         script = "latin"
         for c in word:
@@ -272,9 +310,10 @@ class Surrogates:
             if found in LETTERS:
                 script = found
                 break
+        letters = self._spoken if any(map(self._spoken, word)) else lambda c: _block(c.lower()) if not c.isascii() and len(c.lower()) == 1 else ""
         new = word
         while True:
-            new = self._by_class(f"word|{script}", new, self._spoken)
+            new = self._by_class(f"word|{script}", new, letters)
             if new.casefold() not in self.listed:
                 return new
 
@@ -338,14 +377,15 @@ def mapping(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
 
 
 def collisions(pairs: DataFrame) -> DataFrame:
-    """(type, surrogate, entities): surrogates that stand for more than one entity, or entities with more than one surrogate."""
+    """(type, of, n, first, last): surrogates that stand for more than one entity, entities with more than one surrogate, and entities that are their own (n = 1)."""
     two = pairs.groupBy("type", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("first"), F.max("entity").alias("last")).where("n > 1")
     twice = pairs.groupBy("type", "entity").agg(F.count("*").alias("n"), F.min("surrogate").alias("first"), F.max("surrogate").alias("last")).where("n > 1")
-    return two.select("type", F.col("surrogate").alias("of"), "n", "first", "last").union(twice.select("type", F.col("entity").alias("of"), "n", "first", "last"))
+    same = pairs.where("surrogate = entity").select("type", F.col("entity").alias("of"), F.lit(1).cast("long").alias("n"), F.col("entity").alias("first"), F.col("surrogate").alias("last"))
+    return two.select("type", F.col("surrogate").alias("of"), "n", "first", "last").union(twice.select("type", F.col("entity").alias("of"), "n", "first", "last")).union(same)
 
 
 def checked_key(docs: DataFrame, key: bytes, text_col: str = "text", attempts: int = 4) -> bytes:
-    """The key, or one derived from it, under which no two entities of ``docs`` share a surrogate and none has two."""
+    """The key, or one derived from it, under which no two entities of ``docs`` share a surrogate, none has two and none is its own."""
     for attempt in range(attempts):
         tried = key if not attempt else hashlib.blake2b(f"attempt {attempt}".encode(), key=key, digest_size=32).digest()
         if collisions(checkpointed(mapping(docs, tried, text_col))).isEmpty():

@@ -325,7 +325,7 @@ def test_secrets_phones_and_addresses_are_found_to_their_ends():
             assert [(k, f"{phone} {other} x"[a:b]) for k, a, b in pii.entities(f"{phone} {other} x")] == [("phone", phone), (kind, other)]
     for ip in ("2001:db8::ff00:42:8329", "fe80::1", "2001:0DB8:0:0:0:0:0:1", "::ffff:102:304"):
         assert [(k, f"at {ip}, x"[a:b]) for k, a, b in pii.entities(f"at {ip}, x")] == [("ip", ip)]
-    assert not [k for t in ("on 01.02.2024 at 10:30:45", "std::add a::b", "password: ********", "in 2024-01-02 10 of 12") for k, _, _ in pii.entities(t)]
+    assert not [k for t in ("on 01.02.2024 at 10:30:45", "std::add a::b", "password: ********", "_@-.com", "in 2024-01-02 10 of 12") for k, _, _ in pii.entities(t)]
     s = pii.Surrogates(b"key")
     assert s.canonical("ip", s.of("ip", "2001:db8::1")) == s.canonical("ip", s.of("ip", "2001:0DB8:0:0:0:0:0:1"))
     for text in ("password: пароль12", "at fe80::1", "Tel 06 12 34 56 78", "Tel 612 345 678"):
@@ -334,6 +334,24 @@ def test_secrets_phones_and_addresses_are_found_to_their_ends():
     assert not set("пароль") <= set(surrogate_text(s, "password: пароль12"))
 
 
+def test_no_entity_is_its_own_surrogate(spark):
+    for key in (queries.PII_KEY, *(b"key %d" % i for i in range(50))):
+        s = pii.Surrogates(key)
+        for names in pii.NAMES.values():
+            new = [s.name(n) for n in names]
+            assert sorted(new) == sorted(names) and not any(a == b for a, b in zip(new, names))
+        assert len({s.email(f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"}) == 26 and all(s.email(f"{c}@x.org")[0] != c for c in "abcdefghijklmnopqrstuvwxyz")
+        assert s.name("Éé") != "Éé" and s.ip("10.1.2.3") != "10.1.2.3" and s.ip("192.168.0.1") != "192.168.0.1"
+    every = [[a, b, c] for a in range(15) for b in range(10) for c in range(10)]
+    new = [s.permuted("t", x, [15, 10, 10]) for x in every]
+    assert sorted(new) == every and not any(a == b for a, b in zip(new, every))
+    assert [b - a for (a, *_), (b, *_) in zip(every[::100], new[::100])] != [0] * 15
+    steps = {(pii.NAMES["latin", "f"].index(s.name(n)) - i) % 30 for i, n in enumerate(pii.NAMES["latin", "f"])}
+    assert len(steps) > 1  # no rotation
+    pairs = "type string, entity string, surrogate string"
+    assert pii.collisions(spark.createDataFrame([("name", "мария", "мария"), ("name", "анна", "вера")], pairs)).count() == 1
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
