@@ -26,7 +26,7 @@ from brindle.llm.common import arrow_function, bounded_batches, checkpointed, wi
 ROUNDS = 6
 FEW = 1_024  # lists of digits up to which their order is written out
 
-# Given names by script and gender. Titles tell the gender of a name that no list has.
+# Given names by script and gender.
 NAMES = {
     ("latin", "f"): "Anna Maria Emma Laura Julia Sofia Elena Clara Alice Sarah Marta Lucia Ines Claire Camille Louise Carmen Paula Greta Ingrid Heidi Nora Eva Lena Jane Mary Susan Karen Linda Emily".split(),
     ("latin", "m"): "John Peter Paul Thomas David Daniel Martin Lucas Hugo Louis Pierre Jean Jules Carlos Juan Diego Pablo Javier Hans Klaus Otto Karl Jonas Felix Max James Robert Michael William George".split(),
@@ -49,9 +49,23 @@ LETTERS = {
 
 _CAP = "[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я]"
 _LOW = "[a-zß-öø-ÿā-žά-ώа-џ]"
-_NAME = f"{_CAP}{_LOW}+(?:-{_CAP}{_LOW}+)?"
+_PART = f"(?:{_CAP}['’](?={_CAP}))?(?:{_CAP}{_LOW}+(?:{_CAP}{_LOW}+)*|{_CAP}{{2,}})(?!{_CAP}|{_LOW})"  # Smith, McDonald, O'Brien, SMITH
+_INITIALS = rf"{_CAP}\.(?:[ -]?{_CAP}\.)*"
+_PARTICLE = "(?:van|von|vom|zu|zum|zur|der|den|ten|ter|de|del|della|di|da|das|do|dos|du|des|la|le|los|las|el|al|bin|ibn|af|av|y|e)[ ]|(?:d|l)['’]"
+_NAME_WORD = f"(?:{_INITIALS}|{_PART}(?:-{_PART})*)"
+_NAME = f"(?:{_PARTICLE}){{0,4}}{_NAME_WORD}"
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of any of the words, tried by their first letters."""
+    first = sorted({w[0] for w in words})
+    return "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == c), key=len, reverse=True))})" for c in first)
+
+
+_GIVEN = _any_of([n for v in NAMES.values() for n in v])
+_GIVEN_CAPS = _any_of([n.upper() for v in NAMES.values() for n in v])
 _HEX = "[0-9A-Fa-f]{1,4}"
 _GAP = r"[ \u00a0\u202f./-]"
 _NATIONAL = r"(?<![\d.,/+-])(?!\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})"  # no number grouped as a card's
@@ -78,17 +92,42 @@ ENTITIES = re.compile(
     | (?P<secret> (?=[AaPpSsTt])(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{_KEYWORD})(?i:[_-]?(?:key|value|id|hash))?(?![A-Za-z0-9_])["']?[ ]{{0,4}}(?:=>|:=|[=:])[ ]{{0,4}}
                  (?: "(?P<double>(?:[^"\\\n]|\\.){{8,}})" | '(?P<single>(?:[^'\\\n]|\\.){{8,}})'
                    | ["']?(?P<value>(?:[^\s"'<>,;&]|[,;&](?!\s|\w+["']?[=:]|$)){{7,}}[^\s"'<>,;&.:)\]}}]) ) )
-    | (?P<named> (?={_CAP}|[κг])\b(?:{_TITLE})\b\.?[ ] (?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}}) )
+    | (?P<named> (?={_CAP}|[κг])\b(?:{_TITLE})\b\.?[ ] (?P<name>{_NAME}(?:[ ]{_NAME})*) )
+    | (?P<given> (?={_CAP})(?<!\w)(?:(?:{_GIVEN})(?!\w)(?:-{_PART})*(?:[ ]{_NAME})*|(?:{_GIVEN_CAPS})(?:[ ]{_NAME})+) )
     """,
     re.VERBOSE,
 )
 #: A text without any of these can hold none of the entities.
-_HINT = re.compile(rf"[0-9@]|(?i:secret|token|passw|passphrase|pwd|key)|::|\b(?:{_TITLE})\b")
-TYPES = ("email", "iban", "ip", "phone", "ssn", "card", "secret", "name")
+_HINT = re.compile(rf"[0-9@]|(?=[SsTtPpKk])(?i:secret|token|passw|passphrase|pwd|key)|::|(?={_CAP}|[κг])\b(?:{_TITLE}|{_GIVEN}|{_GIVEN_CAPS})\b")
+#: Words that may repeat one of a name.
+_CAPITALISED = re.compile(rf"(?<!\w)(?:{_CAP}['’](?={_CAP}))?{_CAP}\w+")
+TYPES = ("email", "iban", "ip", "phone", "ssn", "card", "secret", "name", "mention")
 
 
 def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
-    """(type, start, end) of each entity, from left to right and never overlapping."""
+    """(type, start, end) of each entity, from left to right and never overlapping. A mention is a capitalised word anywhere in a text that is also one of a name found in that text."""
+    found = list(_entities(text))
+    words = {w.casefold() for kind, a, b in found if kind == "name" for w in _words(text[a:b])}
+    if not words:
+        yield from found
+        return
+    at = 0
+    for entity in (*found, ("", len(text), len(text))):
+        for m in _CAPITALISED.finditer(text, at, entity[1]):
+            if m[0].casefold() in words:
+                yield "mention", *m.span()
+        if entity[0]:
+            yield entity
+        at = entity[2]
+
+
+def _words(name: str) -> list[str]:
+    """The words of a name that tell its bearer: no initials and no particles."""
+    return [m[0] for m in _CAPITALISED.finditer(name)]
+
+
+def _entities(text: str | None) -> Iterator[tuple[str, int, int]]:
+    """The entities that show by themselves."""
     for m in ENTITIES.finditer(text) if text and _HINT.search(text) else ():
         kind = m.lastgroup
         if kind in ("secret", "double", "single", "value"):
@@ -97,6 +136,8 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
                 yield "secret", *at
         elif kind in ("named", "name"):
             yield "name", *m.span("name")
+        elif kind == "given":
+            yield "name", *m.span()
         elif kind in ("phone", "gap"):
             yield "phone", *m.span()
         elif kind == "ip6":
@@ -145,7 +186,6 @@ class Surrogates:
         self.key = key
         self.lists = {k: (v, {n.casefold(): i for i, n in enumerate(v)}) for k, v in NAMES.items()}
         self.listed = {n.casefold() for v in NAMES.values() for n in v}
-        self.gender_of_title = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 
     def _number(self, tag: str, value: int, modulus: int) -> int:
         digest = hashlib.blake2b(f"{tag}|{value}".encode(), key=self.key, digest_size=32).digest()
@@ -294,11 +334,13 @@ class Surrogates:
         low = c.lower()
         return "" if c.isascii() or len(low) != 1 else _block(low).upper() if c.isupper() else _block(low)
 
-    def name(self, text: str, gender: str = "") -> str:
-        """Given names that a list has become others of its list; other words get other letters, vowels for vowels, and never a listed name."""
-        return " ".join("-".join(self._word(part, gender) for part in word.split("-")) for word in text.split(" "))
+    def name(self, text: str) -> str:
+        """Given names that a list has become others of its list; other words get other letters, vowels for vowels, and never a listed name. Particles stay."""
+        return re.sub(rf"{_CAP}[^\W\d_]*", lambda m: self._word(m[0]), text)
+
+    mention = name
 
-    def _word(self, word: str, gender: str) -> str:
+    def _word(self, word: str) -> str:
         low = word.casefold()
         for (script, g), (names, at) in self.lists.items():
             if low in at:

@@ -352,6 +352,22 @@ def test_no_entity_is_its_own_surrogate(spark):
     assert pii.collisions(spark.createDataFrame([("name", "мария", "мария"), ("name", "анна", "вера")], pairs)).count() == 1
 
 
+def test_names_without_titles_and_their_later_mentions(spark):
+    for before, name, after in (("Contact ", "Maria Garcia", ", please"), ("then ", "John Smith", " went"), ("Dr ", "J. Smith", " said"), ("Mr ", "SMITH", " said"), ("Mr ", "O'Brien", " said"), ("Mr ", "McDonald", " said"),
+                                ("Herr ", "Ludwig van Beethoven", " und"), ("Frau ", "Ana Belén López García", " y"), ("the ", "JOHN SMITH", " x"), ("Herr ", "von Bismarck", " und"), ("и ", "Мария Петрова", " там")):
+        text = before + name + after
+        assert [(k, text[a:b]) for k, a, b in pii.entities(text)] == [("name", name)]
+    text = "Earlier, Smith. Mr John Smith (JOHN) and Mr O'Brien met; then O'Brien told Smith's friend Blacksmith, and smith."
+    assert [(k, text[a:b]) for k, a, b in pii.entities(text)] == [("mention", "Smith"), ("name", "John Smith"), ("mention", "JOHN"), ("name", "O'Brien"), ("mention", "O'Brien"), ("mention", "Smith")]
+    s = pii.Surrogates(b"key")
+    new = surrogate_text(s, text)
+    smith, john = s.name("Smith"), s.name("John")
+    assert new == f"Earlier, {smith}. Mr {john} {smith} ({john.upper()}) and Mr {s.name("O'Brien")} met; then {s.name("O'Brien")} told {smith}'s friend Blacksmith, and smith."
+    assert [k for k, _, _ in pii.entities(new)] == [k for k, _, _ in pii.entities(text)] and s.name("Ludwig van Beethoven").split(" ")[1] == "van"
+    got = pii.replaced(docs(spark, text), b"key").collect()[0]
+    assert (got["text"], got["n_name"], got["n_mention"]) == (new, 2, 4)
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
