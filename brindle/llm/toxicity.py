@@ -169,15 +169,17 @@ def labelled(labels: DataFrame, label_col: str, fold_modulus: int, held_out: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold_modulus: int = 5, held_out: int = 0) -> Model:
-    """A model from a bounded sample of labelled documents: the first SAMPLE_TOXIC and SAMPLE_ORDINARY by a hash of their ids, without those over SAMPLE_CHARS characters.
+    """A model from a bounded sample of labelled documents: of those in ``docs`` with a text of at most SAMPLE_CHARS characters, the first SAMPLE_TOXIC and SAMPLE_ORDINARY by a hash of their ids.
 
-    The sample's ids choose the texts by a broadcast join (bounded by the sample's size). Without labels, or with only one class, every score is the share of toxic labels.
+    The sample's ids choose the texts by a broadcast join (bounded by the sample's size); an id that repeats gives its least text. Without labels, or with only one class, every score is the share of toxic labels.
     """
     known = labelled(labels, "toxic", fold_modulus, held_out)
-    first = lambda label, n: known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    present = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    first = lambda label, n: present.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = first(1, SAMPLE_TOXIC).union(first(0, SAMPLE_ORDINARY)).withColumnRenamed("doc_id", "__id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "label")
-    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in texts.collect())  # bounded by the sample's sizes
+    texts = short.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in texts.collect())  # a row for each id of the sample
     toxic, ordinary = ([t for _, t, label in rows if label == k] for k in (1, 0))
     if not toxic or not ordinary:
         return Model(b"", b"", b"", b"", prior=1.0 if toxic else 0.0)

@@ -274,6 +274,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity(d.limit(0), labels).count() == 0
 
 
+def test_toxicity_sample_counts_documents_once_and_is_not_shrunk(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 2)
+    monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 2)
+    taken = []
+    real = toxicity._dictionaries
+    monkeypatch.setattr(toxicity, "_dictionaries", lambda toxic, ordinary: taken.append((len(toxic), len(ordinary))) or real(toxic, ordinary))
+    few = [(i, f"{'bad awful nasty' if i % 2 else 'calm kind green'} words {i} " * 5, "en", "s", 0) for i in range(1000, 1040)]
+    d = spark.createDataFrame(few * 5 + [(i, "long " * 5_000, "en", "s", 0) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), *range(1000, 1040), *range(9000, 9900)]], "doc_id long, toxic int")
+    assert toxicity.fit(d, labels).weights and taken == [(2, 2)]
+
+
 # --- pii ------------------------------------------------------------------------------------------
 
 
