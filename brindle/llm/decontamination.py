@@ -1,32 +1,29 @@
 """Benchmark decontamination: one automaton over all windows of the benchmark, one pass over the documents.
 
-Texts are compared as sequences of words. Each word of the benchmark gets one character of a private alphabet,
-so a window of ten words is a string of ten characters and a document becomes a string with one character for
-each of its words (words that the benchmark lacks share one character that no window has). An Aho-Corasick
-automaton over the windows then finds every occurrence in one scan, and an occurrence's offsets in that string
-are the numbers of the document's words, whose places in the original text are known.
+Texts are compared as sequences of words. Each word of the benchmark has a number, so a window of ten words is a
+sequence of ten numbers and a document is a sequence with one number for each of its words (0 for words that the
+benchmark lacks). An Aho-Corasick automaton over the windows finds every occurrence in one scan. An occurrence's
+offsets in that sequence are the numbers of the document's words, and they are mapped to places in the original text.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
-import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_function, bounded_batches, checkpointed, worker_slot
+from brindle.llm.common import arrow_function, bounded_batches, checkpointed, without, worker_slot
 
 WINDOW = 10
-#: (window, item) pairs in one automaton: some 300 bytes each in a worker. A larger benchmark is scanned in blocks of so many, one after the other.
-BLOCK_PAIRS = 400_000
+#: (window, item) pairs in one automaton, which takes some 300 bytes for each in a worker. Only a benchmark with more windows than that (some 20,000 items of 100 words) is scanned in blocks, one after the other.
+BLOCK_PAIRS = 2_000_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_UNKNOWN = "\x00"
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -40,55 +37,117 @@ def windows(text: str | None, n: int = WINDOW) -> set[str]:
     return {" ".join(w[i : i + n]) for i in range(max(len(w) - n, 0) + 1)} if w else set()
 
 
-def word_offsets(text: str) -> list[tuple[int, int]]:
-    """Start and end, in characters of the original text, of each word."""
-    return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+def spans_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of words, in order and apart, as (start, end) in characters of the original text."""
+    out, starts, ends = [], {a for a, _ in runs}, {b - 1 for _, b in runs}
+    for i, m in enumerate(_WORD.finditer(text)):
+        if i in starts:
+            begun = m.start()
+        if i in ends:
+            out.append((begun, m.end()))
+            if len(out) == len(runs):
+                break
+    return out
 
 
 class Scanner:
-    """An automaton over (window, item ids)."""
+    """An Aho-Corasick automaton over (window, item id), in arrays with a place for each state; a state is a beginning of a window, 0 is the empty one.
+
+    Most states go on with one word only: ``word`` and ``child``. What else a state goes on with is in ``more``, the first words are in ``first``.
+    """
 
     def __init__(self, pairs: Iterable[tuple[str, str]]):
-        self.letters: dict[bytes, str] = {}
-        self.items: list[list[str]] = []
-        self.sizes: list[int] = []
-        self.automaton = ahocorasick.Automaton()
-        at: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
+        self.word, self.child, self.fail, self.size, self.hit = (array("i", [0]) for _ in range(5))
+        self.first: dict[int, int] = {}
+        self.more: dict[int, int] = {}
+        self.items_of: dict[int, list[int]] = {}
+        ids: dict[str, int] = {}
         for window, item in pairs:
-            key = "".join(self._letter(w) for w in window.encode().split(b" "))
-            if key not in at:
-                at[key] = len(self.items)
-                self.items.append([])
-                self.sizes.append(len(key))
-                self.automaton.add_word(key, at[key])
-            self.items[at[key]].append(item)
-        if at:
-            self.automaton.make_automaton()
-
-    def _letter(self, word: bytes) -> str:
-        if word not in self.letters:
-            n = len(self.letters) + 1
-            self.letters[word] = chr(n if n < 0xD800 else n + 0x800)  # surrogates are no characters
-        return self.letters[word]
+            self.items_of.setdefault(self._added(window), []).append(ids.setdefault(item, len(ids)))
+        self.ids = list(ids)
+        self._link()
+
+    def _added(self, window: str) -> int:
+        """The state of a whole window, made with those on the way to it."""
+        state = 0
+        for w in window.encode().split(b" "):
+            x = self.number.setdefault(w, len(self.number) + 1)
+            state = self._next(state, x) or self._grown(state, x)
+        self.hit[state] = state
+        return state
+
+    def _next(self, state: int, x: int) -> int:
+        if not state:
+            return self.first.get(x, 0)
+        return self.child[state] if self.word[state] == x else self.more.get(state << 32 | x, 0)
+
+    def _grown(self, state: int, x: int) -> int:
+        new = len(self.fail)
+        for places in (self.word, self.child, self.fail, self.hit):
+            places.append(0)
+        self.size.append(self.size[state] + 1)
+        if not state:
+            self.first[x] = new
+        elif not self.word[state]:
+            self.word[state], self.child[state] = x, new
+        else:
+            self.more[state << 32 | x] = new
+        return new
+
+    def _link(self) -> None:
+        """Where each state falls back to (``fail``), and the longest window that ends in it (``hit``), by growing size."""
+        branches: dict[int, list[tuple[int, int]]] = {}
+        for key, new in self.more.items():
+            branches.setdefault(key >> 32, []).append((key & 0xFFFFFFFF, new))
+        level = list(self.first.values())
+        while level:
+            below = []
+            for state in level:
+                for x, new in [(self.word[state], self.child[state]), *branches.get(state, ())] if self.word[state] else ():
+                    back = self.fail[state]
+                    while back and not self._next(back, x):
+                        back = self.fail[back]
+                    self.fail[new] = back = self._next(back, x)
+                    self.hit[new] = self.hit[new] or self.hit[back]
+                    below.append(new)
+            level = below
 
     def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged runs [start, end) of hit words, and the ids of the items whose windows occur."""
         runs: list[tuple[int, int]] = []
         seen: set[int] = set()
-        if self.items:
-            get = self.letters.get
-            for end, k in self.automaton.iter("".join([get(w, _UNKNOWN) for w in found])):
-                seen.add(k)
-                start = end + 1 - self.sizes[k]
+        number, first, word, child, more, fail, hit = self.number.get, self.first.get, self.word, self.child, self.more.get, self.fail, self.hit
+        state = 0
+        for end, x in enumerate([number(w, 0) for w in found], 1):
+            if not x:
+                state = 0
+                continue
+            while state:
+                if word[state] == x:
+                    state = child[state]
+                    break
+                if on := more(state << 32 | x):
+                    state = on
+                    break
+                state = fail[state]
+            else:
+                state = first(x, 0)
+            at = hit[state]
+            while at:  # the longest window that ends here, then the shorter ones
+                seen.add(at)
+                start = end - self.size[at]
                 while runs and runs[-1][1] >= start:
                     start = min(start, runs.pop()[0])
-                runs.append((start, end + 1))
-        return runs, {i for k in seen for i in self.items[k]}
+                runs.append((start, end))
+                at = hit[fail[at]]
+        return runs, {self.ids[i] for at in seen for i in self.items_of[at]}
 
 
 #: What is known of a document after a block.
-_FIELDS = "struct<n_words: bigint, runs: array<struct<start: bigint, end: bigint>>, items: array<string>>"
-_TYPE = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_FIELDS = "struct<n_words: bigint, runs: array<struct<start: bigint, end: bigint>>, spans: array<struct<start: bigint, end: bigint>>, items: array<string>>"
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_TYPE = pa.struct([("n_words", pa.int64()), ("runs", _RUNS), ("spans", _RUNS), ("items", pa.list_(pa.string()))])
 
 
 def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,28 +161,30 @@ def merged(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan_with(block):
-    """A function that adds to what earlier blocks have found; its scanner is built once in each worker."""
+    """A function that adds to what earlier blocks have found; its scanner is kept in each worker."""
 
     @arrow_function(_TYPE)
     def scan(texts: pa.Array, so_far: pa.Array) -> pa.Array:
-        scanner, out = worker_slot("decontamination", block.id, lambda: Scanner(block.value)), []
+        scanner, out = worker_slot("decontamination", block.id, lambda: block.value), []
+        as_rows = lambda pairs: [{"start": a, "end": b} for a, b in pairs]
         for text, old in zip(texts.to_pylist(), so_far.to_pylist()):
             found = words(text)
             runs, items = scanner.scan(found)
             if old:
                 runs = merged([*runs, *((r["start"], r["end"]) for r in old["runs"])])
                 items = items | set(old["items"])
-            out.append({"n_words": len(found), "runs": [{"start": a, "end": b} for a, b in runs], "items": sorted(items)})
+            out.append({"n_words": len(found), "runs": as_rows(runs), "spans": as_rows(spans_of(text, runs) if runs else ()), "items": sorted(items)})
         return pa.array(out, _TYPE)
 
     return scan
 
 
 class _Block:
-    """A broadcast block of pairs with an id that workers can keep its scanner by."""
+    """The broadcast scanner of a block of pairs, with an id that workers can keep it by."""
 
-    def __init__(self, spark, rows: list):
-        self.sent = spark.sparkContext.broadcast([(r["window"], r["item_id"]) for r in rows])
+    def __init__(self, pairs: DataFrame):
+        spark = pairs.sparkSession
+        self.sent = spark.sparkContext.broadcast(Scanner((r["window"], r["item_id"]) for r in pairs.toLocalIterator()))
         self.id = (spark.sparkContext.applicationId, self.sent._jbroadcast.id())
 
     def __getstate__(self):
@@ -148,47 +209,35 @@ def _windows_of(benchmark: DataFrame, n: int, item_col: str, text_col: str) -> D
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """``docs`` with a column ``found``: n_words, the runs of hit words (numbers of words, from 0) and the ids, as sorted strings, of the items that occur.
+    """``docs`` with a column ``found``: n_words, the runs of hit words (numbers of words, from 0), the same runs as spans of characters of the text, and the ids, as sorted strings, of the items that occur.
 
-    The benchmark's windows are counted first. They are broadcast in blocks of at most about ``block_pairs``, and the documents
-    pass through one scan for each block, side by side with what was found before, without a shuffle.
-    A null text has no words; an item with a null id or without words has no windows. A column named ``found`` is replaced.
+    The benchmark's windows are counted first. Their automaton is broadcast, and the documents pass through one scan without a
+    shuffle; a benchmark beyond ``block_pairs`` windows has an automaton and a scan for each block, side by side with what was found before.
+    A null text has no words; an item with a null id or without words has no windows. Repeated rows stay repeated, no rows give no rows. A column named ``found`` is replaced.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     pairs = checkpointed(_windows_of(benchmark, n, item_col, item_text_col))
     blocks = max(1, -(-pairs.count() // block_pairs))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)))
-    out = docs.withColumn("found", F.lit(None).cast(_FIELDS))
+    out = without(docs, ["found"]).withColumn("found", F.lit(None).cast(_FIELDS))
     for k in range(blocks):
         if k and k % 3 == 0:
             out = checkpointed(out)  # each scan has a worker of its own: so many at a time
-        block = _Block(spark, pairs.where(F.col("block") == k).collect())  # bounded: the share of one block
-        out = out.withColumn("found", _scan_with(block)(F.col(f"`{text_col}`"), F.col("found")))
+        out = out.withColumn("found", _scan_with(_Block(pairs.where(F.col("block") == k)))(F.col(f"`{text_col}`"), F.col("found")))
     return out
 
 
-_DIGEST = pa.struct([("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
-
-
-@arrow_function(_DIGEST)
-def _digest(found: pa.Array) -> pa.Array:
-    out = []
-    for x in found.to_pylist():
-        items = sorted(x["items"])
-        out.append({"n_hit": sum(r["end"] - r["start"] for r in x["runs"]), "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest()})
-    return pa.array(out, _DIGEST)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``. No benchmark: nothing is hit."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of ``docs``; spans are the hit runs as (start, end) in characters of the text. No benchmark: nothing is hit. Extra columns are not read."""
     got = scanned(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, n, block_pairs=block_pairs)
-    got = got.select("doc_id", F.col("found.n_words").alias("n_words"), _digest("found").alias("d"))
-    return got.select("doc_id", "n_words", "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0).alias("contaminated"))
+    n_hit = F.aggregate("found.runs", F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"])
+    digest = F.sha2(F.array_join("found.items", ","), 256)
+    got = got.select("doc_id", F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), digest.alias("items_sha256"), F.col("found.spans").alias("spans"))
+    return got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, in which no window of the benchmark occurs."""
+    """The rows of ``docs``, with their columns, in which no window of the benchmark occurs; rows with a null text or without words stay."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     kept = scanned(rows, benchmark, n).where(F.size("found.runs") == 0)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -93,11 +93,23 @@ def test_contamination(spark):
     d = docs(spark, *texts)
     for block in (400_000, 20):  # in one automaton, and in several
         got = sorted(decontamination.contamination(d.withColumn("found", F.lit(1)), bench, block_pairs=block).collect())
-        assert [tuple(r)[1:] for r in got] == brute_contamination(texts, items)
+        assert [tuple(r)[1:-1] for r in got] == brute_contamination(texts, items)
+        for r in got:  # the spans hold just the hit words, in the original text
+            text = texts[r["doc_id"]] or ""
+            assert sum(len(decontamination.words(text[a:b])) for a, b in r["spans"]) == r["n_hit"] and all(text[a:b].strip(" -,!") == text[a:b] for a, b in r["spans"])
     assert decontamination.contamination(d, bench.limit(0)).where("contaminated").count() == 0
     clean = decontamination.clean(d.withColumn("row", F.lit(7)), bench)
     assert {r["doc_id"] for r in clean.collect()} == {i for i, x in enumerate(brute_contamination(texts, items)) if not x[4]} and "row" in clean.columns
-    assert decontamination.word_offsets("One, TWO!") == [(0, 3), (5, 8)]
+    assert decontamination.spans_of("One, TWO! é3", [(0, 2), (2, 3)]) == [(0, 8), (10, 12)]
+    plan = decontamination.contamination(d, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("scan(") == 1  # each text is scanned once
+
+
+def test_scanner_of_very_many_words():
+    n = 1_200_000  # more than there are characters
+    pairs = [(" ".join(f"w{i + k}" for k in range(4)), str(i)) for i in range(0, n, 4)] + [("w7 w8", "x"), ("w8", "y")]
+    scanner = decontamination.Scanner(pairs)
+    assert scanner.scan(decontamination.words("w0 w1 w2 w3 w4 no w1199996 w1199997 w1199998 w1199999 w7 w8 w7")) == ([(0, 4), (6, 12)], {"0", "1199996", "x", "y"})
 
 
 # --- sentencepiece --------------------------------------------------------------------------------
