@@ -15,7 +15,6 @@ import re
 import struct
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +26,7 @@ MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _NEVER = float("inf")
 #: Entries a worker keeps: encoded stretches between spaces, and tested pairs. Only what it keeps is bounded; the rest is worked out again.
-KEPT_STRETCHES, KEPT_PAIRS, KEPT_LENGTH = 200_000, 250_000, 48
+KEPT_STRETCHES, KEPT_PAIRS, KEPT_LENGTH = 300_000, 800_000, 48
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -56,22 +55,51 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class _Kept(dict):
-    """A dictionary that works out what it lacks. When it is full it starts anew and keeps the last generation to look things up in."""
+    """Keeps what is added. When it holds more than half of ``most`` it starts anew, but still finds what it held last."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, most: int):
         super().__init__()
-        self.make, self.most, self.older = make, most // 2, {}
+        self.half, self.older = most // 2, {}
 
     def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= KEPT_LENGTH:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+        return self.older.get(key)
+
+    def trim(self) -> None:
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
+
+
+class _Automaton:
+    """Finds the longest token that ends at each place of a text, and those that are ends of it.
+
+    A state is a beginning of tokens: ``on`` has the characters it goes on with, ``fail`` the longest of its ends that is a
+    state too, ``tokens`` the (length, id) of the tokens that end in it, longest first.
+    """
+
+    def __init__(self, tokens: dict[str, int]):
+        self.on: list[dict[str, int]] = [{}]
+        own: dict[int, tuple[int, int]] = {}
+        for token, i in tokens.items():
+            state = 0
+            for c in token:
+                if c not in self.on[state]:
+                    self.on[state][c] = len(self.on)
+                    self.on.append({})
+                state = self.on[state][c]
+            own[state] = (len(token), i)
+        self.fail = [0] * len(self.on)
+        self.tokens: list[tuple[tuple[int, int], ...]] = [()] * len(self.on)
+        level = list(self.on[0].values())
+        for state in level:  # grows by the states below, so that shorter beginnings come first
+            shorter = self.tokens[self.fail[state]]
+            self.tokens[state] = (own[state], *shorter) if state in own else shorter
+            for c, new in self.on[state].items():
+                back = self.fail[state]
+                while back and c not in self.on[back]:
+                    back = self.fail[back]
+                self.fail[new] = self.on[back].get(c, 0)
+                level.append(new)
 
 
 class Model:
@@ -109,22 +137,24 @@ class Model:
             raise ValueError("a piece has a space behind another character")
         #: Merges come in the order of falling scores.
         self.rank = {self.pieces[i]: r for r, i in enumerate(sorted(normal, key=lambda i: (-scores[i], i))) if len(self.pieces[i]) > 1}
-        self.left: dict[str, list[tuple[str, float]]] = {}
-        self.right: dict[str, list[tuple[str, float]]] = {}
-        self.in_order: dict[str, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for p in self.id:
+        #: What stands at the edges of each token as it is merged, and whether its merges come in the order of their ranks.
+        self.left: dict[int, list[tuple[str, float]]] = {}
+        self.right: dict[int, list[tuple[str, float]]] = {}
+        self.in_order: dict[int, bool] = {}
+        for p, i in self.id.items():
             end, steps = self._merges(p)
             if end == [p]:  # others never come out of an encoding
-                self.left[p], self.right[p] = self._edges(p, steps)
+                self.left[i], self.right[i] = self._edges(p, steps)
                 ranks = [r for r, _, _ in steps]
-                self.in_order[p] = ranks == sorted(ranks)
-                self.automaton.add_word(p, p)
-        self.automaton.make_automaton()
-        self.pairs = _Kept(self.may_follow, KEPT_PAIRS)
+                self.in_order[i] = ranks == sorted(ranks)
+        self.automaton = _Automaton({self.pieces[i]: i for i in self.left})
+        #: Tested pairs of tokens: the first one's id times the number of pieces, and the second one's.
+        self.pairs = _Kept(KEPT_PAIRS)
         #: Stretches that no token crosses: spaces and what follows them, and line ends unless a piece has one.
         self._stretch = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if "\n" not in self.id else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.stretches = _Kept(self._encoded, KEPT_STRETCHES)
+        self.stretches = _Kept(KEPT_STRETCHES)
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        self.shown = [p.replace(MARK, " ") if k == _NORMAL else None for p, k in zip(self.pieces, self.kinds)]
 
     def _merges(self, text: str) -> tuple[list[str], list[tuple[int, int, int]]]:
         """What a text of known characters is merged to, and the merges in order: rank, and how many characters precede and follow."""
@@ -145,11 +175,10 @@ class Model:
         ends = lambda edge: [*(r for _, r in edge[1:]), _NEVER]
         return [(p[:n], r) for (n, _), r in zip(left, ends(left))], [(p[-n:], r) for (n, _), r in zip(right, ends(right))]
 
-    def may_follow(self, pair: tuple[str, str]) -> bool:
+    def may_follow(self, a: int, b: int) -> bool:
         """Whether a text made of two tokens, merged from its characters, gives just these."""
-        a, b = pair
         if not (self.in_order[a] and self.in_order[b]):
-            return self._merges(a + b)[0] == [a, b]
+            return self._merges(self.pieces[a] + self.pieces[b])[0] == [self.pieces[a], self.pieces[b]]
         rank, right, left = self.rank.get, self.right[a], self.left[b]
         i = j = 0
         while True:
@@ -166,41 +195,77 @@ class Model:
             else:
                 j += 1
 
-    def _ids(self, stretch: str) -> list[int]:
-        last: list[str | None] = [None] * (len(stretch) + 1)  # None: a character that is no piece
-        pairs = self.pairs
-        for end, piece in self.automaton.iter(stretch):
-            end += 1
-            if last[end] is None:
-                before = last[end - len(piece)]
-                if before is None or pairs[before, piece]:
-                    last[end] = piece
-        ids, i = [], len(stretch)
-        while i:
-            piece = last[i]
-            if piece is None:
-                if stretch[i - 1] in self.id:
+    def _follows(self, a: int, b: int) -> bool:
+        """``may_follow``, kept."""
+        self.pairs.trim()
+        known = self.pairs[a * len(self.pieces) + b] = self.may_follow(a, b)
+        return known
+
+    def _ids(self, stretches: list[str]) -> Iterator[list[int]]:
+        """The ids of each stretch. They come sorted, and a stretch takes over the table of the beginning that it shares with the one before."""
+        on, fail, tokens, pairs, width = self.automaton.on, self.automaton.fail, self.automaton.tokens, self.pairs, len(self.pieces)
+        states, last, sizes = [0], [-1], [0]  # the automaton's state, the last token of each prefix and its length; -1: none, or a character that is no piece
+        before = ""
+        for stretch in stretches:
+            same = 0
+            for x, y in zip(stretch, before):
+                if x != y:
+                    break
+                same += 1
+            del states[same + 1 :], last[same + 1 :], sizes[same + 1 :]
+            state = states[same]
+            for end, c in enumerate(stretch[same:], same + 1):
+                while (goes := on[state].get(c)) is None and state:
+                    state = fail[state]
+                state = goes or 0
+                states.append(state)
+                for size, token in tokens[state]:
+                    left = last[end - size]
+                    if left < 0 or ((known := pairs[left * width + token]) is None and self._follows(left, token)) or known:
+                        last.append(token)
+                        sizes.append(size)
+                        break
+                else:
+                    last.append(-1)
+                    sizes.append(1)
+            ids, i = [], len(stretch)
+            while i:
+                if last[i] >= 0:
+                    ids.append(last[i])
+                elif stretch[i - 1] in self.id:
                     raise AssertionError(f"no last token behind {stretch[:i]!r}")
-                ids.extend(self.bytes[b] for b in reversed(stretch[i - 1].encode()))
-                i -= 1
-            else:
-                ids.append(self.id[piece])
-                i -= len(piece)
-        return ids[::-1]
-
-    def _encoded(self, stretch: str) -> tuple[str, str]:
-        ids = self._ids(stretch)
-        return ",".join(map(str, ids)), self._plain(ids)
-
-    def parts(self, text: str | None) -> list[tuple[str, str]]:
-        """For each stretch of a text its ids, joined by commas, and what they decode to."""
-        if not text:
-            return []
+                else:
+                    ids.extend(self.bytes[b] for b in reversed(stretch[i - 1].encode()))
+                i -= sizes[i]
+            ids.reverse()
+            yield ids
+            before = stretch
+
+    def parts(self, texts: list[str | None]) -> list[list[tuple[str, str]]]:
+        """For each stretch of each text its ids, joined by commas, and what they decode to. Each distinct stretch is encoded once."""
+        split = [self._stretch.findall(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
         kept = self.stretches
-        return [kept[s] for s in self._stretch.findall(MARK + text.replace(" ", MARK))]
+        kept.trim()
+        new = []
+        for s in {s for stretches in split for s in stretches if s not in kept}:
+            old = kept[s]
+            if old is None:
+                new.append(s)
+            else:
+                kept[s] = old
+        new.sort()
+        decimal, shown = self.decimal, self.shown
+        for s, ids in zip(new, self._ids(new)):
+            plain = [shown[i] for i in ids]
+            kept[s] = ",".join([decimal[i] for i in ids]), self._plain(ids) if None in plain else "".join(plain)
+        out = [[kept[s] for s in stretches] for stretches in split]
+        for s in new:
+            if len(s) > KEPT_LENGTH:
+                del kept[s]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[0].split(",")]
+        return [int(i) for p in self.parts([text])[0] for i in p[0].split(",")]
 
     def _plain(self, ids) -> str:
         out, run = [], bytearray()
@@ -264,14 +329,13 @@ def _encoder(raw: bytes, with_ids: bool):
     def encode(texts: pa.Array) -> pa.Array:
         model = model_of(raw)
         sizes, id_digests, text_digests, ids_of = [], [], [], []
-        for text in texts.to_pylist():
-            parts = model.parts(text)
+        for parts in model.parts(texts.to_pylist()):
             ids, decoded = ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])[1:]  # without the dummy prefix
             sizes.append(ids.count(",") + 1 if ids else 0)
             id_digests.append(_sha(ids))
             text_digests.append(_sha(decoded))
             if with_ids:
-                ids_of.append(np.array(ids.split(","), np.int32) if ids else np.empty(0, np.int32))
+                ids_of.append(np.fromstring(ids, np.int32, sep=","))
         columns = [pa.array(sizes, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
         if with_ids:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids_of])]).astype(np.int32)
