@@ -1,17 +1,16 @@
-"""Toxicity by compression distance: windows of a text are compressed with a toxic and with an ordinary zstandard dictionary.
-
-Both dictionaries hold words that labelled text of one class repeats and the other doesn't. A window that the toxic
-dictionary shortens more speaks for toxic text. Two kinds of windows are compared: single words, each
-character widened to four bytes so that what a dictionary saves on a short word is more than rounding, and runs
-of eight words against dictionaries that share their ordinary part, so that text neither knows compresses
-alike. A document is told by how many of its windows save more than each of several thresholds, and by a
-logistic calibration of these counts on labelled documents.
+"""Toxicity by compression distance: windows of a text are compressed with zstandard dictionaries of toxic and of ordinary text.
+
+The labelled sample is dealt into parts, and in each part one dictionary is trained on the toxic and one on the ordinary
+documents. What a window saves under the toxic one is how many bytes shorter it comes out than under the ordinary one. Text that only chance
+put into one document is in one part's dictionary alone, while text that toxic documents have in common is in all of them, so the
+mean over the parts is compared with thresholds. A window is a word between its spaces, two bytes a character: sizes are whole
+bytes, and one saved character must show. A document is told by how many of its windows save more than each threshold, and by
+a logistic calibration of these counts on the sample, where a document is never judged by the part that it is in.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,120 +21,118 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import arrow_function, bounded_batches, crc_mod, worker_slot
 
-#: The labelled sample that a model is fitted on: so many documents of each class, of at most so many characters.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2_000, 4_000, 20_000
+#: The labelled sample that a model is fitted on: so many documents of each class, of at most so many characters: 40 million in all.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2_000, 2_000, 10_000
 REJECT_FROM = 0.5
-RUN_WORDS = 8
-#: A word is in at least so many toxic documents, so many times as often as in ordinary ones, by so much of a log-likelihood ratio.
-LEAST_DOCS, LEAST_RATIO, LEAST_G2 = 3, 4.0, 25.0
-WORD_ENTRIES, RUN_ENTRIES = 4_000, 2_000
-WORD_SAVINGS = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
-RUN_SAVINGS = (1, 2, 3, 4, 6, 8)
-KEPT_WORDS, KEPT_LENGTH = 150_000, 40
+#: Parts of the sample, each with its two dictionaries of at most so many bytes; a part has at least PART_DOCS toxic documents, if there are two parts.
+PARTS, PART_DOCS, DICTIONARY_BYTES = 24, 6, 65_536
+#: Dictionaries are trained on runs of so many words, by segments of SEGMENT bytes that are chosen for the strings of MATCH bytes that they hold.
+RUN_WORDS, SEGMENT, MATCH = 8, 32, 8
+#: All windows are compressed under the first SCREEN parts, and those that save SCREEN_FROM there in the mean under all others too.
+SCREEN, SCREEN_FROM = 6, 0.7
+SAVINGS = np.array((1, 1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5, 5.5, 6, 7))
+KEPT_WORDS, KEPT_LENGTH = 400_000, 40
 
 
-def _characteristic(toxic: list[str], ordinary: list[str]) -> tuple[list[str], list[str]]:
-    """Words that mark toxic documents, and words of ordinary ones; the most frequent last, where a dictionary is cheapest."""
-    t, o = (Counter(w for text in texts for w in set(text.split())) for texts in (toxic, ordinary))
-    share = len(toxic) / (len(toxic) + len(ordinary))
+def _windows(text: str | None, words: int = 1) -> list[str]:
+    w = (text or "").lower().split()
+    return [f" {' '.join(w[i : i + words])} " for i in range(0, len(w), words)]
 
-    def g2(w: str) -> float:
-        a, b = t[w], o[w]
-        return 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0))
 
-    rate = lambda w: (t[w] / len(toxic), o[w] / len(ordinary))
-    marks = [w for w in t if t[w] >= LEAST_DOCS and rate(w)[0] > LEAST_RATIO * rate(w)[1] and g2(w) >= LEAST_G2]
-    plain = [w for w in o if o[w] >= LEAST_DOCS and rate(w)[0] <= 2 * rate(w)[1]]
-    return sorted(marks, key=lambda w: (t[w], w)), sorted(plain, key=lambda w: (o[w], w))
+def _bytes(window: str) -> bytes:
+    return window.encode("utf-16-le", "surrogatepass")
 
 
-def _widened(words: str) -> bytes:
-    return f" {words} ".encode("utf-32-le")
-
-
-def _narrow(words: str) -> bytes:
-    return f" {words} ".encode()
+def _dictionary(texts: list[str]) -> bytes:
+    """A dictionary trained on texts; where they are too few or too short to train one, their last bytes."""
+    samples = [_bytes(w) for t in texts for w in _windows(t, RUN_WORDS)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT, d=MATCH, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 @dataclass(frozen=True)
 class Model:
-    """What is sent to the workers: the dictionaries' contents and the calibration; a few hundred KB at most."""
+    """What is sent to the workers: (toxic, ordinary) dictionaries of each part, at most 3 MB, and the calibration."""
 
-    word_toxic: bytes
-    word_ordinary: bytes
-    run_toxic: bytes
-    run_ordinary: bytes
+    dictionaries: tuple[tuple[bytes, bytes], ...] = ()
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
     prior: float = 0.0
 
+    def digest(self) -> bytes:
+        return hashlib.sha256(b"".join(d for pair in self.dictionaries for d in pair)).digest()
+
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
-    marks, plain = _characteristic(toxic, ordinary)
-    join = lambda words, n: "  ".join(words[-n:])
-    marks = join(marks, WORD_ENTRIES)
-    base = join(plain, RUN_ENTRIES)
-    return Model(_widened(marks), _widened(join(plain, WORD_ENTRIES)), _narrow(f"{marks}  {base}"), _narrow(base))
+def _sizes(content: bytes):
+    """A function from windows to their compressed sizes."""
+    how = zstandard.ZstdCompressionParameters.from_level(3, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
+    known = zstandard.ZstdCompressionDict(content)
+    known.precompute_compress(compression_params=how)
+    compressor = zstandard.ZstdCompressor(compression_params=how, dict_data=known)
 
+    def sizes(windows: list[bytes]) -> np.ndarray:
+        return np.array([len(x) for x in compressor.multi_compress_to_buffer(windows)], np.float64)
 
-def _compressor(content: bytes, level: int):
-    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters.from_level(level, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return zstandard.ZstdCompressor(compression_params=how, dict_data=known).compress
+    return sizes
 
 
 class Windows:
-    """Compresses windows with a model's dictionaries."""
+    """Compresses windows with the dictionaries of a model."""
 
-    def __init__(self, model: Model):
-        self.words = _compressor(model.word_toxic, 3), _compressor(model.word_ordinary, 3)
-        self.runs = _compressor(model.run_toxic, 13), _compressor(model.run_ordinary, 13)
+    def __init__(self, dictionaries):
+        self.parts = [(_sizes(toxic), _sizes(ordinary)) for toxic, ordinary in dictionaries]
         self.kept: dict[str, float] = {}
 
-    def _word_saving(self, word: str) -> float:
-        wide = _widened(word)
-        ordinary = len(self.words[1](wide))
-        saving = (ordinary - len(self.words[0](wide))) / ordinary
-        if len(word) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[word] = saving
-        return saving
-
-    def features(self, text: str | None) -> list[float]:
-        """Counts and shares of windows over each threshold, means and highest savings; zeros without words."""
-        words = (text or "").split()
-        if not words:
-            return [0.0] * FEATURES
-        get, saving = self.kept.get, self._word_saving
-        single = np.array([saving(w) if (s := get(w)) is None else s for w in words])
-        toxic, ordinary = self.runs
-        runs = np.array([len(ordinary(b)) - len(toxic(b)) for b in (_narrow(" ".join(words[i : i + RUN_WORDS])) for i in range(0, len(words), RUN_WORDS))], float)
-        return [*_summary(single, WORD_SAVINGS), *_summary(runs, RUN_SAVINGS)]
-
-
-FEATURES = 2 * (len(WORD_SAVINGS) + len(RUN_SAVINGS)) + 6
-
-
-def _summary(savings: np.ndarray, thresholds) -> list[float]:
-    over = [int((savings >= t).sum()) for t in thresholds]
-    n = len(savings)
-    top = np.partition(savings, n - 3)[-3:] if n > 3 else savings
-    return [*map(math.log1p, over), *(k / n for k in over), float(savings.mean()), math.log1p(n), float(top.mean())]
-
-
-def _windows_of(model: Model) -> Windows:
-    return worker_slot("toxicity", model, lambda: Windows(model))
+    def savings(self, windows: list[str]) -> np.ndarray:
+        """What each window saves under each part; nan where the first parts screen it out."""
+        out = np.full((len(windows), len(self.parts)), np.nan)
+        at, given = np.arange(len(windows)), [_bytes(w) for w in windows]
+        for j, (toxic, ordinary) in enumerate(self.parts):
+            if j == SCREEN:
+                at = np.flatnonzero(out[:, :SCREEN].mean(1) >= SCREEN_FROM)
+                given = [given[i] for i in at]
+            if given:
+                out[at, j] = ordinary(given) - toxic(given)
+        return out
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """The features of each text. Each distinct window is compressed once; a bounded number of them is kept."""
+        split, kept = [_windows(t) for t in texts], self.kept
+        if len(kept) > KEPT_WORDS:
+            kept.clear()
+        new = list(dict.fromkeys(w for windows in split for w in windows if w not in kept))
+        if new:
+            kept.update(zip(new, np.nanmean(self.savings(new), 1).tolist()))
+        out = np.array([summary(np.array([kept[w] for w in windows])) for windows in split]).reshape(-1, FEATURES)
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del kept[w]
+        return out
+
+
+FEATURES = 2 * len(SAVINGS) + 2
+
+
+def summary(saved: np.ndarray) -> np.ndarray:
+    """How many windows, and which share, save each of SAVINGS or more, the mean, and the number of windows; zeros without any."""
+    n = len(saved)
+    if not n:
+        return np.zeros(FEATURES)
+    over = n - np.bincount(np.searchsorted(SAVINGS, saved, "right"), minlength=len(SAVINGS) + 1).cumsum()[:-1]
+    return np.concatenate([np.log1p(over), over / n, [saved.mean(), np.log1p(n)]])
 
 
 def _scorer(model: Model):
+    key = model.digest()
+
     @arrow_function(pa.float64())
     def score(texts: pa.Array) -> pa.Array:
         if not model.weights:
             return pa.array([model.prior] * len(texts), pa.float64())
-        windows = _windows_of(model)
-        x = np.array([windows.features(t) for t in texts.to_pylist()]).reshape(-1, FEATURES)
+        x = worker_slot("toxicity", key, lambda: Windows(model.dictionaries)).features(texts.to_pylist())
         return pa.array(_probability((x - model.mean) / model.scale, np.array(model.weights)))
 
     return score
@@ -171,7 +168,7 @@ def labelled(labels: DataFrame, label_col: str, fold_modulus: int, held_out: int
 def fit(docs: DataFrame, labels: DataFrame, fold_modulus: int = 5, held_out: int = 0) -> Model:
     """A model from a bounded sample of labelled documents: of those in ``docs`` with a text of at most SAMPLE_CHARS characters, the first SAMPLE_TOXIC and SAMPLE_ORDINARY by a hash of their ids.
 
-    The sample's ids choose the texts by a broadcast join (bounded by the sample's size); an id that repeats gives its least text. Without labels, or with only one class, every score is the share of toxic labels.
+    The sample's ids choose the texts by a broadcast join (bounded by the sample's size); an id that repeats gives its least text. Ids without a label of 0 or 1, or with both, are left out. Without labels, or with only one class, every score is the share of toxic labels.
     """
     known = labelled(labels, "toxic", fold_modulus, held_out)
     short = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
@@ -180,20 +177,54 @@ def fit(docs: DataFrame, labels: DataFrame, fold_modulus: int = 5, held_out: int
     sample = first(1, SAMPLE_TOXIC).union(first(0, SAMPLE_ORDINARY)).withColumnRenamed("doc_id", "__id")
     texts = short.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = sorted((r["doc_id"], r["text"], r["label"]) for r in texts.collect())  # a row for each id of the sample
-    toxic, ordinary = ([t for _, t, label in rows if label == k] for k in (1, 0))
-    if not toxic or not ordinary:
-        return Model(b"", b"", b"", b"", prior=1.0 if toxic else 0.0)
-    model = _dictionaries(toxic, ordinary)
+    y = np.array([label for _, _, label in rows])
+    toxic, ordinary = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(toxic) or not len(ordinary):
+        return Model(prior=float(len(toxic) > 0))
+    texts = [t for _, t, _ in rows]
+    dictionaries, part = _trained(texts, toxic, ordinary)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    windows = Windows(model)
-    x, y = np.array([windows.features(t) for _, t, _ in rows]), np.array([label for _, _, label in rows], float)
     weight = np.where(y == 1, counts[1] / len(toxic), counts[0] / len(ordinary))  # the sample's classes weigh as they do among all labels
-    mean, scale, w = _calibrated(x, y, weight)
-    return Model(model.word_toxic, model.word_ordinary, model.run_toxic, model.run_ordinary, tuple(mean), tuple(scale), tuple(w))
+    mean, scale, w = _calibrated(_judged_by_others(Windows(dictionaries), texts, part), y.astype(float), weight)
+    return Model(dictionaries, tuple(mean), tuple(scale), tuple(w))
+
+
+def _trained(texts: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> tuple[tuple[tuple[bytes, bytes], ...], np.ndarray]:
+    """The dictionaries of each part, and the part of each text. Both classes are dealt in turn, and the two of a part are trained on about equally much text."""
+    parts = max(min(PARTS, len(toxic) // PART_DOCS, len(ordinary) // PART_DOCS), 2 if min(len(toxic), len(ordinary)) > 1 else 1)
+    part = np.zeros(len(texts), int)
+    part[toxic], part[ordinary] = np.arange(len(toxic)) % parts, np.arange(len(ordinary)) % parts
+    out = []
+    for j in range(parts):
+        of_part = [[texts[i] for i in rows if part[i] == j] for rows in (toxic, ordinary)]
+        least = min(sum(map(len, ts)) for ts in of_part)
+        out.append(tuple(_dictionary(_up_to(ts, least)) for ts in of_part))
+    return tuple(out), part
+
+
+def _up_to(texts: list[str], chars: int) -> list[str]:
+    """The first texts that hold so many characters together."""
+    ends = np.cumsum([len(t) for t in texts])
+    return texts[: int(np.searchsorted(ends, chars)) + 1]
+
+
+def _judged_by_others(windows: Windows, texts: list[str], part: np.ndarray) -> np.ndarray:
+    """The features of texts of the sample, where the part of a text itself counts as the mean of the others."""
+    place: dict[str, int] = {}
+    split = [[place.setdefault(w, len(place)) for w in _windows(t)] for t in texts]
+    savings = windows.savings(list(place))
+    out = []
+    for at, own in zip(split, part):
+        mine = savings[at]
+        if savings.shape[1] > 1:
+            alike = [j for j in range(min(SCREEN, savings.shape[1])) if j != own]
+            mine[:, own] = mine[:, alike].mean(1) if own < SCREEN else np.nan
+        out.append(summary(np.nanmean(mine, 1) if len(mine) else np.zeros(0)))
+    return np.array(out)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 for every whole text, higher where it is likelier toxic; null and empty texts are scored as texts without words. A column named like the score is replaced."""
+    """``docs`` with a score from 0 to 1 for every whole text, higher where it is likelier toxic; null and empty texts are scored as texts without words, repeated rows each. A column named like the score is replaced."""
     bounded_batches(docs.sparkSession)
     return docs.withColumn(score_col, _scorer(model)(F.col(f"`{text_col}`")))
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -9,6 +10,7 @@ import pytest
 import sentencepiece
 import xxhash
 import zlib
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -286,12 +288,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity(d.limit(0), labels).count() == 0
 
 
+def plain_toxicity(model, text):
+    """The score of one text, with nothing kept, screened or compressed together."""
+    how = zstandard.ZstdCompressionParameters.from_level(3, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda content, w: len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(content)).compress(w))
+    saved = []
+    for w in (text or "").lower().split():
+        each = [size(o, f" {w} ".encode("utf-16-le")) - size(t, f" {w} ".encode("utf-16-le")) for t, o in model.dictionaries]
+        first = each[: toxicity.SCREEN]
+        saved.append(sum(each) / len(each) if sum(first) / len(first) >= toxicity.SCREEN_FROM else sum(first) / len(first))
+    n = len(saved)
+    over = [sum(x >= t for x in saved) for t in toxicity.SAVINGS]
+    x = [*map(math.log1p, over), *(k / n for k in over), sum(saved) / n, math.log1p(n)] if n else [0.0] * toxicity.FEATURES
+    return 1 / (1 + math.exp(-sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights)) - model.weights[-1]))
+
+
+def test_toxicity_equals_a_plain_version(spark, sf_dir):
+    d, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    some = d.where("length(text) < 2000").limit(25).union(docs(spark, None, "", " ", "w" * 5_000, "same same", "same same", first=-6)).withColumn("score", F.lit("clash"))
+    model = toxicity.fit(d, labels)
+    assert model.weights and len(model.dictionaries) > 1
+    got = toxicity.scored(some, model).collect()
+    assert len(got) == 31 and all(abs(r["score"] - plain_toxicity(model, r["text"])) < 1e-6 for r in got)
+
+
 def test_toxicity_sample_counts_documents_once_and_is_not_shrunk(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 2)
     monkeypatch.setattr(toxicity, "SAMPLE_ORDINARY", 2)
     taken = []
-    real = toxicity._dictionaries
-    monkeypatch.setattr(toxicity, "_dictionaries", lambda toxic, ordinary: taken.append((len(toxic), len(ordinary))) or real(toxic, ordinary))
+    real = toxicity._trained
+    monkeypatch.setattr(toxicity, "_trained", lambda texts, toxic, ordinary: taken.append((len(toxic), len(ordinary))) or real(texts, toxic, ordinary))
     few = [(i, f"{'bad awful nasty' if i % 2 else 'calm kind green'} words {i} " * 5, "en", "s", 0) for i in range(1000, 1040)]
     d = spark.createDataFrame(few * 5 + [(i, "long " * 5_000, "en", "s", 0) for i in range(40)], DOCS)
     labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), *range(1000, 1040), *range(9000, 9900)]], "doc_id long, toxic int")
@@ -400,10 +426,9 @@ def test_pipeline_equals_its_stages_one_by_one(spark, sf_dir, model):
     labels, bench = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] for r in given.collect()}
     fitted = toxicity.fit(given, labels)
-    windows = toxicity.Windows(fitted)
-    features = {i: windows.features(t) for i, t in texts.items()}
-    p = toxicity._probability((np.array(list(features.values())) - fitted.mean) / fitted.scale, np.array(fitted.weights))
-    kept = {i: texts[i] for i, s in zip(features, p) if s < 0.5}
+    windows = toxicity.Windows(fitted.dictionaries)
+    p = toxicity._probability((windows.features(list(texts.values())) - fitted.mean) / fitted.scale, np.array(fitted.weights))
+    kept = {i: t for (i, t), s in zip(texts.items(), p) if s < 0.5}
     roots = brute_components({i: simhash.fingerprint(t) for i, t in kept.items()})
     kept = {i: t for i, t in kept.items() if roots[i] == i}
     hit = brute_contamination(list(kept.values()), [(r["item_id"], r["text"]) for r in bench.collect()])
