@@ -73,11 +73,7 @@ def low_stock_listing(current_stock: DataFrame) -> DataFrame:
     return current_stock.where("quantity < reorder_point").select("sku", "product", "code", "quantity", "reorder_point")
 
 
-@query("f08_stock_health", "SELECT p.product_id, sum(quantity)::BIGINT AS on_hand, CASE WHEN sum(quantity) = 0 THEN 'OUT_OF_STOCK' WHEN sum(quantity) < p.reorder_point THEN 'LOW' WHEN sum(quantity) < p.reorder_point * 10 THEN 'OK' ELSE 'HEALTHY' END AS health FROM products p LEFT JOIN (SELECT * FROM stock_levels WHERE warehouse_id <= 2 AND product_id % 50 <> 0) USING (product_id) GROUP BY p.product_id, p.reorder_point")
-def stock_health_of_two(products: DataFrame, stock_levels: DataFrame) -> DataFrame:
-    return stock_health(products, stock_levels.where("warehouse_id <= 2 AND product_id % 50 <> 0"))
-
-
+@query("f08_stock_health", "SELECT p.product_id, sum(quantity)::BIGINT AS on_hand, CASE WHEN sum(quantity) = 0 THEN 'OUT_OF_STOCK' WHEN sum(quantity) < p.reorder_point THEN 'LOW' WHEN sum(quantity) < p.reorder_point * 10 THEN 'OK' ELSE 'HEALTHY' END AS health FROM products p LEFT JOIN stock_levels USING (product_id) GROUP BY p.product_id, p.reorder_point")
 def stock_health(products: DataFrame, stock_levels: DataFrame, ok_below: int = 10) -> DataFrame:
     """A bucket for each product. A product that no warehouse holds has no sum, which no comparison holds for, and so counts as HEALTHY."""
     held = stock_levels.groupBy("product_id").agg(F.sum("quantity").alias("on_hand"))

@@ -52,11 +52,10 @@ def source_calendar(mart_kpi_daily: DataFrame, through: str = "2024-02-03") -> D
 whole_table("l03_calendar", "source_calendar")
 
 
-@table("SELECT source, event_name, date AS day, max(events)::DOUBLE AS n FROM mart_tag_health_daily WHERE event_name <> '(session)' AND NOT (event_name = 'purchase' AND date IN (DATE '2024-01-22', DATE '2024-01-27')) GROUP BY 1, 2, 3")
+@table("SELECT source, event_name, date AS day, max(events)::DOUBLE AS n FROM mart_tag_health_daily WHERE event_name <> '(session)' GROUP BY 1, 2, 3")
 def event_counts(mart_tag_health_daily: DataFrame) -> DataFrame:
-    """Events of each day; two days on which purchases vanish stand for a broken tag."""
-    kept = mart_tag_health_daily.where("event_name <> '(session)' AND NOT (event_name = 'purchase' AND date IN (DATE'2024-01-22', DATE'2024-01-27'))")
-    return kept.groupBy("source", "event_name", F.col("date").alias("day")).agg(F.max("events").cast("double").alias("n"))
+    """Events of each day."""
+    return mart_tag_health_daily.where("event_name <> '(session)'").groupBy("source", "event_name", F.col("date").alias("day")).agg(F.max("events").cast("double").alias("n"))
 
 
 whole_table("l04_event_counts", "event_counts")

@@ -326,10 +326,11 @@ def first_event_once(stg_events: DataFrame, name: str = "page_view") -> DataFram
     return per.where((F.col("first_event") != name) | (F.col("page_views") != 1))
 
 
-@query("j28_opaque_ids", "SELECT DISTINCT user_id, known FROM stg_events JOIN (SELECT 'a' || n AS known FROM generate_series(0, 300) t(n)) ON user_id IN (md5(known), sha256(known))")
-def hashed_ids(stg_events: DataFrame, known: int = 300) -> DataFrame:
-    """Ids that are hashes of known values: each known value's hashes are joined by equality."""
-    values = stg_events.sparkSession.range(known + 1).select(F.concat(F.lit("a"), F.col("id")).alias("known"))
+@query("j28_opaque_ids", "SELECT DISTINCT s.user_id, known FROM stg_events s JOIN (SELECT DISTINCT 'a' || unnest([user_id, user_id + 100000]) AS known FROM events) ON s.user_id IN (md5(known), sha256(known))")
+def hashed_ids(stg_events: DataFrame, events: DataFrame) -> DataFrame:
+    """Ids that are hashes of known values, here of the account numbers that the events give: each known value's hashes are joined by equality."""
+    accounts = events.select(F.explode(F.array(F.col("user_id").cast("long"), F.col("user_id") + F.lit(100_000).cast("long"))).alias("account")).distinct()
+    values = accounts.select(F.concat(F.lit("a"), F.col("account")).alias("known")).where("known IS NOT NULL")
     hashes = values.select("known", F.explode(F.array(F.md5("known"), F.sha1("known"), F.sha2("known", 256), F.sha2("known", 512))).alias("user_id"))
     return stg_events.where("user_id IS NOT NULL").select("user_id").distinct().join(hashes, "user_id")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.registry import query
+from brindle.session import kept
 from brindle.sources.domain import AS_OF
 
 QTY = "decimal(18,2)"
@@ -156,14 +157,14 @@ def category_parent(categories: DataFrame) -> DataFrame:
 
 
 @query("c05_full_join", """SELECT warehouse_id, month, coalesce(i.n, 0)::BIGINT AS receipts, coalesce(o.n, 0)::BIGINT AS shipments FROM
-    (SELECT warehouse_id, date_trunc('month', created_at)::DATE AS month, count(*) AS n FROM stock_movements WHERE movement_type = 'IN' AND product_id % 3 = 0 GROUP BY 1, 2) i FULL JOIN
-    (SELECT warehouse_id, date_trunc('month', created_at)::DATE AS month, count(*) AS n FROM stock_movements WHERE movement_type = 'OUT' AND product_id % 3 = 1 GROUP BY 1, 2) o USING (warehouse_id, month)""")
+    (SELECT warehouse_id, date_trunc('month', created_at)::DATE AS month, count(*) AS n FROM stock_movements WHERE movement_type = 'IN' GROUP BY 1, 2) i FULL JOIN
+    (SELECT warehouse_id, date_trunc('month', created_at)::DATE AS month, count(*) AS n FROM stock_movements WHERE movement_type = 'OUT' GROUP BY 1, 2) o USING (warehouse_id, month)""")
 def flows_by_month(stock_movements: DataFrame) -> DataFrame:
-    def part(kind: str, remainder: int, name: str) -> DataFrame:
-        rows = stock_movements.where((F.col("movement_type") == kind) & (F.col("product_id") % 3 == remainder))
+    def part(kind: str, name: str) -> DataFrame:
+        rows = stock_movements.where(F.col("movement_type") == kind)
         return rows.groupBy("warehouse_id", F.trunc("created_at", "month").alias("month")).agg(F.count("*").alias(name))
 
-    return part("IN", 0, "receipts").join(part("OUT", 1, "shipments"), ["warehouse_id", "month"], "full").fillna(0, ["receipts", "shipments"])
+    return part("IN", "receipts").join(part("OUT", "shipments"), ["warehouse_id", "month"], "full").fillna(0, ["receipts", "shipments"])
 
 
 @query("c06_chained_full_joins", """SELECT day, warehouse_id, a.n AS ins, b.n AS outs, c.n AS returns FROM
@@ -376,12 +377,15 @@ def daily_revenue(flat_events: DataFrame) -> DataFrame:
     return flat_events.where("event_name = 'purchase'").groupBy("event_date").agg(exact_sum(F.col("purchase_revenue_usd"), 9).alias("revenue_usd"))
 
 
-@query("d17_ordered_hash", "SELECT warehouse_id, md5(string_agg(product_id || ':' || quantity, ',' ORDER BY product_id)) AS hash FROM stock_levels WHERE product_id < 1000 GROUP BY 1")
-def stock_hash(stock_levels: DataFrame, below: int = 1_000) -> DataFrame:
-    """A hash of a bounded range of keys in order; for whole tables there is the multiset fingerprint."""
-    pair = F.concat(F.lpad(F.col("product_id").cast("string"), 12, "0"), F.lit("|"), F.concat_ws(":", "product_id", "quantity"))
-    ordered = F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.split_part(x, F.lit("|"), F.lit(2)))
-    return stock_levels.where(F.col("product_id") < below).groupBy("warehouse_id").agg(F.md5(F.array_join(ordered, ",")).alias("hash"))
+@query("d17_ordered_hash", """WITH r AS (SELECT warehouse_id, product_id // 1000 AS range, md5(string_agg(product_id || ':' || quantity, ',' ORDER BY product_id)) AS hash FROM stock_levels GROUP BY 1, 2)
+    SELECT warehouse_id, md5(string_agg(hash, ',' ORDER BY range)) AS hash FROM r GROUP BY 1""")
+def stock_hash(stock_levels: DataFrame, keys: int = 1_000) -> DataFrame:
+    """A hash of each warehouse's stock in the order of its keys: ranges of ``keys`` keys are hashed in order, then the ranges' hashes, so that no group holds more than a range or the list of the ranges."""
+    pair = F.struct("product_id", F.concat_ws(":", "product_id", "quantity").alias("pair"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["pair"]), ",")
+    ranges = stock_levels.groupBy("warehouse_id", F.floor(F.col("product_id") / keys).alias("range")).agg(F.md5(text).alias("hash"))
+    hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "hash"))), lambda x: x["hash"]), ",")
+    return ranges.groupBy("warehouse_id").agg(F.md5(hashes).alias("hash"))
 
 
 @query("d18_day_rollup", "SELECT created_at::DATE AS day, movement_type, count(*) AS movements, sum(quantity)::BIGINT AS quantity FROM stock_movements GROUP BY 1, 2")
@@ -512,7 +516,7 @@ def ratio_to_first_month(stock_movements: DataFrame) -> DataFrame:
 def ranked_over_all(df: DataFrame, order: str, name: str) -> DataFrame:
     """Row numbers over a whole table without one task for all rows: rows are range-partitioned, and each partition's numbers begin where those before it end."""
     by_range = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order)
-    placed = by_range.sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    placed = kept(by_range.sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))  # read twice: ranges are sampled anew in each run
     counts = placed.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
     before = counts.select(F.col("__p"), "__first", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     return placed.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") - F.col("__first") + F.col("__before") + 1).drop("__p", "__i", "__first", "__before")

@@ -1,15 +1,29 @@
-"""Cutting lineage: a table that several parts of a query read is computed once."""
+"""The shared folder, and tables that are written there once because several parts of a query read them."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="brindle-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Only a session on one machine may go without: it gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or _local_folder()
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder in spark.checkpoint.dir, which all executors share; to a temporary one where that isn't set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    """df, computed once and written as Parquet in the shared folder. What reads it reads only the columns and rows that it needs, and survives the loss of executors."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

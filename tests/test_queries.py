@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 
 #: Some of each family; the others are compared in the same way by whoever runs all of oracle_sql().
-NAMES = """a03_daily_over_intraday a08_replace_partitions a10_partition_expiry a13_insert_new b12_symmetric_difference b15_qualify c06_chained_full_joins c15_or_join d12_distinct_sorted_array d21_fingerprint e14_hash_rank e15_concentration
+NAMES = """a01_scan a06_partitioned_sink c05_full_join d17_ordered_hash j28_opaque_ids l04_event_counts l14_detect a03_daily_over_intraday a08_replace_partitions a10_partition_expiry a13_insert_new b12_symmetric_difference b15_qualify c06_chained_full_joins c15_or_join d12_distinct_sorted_array d21_fingerprint e14_hash_rank e15_concentration
 f08_stock_health f18_top_movers g05_transfers g09_first_negative h12_order_id h15_items i01_identity i03_sessions i05_traffic_source i08_orders i10_campaign_mart i13_tag_health j23_value_math j29_encoded_pii k03_touches k12_attribution_daily
 l08_robust_band l13_vanished_rule m17_window m22_touched_sessions m25_equivalence n05_math o01_streaming_balances o02_streaming_first_purchase""".split()
 
@@ -46,6 +46,19 @@ def test_equals_sql(spark, tables, sf_dir, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == expected
 
 
+def test_ranks_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.operators.relational import ranked_over_all
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    rows = spark.range(0, 30_000, 1, 8).select("id", F.md5(F.col("id").cast("string")).alias("h"), F.lit("x" * 50).alias("wide"))
+    got = [(r["h"], r["n"]) for r in ranked_over_all(rows, "h", "n").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [n for _, n in sorted(got)] == list(range(1, 30_001))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
