@@ -1,28 +1,34 @@
 """Approximate nearest neighbours by largest inner product, with robust-pruned directed graphs, one for each shard.
 
-Vectors are dealt to shards of bounded size by a hash. In each shard a graph is grown: a greedy search for every vector
+Vectors are dealt to shards by a hash. In each shard a graph is grown: a greedy search for every vector
 proposes neighbours, and a proposal is kept only where it isn't much nearer (by the factor ALPHA) to a kept neighbour than to the
 vector itself, so that edges stay few and point in all directions. A query walks each shard's graph with a beam, and the best of
-all shards are its answer. Inner products become distances by one more coordinate that makes all stored
-vectors equally long.
+all shards are its answer. Inner products become distances by one more coordinate that makes all vectors of a
+shard equally long; a shard holds vectors of one order of length only, so that a very long one takes no precision from the others.
 
-Equal vectors are one node of the graph; its members are written out again in the result.
+Graphs are walked in single precision on vectors scaled to the shard's longest; what a walk meets is scored in double precision on the
+original vectors. Equal vectors are one node of the graph; its members are written out again in the result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import checkpointed
 
 NEAREST = 20
-#: Vectors of a shard and queries of a block: one task holds a graph of the one and a block of the other.
-SHARD_ROWS, BLOCK_ROWS = 6_000, 20_000
+#: Shards grow with the square root of the vectors, from FEW_ROWS up to MOST_ROWS, which is what a task can hold: with n vectors there are
+#: sqrt(n / FEW_ROWS) of them, so a query walks few graphs, and the walks of all queries grow with n to the power of 1.5.
+FEW_ROWS, MOST_ROWS = 6_000, 200_000
+#: Queries of a block: one task holds a graph of a shard and a block.
+BLOCK_ROWS = 20_000
 DEGREE, BUILD_BEAM, ALPHA = 24, 40, 1.2
-SEARCH_BEAM = 80
+SEARCH_BEAM = 160
 BATCH = 128
 
 
@@ -31,7 +37,7 @@ def _walk(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, start: int
     n, q, width = len(points), len(queries), edges.shape[1]
     beam = min(beam, n)
     ids = np.full((q, beam), -1, np.int64)
-    dist = np.full((q, beam), np.inf)
+    dist = np.full((q, beam), np.inf, points.dtype)
     done = np.ones((q, beam), bool)
     ids[:, 0], done[:, 0] = start, False
     dist[:, 0] = squares[start] - 2 * (queries @ points[start])
@@ -127,29 +133,37 @@ def _matrix(rows: list[list[float]]) -> np.ndarray:
     return np.array(rows, np.float64).reshape(len(rows), -1)
 
 
-def _grown(longest: float):
-    def grow(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        vectors = _matrix(group["embedding"].to_pylist())
-        squares = (vectors**2).sum(1)
-        edges, start = build(np.c_[vectors, np.sqrt(np.maximum(longest - squares, 0))])
-        n = len(vectors)
-        flags = np.zeros(n, bool)
-        flags[start] = True
-        lists = [[int(x) for x in row if x >= 0] for row in edges]
-        return pa.table({"dim": group["dim"], "shard": group["shard"], "node": group["node"], "embedding": group["embedding"], "edges": pa.array(lists, pa.list_(pa.int32())), "start": pa.array(flags)})
+def _points(vectors: np.ndarray) -> np.ndarray:
+    """A shard's vectors, scaled to the longest of them, with the coordinate that makes all equally long."""
+    scaled = vectors / np.abs(vectors).max()
+    scaled /= np.sqrt((scaled**2).sum(1).max())
+    return np.c_[scaled, np.sqrt(np.maximum(1 - (scaled**2).sum(1), 0))].astype(np.float32)
+
+
+def _directions(queries: np.ndarray) -> np.ndarray:
+    """Queries at length one, which doesn't change what is nearest, with a zero for the added coordinate."""
+    scaled = queries / np.abs(queries).max(1, keepdims=True)
+    scaled /= np.sqrt((scaled**2).sum(1, keepdims=True))
+    return np.c_[scaled, np.zeros(len(scaled))].astype(np.float32)
 
-    return grow
 
+def _grow(group: pa.Table) -> pa.Table:
+    group = group.sort_by("node")
+    edges, start = build(_points(_matrix(group["embedding"].to_pylist())))
+    flags = np.zeros(len(edges), bool)
+    flags[start] = True
+    lists = [row[row >= 0] for row in edges.astype(np.int32)]
+    return group.append_column("edges", pa.array(lists, pa.list_(pa.int32()))).append_column("start", pa.array(flags))
 
-def _answered(longest: float, k: int, beam: int):
+
+def _answered(k: int, beam: int):
     def answer(shard: pa.Table, block: pa.Table) -> pa.Table:
         kind = pa.schema([("query_id", pa.int64()), ("node", pa.int64()), ("score", pa.float64())])
         if not shard.num_rows or not block.num_rows:
             return kind.empty_table()
         shard = shard.sort_by("node")  # the order in which the edges count
         vectors, queries = _matrix(shard["embedding"].to_pylist()), _matrix(block["embedding"].to_pylist())
-        points = np.c_[vectors, np.sqrt(np.maximum(longest - (vectors**2).sum(1), 0))]
+        points, asked = _points(vectors), _directions(queries)
         edges = np.full((len(points), DEGREE), -1, np.int64)
         for i, row in enumerate(shard["edges"].to_pylist()):
             edges[i, : len(row)] = row
@@ -157,10 +171,10 @@ def _answered(longest: float, k: int, beam: int):
         squares, nodes, ids = (points**2).sum(1), np.array(shard["node"].to_pylist(), np.int64), np.array(block["query_id"].to_pylist(), np.int64)
         out = []
         for i in range(0, len(queries), BATCH):
-            q = queries[i : i + BATCH]
-            met, _ = _walk(points, squares, edges, start, np.c_[q, np.zeros(len(q))], max(beam, 2 * k))
-            met = met[:, :k]
-            score = (q[:, None] * vectors[met]).sum(-1)
+            met, _ = _walk(points, squares, edges, start, asked[i : i + BATCH], max(beam, 2 * k))
+            score = np.where(met >= 0, (queries[i : i + BATCH, None] * vectors[met]).sum(-1), -np.inf)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # in double precision
+            met, score = np.take_along_axis(met, best, 1), np.take_along_axis(score, best, 1)
             good = met >= 0
             out.append((np.repeat(ids[i : i + BATCH], good.sum(1)), nodes[met[good]], score[good]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=kind)
@@ -188,29 +202,44 @@ def _distinct(rows: DataFrame, members: int) -> DataFrame:
     return few.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.slice(F.array_sort(F.collect_list("vec_id")), 1, members).alias("members"))
 
 
-def index(vectors: DataFrame, k: int = NEAREST, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame, float]:
-    """(graph, members, longest): the graph's rows (dim, shard, node, embedding, edges, start), each node's members, and the largest squared length."""
+SHARD = ["dim", "band", "shard"]
+
+
+def _band(embedding: Column) -> Column:
+    """The order of a vector's length: those of one band differ by less than 256 times in their greatest component."""
+    return F.floor(F.log2(F.array_max(F.transform(embedding, F.abs))) / 8).cast("int")
+
+
+def shard_rows(n: int) -> int:
+    """How many of n vectors a shard gets."""
+    return min(max(FEW_ROWS, math.isqrt(FEW_ROWS * n)), MOST_ROWS)
+
+
+def index(vectors: DataFrame, k: int = NEAREST, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(graph, members): the graph's rows (dim, band, shard, node, embedding, edges, start), and each node's members. rows: vectors of a shard, else ``shard_rows`` of all."""
     nodes = checkpointed(_distinct(vectors, k + 1).withColumn("dim", F.size("embedding")))
-    squared = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    n, longest = nodes.agg(F.count("*"), F.max(squared)).first()
-    shards = max(1, -(-n // shard_rows))
-    dealt = nodes.select("dim", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "embedding")
-    graph = dealt.groupBy("dim", "shard").applyInArrow(_grown(float(longest or 0)), "dim int, shard int, node long, embedding array<double>, edges array<int>, start boolean")
-    return checkpointed(graph), nodes.select("node", "members"), float(longest or 0)
+    n = nodes.count()
+    shards = max(1, -(-n // (rows or shard_rows(n))))
+    dealt = nodes.select("dim", _band(F.col("embedding")).alias("band"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "embedding")
+    # a number of partitions that is given isn't coalesced: each shard is a task of its own, but for a few that meet by hash
+    graph = dealt.repartition(4 * shards, *SHARD).groupBy(*SHARD).applyInArrow(_grow, "dim int, band int, shard int, node long, embedding array<double>, edges array<int>, start boolean")
+    return checkpointed(graph), nodes.select("node", "members")
 
 
-def search(graph: DataFrame, members: DataFrame, longest: float, queries: DataFrame, k: int = NEAREST, beam: int = SEARCH_BEAM, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(graph: DataFrame, members: DataFrame, queries: DataFrame, k: int = NEAREST, beam: int = SEARCH_BEAM, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (query_id, embedding) the k nearest vectors found, its own id left out.
 
     Queries go in blocks to every shard of their dimension, so a task holds one shard and one block.
     """
     n = queries.count()
     blocks = max(1, -(-n // block_rows))
-    shards = graph.select(F.col("dim").alias("to_dim"), F.col("shard").alias("to_shard")).distinct()
-    asked = queries.withColumn("to_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.join(F.broadcast(shards), F.size("embedding") == F.col("to_dim"))  # shards: one row for each, as many as tasks
-    held = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("to_dim", "to_shard", "to_block")).applyInArrow(_answered(longest, k + 1, beam), "query_id long, node long, score double")
+    to = [f"to_{c}" for c in (*SHARD, "block")]
+    shards = checkpointed(graph.select(*[F.col(c).alias(f"to_{c}") for c in SHARD]).distinct())
+    tasks = max(1, 4 * blocks * shards.count())
+    asked = queries.withColumn("to_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("to_dim", F.size("embedding"))
+    asked = asked.join(F.broadcast(shards), "to_dim").repartition(tasks, *to)  # one row for each shard: some thousands for 10^9 vectors
+    held = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, *SHARD, "block")
+    found = held.groupBy(*SHARD, "block").cogroup(asked.groupBy(*to)).applyInArrow(_answered(k + 1, beam), "query_id long, node long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")
     top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     each = top.join(members, "node").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id != query_id")
@@ -221,5 +250,5 @@ def search(graph: DataFrame, members: DataFrame, longest: float, queries: DataFr
 def nearest(vectors: DataFrame, every: int = 20, k: int = NEAREST) -> DataFrame:
     """The k nearest of every row whose vec_id is divisible by ``every``, among all other rows; see ``valid`` for rows that take no part. No rows: no rows."""
     rows = checkpointed(valid(vectors))
-    graph, members, longest = index(rows, k)
-    return search(graph, members, longest, rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding"), k)
+    graph, members = index(rows, k)
+    return search(graph, members, rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding"), k)

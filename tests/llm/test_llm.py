@@ -247,6 +247,27 @@ def test_search_against_brute_force(spark):
     assert np.mean(recall) > 0.95
 
 
+def test_search_over_many_shards_and_blocks(spark):
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(2_400, 24))
+    x[:40] *= 1e200  # of another order of length
+    rows = vector_search.valid(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    graph, members = vector_search.index(rows, 10, rows=400)
+    assert graph.select("band", "shard").distinct().count() > 6 and graph.count() == 2_400
+    queries = rows.where("vec_id >= 1200 AND vec_id % 3 = 0").selectExpr("vec_id AS query_id", "embedding")
+    got = vector_search.search(graph, members, queries, 10, block_rows=150)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == set(range(1_200, 2_400, 3))
+    best = {q: set(sorted((i for i in range(2_400) if i != q), key=lambda i: -(x[i] @ x[q]))[:10]) for q in found}  # noqa: B023
+    assert np.mean([len(best[q] & found[q]) / 10 for q in found]) > 0.95
+    small = vector_search.index(rows.where("vec_id >= 40"), 10, rows=400)
+    near = vector_search.search(*small, queries, 10)
+    best = {q: set(sorted((i for i in range(40, 2_400) if i != q), key=lambda i: -(x[i] @ x[q]))[:10]) for q in found}  # noqa: B023
+    assert np.mean([r["vec_id"] in best[r["query_id"]] for r in near.collect()]) > 0.95
+
+
 def test_search_over_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["score"]) for r in vector_search.nearest(few).orderBy("rank").collect()] == [(2, 1.0), (1, 0.5)]
