@@ -179,7 +179,17 @@ def test_simhash_equals_brute_force(spark):
     assert got == {i: (prints[i], expected[i]) for i in prints}
     kept = simhash.deduplicated(docs(spark, *texts).union(docs(spark, *texts[:2])))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values())) and kept.columns == docs(spark).columns
-    assert simhash.near_duplicates(docs(spark, "a").limit(0)).count() == 0
+    clash = simhash.deduplicated(docs(spark, *texts).withColumn("fp", F.lit(1)).withColumn("row", F.lit(2)).withColumn("at", F.lit(3)))
+    assert clash.columns[-3:] == ["fp", "row", "at"] and sorted(r["doc_id"] for r in clash.collect()) == sorted(set(expected.values()))
+    assert simhash.near_duplicates(docs(spark, "a").limit(0)).count() == 0 and simhash.deduplicated(docs(spark, "a").limit(0)).count() == 0
+    unnamed = docs(spark, "a b c d", "a b c d", None).withColumn("doc_id", F.lit(None).cast("long"))
+    assert simhash.deduplicated(unnamed).count() == 2
+
+
+def test_a_hot_fingerprint_meets_in_no_task(spark):
+    d = docs(spark, *["same text here"] * 500, *[f"other {i} words of it" for i in range(200)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d).collect()}
+    assert [got[i] for i in range(500)] == [0] * 500 and [r["doc_id"] for r in simhash.deduplicated(d).where("doc_id < 500").collect()] == [0]
 
 
 def test_crowded_variants_lose_no_link(spark):
