@@ -87,19 +87,28 @@ def render(role: str | None, text: str | None) -> str:
     return escaped
 
 
-@arrow_function(pa.string())
+def loss_spans(rendered: str) -> list[tuple[int, int]]:
+    """The loss mask: (start, end) of what an assistant says, in characters of a rendered text."""
+    return [(start, end) for role, _, start, end in parse(rendered) if role == "assistant"]
+
+
+_PART = pa.struct([("rendered", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+
+@arrow_function(_PART)
 def _rendered(roles: pa.Array, texts: pa.Array) -> pa.Array:
-    return pa.array([render(r, t) for r, t in zip(roles.to_pylist(), texts.to_pylist())], pa.string())
+    parts = [render(r, t) for r, t in zip(roles.to_pylist(), texts.to_pylist())]
+    return pa.array([{"rendered": p, "loss_spans": [{"start": a, "end": b} for a, b in loss_spans(p)]} for p in parts], _PART)
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, rendered): each row with its part of the conversation's training text.
+    """(conv_id, turn, role, text, rendered, loss_spans): each row with its part of the conversation's training text and the loss mask over that part.
 
     A conversation's text is its parts by turn, one after the other; they are kept as rows so that a conversation with any number of turns is never held whole.
     """
     bounded_batches(conversations.sparkSession)
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("rendered", _rendered("role", "text"))
+    return rows.withColumn("__part", _rendered("role", "text")).select("*", "__part.rendered", "__part.loss_spans").drop("__part")
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -121,7 +130,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.append((now, turns, all_.hexdigest(), loss_chars, loss.hexdigest(), chars))
 
     for b in batches:
-        for conv, rendered in zip(b.column("conv_id").to_pylist(), b.column("rendered").to_pylist()):
+        for conv, rendered, spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "rendered", "loss_spans"))):
             if not begun or conv != now:
                 if begun:
                     close()
@@ -129,9 +138,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role, text, _, _ in parse(rendered):
                 turns += 1
                 all_.update(f"{role}\n{text}\n".encode())
-                if role == "assistant":
-                    loss_chars += len(text)
-                    loss.update(text.encode())
+            for span in spans:  # what is under the mask, unescaped
+                said = unescape(rendered[span["start"] : span["end"]])
+                loss_chars += len(said)
+                loss.update(said.encode())
             chars += len(rendered)
         if len(out) >= 1_000:
             yield done()
@@ -141,11 +151,11 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(formatted_rows: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the rendered parts alone.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the rendered parts and their loss mask alone.
 
     Turns are taken by turn (null first), equal ones by role and text; repeated rows count as often as they stand. Rows with a
     null conv_id are one conversation. A conversation passes through one task as a stream: its digest needs its text
     in order, but only one batch of it is held.
     """
     parts = formatted_rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return parts.select("conv_id", "rendered").mapInArrow(_read_back, _DIGEST)
+    return parts.select("conv_id", "rendered", "loss_spans").mapInArrow(_read_back, _DIGEST)

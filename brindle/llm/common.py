@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from brindle.session import shared_folder
+
 #: Rows and bytes of a batch sent to a Python worker: one batch stays small beside the worker's memory however long the texts are.
 BATCH_ROWS, BATCH_BYTES = 500, "1m"
 
@@ -27,11 +28,11 @@ def bounded_batches(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder that spark.checkpoint.dir names, its lineage cut.
 
-    Where that setting is missing (tests, a single machine) a temporary folder is taken.
+    Where that setting is missing, a session on one machine takes a temporary folder; on a cluster it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

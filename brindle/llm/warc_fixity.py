@@ -15,6 +15,8 @@ from brindle.llm.common import checkpointed
 #: A range holds no more records than fit in so many bytes, and a node has so many children at most.
 RANGE_BYTES, FANOUT = 1 << 16, 16
 ARCHIVE_PAGES = 1_000
+#: Archives for pages without an id.
+NAMELESS = 4_096
 
 
 def record(url: Column, html: Column) -> Column:
@@ -24,9 +26,9 @@ def record(url: Column, html: Column) -> Column:
     return F.concat(lines, F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
 
 
-def archive_of(page_id: Column, pages: int = ARCHIVE_PAGES) -> Column:
-    """Pages go to archives by runs of their ids; those without an id go to archive -1."""
-    return F.coalesce(F.floor(page_id / pages), F.lit(-1)).cast("long")
+def archive_of(page_id: Column, url: Column, pages: int = ARCHIVE_PAGES) -> Column:
+    """Pages go to archives by runs of their ids; those without an id go to one of NAMELESS archives, -1, -2 and so on, by a hash of their url."""
+    return F.coalesce(F.floor(page_id / pages), -1 - F.pmod(F.crc32(F.coalesce(url, F.lit("")).cast("binary")), F.lit(NAMELESS))).cast("long")
 
 
 def manifest(records: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     most = (ranges.agg(F.max("at")).first()[0] or 0) + 1
     levels = [ranges]
     while most > 1:
-        levels.append(_above(levels[-1]))
+        levels.append(checkpointed(_above(levels[-1])))  # read by the level above and by the descent
         most = -(-most // FANOUT)
     return levels
 
@@ -106,7 +108,7 @@ def audited_pages(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     lost = damaged(F.coalesce("page_id", F.lit(0)), html)
     whole = record(F.col("url"), html)
-    rows = pages.select(archive_of(F.col("page_id")).alias("archive"), "page_id", "url", F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("digest"), F.when(lost.isNotNull(), F.sha2(record(F.col("url"), lost), 256)).alias("copy"))
+    rows = pages.select(archive_of(F.col("page_id"), F.col("url")).alias("archive"), "page_id", "url", F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("digest"), F.when(lost.isNotNull(), F.sha2(record(F.col("url"), lost), 256)).alias("copy"))
     placed = checkpointed(manifest(rows).drop("url"))
     replica = placed.where("copy IS NOT NULL").select("archive", "offset", "length", F.col("copy").alias("digest"))
     found = audit(placed.select("archive", "offset", "length", "digest"), replica)

@@ -37,6 +37,11 @@ def test_licenses(spark):
     got = {(r["doc_id"], r["license_id"], r["whole_text"]) for r in licenses.license_hits(d.withColumn("digest", F.lit("clash"))).collect()}
     assert {(1, "Apache-2.0", False), (2, "MIT", False)} <= got and any(i == 0 and w for i, _, w in got) and not {i for i, _, _ in got} & {3, 4, 5, 6}
     assert licenses.license_hits(d.limit(0)).count() == 0
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2021, A. Person\nAll rights reserved.\n\n" + licenses.TEXTS["BSD-3-Clause"]
+    e = docs(spark, bsd, "Copyright (c) 2020 Some Body. Licensed under the MIT License.", "x\nSPDX-License-Identifier: MIT\ny", "# " + licenses.HEADERS["GPL-3.0"].replace("\n", "\n# "), "We organise\nThe whole text of ours", "We organise\nThe whole text of ours")
+    ours = spark.createDataFrame([("Ours", "we ORGANIZE the whole text - of ours")], "license_id string, text string")
+    got = sorted(tuple(r) for r in licenses.license_hits(e, more=ours).collect())
+    assert got == [(0, "BSD-3-Clause", 1, True, "text"), (1, "MIT", 1, True, "notice"), (2, "MIT", 1, False, "identifier"), (3, "GPL-3.0", 2, True, "notice"), (4, "Ours", 1, True, "text"), (5, "Ours", 1, True, "text")]
 
 
 # --- quality --------------------------------------------------------------------------------------
@@ -299,6 +304,8 @@ def test_chat_round_trip(spark):
         said = "".join(text for _, role, text in turns if role == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), sha("".join(f"{role}\n{text}\n" for _, role, text in turns)))
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), sha(said))
+    for x in chat_format.formatted(df).collect():  # the mask covers just what the assistant says
+        assert [chat_format.unescape(x["rendered"][a:b]) for a, b in x["loss_spans"]] == ([x["text"] or ""] if x["role"] == "assistant" else [])
     assert chat_format.digests(chat_format.formatted(df.limit(0))).count() == 0
 
 
