@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brindle.operators.relational import exact_sum, look_back
 from brindle.registry import query, table, whole_table
 
-LOOK_BACK_DAYS, HALF_LIFE_DAYS, ENDS = 7, 7.0, 0.4
+LOOK_BACK_DAYS, HALF_LIFE_DAYS, ENDS = 30, 7.0, 0.4
 MODELS = ("last_click", "last_non_direct", "first_click", "linear", "time_decay", "position_based")
 ORDER = ["source", "order_id"]
 
@@ -28,7 +28,7 @@ def attributable_orders(fct_orders: DataFrame) -> DataFrame:
 
 
 @table(f"""WITH a AS (SELECT o.*, e.session_start_at AS ends_at FROM attributable_orders o JOIN fct_sessions e USING (source, session_key)),
-    t AS (SELECT DISTINCT a.source, a.order_id, a.order_date, a.ordered_at, a.revenue, a.session_key = s.session_key AS own, s.session_key, s.session_start_at, s.session_source, s.session_medium, s.session_campaign FROM a JOIN fct_sessions s ON s.source = a.source
+    t AS (SELECT DISTINCT a.source, a.order_id, a.order_date, a.ordered_at, a.person_id, a.session_key AS order_session_key, a.revenue, a.session_key = s.session_key AS own, s.session_key, s.session_start_at, s.session_source, s.session_medium, s.session_campaign FROM a JOIN fct_sessions s ON s.source = a.source
         AND (s.session_key = a.session_key OR (s.person_id = a.person_id AND s.session_start_at <= a.ends_at AND s.session_start_at >= a.ordered_at - INTERVAL {LOOK_BACK_DAYS} DAY)))
     SELECT t.*, row_number() OVER (PARTITION BY t.source, order_id ORDER BY session_start_at, own, session_key)::INT AS position, count(*) OVER (PARTITION BY t.source, order_id) AS touches, coalesce(session_source = '(direct)' AND session_medium IN ('(none)', '(not set)'), false) AS direct,
         (epoch_us(ordered_at) - epoch_us(session_start_at)) / 86400e6 AS days_before, ordered_at - INTERVAL {LOOK_BACK_DAYS} DAY >= start_at AS complete FROM t JOIN (SELECT source, min(session_start_at) AS start_at FROM fct_sessions GROUP BY 1) USING (source)""")
@@ -38,10 +38,10 @@ def journey_touches(attributable_orders: DataFrame, fct_sessions: DataFrame, day
     Own sessions and the person's come from two equi-joins; a touch found by both is one.
     """
     s = fct_sessions.select("source", "session_key", "person_id", "session_start_at", "session_source", "session_medium", "session_campaign")
-    own = attributable_orders.join(s.drop("person_id"), ["source", "session_key"]).withColumn("own", F.lit(True))
-    ends = own.select(*ORDER, "order_date", "ordered_at", "person_id", "revenue", F.col("session_key").alias("own_key"), F.col("session_start_at").alias("ends_at"))
-    earlier = look_back(ends, s, ["source", "person_id"], "ordered_at", "session_start_at", days).where("session_start_at <= ends_at AND session_key <> own_key").withColumn("own", F.lit(False))
-    touch = ["order_date", "ordered_at", "revenue", "own", "session_key", "session_start_at", "session_source", "session_medium", "session_campaign"]
+    own = attributable_orders.join(s.drop("person_id"), ["source", "session_key"]).withColumn("own", F.lit(True)).withColumn("order_session_key", F.col("session_key"))
+    ends = own.select(*ORDER, "order_date", "ordered_at", "person_id", "revenue", "order_session_key", F.col("session_start_at").alias("ends_at"))
+    earlier = look_back(ends, s, ["source", "person_id"], "ordered_at", "session_start_at", days).where("session_start_at <= ends_at AND session_key <> order_session_key").withColumn("own", F.lit(False))
+    touch = ["order_date", "ordered_at", "person_id", "order_session_key", "revenue", "own", "session_key", "session_start_at", "session_source", "session_medium", "session_campaign"]
     rows = own.select(*ORDER, *touch).unionByName(earlier.select(*ORDER, *touch))
     journey = Window.partitionBy(*ORDER)
     starts = F.broadcast(s.groupBy("source").agg(F.min("session_start_at").alias("start_at")))
@@ -65,16 +65,19 @@ def scores(half_life: float = HALF_LIFE_DAYS, ends: float = ENDS) -> dict[str, C
     }
 
 
-@table("""SELECT source, order_id, order_date, session_key, session_source, session_medium, session_campaign, position, touches, own, complete, revenue, m.model, CASE m.model WHEN 'last_click' THEN (position = touches)::INT WHEN 'first_click' THEN (position = 1)::INT WHEN 'linear' THEN 1.0::DOUBLE / touches
+@table("""WITH weighed AS (SELECT source, order_id, order_date, ordered_at, person_id, order_session_key, session_key, session_start_at, session_source, session_medium, session_campaign, position, touches, own, direct AS is_direct, days_before AS days_before_order, complete, revenue, m.model, CASE m.model WHEN 'last_click' THEN (position = touches)::INT WHEN 'first_click' THEN (position = 1)::INT WHEN 'linear' THEN 1.0::DOUBLE / touches
     WHEN 'last_non_direct' THEN (position = coalesce(sourced, touches))::INT WHEN 'time_decay' THEN pow(2, -days_before / 7) / decay WHEN 'position_based' THEN CASE WHEN touches = 1 THEN 1 WHEN touches = 2 THEN 0.5 WHEN position IN (1, touches) THEN 0.4 ELSE 0.2 / (touches - 2) END END::DOUBLE AS weight
-    FROM (SELECT *, max(CASE WHEN NOT direct THEN position END) OVER w AS sourced, sum(pow(2, -days_before / 7)) OVER w AS decay FROM journey_touches WINDOW w AS (PARTITION BY source, order_id)), (VALUES ('last_click'), ('last_non_direct'), ('first_click'), ('linear'), ('time_decay'), ('position_based')) m(model)""")
+    FROM (SELECT *, max(CASE WHEN NOT direct THEN position END) OVER w AS sourced, sum(pow(2, -days_before / 7)) OVER w AS decay FROM journey_touches WINDOW w AS (PARTITION BY source, order_id)), (VALUES ('last_click'), ('last_non_direct'), ('first_click'), ('linear'), ('time_decay'), ('position_based')) m(model))
+    SELECT *, weight * revenue AS attributed_revenue_usd FROM weighed""")
 def fct_attribution(journey_touches: DataFrame) -> DataFrame:
     """One row for each order, touch and model."""
     scored = journey_touches.select("*", *[c.cast("double").alias(m) for m, c in scores().items()])
-    ids = ["source", "order_id", "order_date", "session_key", "session_source", "session_medium", "session_campaign", "position", "touches", "own", "complete", "revenue"]
+    scored = scored.withColumnsRenamed({"direct": "is_direct", "days_before": "days_before_order"})
+    ids = ["source", "order_id", "order_date", "ordered_at", "person_id", "order_session_key", "session_key", "session_start_at", "session_source", "session_medium", "session_campaign"]
+    ids += ["position", "touches", "own", "is_direct", "days_before_order", "complete", "revenue"]
     total = Window.partitionBy(*ORDER)
     shares = scored.select(*ids, *[(F.col(m) / F.sum(m).over(total)).alias(m) for m in MODELS])
-    return shares.unpivot(ids, list(MODELS), "model", "weight")
+    return shares.unpivot(ids, list(MODELS), "model", "weight").withColumn("attributed_revenue_usd", F.col("weight") * F.col("revenue"))
 
 
 def attributed(digits: int = 4) -> Column:
@@ -82,9 +85,10 @@ def attributed(digits: int = 4) -> Column:
     return F.round(F.sum(F.round(F.col("weight") * F.col("revenue"), 9).cast("decimal(38,9)")), digits).cast("double")
 
 
-@table("SELECT order_date AS date, source, model, session_source, session_medium, session_campaign, round(sum(weight), 6) AS orders, round(sum(round(weight * revenue, 9)::DECIMAL(38,9)), 4)::DOUBLE AS revenue_usd FROM fct_attribution WHERE weight > 0 GROUP BY ALL")
+@table("SELECT order_date AS date, source, model, session_source, session_medium, session_campaign, complete AS lookback_complete, round(sum(weight), 6) AS orders, round(sum(round(weight * revenue, 9)::DECIMAL(38,9)), 4)::DOUBLE AS revenue_usd FROM fct_attribution WHERE weight > 0 GROUP BY ALL")
 def mart_attribution_daily(fct_attribution: DataFrame) -> DataFrame:
-    keys = [F.col("order_date").alias("date"), "source", "model", "session_source", "session_medium", "session_campaign"]
+    """Orders and revenue of each day, model and campaign; orders whose look-back reaches before the first data stand apart."""
+    keys = [F.col("order_date").alias("date"), "source", "model", "session_source", "session_medium", "session_campaign", F.col("complete").alias("lookback_complete")]
     return fct_attribution.where("weight > 0").groupBy(*keys).agg(F.round(exact_sum(F.col("weight")), 6).alias("orders"), attributed().alias("revenue_usd"))
 
 
@@ -94,7 +98,11 @@ query("k03_touches", "SELECT source, order_id, session_key, position, touches, o
 query("k04_look_back_complete", "SELECT DISTINCT source, order_id, complete FROM journey_touches")(lambda journey_touches: journey_touches.select("source", "order_id", "complete").distinct())
 for _k, _m in zip(("k05", "k06", "k07", "k08", "k09", "k10"), MODELS):
     query(f"{_k}_{_m}", f"SELECT source, order_id, session_key, round(weight, 9) AS weight FROM fct_attribution WHERE model = '{_m}'")(lambda fct_attribution, m=_m: fct_attribution.where(F.col("model") == m).select("source", "order_id", "session_key", F.round("weight", 9).alias("weight")))
-query("k11_attribution", "SELECT source, order_id, session_key, model, round(weight * revenue, 6) AS attributed_revenue FROM fct_attribution")(lambda fct_attribution: fct_attribution.select("source", "order_id", "session_key", "model", F.round(F.col("weight") * F.col("revenue"), 6).alias("attributed_revenue")))
+@query("k11_attribution", "SELECT * REPLACE (round(days_before_order, 6) AS days_before_order, round(weight, 9) AS weight, round(attributed_revenue_usd, 9) AS attributed_revenue_usd) FROM fct_attribution")
+def attribution(fct_attribution: DataFrame) -> DataFrame:
+    return fct_attribution.withColumns({c: F.round(c, digits) for c, digits in (("days_before_order", 6), ("weight", 9), ("attributed_revenue_usd", 9))})
+
+
 whole_table("k12_attribution_daily", "mart_attribution_daily")
 
 

@@ -142,7 +142,7 @@ def followed_sessions(old: DataFrame, events: DataFrame, identity: DataFrame, si
     keys = ["source", "user_pseudo_id", "ga_session_id"]
     touched = events.where(F.col("event_date") >= F.lit(since).cast("date")).where("user_pseudo_id IS NOT NULL").select(*keys).distinct()
     anew = orders.fct_sessions(events.join(touched, keys, "left_semi"), identity)
-    own = F.when(F.col("identity_rule") == "signed_in_session", F.col("user_id"))
+    own = F.when(F.col("identity_rule") == "session_account", F.col("user_id"))
     rest = old.join(touched, keys, "left_anti").withColumn("session_user_id", own).drop("person_id", "user_id", "identity_rule")
     return anew.unionByName(orders.with_person(rest, identity).drop("session_user_id"))
 

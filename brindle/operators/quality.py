@@ -190,7 +190,7 @@ def checked_events(stg_events: DataFrame) -> DataFrame:
     UNION ALL SELECT event_date, source, event_name, 'dedupe:duplicate_transaction_id', 'dedupe', 'transaction_id', count(*), count(*) FILTER (is_duplicate_purchase) FROM stg_events WHERE event_name = 'purchase' GROUP BY 1, 2, 3
     UNION ALL SELECT event_date, source, event_name, 'dedupe:transaction_id_collision', 'dedupe', 'transaction_id', count(*), count(*) FILTER (is_transaction_id_collision) FROM stg_events WHERE event_name = 'purchase' GROUP BY 1, 2, 3
     UNION ALL SELECT session_date, source, '(session)', 'attribution:source_not_set', 'attribution', 'session_source', count(*), count(*) FILTER (session_source = '(not set)') FROM fct_sessions GROUP BY 1, 2
-    UNION ALL SELECT session_date, source, '(session)', 'attribution:source_obfuscated', 'attribution', 'session_source, session_medium', count(*), count(*) FILTER (session_source IN ('<Other>', '(data deleted)') OR session_medium IN ('<Other>', '(data deleted)')) FROM fct_sessions GROUP BY 1, 2) c
+    UNION ALL SELECT session_date, source, '(session)', 'attribution:source_obfuscated', 'attribution', 'session_source, session_medium', count(*), sum(len(list_intersect(['<Other>', '(data deleted)'], [session_source, session_medium])) > 0)::BIGINT FROM fct_sessions GROUP BY 1, 2) c
     LEFT JOIN (VALUES {', '.join(str(e) for e in EXPECTATIONS)}) x(source, event_pattern, check_pattern, reason) ON x.source = c.source AND event_name LIKE event_pattern AND check_name LIKE check_pattern""")
 def mart_tag_health_daily(stg_events: DataFrame, fct_sessions: DataFrame) -> DataFrame:
     """How many events of each day pass each check. All checks of an event come from one pass: its contract rules, and the other families as further entries of the same array."""
@@ -199,9 +199,7 @@ def mart_tag_health_daily(stg_events: DataFrame, fct_sessions: DataFrame) -> Dat
     contract = F.filter(contract_checks(), lambda c: (c["check_kind"] == "required") | F.col("source").isin(*CONTRACT_SOURCES))
     more = F.array_compact(F.array(entry("pii:email", "pii", "page_location", F.col("page_location").rlike(EMAIL)), F.when(bought, entry("dedupe:duplicate_transaction_id", "dedupe", "transaction_id", F.col("is_duplicate_purchase"))), F.when(bought, entry("dedupe:transaction_id_collision", "dedupe", "transaction_id", F.col("is_transaction_id_collision")))))
     of_events = stg_events.select(F.col("event_date").alias("date"), "source", "event_name", F.inline(F.concat(contract, more)))
-    hidden = F.lit(False)
-    for c in ("session_source", "session_medium"):
-        hidden = hidden | F.col(c).isin("<Other>", "(data deleted)")
+    hidden = F.arrays_overlap(F.array("session_source", "session_medium"), F.array(F.lit("<Other>"), F.lit("(data deleted)")))
     of_sessions = fct_sessions.select(F.col("session_date").alias("date"), "source", F.lit("(session)").alias("event_name"), F.inline(F.array(entry("attribution:source_not_set", "attribution", "session_source", F.col("session_source") == "(not set)"), entry("attribution:source_obfuscated", "attribution", "session_source, session_medium", hidden))))
     counts = of_events.unionByName(of_sessions).groupBy("date", "source", "event_name", "check_name", "check_kind", "field").agg(F.count("*").alias("events"), F.count_if("violated").alias("violations"))
     rules = counts.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(e, ("x_source", "event_pattern", "check_pattern", "reason"))]) for e in EXPECTATIONS])))
