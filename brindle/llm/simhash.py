@@ -87,8 +87,10 @@ def _crowded_links(fps: DataFrame) -> DataFrame:
 
 def _with_keys(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with ``keys`` (key, n, ...) by equality, where n of the ``total`` rows have a key. The few keys that a large share of the rows has are sent to them, so that their rows never meet in one task."""
-    hot = F.col("n") * HOT_SHARE > total
-    return rows.join(F.broadcast(keys.where(hot)), key).unionByName(rows.join(keys.where(~hot), key))
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(keys.where(is_hot))
+    rest = rows.join(hot.select(key), key, "left_anti")  # before the shuffle
+    return rows.join(hot, key).unionByName(rest.join(keys.where(~is_hot), key))
 
 
 def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
