@@ -141,7 +141,7 @@ def with_person(sessions: DataFrame, identity: DataFrame) -> DataFrame:
     ), who AS (SELECT source, order_id, arg_min({person: person, rule: rule}, rank) FILTER (person IS NOT NULL) AS w FROM claims GROUP BY ALL)
     SELECT o.source, order_id, buy.transaction_id, buy.transaction_id IS NOT NULL AS has_transaction_id, buy.is_zero_value_without_id, buy.is_transaction_id_collision, buy.event_key AS purchase_event_key, buy.event_date AS order_date,
         buy.event_timestamp AS ordered_at, buy.session_key, v.session_date, buy.user_pseudo_id, w.person AS person_id, w.rule AS identity_rule, v.session_source, v.session_medium, v.session_campaign,
-        buy.purchase_revenue_usd AS revenue_usd, buy.item_count AS line_count, again AS duplicate_purchase_events
+        buy.purchase_revenue_usd AS revenue_usd, buy.tax_usd, buy.shipping_usd, buy.total_item_quantity AS item_quantity, buy.item_count AS line_count, again AS duplicate_purchase_events
     FROM placed o JOIN who USING (source, order_id) LEFT JOIN fct_sessions v ON v.session_key = o.buy.session_key""")
 def fct_orders(int_purchases: DataFrame, fct_sessions: DataFrame, int_identity: DataFrame) -> DataFrame:
     """One row for each order, its first purchase, with the person who placed it: the account of the purchase, else the session's person, else the device's, else one of its own."""
@@ -156,21 +156,26 @@ def fct_orders(int_purchases: DataFrame, fct_sessions: DataFrame, int_identity:
     return found.select(
         "source", "order_id", "transaction_id", F.col("transaction_id").isNotNull().alias("has_transaction_id"), "is_zero_value_without_id", "is_transaction_id_collision", F.col("event_key").alias("purchase_event_key"),
         F.col("event_date").alias("order_date"), F.col("event_timestamp").alias("ordered_at"), "session_key", "session_date", "user_pseudo_id", F.col("__claim.person").alias("person_id"), F.col("__claim.rule").alias("identity_rule"),
-        "session_source", "session_medium", "session_campaign", F.col("purchase_revenue_usd").alias("revenue_usd"), F.col("item_count").alias("line_count"), "duplicate_purchase_events",
+        "session_source", "session_medium", "session_campaign", F.col("purchase_revenue_usd").alias("revenue_usd"), "tax_usd", "shipping_usd", F.col("total_item_quantity").alias("item_quantity"), F.col("item_count").alias("line_count"), "duplicate_purchase_events",
     )
 
 
-@table("""WITH bought AS (SELECT l.source, o.order_id, l.item_index + 1 AS line_number, o.order_date, o.person_id, l.item_id, l.item_name, l.quantity FROM stg_items l JOIN fct_orders o ON o.purchase_event_key = l.event_key AND o.source = l.source),
-    priced AS (SELECT bought.*, price_usd, price_usd * quantity AS paid, source = 'store_a' AND price_usd IS NOT NULL AS ours, CASE WHEN source = 'store_a' THEN unit_cost_usd END AS unit_cost FROM bought LEFT JOIN (SELECT item_id, price_usd, unit_cost_usd FROM catalog) USING (item_id)),
+@table("""WITH bought AS (SELECT l.source, o.order_id, l.item_index + 1 AS line_number, o.order_date, o.ordered_at, o.person_id, o.session_key, l.item_id, l.item_name, l.item_brand, l.item_variant, l.item_category, l.quantity, l.price_usd AS asked, l.item_revenue_usd AS told FROM stg_items l JOIN fct_orders o ON o.purchase_event_key = l.event_key AND o.source = l.source),
+    known AS (SELECT bought.*, coalesce(asked, c.price_usd) AS price_usd, source = 'store_a' AND c.price_usd IS NOT NULL AS ours, CASE WHEN source = 'store_a' THEN c.unit_cost_usd END AS unit_cost FROM bought LEFT JOIN catalog c USING (item_id)),
+    priced AS (SELECT *, coalesce(told, price_usd * quantity) AS paid FROM known),
     earned AS (SELECT *, unit_cost * quantity AS spent, paid - unit_cost * quantity AS left_over FROM priced)
-    SELECT source, order_id, line_number, order_date, person_id, item_id, item_name, quantity, price_usd, paid AS line_revenue_usd, ours AS is_catalog_product, unit_cost AS unit_cost_usd, round(spent, 2) AS line_cost_usd, round(left_over, 2) AS gross_margin_usd, CASE WHEN paid <> 0 THEN round(left_over / paid, 4) END AS gross_margin_rate FROM earned""")
+    SELECT source, order_id, line_number, order_date, ordered_at, person_id, session_key, item_id, item_name, item_brand, item_variant, item_category, quantity, price_usd, paid AS line_revenue_usd, ours AS is_catalog_product, unit_cost AS unit_cost_usd, round(spent, 2) AS line_cost_usd, round(left_over, 2) AS gross_margin_usd, CASE WHEN paid <> 0 THEN round(left_over / paid, 4) END AS gross_margin_rate FROM earned""")
 def fct_order_items(fct_orders: DataFrame, stg_items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Order lines; cost and margin only where the store's items are the catalog's."""
-    lines = fct_orders.select("source", "order_id", "order_date", "person_id", F.col("purchase_event_key").alias("event_key")).join(stg_items.drop("event_date"), ["source", "event_key"])
-    priced = lines.join(catalog.select("item_id", "price_usd", "unit_cost_usd"), "item_id", "left")
+    """Order lines, at the price that the item was sold for, else the catalog's; cost and margin only where the store's items are the catalog's."""
+    lines = fct_orders.select("source", "order_id", "order_date", "ordered_at", "person_id", "session_key", F.col("purchase_event_key").alias("event_key")).join(stg_items.drop("event_date"), ["source", "event_key"])
+    listed = lines.join(catalog.select("item_id", F.col("price_usd").alias("__listed"), "unit_cost_usd"), "item_id", "left")
+    priced = listed.withColumn("price_usd", F.coalesce("price_usd", "__listed"))
     own = F.col("source") == "store_a"
     revenue, cost = F.col("line_revenue_usd"), F.col("unit_cost_usd") * F.col("quantity")
-    rows = priced.select("source", "order_id", (F.col("item_index") + 1).alias("line_number"), "order_date", "person_id", "item_id", "item_name", "quantity", "price_usd", (F.col("price_usd") * F.col("quantity")).alias("line_revenue_usd"), (own & F.col("price_usd").isNotNull()).alias("is_catalog_product"), F.when(own, F.col("unit_cost_usd")).alias("unit_cost_usd"))
+    rows = priced.select(
+        "source", "order_id", (F.col("item_index") + 1).alias("line_number"), "order_date", "ordered_at", "person_id", "session_key", "item_id", "item_name", "item_brand", "item_variant", "item_category", "quantity", "price_usd",
+        F.coalesce("item_revenue_usd", F.col("price_usd") * F.col("quantity")).alias("line_revenue_usd"), (own & F.col("__listed").isNotNull()).alias("is_catalog_product"), F.when(own, F.col("unit_cost_usd")).alias("unit_cost_usd"),
+    )
     return rows.select("*", F.round(cost, 2).alias("line_cost_usd"), F.round(revenue - cost, 2).alias("gross_margin_usd"), F.round(F.try_divide(revenue - cost, revenue), 4).alias("gross_margin_rate"))
 
 

@@ -109,6 +109,25 @@ _MEDIUM = "CASE k % 6 WHEN 0 THEN 'cpc' WHEN 1 THEN 'organic' WHEN 2 THEN 'email
 _CAMPAIGN = "CASE k % 6 WHEN 0 THEN 'brand' WHEN 1 THEN '(organic)' WHEN 2 THEN 'nov' WHEN 3 THEN '(direct)' END"
 _TRANSACTION = "CASE WHEN event_type = 'purchase' THEN CASE k % 10 WHEN 0 THEN NULL WHEN 1 THEN '(not set)' WHEN 2 THEN concat('T', user_id, '-', cast(floor(day / 3) AS bigint)) WHEN 3 THEN concat('T', user_id, '-', cast(floor(day / 3) AS bigint)) WHEN 4 THEN concat('X', cast(floor(event_id / 200) AS bigint)) ELSE concat('P', event_id) END END"
 
+_TEXT_PARAMS = {
+    "page_title": "concat('Page ', k)",
+    "page_referrer": "CASE WHEN k % 3 = 1 THEN 'https://search.example/' END",
+    "search_term": "CASE WHEN k % 8 = 5 THEN concat('term ', k) END",
+    "item_list_id": "CASE WHEN event_type = 'view' THEN concat('l', k % 4) END",
+    "item_list_name": "CASE WHEN event_type = 'view' THEN concat('List ', k % 4) END",
+    "shipping_tier": "CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'Ground' ELSE 'Air' END END",
+    "payment_type": "CASE WHEN event_type = 'purchase' THEN 'card' END",
+    "currency": "CASE WHEN event_type = 'purchase' THEN CASE WHEN user_id % 3 = 0 THEN 'EUR' ELSE 'USD' END END",
+}
+_ADS_STORAGE = "CASE WHEN event_id % 20 = 0 THEN 'No' WHEN k % 2 = 0 THEN 'Yes' ELSE 'No' END"
+_TERM = "CASE WHEN k % 6 = 0 THEN 'shoes' END"
+_DEVICE = "CASE user_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END"
+_SYSTEM = "CASE user_id % 3 WHEN 0 THEN 'Linux' ELSE 'Android' END"
+_BROWSER = "CASE user_id % 5 WHEN 0 THEN 'Firefox' ELSE 'Chrome' END"
+_COUNTRY = "CASE user_id % 4 WHEN 0 THEN 'France' WHEN 1 THEN 'Spain' ELSE 'Canada' END"
+_REGION = "CASE WHEN user_id % 4 < 2 THEN concat('Region ', user_id % 7) END"
+_STREAM = "CASE WHEN user_id % 3 = 0 THEN '2' ELSE '1' END"
+
 
 @table("""SELECT *, CAST(floor((micros - 21600000000) / 86400000000) AS BIGINT) AS day FROM (
     SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, epoch_us(ts) AS micros FROM events)""")
@@ -133,17 +152,25 @@ def web_export(numbered_events: DataFrame, part: DataFrame) -> DataFrame:
         param("session_engaged", string="CASE WHEN k % 4 <> 0 THEN '1' ELSE '0' END"),
         param("method", string="CASE WHEN event_type = 'signup' THEN 'password' END"),
         param("value", double="value"),
+        *[param(name, string=sql.format(text="string")) for name, sql in _TEXT_PARAMS.items()],
     ])
+    bought = lambda sql, kind: F.expr(f"CASE WHEN event_type = 'purchase' THEN cast({sql} AS {kind}) END")
     revenue = "CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 10 = 0 THEN 0.0D ELSE cast(cast(value AS decimal(18,2)) AS double) END END"
-    item = "transform(sequence(0, k % 3), p -> named_struct('item_id', cast((event_id * 7 + p) % parts AS string), 'item_name', CASE WHEN p = 1 THEN '(not set)' ELSE concat(' item ', p, ' ') END, 'quantity', cast(1 + k % 4 AS bigint), 'coupon', CASE WHEN p = 2 THEN '' ELSE 'C1' END))"
+    item = "transform(sequence(0, k % 3), p -> named_struct('item_id', cast((event_id * 7 + p) % parts AS string), 'item_name', CASE WHEN p = 1 THEN '(not set)' ELSE concat(' item ', p, ' ') END, 'quantity', cast(1 + k % 4 AS bigint), 'coupon', CASE WHEN p = 2 THEN '' ELSE 'C1' END, "
+    item += "'item_brand', concat('B', p), 'item_variant', CASE WHEN p = 1 THEN ' ' ELSE concat('v', p) END, 'item_category', CASE WHEN p = 2 THEN '(not set)' ELSE concat('cat ', k % 4) END, 'item_list_name', concat('List ', k % 4), 'item_list_index', cast(p + 1 AS string), "
+    item += "'price_in_usd', CASE WHEN k % 5 < 3 THEN cast(5 + k % 20 + p AS double) END, 'price', CASE WHEN k % 5 < 4 THEN cast(4 + k % 20 + p AS double) END, 'item_revenue_in_usd', CASE WHEN k % 5 = 0 THEN cast((5 + k % 20 + p) * (1 + k % 4) AS double) END))"
     rows = e.select(
         F.when(F.col("user_id") % 3 == 0, "store_b").otherwise("store_a").alias("source"), F.date_format("ts", "yyyyMMdd").alias("event_date"), F.col("micros").alias("event_timestamp"), "event_name", "event_id",
         F.expr(f"array({params})").alias("event_params"), F.expr(_ACCOUNT.format(text="string")).alias("user_id"), F.col("pseudo").alias("user_pseudo_id"),
-        F.struct(F.when(F.col("pseudo").isNull(), "No").otherwise("Yes").alias("analytics_storage")).alias("privacy_info"),
-        F.struct(F.expr(_SOURCE).alias("manual_source"), F.expr(_MEDIUM).alias("manual_medium"), F.expr(_CAMPAIGN).alias("manual_campaign_name")).alias("collected_traffic_source"),
+        F.struct(F.when(F.col("pseudo").isNull(), "No").otherwise("Yes").alias("analytics_storage"), F.expr(_ADS_STORAGE).alias("ads_storage"), F.when(F.col("pseudo").isNull(), "Yes").otherwise("No").alias("uses_transient_token")).alias("privacy_info"),
+        F.struct(F.expr(_DEVICE).alias("category"), F.expr(_SYSTEM).alias("operating_system"), F.struct(F.expr(_BROWSER).alias("browser")).alias("web_info")).alias("device"),
+        F.struct(F.expr(_COUNTRY).alias("country"), F.expr(_REGION).alias("region"), F.lit("(not set)").alias("city")).alias("geo"), F.lit("WEB").alias("platform"), F.expr(_STREAM).alias("stream_id"),
+        F.concat(F.lit("events_"), F.date_format("ts", "yyyyMMdd")).alias("export_table"), F.expr("CASE WHEN user_id % 3 <> 0 THEN value END").alias("event_value_in_usd"),
+        F.struct(F.expr(_SOURCE).alias("manual_source"), F.expr(_MEDIUM).alias("manual_medium"), F.expr(_CAMPAIGN).alias("manual_campaign_name"), F.expr(_TERM).alias("manual_term")).alias("collected_traffic_source"),
         F.struct(F.expr("CASE WHEN event_id % 11 = 0 THEN 'ads' END").alias("source"), F.expr("CASE WHEN event_id % 11 = 0 THEN 'cpc' END").alias("medium"), F.lit(None).cast("string").alias("campaign")).alias("session_traffic_source_last_click"),
         F.struct(F.expr("CASE WHEN user_id % 4 = 0 THEN 'partner' END").alias("source"), F.expr("CASE WHEN user_id % 4 = 0 THEN 'referral' END").alias("medium"), F.expr("CASE WHEN user_id % 4 = 0 THEN 'p1' END").alias("name")).alias("traffic_source"),
-        F.struct(F.expr(_TRANSACTION).alias("transaction_id"), F.expr(revenue).alias("purchase_revenue_in_usd")).alias("ecommerce"),
+        F.struct(F.expr(_TRANSACTION).alias("transaction_id"), F.expr(revenue).alias("purchase_revenue_in_usd"), bought("CASE WHEN k % 2 = 0 THEN k * 0.5D END", "double").alias("tax_value_in_usd"), bought("k * 0.25D", "double").alias("tax_value"),
+            bought("CASE WHEN k % 3 > 0 THEN 4.5D END", "double").alias("shipping_value_in_usd"), bought("(k % 3 + 1) * (1 + k % 4)", "bigint").alias("total_item_quantity"), bought("k % 3 + 1", "bigint").alias("unique_items")).alias("ecommerce"),
         F.expr(f"CASE WHEN event_type = 'purchase' THEN {item} ELSE array() END").alias("items"),
     )
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 50 == 0, 2).otherwise(1)))).drop("copy")
@@ -162,6 +189,10 @@ def web_export(numbered_events: DataFrame, part: DataFrame) -> DataFrame:
     CASE WHEN event_id % 20 <> 0 THEN 'Yes' ELSE 'No' END AS analytics_storage,
     nullif({_TRANSACTION}, '(not set)') AS transaction_id,
     CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 10 = 0 THEN 0.0::DOUBLE ELSE value::DECIMAL(18,2)::DOUBLE END END AS purchase_revenue_usd,
+    {', '.join(f'{sql} AS {name}' for name, sql in _TEXT_PARAMS.items())}, {_TERM} AS collected_term, {_ADS_STORAGE} AS ads_storage, CASE WHEN event_id % 20 <> 0 THEN 'No' ELSE 'Yes' END AS uses_transient_token,
+    {_DEVICE} AS device_category, {_SYSTEM} AS operating_system, {_BROWSER} AS browser, {_COUNTRY} AS geo_country, {_REGION} AS geo_region, '(not set)' AS geo_city, 'WEB' AS platform, {_STREAM} AS stream_id, 'events_' || strftime(ts, '%Y%m%d') AS export_table,
+    CASE WHEN user_id % 3 <> 0 THEN value END AS event_value_in_usd, CASE WHEN event_type = 'purchase' THEN k * CASE WHEN k % 2 = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END END AS tax_usd, CASE WHEN event_type = 'purchase' AND k % 3 > 0 THEN 4.5::DOUBLE END AS shipping_usd,
+    CASE WHEN event_type = 'purchase' THEN ((k % 3 + 1) * (1 + k % 4))::BIGINT END AS total_item_quantity, CASE WHEN event_type = 'purchase' THEN (k % 3 + 1)::BIGINT END AS unique_items,
     CASE WHEN event_type = 'purchase' THEN k % 3 + 1 ELSE 0 END AS item_count, event_id, k FROM numbered_events""")
 def flat_events(web_export: DataFrame) -> DataFrame:
     from brindle.operators.staging import flatten
