@@ -6,6 +6,8 @@ residual, where each day of the window is predicted by the other days of its wee
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ RULES = {
     "revenue_usd": ("log", None, 0, "both", None, 5.0),
     "conversion_rate": ("linear", "sessions", 30, "both", None, 0.0),
 }
+#: Names the rules that an alert was judged by.
+RULES_VERSION = hashlib.sha256(repr((WINDOW_DAYS, MIN_HISTORY, MIN_WEEKDAY, K, K_CRITICAL, MIN_SPREAD, sorted(RULES.items()))).encode()).hexdigest()[:12]
 _RULES_SQL = ", ".join(f"('{m}', '{s}', {least}, '{d}', {'NULL' if f is None else f}::DOUBLE, {move}::DOUBLE)" for m, (s, _, least, d, f, move) in RULES.items())
 
 
@@ -135,40 +139,63 @@ def bands(judgeable: DataFrame, window: int = WINDOW_DAYS) -> DataFrame:
 
 query("l08_robust_band", "SELECT source, metric, day, history_days, round(center, 6) AS center, round(spread, 6) AS spread FROM bands")(lambda bands: bands.select("source", "metric", "day", "history_days", F.round("center", 6).alias("center"), F.round("spread", 6).alias("spread")))
 
-_ALERT = ["source", "metric", "day", "value", "rule", "direction", "severity"]
+#: What each rule says, in words.
+DETAIL = {"mad": "outside the band of its weekday", "floor": "below its floor", "contract_violation": "events violate a check", "no_data": "no data on a day that was due", "vanished": "no rows of an event that is usual"}
+
+
+def alert(rule: str, direction: Column | str, severity: Column | str, **known: Column) -> list[Column]:
+    """An alert's columns. known: those of expected, band_low, band_high, score, history_days and volume that the rule has; the others are null."""
+    kinds = {"expected": "double", "band_low": "double", "band_high": "double", "score": "double", "history_days": "bigint", "volume": "double"}
+    text = lambda v: F.lit(v) if isinstance(v, str) else v
+    judged = [known.get(c, F.lit(None)).cast(kind) for c, kind in kinds.items()]
+    judged = [(F.round(v, 6) if kind == "double" else v).alias(c) for v, (c, kind) in zip(judged, kinds.items())]
+    return [F.lit(rule).alias("rule"), text(direction).alias("direction"), text(severity).alias("severity"), *judged, F.lit(DETAIL[rule]).alias("detail")]
+
 
+def _judged_sql(rule: str, expected="NULL", low="NULL", high="NULL", score="NULL", history="NULL", volume="NULL") -> str:
+    amounts = ", ".join(f"round(({v})::DOUBLE, 6) AS {c}" for c, v in (("expected", expected), ("band_low", low), ("band_high", high), ("score", score), ("volume", volume)))
+    return f"{amounts}, ({history})::BIGINT AS history_days, '{DETAIL[rule]}' AS detail"
 
-@table(f"""SELECT source, metric, day, value, 'mad' AS rule, CASE WHEN score < 0 THEN 'down' ELSE 'up' END AS direction, CASE WHEN abs(score) >= {K_CRITICAL} THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT *, (y - center) / spread AS score, CASE scale WHEN 'log' THEN exp(center) - {LOG_OFFSET} ELSE center END AS expected FROM bands)
-    WHERE abs(value - expected) >= move AND (floor IS NULL OR value >= floor) AND ((score < -{K} AND direction IN ('down', 'both')) OR (score > {K} AND direction IN ('up', 'both')))""")
+
+
+@table(f"""SELECT source, metric, day, value, 'mad' AS rule, CASE WHEN score < 0 THEN 'down' ELSE 'up' END AS direction, CASE WHEN abs(score) >= {K_CRITICAL} THEN 'critical' ELSE 'warning' END AS severity, {_judged_sql('mad', 'foreseen', 'low', 'high', 'score', 'history_days', 'volume')}
+    FROM (SELECT *, (y - center) / spread AS score, CASE scale WHEN 'log' THEN exp(center) - {LOG_OFFSET} ELSE center END AS foreseen, CASE scale WHEN 'log' THEN exp(center - {K} * spread) - {LOG_OFFSET} ELSE center - {K} * spread END AS low, CASE scale WHEN 'log' THEN exp(center + {K} * spread) - {LOG_OFFSET} ELSE center + {K} * spread END AS high FROM bands)
+    WHERE abs(value - foreseen) >= move AND (floor IS NULL OR value >= floor) AND ((score < -{K} AND direction IN ('down', 'both')) OR (score > {K} AND direction IN ('up', 'both')))""")
 def mad_alerts(bands: DataFrame) -> DataFrame:
     """Days outside K spreads in a direction that their rule minds, that also moved far enough; a day under its floor is the floor rule's."""
     s = bands.withColumn("score", (F.col("y") - F.col("center")) / F.col("spread")).withColumn("expected", inverse(F.col("center")))
     down = (F.col("score") < -K) & F.col("direction").isin("down", "both")
     up = (F.col("score") > K) & F.col("direction").isin("up", "both")
     hit = s.where((F.abs(F.col("value") - F.col("expected")) >= F.col("move")) & (F.col("floor").isNull() | (F.col("value") >= F.col("floor"))) & (down | up))
-    return hit.select("source", "metric", "day", "value", F.lit("mad").alias("rule"), F.when(F.col("score") < 0, "down").otherwise("up").alias("direction"), F.when(F.abs("score") >= K_CRITICAL, "critical").otherwise("warning").alias("severity"))
+    edge = lambda k: inverse(F.col("center") + k * F.col("spread"))
+    direction, severity = F.when(F.col("score") < 0, "down").otherwise("up"), F.when(F.abs("score") >= K_CRITICAL, "critical").otherwise("warning")
+    return hit.select("source", "metric", "day", "value", *alert("mad", direction, severity, expected=F.col("expected"), band_low=edge(-K), band_high=edge(K), score=F.col("score"), history_days=F.col("history_days"), volume=F.col("volume")))
 
 
-@table("SELECT source, metric, day, value, 'floor' AS rule, 'down' AS direction, 'critical' AS severity FROM judgeable WHERE value < floor")
-def floor_alerts(judgeable: DataFrame) -> DataFrame:
-    return judgeable.where("value < floor").select("source", "metric", "day", "value", F.lit("floor").alias("rule"), F.lit("down").alias("direction"), F.lit("critical").alias("severity"))
+@table(f"""SELECT j.source, j.metric, j.day, j.value, 'floor' AS rule, 'down' AS direction, 'critical' AS severity, {_judged_sql('floor', f"CASE j.scale WHEN 'log' THEN exp(center) - {LOG_OFFSET} ELSE center END", 'j.floor', history='history_days', volume='j.volume')}
+    FROM judgeable j LEFT JOIN bands b ON b.source = j.source AND b.metric = j.metric AND b.day = j.day WHERE j.value < j.floor""")
+def floor_alerts(judgeable: DataFrame, bands: DataFrame) -> DataFrame:
+    """Days under their floor; what was expected is known only where the day has enough history for a band."""
+    usual = bands.select("source", "metric", "day", "center", "history_days")
+    low = judgeable.where("value < floor").join(usual, ["source", "metric", "day"], "left")
+    return low.select("source", "metric", "day", "value", *alert("floor", "down", "critical", expected=inverse(F.col("center")), band_low=F.col("floor"), history_days=F.col("history_days"), volume=F.col("volume")))
 
 
-@table("SELECT source, metric, day, value, 'contract_violation' AS rule, 'up' AS direction, CASE WHEN check_kind IN ('pii', 'value_math') OR value >= 0.5 THEN 'critical' ELSE 'warning' END AS severity FROM health_series WHERE status = 'violation'")
+@table(f"SELECT source, metric, day, value, 'contract_violation' AS rule, 'up' AS direction, CASE WHEN check_kind IN ('pii', 'value_math') OR value >= 0.5 THEN 'critical' ELSE 'warning' END AS severity, {_judged_sql('contract_violation', '0', high='0', volume='volume')} FROM health_series WHERE status = 'violation'")
 def contract_alerts(health_series: DataFrame, critical_kinds: tuple[str, ...] = ("pii", "value_math"), critical_rate: float = 0.5) -> DataFrame:
     """From the first day on: a violation needs no history."""
     severity = F.when(F.col("check_kind").isin(*critical_kinds) | (F.col("value") >= critical_rate), "critical").otherwise("warning")
-    return health_series.where("status = 'violation'").select("source", "metric", "day", "value", F.lit("contract_violation").alias("rule"), F.lit("up").alias("direction"), severity.alias("severity"))
+    return health_series.where("status = 'violation'").select("source", "metric", "day", "value", *alert("contract_violation", "up", severity, expected=F.lit(0.0), band_high=F.lit(0.0), volume=F.col("volume")))
 
 
-@table("SELECT source, 'no_data' AS metric, day, 0.0::DOUBLE AS value, 'no_data' AS rule, 'down' AS direction, 'critical' AS severity FROM source_calendar WHERE (source, day) NOT IN (SELECT (source, date) FROM mart_kpi_daily)")
+@table(f"SELECT source, 'no_data' AS metric, day, 0.0::DOUBLE AS value, 'no_data' AS rule, 'down' AS direction, 'critical' AS severity, {_judged_sql('no_data')} FROM source_calendar WHERE (source, day) NOT IN (SELECT (source, date) FROM mart_kpi_daily)")
 def no_data_alerts(source_calendar: DataFrame, mart_kpi_daily: DataFrame) -> DataFrame:
     gone = source_calendar.join(mart_kpi_daily.select("source", F.col("date").alias("day")), ["source", "day"], "left_anti")
-    return gone.select("source", F.lit("no_data").alias("metric"), "day", F.lit(0.0).alias("value"), F.lit("no_data").alias("rule"), F.lit("down").alias("direction"), F.lit("critical").alias("severity"))
+    return gone.select("source", F.lit("no_data").alias("metric"), "day", F.lit(0.0).alias("value"), *alert("no_data", "down", "critical"))
 
 
 @table(f"""WITH f AS (SELECT source, event_name, min(day) AS first FROM event_counts GROUP BY 1, 2), g AS (SELECT f.source, f.event_name, d.date AS day, coalesce(n, 0) AS n FROM f JOIN (SELECT DISTINCT source, date FROM mart_kpi_daily) d ON d.source = f.source AND d.date >= first LEFT JOIN event_counts e ON e.source = f.source AND e.event_name = f.event_name AND e.day = d.date)
-    SELECT g.source, 'events.' || g.event_name AS metric, g.day, 0.0::DOUBLE AS value, 'vanished' AS rule, 'down' AS direction, 'critical' AS severity FROM g JOIN g h ON h.source = g.source AND h.event_name = g.event_name AND h.day < g.day AND h.day >= g.day - {WINDOW_DAYS} WHERE g.n = 0 GROUP BY 1, 2, 3 HAVING count(*) >= 7 AND median(h.n) >= 3""")
+    SELECT g.source, 'events.' || g.event_name AS metric, g.day, 0.0::DOUBLE AS value, 'vanished' AS rule, 'down' AS direction, 'critical' AS severity, {_judged_sql('vanished', 'median(h.n)', history='count(*)')} FROM g JOIN g h ON h.source = g.source AND h.event_name = g.event_name AND h.day < g.day AND h.day >= g.day - {WINDOW_DAYS} WHERE g.n = 0 GROUP BY 1, 2, 3 HAVING count(*) >= 7 AND median(h.n) >= 3""")
 def vanished_alerts(event_counts: DataFrame, mart_kpi_daily: DataFrame, window: int = WINDOW_DAYS, min_days: int = 7, least: float = 3.0) -> DataFrame:
     """Events that a day with data has none of, though the median of the days before it is at least ``least``."""
     first = event_counts.groupBy("source", "event_name").agg(F.min("day").alias("first"))
@@ -176,15 +203,15 @@ def vanished_alerts(event_counts: DataFrame, mart_kpi_daily: DataFrame, window:
     grid = first.join(days, "source").where("day >= first").join(event_counts, ["source", "event_name", "day"], "left").fillna(0.0, ["n"])
     w = Window.partitionBy("source", "event_name").orderBy(F.unix_date("day")).rangeBetween(-window, -1)
     judged = grid.withColumn("history", F.collect_list("n").over(w)).where((F.col("n") == 0) & (F.size("history") >= min_days))
-    gone = judged.where(median(F.col("history")) >= least)
-    return gone.select("source", F.concat(F.lit("events."), "event_name").alias("metric"), "day", F.lit(0.0).alias("value"), F.lit("vanished").alias("rule"), F.lit("down").alias("direction"), F.lit("critical").alias("severity"))
+    gone = judged.withColumn("usual", median(F.col("history"))).where(F.col("usual") >= least)
+    return gone.select("source", F.concat(F.lit("events."), "event_name").alias("metric"), "day", F.lit(0.0).alias("value"), *alert("vanished", "down", "critical", expected=F.col("usual"), history_days=F.size("history")))
 
 
 for _n, _t in (("l09_mad_rule", "mad_alerts"), ("l10_floor_rule", "floor_alerts"), ("l11_contract_rule", "contract_alerts"), ("l12_no_data_rule", "no_data_alerts"), ("l13_vanished_rule", "vanished_alerts")):
     whole_table(_n, _t)
 
 
-@table(" UNION ALL ".join(f"SELECT * FROM {t}" for t in ("mad_alerts", "floor_alerts", "contract_alerts", "no_data_alerts", "vanished_alerts")))
+@table(" UNION ALL BY NAME ".join(f"SELECT * FROM {t}" for t in ("mad_alerts", "floor_alerts", "contract_alerts", "no_data_alerts", "vanished_alerts")))
 def alerts(mad_alerts: DataFrame, floor_alerts: DataFrame, contract_alerts: DataFrame, no_data_alerts: DataFrame, vanished_alerts: DataFrame) -> DataFrame:
     out = mad_alerts
     for more in (floor_alerts, contract_alerts, no_data_alerts, vanished_alerts):
@@ -201,18 +228,29 @@ def fresh(alerts: DataFrame, since: str) -> DataFrame:
 
 
 def upsert_alerts(now: DataFrame, before: DataFrame, at: str) -> DataFrame:
-    """Alerts that fire now, with when each was first detected and when it was last notified of; those that no longer fire are dropped. Equal keys are merged to the most severe."""
+    """Alerts that fire now, with when each was first detected, when it was last told of and how; those that no longer fire are dropped. Equal keys are merged to the most severe."""
     key = ["source", "metric", "day", "rule"]
     one = now.groupBy(*key).agg(F.min("severity").alias("severity"), F.max("value").alias("value"))
-    old = before.select(*key, F.col("first_detected_at").alias("__first"), "notified_at")
-    return one.join(old, key, "left").select(*key, "severity", "value", F.coalesce("__first", F.lit(at).cast("timestamp_ntz")).alias("first_detected_at"), "notified_at")
+    old = before.select(*key, F.col("first_detected_at").alias("__first"), "notified_at", "delivery")
+    moment = F.lit(at).cast("timestamp_ntz")
+    return one.join(old, key, "left").select(
+        *key, "severity", "value", F.lit(RULES_VERSION).alias("rules_version"), moment.alias("detected_at"), F.coalesce("__first", moment).alias("first_detected_at"), "notified_at", "delivery",
+    )
+
+
+def told(state: DataFrame, at: str, delivery: str, since: str) -> DataFrame:
+    """The state after a delivery: alerts that were not told of yet are now, but for those about days before ``since``, which are no news."""
+    news = F.col("notified_at").isNull() & (F.col("day") >= F.lit(since).cast("date"))
+    return state.withColumns({"delivery": F.when(news, delivery).otherwise(F.col("delivery")), "notified_at": F.when(news, F.lit(at).cast("timestamp_ntz")).otherwise(F.col("notified_at"))})
 
 
-@query("l16_upsert", "SELECT source, metric, day, rule, min(severity) AS severity, CASE WHEN day < DATE '2024-01-20' THEN TIMESTAMP '2024-01-20 06:00:00' ELSE TIMESTAMP '2024-01-31 06:00:00' END AS first_detected_at, CASE WHEN day < DATE '2024-01-20' THEN TIMESTAMP '2024-01-20 07:00:00' END AS notified_at FROM alerts GROUP BY 1, 2, 3, 4")
+@query("l16_upsert", f"""SELECT source, metric, day, rule, min(severity) AS severity, '{RULES_VERSION}' AS rules_version, TIMESTAMP '2024-01-31 06:00:00' AS detected_at, CASE WHEN day < DATE '2024-01-20' THEN TIMESTAMP '2024-01-20 06:00:00' ELSE TIMESTAMP '2024-01-31 06:00:00' END AS first_detected_at,
+    CASE WHEN day < DATE '2024-01-20' THEN TIMESTAMP '2024-01-20 07:00:00' WHEN day >= DATE '2024-01-25' THEN TIMESTAMP '2024-01-31 06:05:00' END AS notified_at, CASE WHEN day < DATE '2024-01-20' THEN 'webhook' WHEN day >= DATE '2024-01-25' THEN 'log' END AS delivery FROM alerts GROUP BY 1, 2, 3, 4""")
 def upserted(alerts: DataFrame) -> DataFrame:
-    """Onto the state of an earlier run that had seen the days before the 20th."""
-    before = alerts.where("day < DATE'2024-01-20'").select("source", "metric", "day", "rule").distinct().withColumn("first_detected_at", F.lit("2024-01-20 06:00:00").cast("timestamp_ntz")).withColumn("notified_at", F.lit("2024-01-20 07:00:00").cast("timestamp_ntz"))
-    return upsert_alerts(alerts, before, "2024-01-31 06:00:00").drop("value")
+    """Onto the state of an earlier run that had seen the days before the 20th; then what is new and fresh is logged."""
+    seen = {"first_detected_at": F.lit("2024-01-20 06:00:00").cast("timestamp_ntz"), "notified_at": F.lit("2024-01-20 07:00:00").cast("timestamp_ntz"), "delivery": F.lit("webhook")}
+    before = alerts.where("day < DATE'2024-01-20'").select("source", "metric", "day", "rule").distinct().withColumns(seen)
+    return told(upsert_alerts(alerts, before, "2024-01-31 06:00:00"), "2024-01-31 06:05:00", "log", "2024-01-25").drop("value")
 
 
 @query("l17_digest", "SELECT source, metric, count(*) AS days, min(severity) AS worst, row_number() OVER (ORDER BY min(severity), count(*) DESC, source, metric)::INT AS line FROM alerts GROUP BY 1, 2 QUALIFY line <= 20")

@@ -5,6 +5,7 @@ The registered queries run them over tables in which the given data, or a stated
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,33 +139,77 @@ def kpi_reconciles(mart_kpi_daily: DataFrame, fct_orders: DataFrame) -> DataFram
 
 @dataclass(frozen=True)
 class FieldRule:
-    """What an event must hold. kind: required, format (a pattern), or value_math (a condition)."""
+    """What an event must hold. kind: required, format (a pattern, a length, listed values), or value_math (bounds and steps of a number)."""
 
     event: str
     kind: str
     field: str
-    condition: str = ""  # SQL that holds for a good value; both engines read it
+    condition: str = ""  # SQL that holds for a good value; MATCHES stands for the engine's regular expression test
 
     @property
     def name(self) -> str:
         return f"{self.kind}:{self.field}"
 
-    def violated(self) -> str:
+    def violated(self, matches: str = "regexp_like") -> str:
         if self.kind == "required":
             return f"({self.field} IS NULL)"
-        return f"({self.field} IS NOT NULL AND NOT ({self.condition}))"
-
-
-CONTRACT = (
-    FieldRule("purchase", "required", "transaction_id"),
-    FieldRule("purchase", "format", "transaction_id", "length(transaction_id) <= 5 AND transaction_id LIKE '_%'"),
-    FieldRule("purchase", "value_math", "purchase_revenue_usd", "purchase_revenue_usd > 0 AND purchase_revenue_usd < 200"),
-    FieldRule("login", "required", "user_id"),
-    FieldRule("login", "required", "method"),
-    FieldRule("page_view", "required", "collected_source"),
-    FieldRule("page_view", "format", "page_location", "page_location LIKE 'https://%'"),
-    FieldRule("view_item", "required", "user_pseudo_id"),
-)
+        return f"({self.field} IS NOT NULL AND NOT ({self.condition.replace('MATCHES', matches)}))"
+
+
+#: A JSON schema of each event: what its fields must be.
+CONTRACT_SCHEMA = """{
+  "purchase": {
+    "required": ["transaction_id"],
+    "properties": {
+      "transaction_id": {"type": "string", "minLength": 1, "maxLength": 5},
+      "purchase_revenue_usd": {"type": "number", "exclusiveMinimum": 0, "exclusiveMaximum": 200},
+      "currency": {"type": "string", "pattern": "^[A-Z]{3}$", "enum": ["USD"]},
+      "shipping_usd": {"type": "number", "minimum": 0, "multipleOf": 0.01}
+    }
+  },
+  "login": {"required": ["user_id", "method"], "properties": {"method": {"enum": ["password", "link"]}}},
+  "page_view": {"required": ["collected_source", "page_title"], "properties": {"page_location": {"type": "string", "pattern": "^https://"}}},
+  "view_item": {"required": ["user_pseudo_id", "item_list_id"]}
+}"""
+
+
+def _value(v) -> str:
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+
+
+def field_conditions(field: str, spec: dict) -> list[tuple[str, str]]:
+    """(kind, condition) for what a JSON schema says of one field: its text in one check, its number in another."""
+    text = {
+        "minLength": lambda v: f"length({field}) >= {v}",
+        "maxLength": lambda v: f"length({field}) <= {v}",
+        "pattern": lambda v: f"MATCHES({field}, {_value(v)})",
+        "enum": lambda v: f"{field} IN ({', '.join(map(_value, v))})",
+        "const": lambda v: f"{field} = {_value(v)}",
+    }
+    number = {
+        "minimum": lambda v: f"{field} >= {v}",
+        "maximum": lambda v: f"{field} <= {v}",
+        "exclusiveMinimum": lambda v: f"{field} > {v}",
+        "exclusiveMaximum": lambda v: f"{field} < {v}",
+        "multipleOf": lambda v: f"abs({field} / {v} - round({field} / {v})) < 1e-6",
+    }
+    unknown = set(spec) - set(text) - set(number) - {"type", "description"}
+    if unknown:
+        raise ValueError(f"the contract says {sorted(unknown)} of {field}, which is not known here")
+    found = [(kind, " AND ".join(says[k](v) for k, v in spec.items() if k in says)) for kind, says in (("format", text), ("value_math", number))]
+    return [(kind, condition) for kind, condition in found if condition]
+
+
+def rules_of(schema: str) -> tuple[FieldRule, ...]:
+    """The checks that a contract asks for: each required field, and each field's text and number."""
+    rules = []
+    for event, spec in json.loads(schema).items():
+        rules += [FieldRule(event, "required", field) for field in spec.get("required", ())]
+        rules += [FieldRule(event, kind, field, condition) for field, says in spec.get("properties", {}).items() for kind, condition in field_conditions(field, says)]
+    return tuple(rules)
+
+
+CONTRACT = rules_of(CONTRACT_SCHEMA)
 CONTRACT_SOURCES = ("store_a",)
 #: (source, event pattern, check pattern, reason): violations that are known and accepted.
 EXPECTATIONS = (("store_b", "%", "required:%", "not tagged to the contract"), ("store_a", "(session)", "attribution:%", "sessions without a source"), ("store_b", "(session)", "attribution:%", "sessions without a source"))
@@ -176,7 +221,7 @@ def contract_checks(rules=CONTRACT) -> Column:
     return F.array_compact(F.array(*[F.when(F.col("event_name") == r.event, row(r)) for r in rules]))
 
 
-_CHECKS_SQL = " UNION ALL ".join(f"SELECT event_date AS date, source, event_name, '{r.name}' AS check_name, '{r.kind}' AS check_kind, '{r.field}' AS field, {r.violated()} AS violated, event_key FROM stg_events WHERE event_name = '{r.event}'" for r in CONTRACT)
+_CHECKS_SQL = " UNION ALL ".join(f"SELECT event_date AS date, source, event_name, '{r.name}' AS check_name, '{r.kind}' AS check_kind, '{r.field}' AS field, {r.violated('regexp_matches')} AS violated, event_key FROM stg_events WHERE event_name = '{r.event}'" for r in CONTRACT)
 
 
 @query("j18_contract_checks", f"SELECT event_key, check_name, violated FROM ({_CHECKS_SQL})")
@@ -264,7 +309,7 @@ def contract_pii(stg_events: DataFrame, columns: tuple[str, ...] = ("page_locati
     return stg_events.select("event_key", found.alias("has_pii"))
 
 
-@query("j21_expected_checks", "SELECT e.event_name, n AS expected, coalesce(m.k, 0) AS present FROM (VALUES ('purchase', 3), ('login', 2), ('page_view', 2), ('view_item', 1)) e(event_name, n) LEFT JOIN (SELECT event_name, count(DISTINCT check_name) AS k FROM mart_tag_health_daily WHERE check_kind IN ('required', 'format', 'value_math') AND source = 'store_b' GROUP BY 1) m USING (event_name) WHERE n <> coalesce(m.k, 0)")
+@query("j21_expected_checks", "SELECT e.event_name, n AS expected, coalesce(m.k, 0) AS present FROM (VALUES ('purchase', 5), ('login', 3), ('page_view', 3), ('view_item', 2)) e(event_name, n) LEFT JOIN (SELECT event_name, count(DISTINCT check_name) AS k FROM mart_tag_health_daily WHERE check_kind IN ('required', 'format', 'value_math') AND source = 'store_b' GROUP BY 1) m USING (event_name) WHERE n <> coalesce(m.k, 0)")
 def expected_checks(mart_tag_health_daily: DataFrame, source: str = "store_b") -> DataFrame:
     """Rules of the contract that no event of a source was checked by; a check that stops running would be found here."""
     counts: dict[str, int] = {}

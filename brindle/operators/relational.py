@@ -218,8 +218,14 @@ def covered_costs(campaign_costs: DataFrame, flat_events: DataFrame) -> DataFram
 
 
 def look_back(events: DataFrame, earlier: DataFrame, on: list[str], at: str, earlier_at: str, days: int) -> DataFrame:
-    """Rows of ``events`` with each row of ``earlier`` of the same keys whose time lies in [at - days, at]: an equi-join with a bound."""
-    pairs = events.join(earlier, on)
+    """Rows of ``events`` with each row of ``earlier`` of the same keys whose time lies in [at - days, at].
+
+    Time is cut into spans of ``days``, so what a row looks back on lies in its own span or the one before: an equi-join on keys and span.
+    A key with a long history is spread over its spans, and rows far apart in time are never paired.
+    """
+    span = lambda c: F.floor(F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) / max(days, 1)).cast("int")
+    asked = events.withColumn("__span", F.explode(F.array(span(at), span(at) - 1)))
+    pairs = asked.join(earlier.withColumn("__span", span(earlier_at)), [*on, "__span"]).drop("__span")
     return pairs.where((F.col(earlier_at) <= F.col(at)) & (F.col(earlier_at) >= F.col(at) - F.expr(f"INTERVAL {days} DAYS")))
 
 

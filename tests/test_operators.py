@@ -1,7 +1,8 @@
 """Hand-made rows for the edges that the given tables lack."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import attribution, ledger, monitoring, orders, quality, relational, staging
@@ -36,9 +37,9 @@ def test_transfers_promise_stock_in_turn(spark):
 
 def test_attribution_weights(spark):
     def journey(n, direct=()):
-        return [("s", f"o{n}", date(2024, 1, 9), at(9), 10.0, i == n, f"k{i}", at(i), "x", "y", "z", i, n, i in direct, float(n - i), True) for i in range(1, n + 1)]
+        return [("s", f"o{n}", date(2024, 1, 9), at(9), 10.0, i == n, f"k{i}", at(i), "x", "y", "z", i, n, i in direct, float(n - i), True, "p", f"k{n}") for i in range(1, n + 1)]
 
-    columns = "source string, order_id string, order_date date, ordered_at timestamp_ntz, revenue double, own boolean, session_key string, session_start_at timestamp_ntz, session_source string, session_medium string, session_campaign string, position int, touches int, direct boolean, days_before double, complete boolean"
+    columns = "source string, order_id string, order_date date, ordered_at timestamp_ntz, revenue double, own boolean, session_key string, session_start_at timestamp_ntz, session_source string, session_medium string, session_campaign string, position int, touches int, direct boolean, days_before double, complete boolean, person_id string, order_session_key string"
     touches = spark.createDataFrame(journey(1) + journey(2) + journey(3, direct=(3,)) + journey(5, direct=(1, 2, 3, 4, 5)), columns)
     a = attribution.fct_attribution(touches)
     assert attribution.gate(a).count() == 0
@@ -101,3 +102,36 @@ def test_exact_sum_does_not_depend_on_partitions(spark):
     df = spark.range(2000).select(((F.col("id") * 37 % 1000) / 7.0).alias("x"))
     sums = {df.repartition(n).agg(relational.exact_sum(F.col("x")).alias("s")).first()[0] for n in (1, 3, 8)}
     assert len(sums) == 1
+
+
+def test_a_contract_becomes_checks(spark):
+    rules = quality.rules_of('{"purchase": {"required": ["id"], "properties": {"id": {"minLength": 1, "maxLength": 3, "pattern": "^[A-Z]"}, "paid": {"minimum": 0, "multipleOf": 0.01}}}}')
+    assert [r.name for r in rules] == ["required:id", "format:id", "value_math:paid"]
+    t = spark.createDataFrame([("purchase", "A1", 2.5), ("purchase", "", -1.0), ("purchase", "ABCD", 0.001), ("purchase", None, None), ("other", None, None)], "event_name string, id string, paid double")
+    found = t.select("id", F.inline(quality.contract_checks(rules))).where("violated")
+    assert rows(found, "id", "check_name") == sorted([("", "format:id"), ("", "value_math:paid"), ("ABCD", "format:id"), ("ABCD", "value_math:paid"), (None, "required:id")], key=repr)
+
+
+def test_a_contract_with_an_unknown_word_is_refused():
+    with pytest.raises(ValueError, match="uniqueItems"):
+        quality.rules_of('{"purchase": {"properties": {"id": {"uniqueItems": true}}}}')
+
+
+def test_look_back_over_spans_equals_all_pairs(spark):
+    minutes = [i * 1_013 for i in range(120)]
+    asked = spark.createDataFrame([(k, i, datetime(1969, 12, 20) + timedelta(minutes=m)) for k in "ab" for i, m in enumerate(minutes)], "k string, i int, at timestamp_ntz")
+    seen = spark.createDataFrame([(k, i, datetime(1969, 12, 18) + timedelta(minutes=m)) for k in "ac" for i, m in enumerate(minutes)], "k string, j int, seen timestamp_ntz")
+    for days in (1, 3, 30):
+        expected = asked.join(seen, "k").where(f"seen <= at AND seen >= at - INTERVAL {days} DAYS")
+        got = relational.look_back(asked, seen, ["k"], "at", "seen", days)
+        assert got.columns == expected.columns and rows(got, "k", "i", "j") == rows(expected, "k", "i", "j")
+
+
+def test_alerts_are_told_of_once(spark):
+    now = spark.createDataFrame([("s", "m", date(2024, 1, d), "floor", sev, 1.0) for d, sev in ((1, "warning"), (1, "critical"), (2, "warning"), (9, "warning"))], "source string, metric string, day date, rule string, severity string, value double")
+    before = now.where("day = DATE'2024-01-02'").select("source", "metric", "day", "rule").withColumns({"first_detected_at": F.lit(at(3)), "notified_at": F.lit(at(4)), "delivery": F.lit("webhook")})
+    state = monitoring.told(monitoring.upsert_alerts(now, before, "2024-01-10"), "2024-01-11", "log", "2024-01-05")
+    assert rows(state, "day", "severity", "first_detected_at", "notified_at", "delivery") == [
+        (date(2024, 1, 1), "critical", at(10), None, None), (date(2024, 1, 2), "warning", at(3), at(4), "webhook"), (date(2024, 1, 9), "warning", at(10), at(11), "log")]
+    later = monitoring.told(monitoring.upsert_alerts(now, state, "2024-01-12"), "2024-01-13", "webhook", "2024-01-05")
+    assert rows(later, "day", "notified_at", "delivery") == rows(state, "day", "notified_at", "delivery")
