@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators.ledger import KEY, delta
 from brindle.registry import query
+from brindle.session import kept
 from brindle.sources.io import work_folder
 
 
@@ -31,9 +32,17 @@ def drained(stream: DataFrame, mode: str, each=None) -> str:
 
 def last_state(state: DataFrame, keys: list[str]) -> DataFrame:
     """What a stream of aggregates in state ends with: each batch writes the keys that it changed beside its number, and a key's row of its latest batch counts."""
-    out = drained(state, "update", lambda df, n, path: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(path))
-    values = [c for c in state.columns if c not in keys]
-    latest = state.sparkSession.read.parquet(out).groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("b"))
+    return latest_rows(state.sparkSession.read.parquet(drained(state, "update", numbered)), keys)
+
+
+def numbered(changed: DataFrame, batch: int, path: str) -> None:
+    changed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)
+
+
+def latest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's row of its latest batch."""
+    values = [c for c in changes.columns if c not in (*keys, "batch")]
+    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("b"))
     return latest.select(*keys, *[F.col(f"b.{c}").alias(c) for c in values])
 
 
@@ -64,21 +73,42 @@ def daily(rows: DataFrame, at: str, keys: list[str], aggs: list, late: str = "4
     return rows.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late).groupBy(F.window("__at", "1 day"), *keys).agg(*aggs)
 
 
-def _complete(stream: DataFrame) -> DataFrame:
-    """The last state of a stream of aggregates."""
-    return stream.sparkSession.read.parquet(drained(stream, "complete", lambda df, n, path: df.write.mode("overwrite").parquet(path)))
+def arriving(rows: DataFrame, at: str, parts: int = 4) -> list[DataFrame]:
+    """A table in parts by time, as it would have arrived; rows without a time come last. Only the bounds of the parts are read here."""
+    rows = kept(rows)
+    moment = F.unix_micros(F.col(at).cast("timestamp"))
+    bounds = rows.agg(F.percentile_approx(moment, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = F.when(moment.isNull(), len(bounds)).otherwise(sum((F.when(moment > b, 1).otherwise(0) for b in bounds), F.lit(0)))
+    return [rows.where(part == i) for i in range(len(bounds) + 1)]
+
+
+def fed(arrivals: list[DataFrame], state, keys: list[str]) -> DataFrame:
+    """What state(stream), an aggregate with a watermark, ends with when the arrivals come one after another; the stream stops and goes on between them.
+
+    In update mode a batch writes only the keys that it changed, and state behind the watermark is let go.
+    """
+    spark = arrivals[0].sparkSession
+    base = work_folder(spark)
+    for part in arrivals:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = state(spark.readStream.schema(part.schema).parquet(f"{base}/in"))
+        writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        writer.foreachBatch(lambda df, n: numbered(df, n, f"{base}/out")).start().awaitTermination()
+    return latest_rows(spark.read.parquet(f"{base}/out"), keys)
 
 
 @query("o03_streaming_daily_rollup", "SELECT created_at::DATE AS day, movement_type, count(*) AS movements, sum(quantity)::BIGINT AS quantity FROM stock_movements GROUP BY 1, 2")
 def daily_rollup_from_stream(spark: SparkSession, stock_movements: DataFrame) -> DataFrame:
-    rows = streamed(spark, stock_movements.select("movement_type", "quantity", "created_at"))
-    got = _complete(daily(rows, "created_at", ["movement_type"], [F.count("*").alias("movements"), F.sum("quantity").alias("quantity")]))
+    rows = arriving(stock_movements.select("movement_type", "quantity", "created_at"), "created_at")
+    aggs = [F.count("*").alias("movements"), F.sum("quantity").alias("quantity")]
+    got = fed(rows, lambda stream: daily(stream, "created_at", ["movement_type"], aggs), ["window", "movement_type"])
     return got.select(F.col("window.start").cast("date").alias("day"), "movement_type", "movements", "quantity")
 
 
 @query("o04_streaming_device_days", "SELECT source, user_pseudo_id, event_date, array_to_string(user_ids, ',') AS user_ids, first_seen_at, last_seen_at, events FROM int_device_days")
 def device_days_from_stream(spark: SparkSession, flat_events: DataFrame) -> DataFrame:
-    rows = streamed(spark, flat_events.where("user_pseudo_id IS NOT NULL").select("source", "user_pseudo_id", "user_id", "event_timestamp"))
+    rows = arriving(flat_events.where("user_pseudo_id IS NOT NULL").select("source", "user_pseudo_id", "user_id", "event_timestamp"), "event_timestamp")
     aggs = [F.array_sort(F.collect_set("user_id")).alias("user_ids"), F.min("event_timestamp").alias("first_seen_at"), F.max("event_timestamp").alias("last_seen_at"), F.count("*").alias("events")]
-    got = _complete(daily(rows, "event_timestamp", ["source", "user_pseudo_id"], aggs))
+    keys = ["source", "user_pseudo_id"]
+    got = fed(rows, lambda stream: daily(stream, "event_timestamp", keys, aggs), ["window", *keys])
     return got.select("source", "user_pseudo_id", F.col("window.start").cast("date").alias("event_date"), F.array_join("user_ids", ",").alias("user_ids"), "first_seen_at", "last_seen_at", "events")

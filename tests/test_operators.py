@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import attribution, ledger, monitoring, orders, quality, relational, staging
 from brindle.sources import io
+from brindle.streaming import twins
 
 
 def rows(df, *columns):
@@ -135,3 +136,19 @@ def test_alerts_are_told_of_once(spark):
         (date(2024, 1, 1), "critical", at(10), None, None), (date(2024, 1, 2), "warning", at(3), at(4), "webhook"), (date(2024, 1, 9), "warning", at(10), at(11), "log")]
     later = monitoring.told(monitoring.upsert_alerts(now, state, "2024-01-12"), "2024-01-13", "webhook", "2024-01-05")
     assert rows(later, "day", "notified_at", "delivery") == rows(state, "day", "notified_at", "delivery")
+
+
+def test_rows_behind_the_watermark_are_left_out_and_late_ones_counted(spark):
+    part = lambda *data: spark.createDataFrame(data, "kind string, n int, at timestamp_ntz")
+    arrivals = [part(("a", 1, at(1)), ("a", 2, at(10))), part(("a", 4, at(8, 5)), ("a", 8, at(2)), ("b", 16, at(10)), ("a", 32, at(10, 7)))]
+    state = lambda stream: twins.daily(stream, "at", ["kind"], [F.sum("n").alias("n"), F.count("*").alias("rows")])
+    got = twins.fed(arrivals, state, ["window", "kind"]).withColumn("day", F.dayofmonth("window.start"))
+    assert rows(got, "day", "kind", "n", "rows") == sorted([(1, "a", 1, 1), (8, "a", 4, 1), (10, "a", 34, 2), (10, "b", 16, 1)], key=repr)
+
+
+def test_parts_arrive_in_order_and_are_the_whole(spark):
+    table = spark.createDataFrame([(i, at(1 + i % 20)) for i in range(50)] + [(50, None)], "i int, at timestamp_ntz")
+    parts = [rows(p, "at", "i") for p in twins.arriving(table, "at")]
+    assert sorted(r for p in parts for r in p if r[0]) == sorted(r for r in rows(table, "at", "i") if r[0]) and sum(map(len, parts)) == 51
+    assert all(max(r[0] for r in a if r[0]) < min(r[0] for r in b if r[0]) for a, b in zip(parts, parts[1:]))
+    assert [p.count() for p in twins.arriving(table.limit(0), "at")] == [0]
