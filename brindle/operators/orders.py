@@ -164,7 +164,7 @@ def fct_orders(int_purchases: DataFrame, fct_sessions: DataFrame, int_identity:
     known AS (SELECT bought.*, coalesce(asked, c.price_usd) AS price_usd, source = 'store_a' AND c.price_usd IS NOT NULL AS ours, CASE WHEN source = 'store_a' THEN c.unit_cost_usd END AS unit_cost FROM bought LEFT JOIN catalog c USING (item_id)),
     priced AS (SELECT *, coalesce(told, price_usd * quantity) AS paid FROM known),
     earned AS (SELECT *, unit_cost * quantity AS spent, paid - unit_cost * quantity AS left_over FROM priced)
-    SELECT source, order_id, line_number, order_date, ordered_at, person_id, session_key, item_id, item_name, item_brand, item_variant, item_category, quantity, price_usd, paid AS line_revenue_usd, ours AS is_catalog_product, unit_cost AS unit_cost_usd, round(spent, 2) AS line_cost_usd, round(left_over, 2) AS gross_margin_usd, CASE WHEN paid <> 0 THEN round(left_over / paid, 4) END AS gross_margin_rate FROM earned""")
+    SELECT source, order_id, line_number, order_date, ordered_at, person_id, session_key, item_id, item_name, item_brand, item_variant, item_category, quantity, price_usd, paid AS line_revenue_usd, ours AS is_catalog_product, unit_cost AS unit_cost_usd, round(spent, 2) AS line_cost_usd, round(left_over, 2) AS gross_margin_usd, floor(left_over / nullif(paid, 0) * 10000 + 0.5) / 10000.0 AS gross_margin_rate FROM earned""")
 def fct_order_items(fct_orders: DataFrame, stg_items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Order lines, at the price that the item was sold for, else the catalog's; cost and margin only where the store's items are the catalog's."""
     lines = fct_orders.select("source", "order_id", "order_date", "ordered_at", "person_id", "session_key", F.col("purchase_event_key").alias("event_key")).join(stg_items.drop("event_date"), ["source", "event_key"])
@@ -176,7 +176,8 @@ def fct_order_items(fct_orders: DataFrame, stg_items: DataFrame, catalog: DataFr
         "source", "order_id", (F.col("item_index") + 1).alias("line_number"), "order_date", "ordered_at", "person_id", "session_key", "item_id", "item_name", "item_brand", "item_variant", "item_category", "quantity", "price_usd",
         F.coalesce("item_revenue_usd", F.col("price_usd") * F.col("quantity")).alias("line_revenue_usd"), (own & F.col("__listed").isNotNull()).alias("is_catalog_product"), F.when(own, F.col("unit_cost_usd")).alias("unit_cost_usd"),
     )
-    return rows.select("*", F.round(cost, 2).alias("line_cost_usd"), F.round(revenue - cost, 2).alias("gross_margin_usd"), F.round(F.try_divide(revenue - cost, revenue), 4).alias("gross_margin_rate"))
+    rows = rows.withColumn("__left", revenue - cost)
+    return rows.select("*", F.round(cost, 2).alias("line_cost_usd"), F.round("__left", 2).alias("gross_margin_usd"), money_rate("__left", "line_revenue_usd").alias("gross_margin_rate")).drop("__left")
 
 
 @table("""SELECT date, source, session_source, session_medium, session_campaign, coalesce(sessions, 0)::BIGINT AS sessions, coalesce(engaged_sessions, 0)::BIGINT AS engaged_sessions, coalesce(orders, 0)::BIGINT AS orders, coalesce(revenue_usd, 0) AS revenue_usd, cost_usd,
