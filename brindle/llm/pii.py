@@ -443,6 +443,7 @@ def replaced(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
     out = without(docs, [f"n_{t}" for t in TYPES])
     good = checked_key(docs, key, text_col)
-    got = out.withColumn("__r", _replacer(good)(F.col(f"`{text_col}`")))
-    columns = [F.col("__r.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in out.columns]
-    return got.select(*columns, *[F.col("__r.counts")[i].cast("long").alias(f"n_{t}") for i, t in enumerate(TYPES)])
+    done = "__r" + "_" * max(map(len, out.columns))  # longer than any name that the rows have
+    got = out.withColumn(done, _replacer(good)(F.col(f"`{text_col}`")))
+    columns = [F.col(f"{done}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in out.columns]
+    return got.select(*columns, *[F.col(f"{done}.counts")[i].cast("long").alias(f"n_{t}") for i, t in enumerate(TYPES)])

@@ -481,3 +481,18 @@ def test_pipeline_equals_its_stages_one_by_one(spark, sf_dir, model):
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == {i: model.encode(replaced(t)) for i, t in kept.items()}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_with_nulls_copies_and_clashing_columns(spark, sf_dir):
+    given = docs(spark, None, "", "write to jo.doe@mail.example about the seven green boats", "write to jo.doe@mail.example about the seven green boats", "a quite different text of its own words here")
+    given = given.withColumns({c: F.col("doc_id") + 100 for c in ("__r", "__fp", "fp", "n_hit", "component_id", "counts")})
+    left = corpus_pipeline.drop_near_copies(spark, given, sf_dir)
+    assert left.columns == given.columns and {r["doc_id"] for r in left.collect()} == {0, 2, 4}
+    clean = corpus_pipeline.drop_contaminated(spark, left, sf_dir)
+    assert clean.columns == given.columns and {r["doc_id"] for r in clean.collect()} == {0, 2, 4}
+    got = corpus_pipeline.replace_personal_data(spark, clean, sf_dir)
+    assert got.columns == given.columns
+    by_id = {r["doc_id"]: r for r in got.collect()}
+    assert by_id[0]["text"] is None and "jo.doe@" not in by_id[2]["text"] and by_id[4]["text"] == "a quite different text of its own words here"
+    assert all(r["__r"] == i + 100 and r["__fp"] == i + 100 and r["n_hit"] == i + 100 for i, r in by_id.items())
+    assert corpus_pipeline.replace_personal_data(spark, corpus_pipeline.drop_near_copies(spark, given.limit(0), sf_dir), sf_dir).count() == 0
