@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat_format, decontamination, licenses, pii, quality, sentencepiece_bpe, simhash, toxicity, vector_search, warc_fixity
+from brindle.llm import chat_format, decontamination, hard_negatives, language_id, licenses, pii, quality, sentencepiece_bpe, simhash, toxicity, vector_codes, vector_search, warc_fixity
 from brindle.llm.common import table
 
 
@@ -68,6 +68,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("n_entities", sum(F.col(f"n_{t}") for t in pii.TYPES))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", changed))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -79,8 +93,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_language_id": op13_language_id,
 }
 
+#: A vector that takes part in op11 and op12.
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Plain rounds: every part is compared with every entry each time."""
+    steps = [
+        f"""rows AS MATERIALIZED (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS i, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE {_FINITE}
+        )""",
+        "parts AS MATERIALIZED (SELECT i, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM rows, range(4) AS t(p))",
+        "book0 AS MATERIALIZED (SELECT p, i - 1 AS e, x AS c FROM parts WHERE i <= 256)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+            SELECT i, p, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := e)) AS best FROM parts JOIN book{r} USING (p) GROUP BY i, p
+        )""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+                SELECT p, e, coalesce(n.c, b.c) AS c FROM book{r} b LEFT JOIN (
+                    SELECT p, e, list(m ORDER BY k) AS c FROM (
+                        SELECT p, best.e AS e, k, floor(sum(x[k]) / count(*)) AS m FROM near{r} JOIN parts USING (i, p), range(1, 1 + (SELECT max(len(v)) // 4 FROM rows)) AS t(k) GROUP BY 1, 2, 3
+                    ) GROUP BY p, e
+                ) n USING (p, e)
+            )""")
+    return f"""
+        WITH {", ".join(steps)}, coded AS (
+            SELECT i, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY i
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded JOIN rows USING (i)
+    """
+
+
 #: A control string, escaped or not, in a text; the formatter escapes texts that hold one.
 _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|OUT\]|/?R:)"
 
@@ -105,4 +157,19 @@ ORACLE_SQL: dict[str, str] = {
             sum(chars)::BIGINT AS formatted_chars
         FROM parts GROUP BY conv_id
     """,
+    "op11_hard_negatives": f"""
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+        ), scores AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+            FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+        ), positives AS (
+            SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id))::INT AS rank,
+            n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n USING (anchor_id) WHERE NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5
+    """,
+    "op12_vector_codes": _codes_sql(),
 }

@@ -1,0 +1,232 @@
+"""Hard negatives, vector codes and language identification against plain one-process versions, and on nulls, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.llm import hard_negatives, language_id, vector_codes
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+# --- hard negatives -------------------------------------------------------------------------------
+
+
+def plain_negatives(rows, every):
+    rows = {(i, tuple(v), y) for i, v, y in rows if i is not None and y is not None and v is not None and all(x is not None and math.isfinite(x) and math.isfinite(256 * x) for x in v)}
+    rows = [min((x for x in rows if x[0] == i), key=lambda x: (x[1], x[2])) for i in {x[0] for x in rows}]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows}
+    label = {i: y for i, _, y in rows}
+    long = 2**63 - 1
+    score = lambda a, b: min(max(sum(x * y for x, y in zip(whole[a], whole[b])), -long), long)
+    out = set()
+    for a in whole:
+        if a % every:
+            continue
+        others = [(-score(a, b), b) for b in whole if b != a and len(whole[b]) == len(whole[a])]
+        for p, pid in sorted(x for x in others if label[x[1]] == label[a])[:5]:
+            found = sorted(x for x in others if label[x[1]] != label[a] and 80 * -p <= 100 * -x[0] <= 100 * -p)[:5]
+            out |= {(a, pid, r + 1, n, -p, -s) for r, (s, n) in enumerate(found)}
+    return out
+
+
+def mined(df, **how):
+    got = hard_negatives.mined(df, **how)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_hard_negatives_equal_scoring_everything(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(6, 8))
+    rows = [(i, (centres[i % 6] + 0.2 * rnd.normal(size=8)).round(2).tolist(), int(rnd.integers(0, 3))) for i in range(400)]
+    rows += [(400 + i, rows[i % 3][1], i % 3) for i in range(60)]  # equal vectors: ties of scores
+    rows += rows[:20] + [(7, [0.0] * 8, 1)]  # repeated rows, and an id with two vectors
+    rows += [(None, [1.0] * 8, 1), (900, None, 1), (910, [1.0] * 7 + [None], 1), (920, [math.inf] + [1.0] * 7, 1), (930, [math.nan] + [1.0] * 7, 1), (940, [1.0] * 8, None), (950, [], 0), (960, [], 1), (970, [], 0)]
+    rows += [(1000 + i, [float(i), 1.0], i % 2) for i in range(20)]  # another dimension
+    df = spark.createDataFrame(rows, VECTORS)
+    expected = plain_negatives(rows, 10)
+    assert len(expected) > 200
+    clash = df.withColumns({c: F.lit("x") for c in ("dim", "block", "shard", "score", "rank", "anchor_id", "positives")})
+    assert mined(clash, every=10) == expected
+    assert mined(df.repartition(5), every=10, block_rows=7, shard_rows=50) == expected  # many blocks and shards
+
+
+def test_hard_negatives_of_very_large_components(spark):
+    rows = [(i, [1e9 * (i % 3 - 1), 3e8 + i, 1e-3 * i], i % 2) for i in range(40)] + [(40 + i, [1e300, float(i), 0.0], i % 2) for i in range(4)]
+    assert mined(spark.createDataFrame(rows, VECTORS), every=4) == plain_negatives(rows, 4)
+
+
+def test_hard_negatives_without_rows_or_positives(spark):
+    assert mined(spark.createDataFrame([], VECTORS)) == set()
+    assert mined(spark.createDataFrame([(0, [1.0], 1), (1, [1.0], 2)], VECTORS)) == set()
+
+
+def test_bounds_of_the_tree_spare_most_scores():
+    rnd = np.random.default_rng(0)
+    centres = rnd.normal(size=(20, 16)) * 256
+    anchors = np.floor(np.repeat(centres, 5, 0) + rnd.normal(size=(100, 16)) * 4)
+    rows = np.floor(np.repeat(centres, 100, 0) + rnd.normal(size=(2000, 16)) * 4)
+    c = hard_negatives.Candidates(np.arange(2000), np.zeros(2000, int), rows)
+    exact = anchors @ rows.T
+    best = np.sort(exact, 1)[:, -5]
+    seen = 0
+    for i, at, s in hard_negatives.rescored(c, anchors, hard_negatives.tree(anchors), lambda i: (best[i], math.inf)):
+        assert (s == exact[i, at]).all() and set(np.flatnonzero(exact[i] >= best[i])) <= set(at.tolist())
+        seen += len(at)
+    assert seen < 0.4 * exact.size
+    order = [(i, p) for i, p, _ in hard_negatives.tree(anchors)]
+    assert sorted(i for i, _ in order) == list(range(100)) and all(p == -1 or p in [x for x, _ in order[:k]] for k, (_, p) in enumerate(order))
+
+
+# --- vector codes ---------------------------------------------------------------------------------
+
+
+def plain_codes(rows, rounds=4, entries=256):
+    rows = [(i, [min(max(int(np.floor(1024 * x)), -(2**62)), 2**62) for x in v], y) for i, v, y in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = [r for r in rows if len(r[1]) == len(rows[0][1])]
+    cuts = vector_codes.cuts(len(rows[0][1]))
+    books = [[r[1][c] for r in rows[:entries]] for c in cuts]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for book, c in zip(books, cuts):
+            of = {}
+            for r in rows:
+                of.setdefault(near(r[1][c], book)[1], []).append(r[1][c])
+            for k, xs in of.items():
+                book[k] = [sum(col) // len(xs) for col in zip(*xs)]
+    out = []
+    for i, v, y in rows:
+        found = [near(v[c], book) for book, c in zip(books, cuts)]
+        out.append((i, "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found), y))
+    long = 2**63 - 1
+    out = [(i, c, min(e, long), y) for i, c, e, y in out]
+    sums = {y: min(sum(e for *_, e, z in out if z == y), long) for y in {r[3] for r in out}}
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return Counter((i, c, e, sums[y], digest) for i, c, e, y in out)
+
+
+def codes(df):
+    got = vector_codes.vector_codes(df)
+    return Counter(tuple(r) for r in got.select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect())
+
+
+def test_vector_codes_equal_plain_rounds(spark):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice([-1, -0.5, 0, 0.25, 1]) + rnd.random() * (i % 2) for _ in range(10)], rnd.choice([1, 2, None])) for i in range(500, 0, -1)]  # 10 components: parts of 3, 3, 2, 2
+    rows += rows[:30] + [(None, rows[0][1], 3), (7, rows[3][1], 1)]
+    rows += [(600, None, 1), (601, [1.0] * 9 + [None], 1), (602, [math.nan] * 10, 1), (603, [-math.inf] * 10, 1), (604, [1.0] * 4, 1), (605, [], 1)]
+    df = spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit("x") for c in ("code", "error", "part", "known", "label_error", "total")})
+    assert codes(df.repartition(7)) == plain_codes(rows)
+
+
+def test_vector_codes_of_few_rows_and_very_large_components(spark):
+    rows = [(i, [float(i % 3), 1e5 * i, -1e12 * (i % 4), 1e300 * (i == 5), 0.0, 1.0, 2.0, 3.0], i % 2) for i in range(12)]
+    assert codes(spark.createDataFrame(rows, VECTORS)) == plain_codes(rows)
+    assert codes(spark.createDataFrame([(1, [], 1), (2, [], None)], VECTORS)) == plain_codes([(1, [], 1), (2, [], None)])
+    assert not codes(spark.createDataFrame([], VECTORS))
+
+
+def test_fixed_parts_meet_only_moved_entries(monkeypatch):
+    book, x = np.array([[0], [10], [20]]), np.array([[1], [9], [15], [20]])
+    code, known = vector_codes.assigned(x, book, np.zeros(4, int), np.full(4, -1), np.ones(3, bool))
+    assert code.tolist() == [0, 1, 1, 2] and known.tolist() == [1, 1, 25, 0]  # 15 is as near to 10 as to 20
+    met, real = [], vector_codes.distances
+    monkeypatch.setattr(vector_codes, "distances", lambda a, b: met.append((len(a), len(b))) or real(a, b))
+    book[2] = 16
+    code, known = vector_codes.assigned(x, book, code, known.astype(np.int64), np.array([False, False, True]))
+    assert code.tolist() == [0, 1, 2, 2] and known.tolist() == [1, 1, 1, 16] and met == [(1, 3), (3, 1)]
+    book[0] = 8  # two entries as near to 9 as each other: the lower index
+    code, _ = vector_codes.assigned(x, book, code, known.astype(np.int64), np.array([True, False, False]))
+    assert code.tolist()[1] == 0
+
+
+# --- language ---------------------------------------------------------------------------------------
+
+ENDINGS = {"aa": ("ing", "the", "ough"), "bb": ("eaux", "ment", "é"), "cc": ("ung", "sch", "ß")}
+
+
+def invented(lang, rnd, n=60):
+    return " ".join("".join(rnd.choice(ENDINGS[lang] + ("an", "re", "o")) for _ in range(rnd.randint(1, 4))) for _ in range(n)).capitalize() + ", 12 ok."
+
+
+def documents(spark, n=300):
+    rnd = random.Random(2)
+    langs = [rnd.choice(sorted(ENDINGS)) for _ in range(n)]
+    rows = [(i, invented(lang, rnd), lang, "s", 0) for i, lang in enumerate(langs)]
+    odd = [(n, None, "aa", "s", 0), (n + 1, "", "aa", "s", 0), (n + 2, "12 ½ ² !?", "bb", "s", 0), (n + 3, "ощ 字", None, "s", 0), (None, "the the", "zz", "s", 0), (n + 4, invented("bb", rnd, 60_000), "bb", "s", 0)]
+    return spark.createDataFrame(rows + odd + rows[:5], DOCS), rows
+
+
+def plain_language(text, model):
+    found = language_id.words(text)
+    if not found:
+        return "und", 0.0
+    total = [0.0] * len(model.languages)
+    for w in found:
+        for n in (0, 4, 3, 2, 1):
+            counts = {g: c for g, c in zip(model.known[n], model.counts[n].tolist())}
+            of = [counts[g] for g in ([w] if n == 0 else language_id.grams(w, n)) if g in counts]
+            if of:
+                for k in range(len(total)):
+                    all_ = sum(c[k] for c in counts.values()) + 0.5 * len(counts)
+                    total[k] += sum(math.log((c[k] + 0.5) / all_) for c in of) / len(of)
+                break
+    share = [math.exp((t - max(total)) / math.sqrt(len(found))) for t in total]
+    return model.languages[total.index(max(total))], 1 / sum(share)
+
+
+def test_language_of_held_out_and_odd_texts(spark):
+    df, rows = documents(spark)
+    clash = df.withColumns({"held_out": F.lit(1), "lang_pred": F.lit("x"), "score": F.lit(2.0)})
+    got = [tuple(r) for r in language_id.language_id(clash).collect()]
+    assert len(got) == len(rows) + 11 and {r[2] for r in got} <= {*ENDINGS, "und"} and all(0 <= r[3] <= 1 for r in got)
+    lang = {r[0]: r[2] for r in rows}
+    held = [r for r in got if r[1] and r[0] in lang]
+    assert all(r[1] == (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0) for r in got)
+    assert len(held) > 40 and sum(lang[r[0]] == r[2] for r in held) > 0.97 * len(held)
+    of = {r[0]: r[2] for r in got}
+    assert [of[300 + i] for i in range(3)] == ["und"] * 3 and of[304] == "bb" and of[303] != "und"
+
+
+def test_language_equals_a_plain_version(spark):
+    df, rows = documents(spark, 60)
+    model = language_id.fit(df)
+    scorer = language_id.Scorer(model)
+    texts = [r[1] for r in rows[:15]] + [None, "", "9", "ŋŋ", "Theoughing unheardof"]
+    for text, (lang, score) in zip(texts, scorer.texts(texts)):
+        assert (lang, pytest.approx(score, abs=1e-9)) == plain_language(text, model)
+
+
+def test_language_is_learnt_from_the_right_rows(spark):
+    df, rows = documents(spark, 100)
+    held = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0}
+    changed = df.withColumn("lang", F.when(F.col("doc_id").isin(*held), F.lit("aa")).otherwise(F.col("lang"))).withColumn("text", F.when(F.col("doc_id").isin(*held), F.lit("zzz")).otherwise(F.col("text")))
+    a, b = language_id.fit(df), language_id.fit(changed)
+    assert a.digest() == b.digest() and "zz" not in a.languages
+
+
+def test_words_kept_don_t_change_scores(spark, monkeypatch):
+    df, rows = documents(spark, 50)
+    model = language_id.fit(df)
+    texts = [r[1] for r in rows]
+    many = language_id.Scorer(model).texts(texts)
+    monkeypatch.setattr(language_id, "KEPT_WORDS", 20)
+    few = language_id.Scorer(model).texts(texts)
+    assert [x[0] for x in many] == [x[0] for x in few] and np.allclose([x[1] for x in many], [x[1] for x in few])
+
+
+def test_no_language_can_be_learnt(spark):
+    df = spark.createDataFrame([(1, "some text", None, "s", 1), (2, None, None, "s", 0)], DOCS)
+    assert [tuple(r)[2:] for r in language_id.language_id(df).collect()] == [("und", 0.0)] * 2
+    assert language_id.language_id(df.limit(0)).count() == 0
