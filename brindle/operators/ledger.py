@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.folds import ordered_fold
 from brindle.operators.relational import QTY, as_of_ts, concentration, pair_selectivity
 from brindle.registry import query, table
+from brindle.session import kept
 from brindle.sources.domain import AS_OF
 
 POSITIVE = ("IN", "RETURN", "TRANSFER_IN", "ADJUSTMENT")
@@ -53,6 +56,72 @@ def applied(stock_levels: DataFrame, stock_movements: DataFrame) -> DataFrame:
 query("g03_last_updated", "SELECT product_id, warehouse_id, last_updated FROM balances")(lambda balances: balances.select(*KEY, "last_updated"))
 
 
+def judged_movements(before: DataFrame, movements: DataFrame) -> DataFrame:
+    """Movements with ``held``, the balance that their shelf has when their turn comes, and ``refused``: a balance never falls below zero, so what would take more than is there is
+    refused and leaves it as it was. The turn goes by time and movement id. before: (product_id, warehouse_id, balance); other shelves start at zero.
+
+    For the shelves that ``_doubtful`` names, and only for those, the movements are returned: on all others nothing is refused.
+    """
+    rows = movements.withColumn("__delta", delta().cast("long")).join(_doubtful(before, movements), KEY)
+    got = ordered_fold(rows, KEY, ["created_at", "movement_id"], ["__start", "__delta"], lambda row: [row[0]], _take, pa.schema([("held", pa.int64()), ("refused", pa.bool_())]))
+    return got.drop("__delta", "__start")
+
+
+def _take(balance: list[int], row: tuple) -> tuple[int, bool]:
+    held = balance[0]
+    if row[1] < 0 and held + row[1] < 0:
+        return held, True
+    balance[0] += row[1]
+    return held, False
+
+
+def _doubtful(before: DataFrame, movements: DataFrame) -> DataFrame:
+    """(product_id, warehouse_id, __start): shelves where something is refused.
+
+    A shelf that holds all that is ever taken from it can't run short: one sum with map-side combine. Of the others, those whose running balance never falls below zero when
+    all is accepted have no refusal either.
+    """
+    start = F.coalesce("balance", F.lit(0)).cast("long").alias("__start")
+    taken = movements.groupBy(*KEY).agg(F.sum(F.least(delta().cast("long"), F.lit(0))).alias("__taken"))
+    short = taken.join(before.select(*KEY, "balance"), KEY, "left").select(*KEY, start, "__taken").where("__start + __taken < 0").drop("__taken")
+    turn = Window.partitionBy(*KEY).orderBy("created_at", "movement_id").rowsBetween(Window.unboundedPreceding, 0)
+    running = movements.select(*KEY, "created_at", "movement_id", delta().cast("long").alias("__delta")).join(short, KEY).withColumn("__after", F.col("__start") + F.sum("__delta").over(turn))
+    return running.groupBy(*KEY).agg(F.min("__after").alias("__least"), F.first("__start").alias("__start")).where("__least < 0").drop("__least")
+
+
+def apply_within_stock(before: DataFrame, movements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(balances after the movements that aren't refused, the refused movements with what their shelf held)."""
+    judged = kept(judged_movements(before, movements))
+    others = movements.join(judged.select(*KEY).distinct(), KEY, "left_anti")
+    good = others.unionByName(judged.where("NOT refused").select(*movements.columns))
+    return apply_movements(before, good), judged.where("refused").drop("refused")
+
+
+#: Movements one at a time, shelf by shelf.
+_WITHIN = f"""(WITH RECURSIVE turns AS MATERIALIZED (
+        SELECT *, {_SIGNED} AS delta, row_number() OVER (PARTITION BY product_id, warehouse_id ORDER BY created_at, movement_id) AS turn FROM stock_movements
+    ), states AS (
+        SELECT 0::BIGINT AS turn, k.product_id, k.warehouse_id, NULL::VARCHAR AS movement_id, NULL::TIMESTAMP AS created_at, coalesce(s.quantity, 0)::BIGINT AS held, false AS refused, coalesce(s.quantity, 0)::BIGINT AS balance
+        FROM (SELECT DISTINCT product_id, warehouse_id FROM turns) k LEFT JOIN stock_levels s ON s.product_id = k.product_id AND s.warehouse_id = k.warehouse_id
+        UNION ALL
+        SELECT t.turn, t.product_id, t.warehouse_id, t.movement_id, t.created_at, s.balance, t.delta < 0 AND s.balance + t.delta < 0, CASE WHEN t.delta < 0 AND s.balance + t.delta < 0 THEN s.balance ELSE s.balance + t.delta END
+        FROM states s JOIN turns t ON t.product_id = s.product_id AND t.warehouse_id = s.warehouse_id AND t.turn = s.turn + 1
+    ) SELECT * FROM states)"""
+
+
+@query("g02_rejected_movements", f"SELECT movement_id, product_id, warehouse_id, held FROM {_WITHIN} WHERE refused")
+def rejected_movements(stock_levels: DataFrame, stock_movements: DataFrame) -> DataFrame:
+    """Movements that would take more than their shelf holds at their turn."""
+    before = stock_levels.select(*KEY, F.col("quantity").cast("long").alias("balance"))
+    return judged_movements(before, stock_movements).where("refused").select("movement_id", *KEY, "held")
+
+
+@query("g02_apply_within_stock", f"SELECT product_id, warehouse_id, coalesce(balance, quantity)::BIGINT AS balance, last_updated FROM (SELECT product_id, warehouse_id, arg_max(balance, turn) AS balance, max(created_at) FILTER (NOT refused) AS last_updated FROM {_WITHIN} GROUP BY 1, 2) FULL JOIN stock_levels USING (product_id, warehouse_id)")
+def applied_within_stock(stock_levels: DataFrame, stock_movements: DataFrame) -> DataFrame:
+    before = stock_levels.select(*KEY, F.col("quantity").cast("long").alias("balance"), F.lit(None).cast("timestamp_ntz").alias("last_updated"))
+    return apply_within_stock(before, stock_movements)[0]
+
+
 @query("g04_po_status", f"""SELECT po_id, CASE WHEN status IN ('DRAFT', 'CANCELLED') THEN status WHEN received > 0 AND received >= ordered THEN 'RECEIVED' WHEN received > 0 THEN 'PARTIALLY_RECEIVED' ELSE 'PLACED' END AS status,
     CASE WHEN status NOT IN ('DRAFT', 'CANCELLED') AND received > 0 AND received >= ordered THEN DATE '{AS_OF}' END AS received_date FROM purchase_order_summary WHERE lines > 0""")
 def po_status(purchase_order_summary: DataFrame, as_of: str = AS_OF) -> DataFrame:
@@ -72,33 +141,81 @@ def transfer_requests(numbered_events: DataFrame, part: DataFrame) -> DataFrame:
     return clicks.select(F.col("event_id").alias("request_id"), (F.col("event_id") * 13 % F.col("n")).alias("product_id"), (F.col("k") % 5 + 1).cast("int").alias("from_warehouse"), (F.col("k") % 7 % 5 + 1).cast("int").alias("to_warehouse"), (F.col("k") - 5).cast("int").alias("quantity"))
 
 
-def judged_transfers(requests: DataFrame, stock_levels: DataFrame) -> DataFrame:
-    """Requests with a ``reason`` they are rejected for (null: accepted). Stock is promised in the order of request ids: what earlier well-formed requests asked of a shelf is gone."""
-    stock = stock_levels.select("product_id", F.col("warehouse_id").alias("from_warehouse"), F.col("quantity").alias("available"))
-    rows = requests.join(stock, ["product_id", "from_warehouse"], "left")
-    shape = F.when(F.col("quantity") <= 0, "quantity").when(F.col("from_warehouse") == F.col("to_warehouse"), "same warehouse").when(F.col("available").isNull(), "unknown product")
-    rows = rows.withColumn("shape", shape)
-    in_turn = Window.partitionBy("product_id", "from_warehouse").orderBy("request_id").rowsBetween(Window.unboundedPreceding, 0)
-    asked = F.sum(F.when(F.col("shape").isNull(), F.col("quantity")).otherwise(0)).over(in_turn)
-    return rows.withColumn("reason", F.coalesce("shape", F.when(asked > F.col("available"), "not enough stock"))).drop("shape", "available")
-
+def judged_transfers(requests: DataFrame, stock_levels: DataFrame, products: DataFrame | None = None, warehouses: DataFrame | None = None) -> DataFrame:
+    """Requests with a ``reason`` they are rejected for (null: accepted), one after the other by request id: an accepted one moves its stock, so a later one finds it at its
+    destination; a rejected one changes nothing.
 
-_JUDGED = """SELECT r.*, CASE WHEN r.quantity <= 0 THEN 'quantity' WHEN from_warehouse = to_warehouse THEN 'same warehouse' WHEN s.quantity IS NULL THEN 'unknown product'
-    WHEN sum(CASE WHEN r.quantity > 0 AND from_warehouse <> to_warehouse AND s.quantity IS NOT NULL THEN r.quantity ELSE 0 END) OVER (PARTITION BY r.product_id, from_warehouse ORDER BY request_id ROWS UNBOUNDED PRECEDING) > s.quantity THEN 'not enough stock' END AS reason
-    FROM transfer_requests r LEFT JOIN stock_levels s ON s.product_id = r.product_id AND s.warehouse_id = from_warehouse"""
-
-
-@query("g05_transfers", f"SELECT request_id, leg.k AS movement_type, product_id, CASE leg.k WHEN 'TRANSFER_OUT' THEN from_warehouse ELSE to_warehouse END AS warehouse_id, quantity FROM ({_JUDGED}), (VALUES ('TRANSFER_OUT'), ('TRANSFER_IN')) leg(k) WHERE reason IS NULL")
-def transfers(transfer_requests: DataFrame, stock_levels: DataFrame) -> DataFrame:
+    Products and warehouses default to those that hold stock. Where no shelf that requests touch would fall below zero if all of its product's well-formed requests were
+    accepted, they all are; only the other products' requests are folded in order, each product on its own, over the few shelves that it has.
+    """
+    some = requests.where("quantity > 0 AND from_warehouse <> to_warehouse")
+    known = (stock_levels if products is None else products).select("product_id", F.lit(True).alias("__product")).distinct()
+    places = (stock_levels if warehouses is None else warehouses).select("warehouse_id").distinct()
+    if warehouses is None:
+        places = places.unionByName(some.select(F.col("to_warehouse").alias("warehouse_id"))).distinct()
+    for side in ("from", "to"):
+        requests = requests.join(places.select(F.col("warehouse_id").alias(f"{side}_warehouse"), F.lit(True).alias(f"__{side}")), f"{side}_warehouse", "left")
+    rows = requests.join(known, "product_id", "left")
+    shape = (
+        F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), "quantity").when(F.col("__product").isNull(), "unknown product").when(F.col("__from").isNull(), "unknown source")
+        .when(F.col("__to").isNull(), "unknown destination").when(F.col("from_warehouse") == F.col("to_warehouse"), "same warehouse")
+    )
+    rows = rows.withColumn("shape", shape).drop("__product", "__from", "__to")
+    formed = rows.where("shape IS NULL")
+    legs = formed.select("product_id", F.col("from_warehouse").alias("warehouse_id"), F.col("quantity").cast("long").alias("taken"))
+    stock = stock_levels.groupBy(*KEY).agg(F.sum("quantity").cast("long").alias("held"))
+    short = legs.groupBy(*KEY).agg(F.sum("taken").alias("taken")).join(stock, KEY, "left").where(F.col("taken") > F.coalesce("held", F.lit(0))).select("product_id").distinct()
+    doubtful, settled = formed.join(short, "product_id", "left_semi"), formed.join(short, "product_id", "left_anti")
+    # the shelves of a product are a few numbers, as many as there are warehouses
+    shelves = stock.join(short, "product_id", "left_semi").groupBy("product_id").agg(F.collect_list(F.struct("warehouse_id", "held")).alias("__shelves"))
+    folded = ordered_fold(doubtful.join(shelves, "product_id", "left"), ["product_id"], ["request_id"], ["__shelves", "from_warehouse", "to_warehouse", "quantity"], _shelves, _transfer, pa.schema([("reason", pa.string())]))
+    none = F.lit(None).cast("string").alias("reason")
+    parts = [folded.drop("__shelves"), settled.withColumn("reason", none), rows.where("shape IS NOT NULL").withColumn("reason", F.col("shape"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("shape")
+
+
+def _shelves(row: tuple) -> dict:
+    return {s["warehouse_id"]: s["held"] for s in row[0] or ()}
+
+
+def _transfer(stock: dict, row: tuple) -> tuple[str | None]:
+    _, source, destination, quantity = row
+    if stock.get(source, 0) < quantity:
+        return ("not enough stock",)
+    stock[source] -= quantity
+    stock[destination] = stock.get(destination, 0) + quantity
+    return (None,)
+
+
+#: Requests one at a time: shelf k of a product is the k-th number of a list.
+_JUDGED = """(WITH RECURSIVE asked AS MATERIALIZED (
+        SELECT r.*, CASE WHEN r.quantity <= 0 THEN 'quantity' WHEN p.product_id IS NULL THEN 'unknown product' WHEN f.warehouse_id IS NULL THEN 'unknown source' WHEN t.warehouse_id IS NULL THEN 'unknown destination' WHEN from_warehouse = to_warehouse THEN 'same warehouse' END AS shape
+        FROM transfer_requests r LEFT JOIN products p USING (product_id) LEFT JOIN warehouses f ON f.warehouse_id = from_warehouse LEFT JOIN warehouses t ON t.warehouse_id = to_warehouse
+    ), turns AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY request_id) AS turn FROM asked WHERE shape IS NULL
+    ), shelves AS MATERIALIZED (
+        SELECT p.product_id, list(coalesce(quantity, 0)::BIGINT ORDER BY w.warehouse_id) AS shelf FROM (SELECT DISTINCT product_id FROM turns) p CROSS JOIN warehouses w LEFT JOIN stock_levels s ON s.product_id = p.product_id AND s.warehouse_id = w.warehouse_id GROUP BY 1
+    ), states AS (
+        SELECT 0::BIGINT AS turn, product_id, NULL::BIGINT AS request_id, NULL::VARCHAR AS reason, shelf FROM shelves
+        UNION ALL
+        SELECT t.turn, t.product_id, t.request_id, CASE WHEN s.shelf[t.from_warehouse] < t.quantity THEN 'not enough stock' END,
+            CASE WHEN s.shelf[t.from_warehouse] < t.quantity THEN s.shelf ELSE list_transform(s.shelf, lambda q, k: q - CASE WHEN k = t.from_warehouse THEN t.quantity ELSE 0 END + CASE WHEN k = t.to_warehouse THEN t.quantity ELSE 0 END) END
+        FROM states s JOIN turns t ON t.product_id = s.product_id AND t.turn = s.turn + 1
+    )
+    SELECT a.request_id, a.product_id, from_warehouse, to_warehouse, quantity, coalesce(shape, reason) AS reason FROM asked a LEFT JOIN states s ON s.request_id = a.request_id)"""
+
+
+@query("g05_transfers", f"SELECT request_id, leg.k AS movement_type, product_id, CASE leg.k WHEN 'TRANSFER_OUT' THEN from_warehouse ELSE to_warehouse END AS warehouse_id, quantity FROM {_JUDGED}, (VALUES ('TRANSFER_OUT'), ('TRANSFER_IN')) leg(k) WHERE reason IS NULL")
+def transfers(transfer_requests: DataFrame, stock_levels: DataFrame, products: DataFrame, warehouses: DataFrame) -> DataFrame:
     """The two movements of each accepted request."""
-    good = judged_transfers(transfer_requests, stock_levels).where("reason IS NULL")
+    good = judged_transfers(transfer_requests, stock_levels, products, warehouses).where("reason IS NULL")
     legs = F.array(F.struct(F.lit("TRANSFER_OUT").alias("movement_type"), F.col("from_warehouse").alias("warehouse_id")), F.struct(F.lit("TRANSFER_IN").alias("movement_type"), F.col("to_warehouse").alias("warehouse_id")))
     return good.select("request_id", F.inline(legs), "product_id", "quantity")
 
 
-@query("g05_rejected_transfers", f"SELECT request_id, reason FROM ({_JUDGED}) WHERE reason IS NOT NULL")
-def rejected_transfers(transfer_requests: DataFrame, stock_levels: DataFrame) -> DataFrame:
-    return judged_transfers(transfer_requests, stock_levels).where("reason IS NOT NULL").select("request_id", "reason")
+@query("g05_rejected_transfers", f"SELECT request_id, reason FROM {_JUDGED} WHERE reason IS NOT NULL")
+def rejected_transfers(transfer_requests: DataFrame, stock_levels: DataFrame, products: DataFrame, warehouses: DataFrame) -> DataFrame:
+    return judged_transfers(transfer_requests, stock_levels, products, warehouses).where("reason IS NOT NULL").select("request_id", "reason")
 
 
 @query("g06_receive_orders", "SELECT po_id, product_id, warehouse_id, 'IN' AS movement_type, (quantity_ordered - quantity_received)::INT AS quantity FROM purchase_order_items JOIN purchase_orders USING (po_id) WHERE status IN ('PLACED', 'PARTIALLY_RECEIVED') AND quantity_ordered > quantity_received")
