@@ -53,27 +53,29 @@ def _record(prefix: str) -> Column:
 def sessions_of(events: DataFrame) -> DataFrame:
     """One row for each session, in one aggregate; sessions cross midnight and are dated by their first event.
 
-    The source at landing is the first page view's, else the earliest before it; a source first seen after the landing is not the session's.
+    The source at landing is the first page view's, else the earliest before it; a source first seen after the landing is not the session's. Two candidates decide it once
+    the time of landing is known: the earliest page view that has a source, if it is the landing, else the earliest event that has one, if it isn't later.
     """
     keys = ["source", "user_pseudo_id", "ga_session_id"]
-    with_landing = events.where("user_pseudo_id IS NOT NULL AND ga_session_id IS NOT NULL").withColumn("landing_at", F.min(F.when(F.col("event_name") == "page_view", F.col("event_timestamp"))).over(Window.partitionBy(*keys)))
     at = F.struct("event_timestamp", "event_key")
     first = lambda value: F.min_by(value, F.when(value.isNotNull(), at))
     last = lambda value: F.max_by(value, F.when(value.isNotNull(), at))
     collected, view = _record("collected"), F.col("event_name") == "page_view"
-    at_landing = F.col("landing_at").isNull() | (F.col("event_timestamp") <= F.col("landing_at"))
-    landing_order = F.struct((~F.coalesce(view & (F.col("event_timestamp") == F.col("landing_at")), F.lit(False))).alias("late"), "event_timestamp", "event_key")
+    with_source = F.struct("event_timestamp", "event_key", collected.alias("record"))
     kept = (F.col("event_name") == "purchase") & ~F.coalesce("is_duplicate_purchase", F.lit(False))
     had = lambda name: F.bool_or(F.col("event_name") == name)
-    return with_landing.groupBy(*keys).agg(
+    found = events.where("user_pseudo_id IS NOT NULL AND ga_session_id IS NOT NULL").groupBy(*keys).agg(
         F.max("ga_session_number").alias("ga_session_number"), F.min_by("event_date", at).alias("session_date"), F.min("event_timestamp").alias("session_start_at"), F.max("event_timestamp").alias("session_end_at"),
         last(F.col("user_id")).alias("session_user_id"), F.count_distinct("user_id").alias("session_user_id_count"), first(_record("last_click")).alias("last_click"),
-        F.min_by(collected, F.when(collected.isNotNull() & at_landing, landing_order)).alias("collected"), first(_record("first_user")).alias("first_user"),
+        F.min(F.when(view, F.col("event_timestamp"))).alias("__landing"), F.min(F.when(view & collected.isNotNull(), with_source)).alias("__viewed"), F.min(F.when(collected.isNotNull(), with_source)).alias("__any"), first(_record("first_user")).alias("first_user"),
         F.coalesce(first(F.when(view, F.col("page_location"))), first(F.col("page_location"))).alias("landing_page"), last(F.col("analytics_storage")).alias("analytics_storage"),
         F.count("*").alias("events"), F.count_if(view).alias("page_views"), F.sum("engagement_time_msec").alias("engagement_time_msec"), F.bool_or(F.coalesce("session_engaged", F.lit(False))).alias("is_engaged"),
         had("view_item").alias("has_view_item"), had("add_to_cart").alias("has_add_to_cart"), had("begin_checkout").alias("has_begin_checkout"), F.count_if(F.col("event_name") == "purchase").alias("purchase_events"),
         F.count_if(kept & ~F.col("is_zero_value_without_id")).alias("orders"), F.count_if(kept & F.col("is_zero_value_without_id")).alias("zero_value_orders"), exact_sum(F.when(kept, F.col("purchase_revenue_usd")), 9).alias("revenue_usd"),
     )
+    landing = F.col("__landing")
+    at_landing = F.when(F.col("__viewed.event_timestamp") == landing, F.col("__viewed.record")).when(landing.isNull() | (F.col("__any.event_timestamp") <= landing), F.col("__any.record"))
+    return found.withColumn("collected", at_landing).drop("__landing", "__viewed", "__any")
 
 
 @table("""WITH ev AS (

@@ -10,11 +10,13 @@ import inspect
 import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.session import kept
+from brindle.session import kept, scanned, stand_in
 
-#: Tables that a query writes out once when several of its tables read them; the others are computed where they are read.
+#: Tables that a query writes out once when several parts of it read them; the others are computed where they are read.
 KEPT = {"stg_events", "fct_sessions", "fct_orders", "mart_kpi_daily", "mart_tag_health_daily", "early_stg_events", "early_fct_sessions"}
 #: Always written out: its columns are long expressions that a reader uses several times, and would be worked out anew at each use.
 WRITTEN = {"bands"}
@@ -46,34 +48,81 @@ def whole_table(name: str, of: str) -> None:
 
 
 class Tables:
-    """The tables under one folder, read or made when first asked for."""
+    """The tables under one folder, read or made when first asked for.
+
+    A table that several parts of a query read is written out once, and of it only what they ask for: the query is first planned over empty stand-ins for such
+    tables, and the scans that are left in the optimised plan tell the columns. A table that is left in one scan alone isn't written at all.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made, self._readers = spark, sf_dir, {}, {}
+        self._asked: dict[str, set[str]] | None = None
 
-    def _count(self, f: Callable, seen: set[str]) -> None:
-        """How many functions of the query read each table."""
+    def _count(self, f: Callable, seen: list[str]) -> None:
+        """How many functions of the query read each table; seen: its tables, each behind those that it reads."""
         for n in _reads(f):
             self._readers[n] = self._readers.get(n, 0) + 1
-            if n in TABLES and n not in seen:
-                seen.add(n)
+            if n in TABLES and self._readers[n] == 1:
                 self._count(TABLES[n][0], seen)
+                seen.append(n)
 
     def __getitem__(self, name: str):
         if name in ("spark", "sf_dir"):
             return getattr(self, name)
         if name not in self._made:
             df = self._call(TABLES[name][0]) if name in TABLES else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            self._made[name] = kept(df) if name in WRITTEN or name in KEPT and self._readers.get(name, 0) > 1 else df
+            if name in (self._asked or ()):
+                held = kept(df.select(*[c for c in df.columns if c in self._asked[name]]))
+                # readers may still name the others on their way to a plan that has no use for them
+                df = held.select(*[f.name if f.name in self._asked[name] else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+            self._made[name] = df
         return self._made[name]
 
     def _call(self, f: Callable) -> DataFrame:
         return f(**{n: self[n] for n in _reads(f)})
 
     def run(self, f: Callable) -> DataFrame:
-        self._count(f, set())
+        seen: list[str] = []
+        self._count(f, seen)
+        shared = [n for n in seen if n in WRITTEN or n in KEPT and self._readers[n] > 1]
+        if shared:
+            key = (f, tuple((n, self[n].schema.json()) for n in sorted(self._readers) if n not in TABLES and n not in ("spark", "sf_dir")))
+            if key not in _ASKED:
+                _ASKED[key] = self._demand(f, shared)
+            self._asked = _ASKED[key]
         return self._call(f)
 
+    def _demand(self, f: Callable, shared: list[str]) -> dict[str, set[str]]:
+        """The tables to be written, with the columns that are read from each."""
+        base = {n: t for n, t in self._made.items() if n not in TABLES}
+        trial, frames, paths = Tables(self.spark, self.sf_dir), {}, {}
+        trial._made |= base
+        for n in shared:
+            frames[n] = trial._call(TABLES[n][0])
+            trial._made[n], paths[n] = stand_in(frames[n])
+        asked: dict[str, set[str]] = {n: set() for n in shared}
+        scans = dict.fromkeys(shared, 0)
+
+        def note(df: DataFrame) -> None:
+            for path, columns in scanned(df):
+                for n in (n for n, p in paths.items() if path.endswith(p)):
+                    scans[n] += 1
+                    asked[n] |= columns
+
+        try:
+            note(trial._call(f))
+        except AnalysisException:  # a query that reads back what it has written can't be planned without rows: it gets whole tables
+            return {n: set(frames[n].columns) for n in shared}
+        for n in reversed(shared):
+            if scans[n]:
+                asked[n] = asked[n] or {frames[n].columns[0]}
+                note(frames[n].select(*[c for c in frames[n].columns if c in asked[n]]))
+        return {n: asked[n] for n in shared if scans[n] and (n in WRITTEN or scans[n] > 1)}
+
+
+#: What ``_demand`` has found for a query and the schemas of the given tables: planning twice is worth while once.
+_ASKED: dict[tuple, dict[str, set[str]]] = {}
+
 
 def _reads(f: Callable) -> list[str]:
     return [p.name for p in inspect.signature(f).parameters.values() if p.default is p.empty]

@@ -27,3 +27,20 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stand_in(df: DataFrame) -> tuple[DataFrame, str]:
+    """A table without rows that has df's columns and is planned like a file, and its path."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/empty-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.read.schema(df.schema).parquet(path), path.split(":", 1)[-1]
+
+
+def scanned(df: DataFrame) -> list[tuple[str, set[str]]]:
+    """(path, columns read) of each scan of files that is left in df's physical plan."""
+    leaves, found = df._jdf.queryExecution().sparkPlan().collectLeaves(), []
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.nodeName().startswith("Scan parquet"):
+            found.append((leaf.relation().location().rootPaths().head().toString(), set(leaf.requiredSchema().fieldNames())))
+    return found

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.registry import query
 from brindle.session import shared_folder
+from brindle.sources.versions import VersionedTable
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -33,8 +34,45 @@ def write_partitioned(df: DataFrame, path: str, by: str, sort: list[str] | None
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
-    """Writes the partitions that ``df`` has rows for and leaves all others as they are."""
-    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Replaces the partitions that ``df`` has rows for and leaves all others as they are, in one step: readers see the table before or after, see ``versions``."""
+    VersionedTable(df.sparkSession, path).replace(df, F.col(by))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that ``replace_partitions`` writes."""
+    return VersionedTable(spark, path).read()
+
+
+#: Each column's values are told apart by 2^CURVE_BITS quantiles.
+CURVE_BITS = 5
+
+
+def _number(df: DataFrame, c: str) -> Column:
+    """A number in the order of the column's values: of text its first six bytes."""
+    kind = df.schema[c].dataType.typeName()
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.unix_micros(F.col(c).cast("timestamp")).cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(c).cast("double")
+
+
+def curve(df: DataFrame, columns: list[str], bits: int = CURVE_BITS) -> Column:
+    """A row's place on a space-filling curve through ``columns``: the bits of the columns' quantiles in turn. Rows that lie near each other on it are near in all the columns. Nulls count as least."""
+    steps = [i / 2**bits for i in range(1, 2**bits)]
+    bounds = df.agg(*[F.percentile_approx(_number(df, c), steps, 10_000).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    place = F.lit(0).cast("long")
+    for i, c in enumerate(columns):
+        known = F.array(*[F.lit(float(b)) for b in sorted(set(bounds[i] or ()))])
+        at = F.coalesce(F.size(F.filter(known, lambda b: b < _number(df, c))), F.lit(0)).cast("long")  # noqa: B023
+        for bit in range(bits):
+            place = place.bitwiseOR(F.shiftleft(F.shiftright(at, bit).bitwiseAND(F.lit(1)), bit * len(columns) + len(columns) - 1 - i))
+    return place
+
+
+def write_clustered(df: DataFrame, path: str, by: str, columns: list[str], files: int | None = None) -> None:
+    """Partitioned by ``by``, and inside along a curve through ``columns``: a filter on any of them finds most files' statistics outside its bounds. files: how many ranges the rows are dealt to, else as many as shuffles have."""
+    rows = df.withColumn("__place", curve(df, columns))
+    ranged = rows.repartitionByRange(files, by, "__place") if files else rows.repartitionByRange(by, "__place")
+    ranged.sortWithinPartitions(by, "__place").drop("__place").write.partitionBy(by).parquet(path)
 
 
 def read_days(spark: SparkSession, path: str, start: str, end: str, day: str = "day") -> DataFrame:
@@ -42,12 +80,9 @@ def read_days(spark: SparkSession, path: str, start: str, end: str, day: str = "
     return spark.read.parquet(path).where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def expire(spark: SparkSession, path: str, by: str, values: list[str]) -> None:
-    """Drops partitions by deleting their folders, through the file system that the path names."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for v in values:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={v}")
-        folder.getFileSystem(conf).delete(folder, True)
+def expire(spark: SparkSession, path: str, values: list[str]) -> None:
+    """Drops partitions in one step; no row is read or written."""
+    VersionedTable(spark, path).expire(values)
 
 
 def insert_new(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -109,9 +144,9 @@ def orders_by_status(spark: SparkSession, orders: DataFrame) -> DataFrame:
 
 @query("a07_clustered_table", "SELECT movement_type, min(product_id) AS first_product, count(*) AS movements FROM stock_movements GROUP BY 1")
 def clustered_ledger(spark: SparkSession, stock_movements: DataFrame) -> DataFrame:
-    """Partitioned by type and sorted by product inside, so that files' statistics skip what a product isn't in."""
+    """Partitioned by type and clustered by product and time inside."""
     path = work_folder(spark)
-    write_partitioned(stock_movements.select("movement_type", "product_id", "quantity"), path, "movement_type", ["product_id"])
+    write_clustered(stock_movements.select("movement_type", "product_id", "quantity", "created_at"), path, "movement_type", ["product_id", "created_at"])
     return spark.read.parquet(path).groupBy("movement_type").agg(F.min("product_id").alias("first_product"), F.count("*").alias("movements"))
 
 
@@ -120,9 +155,9 @@ def replaced_window(spark: SparkSession, events: DataFrame) -> DataFrame:
     """The days from the 20th on are written again with purchases only."""
     path = work_folder(spark)
     rows = events.select("event_id", "event_type", F.col("ts").cast("date").alias("day"))
-    write_partitioned(rows, path, "day")
+    replace_partitions(rows, path, "day")
     replace_partitions(rows.where("day >= DATE'2024-01-20' AND event_type = 'purchase'"), path, "day")
-    return spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("events"))
+    return current(spark, path).groupBy("day").agg(F.count("*").alias("events"))
 
 
 @query("a09_monthly_ledger", "SELECT date_trunc('month', created_at)::DATE AS month, count(*) AS movements FROM stock_movements GROUP BY 1")
@@ -134,12 +169,11 @@ def monthly_ledger(spark: SparkSession, stock_movements: DataFrame) -> DataFrame
 
 @query("a10_partition_expiry", "SELECT count(*) AS movements, min(date_trunc('year', created_at))::DATE AS first_year FROM stock_movements WHERE created_at >= (SELECT min(date_trunc('year', created_at)) + INTERVAL 1 YEAR FROM stock_movements)")
 def expired_ledger(spark: SparkSession, stock_movements: DataFrame) -> DataFrame:
-    """A ledger by year whose first year is dropped: only folders go, no row is rewritten."""
+    """A ledger by year whose first year is dropped: only the manifest changes, no row is rewritten."""
     path = work_folder(spark)
-    write_partitioned(stock_movements.select("movement_id", F.trunc("created_at", "year").alias("year")), path, "year")
-    first = spark.read.parquet(path).agg(F.min("year")).first()[0]
-    expire(spark, path, "year", [str(first)])
-    return spark.read.parquet(path).agg(F.count("*").alias("movements"), F.min("year").alias("first_year"))
+    replace_partitions(stock_movements.select("movement_id", F.trunc("created_at", "year").alias("year")), path, "year")
+    expire(spark, path, [min(VersionedTable(spark, path).manifest()["slices"])])
+    return current(spark, path).agg(F.count("*").alias("movements"), F.min("year").alias("first_year"))
 
 
 @query("a11_json_rows", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events")

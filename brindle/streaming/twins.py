@@ -5,34 +5,34 @@ Each takes a stream of files and runs until all that is there has been read. Sta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from brindle.operators.ledger import KEY, delta
 from brindle.registry import query
 from brindle.session import kept
 from brindle.sources.io import work_folder
+from brindle.sources.versions import KeyedTable
 
 
-def streamed(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
-    """A table written as a few files and read back as a stream, one file at a time."""
+def streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A table written as files, by the tasks that have its rows, and read back as a stream of some of them at a time."""
     path = f"{work_folder(spark)}/in"
-    rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def drained(stream: DataFrame, mode: str, each=None) -> str:
-    """Runs a stream over all there is and returns the folder of its result. each: what to do with a batch instead of appending it."""
-    base = work_folder(stream.sparkSession)
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    writer = writer.foreachBatch(lambda df, n: each(df, n, f"{base}/out")) if each else writer.format("parquet").option("path", f"{base}/out")
-    writer.start().awaitTermination()
-    return f"{base}/out"
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
-def last_state(state: DataFrame, keys: list[str]) -> DataFrame:
-    """What a stream of aggregates in state ends with: each batch writes the keys that it changed beside its number, and a key's row of its latest batch counts."""
-    return latest_rows(state.sparkSession.read.parquet(drained(state, "update", numbered)), keys)
+def drained(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], state: str | None = None) -> StreamingQuery:
+    """Runs a stream over all there is; each: what to do with a batch and its number. state: the folder from which a stream that was run before goes on."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state or f"{work_folder(stream.sparkSession)}/state").trigger(availableNow=True)
+    query = writer.foreachBatch(each).start()
+    query.awaitTermination()
+    return query
 
 
 def numbered(changed: DataFrame, batch: int, path: str) -> None:
@@ -46,26 +46,76 @@ def latest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
     return latest.select(*keys, *[F.col(f"b.{c}").alias(c) for c in values])
 
 
-def streaming_balances(movements: DataFrame) -> DataFrame:
-    return last_state(movements.groupBy(*KEY).agg(F.sum(delta()).alias("balance"), F.max("created_at").alias("last_updated")), KEY)
+def _added(c: str) -> Column:
+    return F.col(f"old.{c}") + F.col(f"new.{c}") if c == "balance" else F.greatest(f"old.{c}", f"new.{c}")
+
+
+def post_movements(table: KeyedTable, movements: DataFrame, batch: int | None = None) -> None:
+    """Adds a batch of movements to the balances of the shelves that they name. A batch that is in the table already changes nothing."""
+    sums = movements.groupBy(*KEY).agg(F.sum(delta()).cast("long").alias("balance"), F.max("created_at").alias("last_updated"))
+    table.upsert(sums, _added, batch)
+
+
+def streaming_balances(movements: DataFrame, table: KeyedTable, state: str | None = None) -> StreamingQuery:
+    """Keeps a table of balances from a stream of movements. The running sums are in the table, so the stream itself has no state, and a batch rewrites the buckets that it touches."""
+    return drained(movements, "append", lambda df, n: post_movements(table, df, n), state)
 
 
 @query("o01_streaming_balances", "SELECT * FROM balances")
 def balances_from_stream(spark: SparkSession, stock_movements: DataFrame) -> DataFrame:
-    return streaming_balances(streamed(spark, stock_movements.select("product_id", "warehouse_id", "movement_type", "quantity", "created_at")))
+    table = KeyedTable(spark, f"{work_folder(spark)}/balances", KEY, buckets=8)
+    streaming_balances(streamed(spark, stock_movements.select("product_id", "warehouse_id", "movement_type", "quantity", "created_at")), table)
+    return table.read()
+
+
+PURCHASE_KEYS = ["source", "order_key", "device"]
+_FIRST = "source string, order_key string, device string, event_timestamp timestamp_ntz, event_key string"
 
 
-def first_purchases(purchases: DataFrame) -> DataFrame:
-    """The earliest purchase of each (source, order, device), whatever order events arrive in: the state keeps the least (time, key), so a late earlier event still wins."""
-    keys = ["source", "order_key", "device"]
-    state = purchases.groupBy(*keys).agg(F.min(F.struct("event_timestamp", "event_key")).alias("first"))
-    return last_state(state, keys).select(*keys, "first.event_key")
+def _earliest(horizon_ms: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = [x for f in frames for x in zip(f["event_timestamp"], f["event_key"])]
+        known = [(pd.Timestamp(t, unit="us"), k) for t, k in [state.get] if t is not None] if state.exists else []
+        first = min(rows + known)
+        until = int(max(t for t, _ in rows + known).timestamp() * 1000) + horizon_ms
+        if not known or first != known[0]:
+            state.update((first[0].value // 1000, first[1]))
+            yield pd.DataFrame([(*key, *first)], columns=[*PURCHASE_KEYS, "event_timestamp", "event_key"])
+        else:
+            state.update(state.get)
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+
+    return step
+
+
+def first_purchases(purchases: DataFrame, table: KeyedTable, late: str = "2 days", horizon_days: int = 2, state: str | None = None) -> StreamingQuery:
+    """Keeps the earliest purchase of each (source, order, device), whatever order events arrive in.
+
+    The stream remembers a purchase for ``horizon_days`` behind the watermark, so that repeats in that time, which are nearly all, don't reach the table; then its state ends. The
+    table keeps the earlier one of what it has and what it gets, so a purchase that comes when its state has ended, or that is earlier than the one known, still ends right.
+    """
+    known = purchases.where("event_timestamp IS NOT NULL").withColumn("at", F.col("event_timestamp").cast("timestamp")).withWatermark("at", late)
+    emitted = known.groupBy(*PURCHASE_KEYS).applyInPandasWithState(_earliest(horizon_days * 86_400_000), _FIRST, "at_us long, event_key string", "append", "EventTimeTimeout")
+    least = lambda c: F.least(F.struct("old.event_timestamp", "old.event_key"), F.struct("new.event_timestamp", "new.event_key"))[c]
+
+    def each(df: DataFrame, n: int) -> None:
+        first = df.groupBy(*PURCHASE_KEYS).agg(F.min(F.struct("event_timestamp", "event_key")).alias("f"))
+        table.upsert(first.select(*PURCHASE_KEYS, "f.*"), least, n)
+
+    return drained(emitted, "append", each, state)
 
 
 @query("o02_streaming_first_purchase", "SELECT event_key FROM int_purchases WHERE NOT is_duplicate_purchase")
 def first_purchases_from_stream(spark: SparkSession, flat_events: DataFrame) -> DataFrame:
     bought = flat_events.where("event_name = 'purchase'").select("source", "event_key", "event_timestamp", F.coalesce("transaction_id", F.concat(F.lit("no-transaction-id:"), "event_key")).alias("order_key"), F.coalesce("user_pseudo_id", F.lit("")).alias("device"))
-    return first_purchases(streamed(spark, bought)).select("event_key")
+    table, base = KeyedTable(spark, f"{work_folder(spark)}/first", PURCHASE_KEYS, buckets=8), work_folder(spark)
+    for part in arriving(bought, "event_timestamp"):
+        part.write.mode("append").parquet(f"{base}/in")
+        first_purchases(spark.readStream.schema(bought.schema).parquet(f"{base}/in"), table, state=f"{base}/state")
+    return table.read().select("event_key")
 
 
 def daily(rows: DataFrame, at: str, keys: list[str], aggs: list, late: str = "4 days") -> DataFrame:
@@ -92,8 +142,7 @@ def fed(arrivals: list[DataFrame], state, keys: list[str]) -> DataFrame:
     for part in arrivals:
         part.write.mode("append").parquet(f"{base}/in")
         stream = state(spark.readStream.schema(part.schema).parquet(f"{base}/in"))
-        writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-        writer.foreachBatch(lambda df, n: numbered(df, n, f"{base}/out")).start().awaitTermination()
+        drained(stream, "update", lambda df, n: numbered(df, n, f"{base}/out"), f"{base}/state")
     return latest_rows(spark.read.parquet(f"{base}/out"), keys)
 
 
