@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.orders import money_rate
 from brindle.operators.relational import exact_sum, look_back
 from brindle.registry import query, table, whole_table
 
@@ -161,7 +162,7 @@ def channel_share(fct_attribution: DataFrame, n: int = 3) -> DataFrame:
     return folded(per, ["model"], "channel", "orders", n).select("model", "channel", F.round("orders", 4).alias("orders"))
 
 
-@query("k17_journey_lengths", "SELECT source, touches, count(*) AS orders, round(avg(revenue), 4) AS mean_revenue FROM (SELECT source, order_id, max(touches) AS touches, max(revenue) AS revenue FROM journey_touches GROUP BY 1, 2) GROUP BY 1, 2")
+@query("k17_journey_lengths", "SELECT source, touches, count(*) AS orders, floor(sum(revenue::DECIMAL(38,9))::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS mean_revenue FROM (SELECT source, order_id, max(touches) AS touches, max(revenue) AS revenue FROM journey_touches GROUP BY 1, 2) GROUP BY 1, 2")
 def journey_lengths(journey_touches: DataFrame) -> DataFrame:
     orders = journey_touches.groupBy(*ORDER).agg(F.max("touches").alias("touches"), F.max("revenue").alias("revenue"))
-    return orders.groupBy("source", "touches").agg(F.count("*").alias("orders"), F.round(F.avg("revenue"), 4).alias("mean_revenue"))
+    return orders.groupBy("source", "touches").agg(F.count("*").alias("orders"), exact_sum(F.col("revenue"), 9).alias("__sum")).select("source", "touches", "orders", money_rate("__sum", "orders").alias("mean_revenue"))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import orders, staging
-from brindle.operators.relational import fingerprint, symmetric_difference
+from brindle.operators.diff import same_rows, table_diff
+from brindle.operators.relational import symmetric_difference
 from brindle.registry import TABLES, query, table
 
 SINCE, LOOK_BACK_DAYS = "2024-01-20", 4
@@ -168,23 +169,17 @@ def affected_days(early_events: DataFrame, flat_events: DataFrame) -> DataFrame:
 
 @query("m25_equivalence", "SELECT (SELECT count(*) FROM fct_sessions) AS rows, true AS equal")
 def equivalence(fct_sessions: DataFrame, early_fct_sessions: DataFrame, stg_events: DataFrame, int_identity: DataFrame) -> DataFrame:
-    """Whether the sessions followed from the early state are those of a full build: by their multiset fingerprints."""
-    columns = [c for c in fct_sessions.columns if c != "duration_seconds"]
-    a = fingerprint(fct_sessions.select(*columns))
-    b = fingerprint(followed_sessions(early_fct_sessions, stg_events, int_identity, SINCE).select(*columns)).toDF("rows_b", "xor_b", "total_b")
-    return a.crossJoin(F.broadcast(b)).select("rows", ((F.col("rows") == F.col("rows_b")) & (F.col("xor") == F.col("xor_b")) & (F.col("total") == F.col("total_b"))).alias("equal"))
-
-
-def table_diff(a: DataFrame, b: DataFrame, examples: int = 10) -> DataFrame:
-    """(side, rows, examples): rows that only one of two tables has, counted with their repeats, and a few of them as JSON."""
-    out = None
-    for side, rows in (("only in first", a.exceptAll(b)), ("only in second", b.exceptAll(a))):
-        some = rows.limit(examples).agg(F.collect_list(F.to_json(F.struct(*rows.columns))).alias("examples"))
-        one = rows.agg(F.count("*").alias("rows")).select(F.lit(side).alias("side"), "rows").crossJoin(F.broadcast(some))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("m26_table_diff", "SELECT 'only in first' AS side, (SELECT count(*) FROM (SELECT event_name, event_date FROM early_events EXCEPT ALL SELECT event_name, event_date FROM flat_events)) AS rows UNION ALL SELECT 'only in second', (SELECT count(*) FROM (SELECT event_name, event_date FROM flat_events EXCEPT ALL SELECT event_name, event_date FROM early_events))")
-def events_diff(early_events: DataFrame, flat_events: DataFrame) -> DataFrame:
-    return table_diff(early_events.select("event_name", "event_date"), flat_events.select("event_name", "event_date")).drop("examples")
+    """Whether the sessions followed from the early state are those of a full build, in all columns."""
+    followed = followed_sessions(early_fct_sessions, stg_events, int_identity, SINCE)
+    equal = same_rows(fct_sessions, followed, ["session_key"])
+    return fct_sessions.agg(F.count("*").alias("rows"), F.lit(equal).alias("equal"))
+
+
+@query("m26_table_diff", """WITH a AS (SELECT * FROM early_stg_events EXCEPT ALL SELECT * FROM stg_events), b AS (SELECT * FROM stg_events EXCEPT ALL SELECT * FROM early_stg_events), n AS (
+        SELECT 'only in first' AS side, source, event_key FROM a UNION ALL SELECT 'only in second', source, event_key FROM b
+    ), keys AS (SELECT DISTINCT side, '{"source":"' || source || '","event_key":"' || event_key || '"}' AS key FROM n)
+    SELECT side, (SELECT count(*) FROM n WHERE n.side = s.side) AS rows, (SELECT coalesce(string_agg(key, ' ' ORDER BY key), '') FROM (SELECT key FROM keys k WHERE k.side = s.side ORDER BY key LIMIT 10)) AS examples
+    FROM (VALUES ('only in first'), ('only in second')) s(side)""")
+def events_diff(early_stg_events: DataFrame, stg_events: DataFrame) -> DataFrame:
+    """The staged events before and after the new days, in all columns: new rows, and rows whose order changed."""
+    return table_diff(early_stg_events, stg_events, ["source", "event_key"]).withColumn("examples", F.array_join("examples", " "))

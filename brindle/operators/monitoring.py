@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.registry import query, table, whole_table
@@ -65,19 +65,37 @@ def event_counts(mart_tag_health_daily: DataFrame) -> DataFrame:
 whole_table("l04_event_counts", "event_counts")
 
 
-def rules(spark) -> DataFrame:
-    """The rules as a small fixed table."""
-    rows = [F.struct(F.lit(m).alias("metric"), F.lit(s).alias("scale"), F.lit(least).cast("double").alias("least"), F.lit(d).alias("direction"), F.lit(f).cast("double").alias("floor"), F.lit(move).alias("move")) for m, (s, _, least, d, f, move) in RULES.items()]
-    return F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
+RULE_SCHEMA = "source string, metric string, scale string, volume string, least double, direction string, floor double, move double"
+
+
+def rules(spark: SparkSession, given: list[tuple] | None = None) -> DataFrame:
+    """Rules as a table of RULE_SCHEMA. A rule without a source is for every source that has none of its own for the metric. given: rows, else RULES."""
+    rows = given if given is not None else [(None, m, scale, volume, float(least), direction, floor, move) for m, (scale, volume, least, direction, floor, move) in RULES.items()]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules from a file with one JSON object for each."""
+    return spark.read.schema(RULE_SCHEMA).json(path)
+
+
+def ruled(series: DataFrame, rules: DataFrame) -> DataFrame:
+    """Points with the scale, least volume, direction, floor and move of their rule; points without a rule are left out. Two equi-joins: the source's own rule, else the one for all sources."""
+    fields = ["scale", "least", "direction", "floor", "move"]
+    of = lambda rows, name, *key: rows.groupBy(*key).agg(F.max(F.struct(*fields)).alias(name))
+    own = of(rules.where("source IS NOT NULL"), "__own", "source", "metric")
+    each = of(rules.where("source IS NULL"), "__each", "metric")
+    found = series.join(own, ["source", "metric"], "left").join(each, "metric", "left").withColumn("__rule", F.coalesce("__own", "__each"))
+    return found.where("__rule IS NOT NULL").select(*series.columns, "__rule.*")
 
 
 _JUDGEABLE = f"""SELECT s.*, scale, direction, floor, move, CASE scale WHEN 'log' THEN ln(greatest(value, 0) + {LOG_OFFSET}) ELSE value END AS y FROM kpi_series s JOIN (VALUES {_RULES_SQL}) r(metric, scale, least, direction, floor, move) USING (metric) WHERE value IS NOT NULL AND NOT isnan(value) AND (volume IS NULL OR volume >= least)"""
 
 
 @table(_JUDGEABLE)
-def judgeable(kpi_series: DataFrame) -> DataFrame:
-    """Points that can be judged, on their rule's scale: known, finite, and with enough volume behind a rate."""
-    j = kpi_series.join(rules(kpi_series.sparkSession), "metric").where("value IS NOT NULL AND NOT isnan(value) AND (volume IS NULL OR volume >= least)")
+def judgeable(kpi_series: DataFrame, by: DataFrame | None = None) -> DataFrame:
+    """Points that can be judged, on their rule's scale: known, finite, and with enough volume behind a rate. by: a table of rules, else the built-in ones."""
+    j = ruled(kpi_series, rules(kpi_series.sparkSession) if by is None else by).where("value IS NOT NULL AND NOT isnan(value) AND (volume IS NULL OR volume >= least)")
     y = F.when(F.col("scale") == "log", F.log(F.greatest("value", F.lit(0.0)) + LOG_OFFSET)).otherwise(F.col("value"))
     return j.select("source", "metric", "day", "value", "volume", "scale", "direction", "floor", "move", y.alias("y"))
 
@@ -227,15 +245,26 @@ def fresh(alerts: DataFrame, since: str) -> DataFrame:
     return alerts.where(F.col("day") >= F.lit(since).cast("date"))
 
 
+#: From the least to the most severe.
+SEVERITIES = ("warning", "critical")
+ALERT_KEY = ["source", "metric", "day", "rule"]
+#: An alert as it is kept: what fired, what was expected, which rules said so, and what became of it.
+ALERT_RECORD = (*ALERT_KEY, "value", "expected", "band_low", "band_high", "severity", "direction", "score", "history_days", "volume", "detail", "rules_version", "detected_at", "first_detected_at", "notified_at", "delivery")
+
+
+def severity_rank(severity: Column) -> Column:
+    return F.coalesce(*[F.when(severity == s, i + 1) for i, s in enumerate(SEVERITIES)], F.lit(0))
+
+
 def upsert_alerts(now: DataFrame, before: DataFrame, at: str) -> DataFrame:
-    """Alerts that fire now, with when each was first detected, when it was last told of and how; those that no longer fire are dropped. Equal keys are merged to the most severe."""
-    key = ["source", "metric", "day", "rule"]
-    one = now.groupBy(*key).agg(F.min("severity").alias("severity"), F.max("value").alias("value"))
-    old = before.select(*key, F.col("first_detected_at").alias("__first"), "notified_at", "delivery")
+    """Alerts that fire now, each as a whole record, with when it was first detected, when it was last told of and how; those that no longer fire are dropped. Of equal keys the most severe alert is kept, with all that it says."""
+    fired = [c for c in ALERT_RECORD if c in now.columns]
+    values = [c for c in fired if c not in ALERT_KEY]
+    one = now.groupBy(*ALERT_KEY).agg(F.max(F.struct(severity_rank(F.col("severity")).alias("__rank"), *values)).alias("a")).select(*ALERT_KEY, *[F.col(f"a.{c}").alias(c) for c in values])
+    old = before.select(*ALERT_KEY, F.col("first_detected_at").alias("__first"), "notified_at", "delivery")
     moment = F.lit(at).cast("timestamp_ntz")
-    return one.join(old, key, "left").select(
-        *key, "severity", "value", F.lit(RULES_VERSION).alias("rules_version"), moment.alias("detected_at"), F.coalesce("__first", moment).alias("first_detected_at"), "notified_at", "delivery",
-    )
+    known = one.join(old, ALERT_KEY, "left").withColumns({"rules_version": F.lit(RULES_VERSION), "detected_at": moment, "first_detected_at": F.coalesce("__first", moment)})
+    return known.select(*[c for c in ALERT_RECORD if c in known.columns])
 
 
 def told(state: DataFrame, at: str, delivery: str, since: str) -> DataFrame:
@@ -244,20 +273,22 @@ def told(state: DataFrame, at: str, delivery: str, since: str) -> DataFrame:
     return state.withColumns({"delivery": F.when(news, delivery).otherwise(F.col("delivery")), "notified_at": F.when(news, F.lit(at).cast("timestamp_ntz")).otherwise(F.col("notified_at"))})
 
 
-@query("l16_upsert", f"""SELECT source, metric, day, rule, min(severity) AS severity, '{RULES_VERSION}' AS rules_version, TIMESTAMP '2024-01-31 06:00:00' AS detected_at, CASE WHEN day < DATE '2024-01-20' THEN TIMESTAMP '2024-01-20 06:00:00' ELSE TIMESTAMP '2024-01-31 06:00:00' END AS first_detected_at,
-    CASE WHEN day < DATE '2024-01-20' THEN TIMESTAMP '2024-01-20 07:00:00' WHEN day >= DATE '2024-01-25' THEN TIMESTAMP '2024-01-31 06:05:00' END AS notified_at, CASE WHEN day < DATE '2024-01-20' THEN 'webhook' WHEN day >= DATE '2024-01-25' THEN 'log' END AS delivery FROM alerts GROUP BY 1, 2, 3, 4""")
+@query("l16_upsert", f"""SELECT source, metric, day, rule, value, expected, band_low, band_high, severity, direction, score, history_days, volume, detail, '{RULES_VERSION}' AS rules_version, TIMESTAMP '2024-01-31 06:00:00' AS detected_at,
+    CASE WHEN day < DATE '2024-01-20' THEN TIMESTAMP '2024-01-20 06:00:00' ELSE TIMESTAMP '2024-01-31 06:00:00' END AS first_detected_at,
+    CASE WHEN day < DATE '2024-01-20' THEN TIMESTAMP '2024-01-20 07:00:00' WHEN day >= DATE '2024-01-25' THEN TIMESTAMP '2024-01-31 06:05:00' END AS notified_at, CASE WHEN day < DATE '2024-01-20' THEN 'webhook' WHEN day >= DATE '2024-01-25' THEN 'log' END AS delivery
+    FROM alerts QUALIFY row_number() OVER (PARTITION BY source, metric, day, rule ORDER BY severity = 'critical' DESC, value DESC) = 1""")
 def upserted(alerts: DataFrame) -> DataFrame:
     """Onto the state of an earlier run that had seen the days before the 20th; then what is new and fresh is logged."""
     seen = {"first_detected_at": F.lit("2024-01-20 06:00:00").cast("timestamp_ntz"), "notified_at": F.lit("2024-01-20 07:00:00").cast("timestamp_ntz"), "delivery": F.lit("webhook")}
-    before = alerts.where("day < DATE'2024-01-20'").select("source", "metric", "day", "rule").distinct().withColumns(seen)
-    return told(upsert_alerts(alerts, before, "2024-01-31 06:00:00"), "2024-01-31 06:05:00", "log", "2024-01-25").drop("value")
+    before = alerts.where("day < DATE'2024-01-20'").select(*ALERT_KEY).distinct().withColumns(seen)
+    return told(upsert_alerts(alerts, before, "2024-01-31 06:00:00"), "2024-01-31 06:05:00", "log", "2024-01-25")
 
 
 @query("l17_digest", "SELECT source, metric, count(*) AS days, min(severity) AS worst, row_number() OVER (ORDER BY min(severity), count(*) DESC, source, metric)::INT AS line FROM alerts GROUP BY 1, 2 QUALIFY line <= 20")
 def digest(alerts: DataFrame, lines: int = 20) -> DataFrame:
     """One line for each source and metric, critical ones first; a digest has at most ``lines``."""
-    per = alerts.groupBy("source", "metric").agg(F.count("*").alias("days"), F.min("severity").alias("worst"))
-    return per.withColumn("line", F.row_number().over(Window.orderBy("worst", F.desc("days"), "source", "metric"))).where(F.col("line") <= lines)
+    per = alerts.groupBy("source", "metric").agg(F.count("*").alias("days"), F.max(F.struct(severity_rank(F.col("severity")), "severity"))["severity"].alias("worst"))
+    return per.withColumn("line", F.row_number().over(Window.orderBy(severity_rank(F.col("worst")).desc(), F.desc("days"), "source", "metric"))).where(F.col("line") <= lines)
 
 
 @query("l18_alert_counts", "SELECT rule, severity, source, day, count(*) AS alerts FROM alerts GROUP BY 1, 2, 3, 4")

@@ -8,9 +8,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.folds import ordered_fold
 from brindle.operators.staging import EMAIL
 from brindle.registry import query, table, whole_table
 
@@ -355,12 +357,54 @@ def purchase_checkout(stg_events: DataFrame) -> DataFrame:
     return rows.where("event_name = 'purchase'").select("event_key", "checkout_key")
 
 
-@query("j26_sequence", f"SELECT session_key, min(n)::INT AS first_mismatch FROM (SELECT session_key, event_name, row_number() OVER ({_IN_ORDER}) AS n FROM stg_events WHERE session_key IS NOT NULL) JOIN (VALUES (1, 'page_view'), (2, 'view_item'), (3, 'add_to_cart')) e(k, expected) ON k = n WHERE event_name <> expected GROUP BY 1")
-def sequence_mismatch(stg_events: DataFrame, expected: tuple[str, ...] = ("page_view", "view_item", "add_to_cart")) -> DataFrame:
-    """Sessions that don't begin with the expected events, and where they first depart from them. Only the first events of a session are kept, whatever its length."""
-    want = F.array(*map(F.lit, expected))
-    rows = stg_events.where("session_key IS NOT NULL").select("session_key", "event_name", F.row_number().over(_in_session()).alias("n")).where(F.col("n") <= len(expected))
-    return rows.where(F.col("event_name") != F.element_at(want, F.col("n"))).groupBy("session_key").agg(F.min("n").alias("first_mismatch"))
+#: A session's expected course: each step's event, and whether it may come again before the next one.
+COURSE = (("page_view", False), ("view_item", False), ("add_to_cart", False))
+_COURSE_SQL = ", ".join(f"({i}, '{name}', {str(again).lower()})" for i, (name, again) in enumerate(COURSE))
+
+
+def transitions(course: tuple[tuple[str, bool], ...]) -> dict[tuple[int, str], int]:
+    """The automaton of a course: from how many steps are done, by the next event, to how many are done then. What isn't in it is a mismatch, but for a done course, after which anything may follow."""
+    out = {}
+    for done, (name, _) in enumerate(course):
+        if done and course[done - 1][1]:
+            out[done, course[done - 1][0]] = done
+        out[done, name] = done + 1
+    return out
+
+
+@query("j26_sequence", f"""SELECT * FROM (WITH RECURSIVE course AS (SELECT * FROM (VALUES {_COURSE_SQL}) c(i, name, again)), numbered AS MATERIALIZED (SELECT session_key, event_name, row_number() OVER ({_IN_ORDER}) AS n, count(*) OVER (PARTITION BY session_key) AS last FROM stg_events WHERE session_key IS NOT NULL),
+    walk AS (
+        SELECT DISTINCT session_key, 0::BIGINT AS n, 0 AS done, last, NULL::VARCHAR AS got, false AS failed FROM numbered
+        UNION ALL
+        SELECT w.session_key, w.n + 1, CASE WHEN e.event_name = want.name THEN w.done + 1 ELSE w.done END, w.last, e.event_name, NOT coalesce(e.event_name = want.name OR (e.event_name = had.name AND had.again), false)
+        FROM walk w JOIN numbered e ON e.session_key = w.session_key AND e.n = w.n + 1 JOIN course want ON want.i = w.done LEFT JOIN course had ON had.i = w.done - 1 WHERE NOT w.failed AND w.done < {len(COURSE)}
+    ), ended AS (SELECT session_key, max(n) AS n, arg_max(done, n) AS done, arg_max(failed, n) AS failed, arg_max(got, n) AS got FROM walk GROUP BY 1)
+    SELECT session_key, (CASE WHEN failed THEN n ELSE n + 1 END)::INT AS first_mismatch, name AS expected, CASE WHEN failed THEN got END AS got FROM ended JOIN course ON i = done WHERE done < {len(COURSE)})""")
+def sequence_mismatch(stg_events: DataFrame, course: tuple[tuple[str, bool], ...] = COURSE) -> DataFrame:
+    """(session_key, first_mismatch, expected, got): sessions that depart from the course, and at which of their events. A session that ends before the course does departs behind its last event; got is null then.
+
+    The automaton is run over a session's events as they stream by in order; its state is a number, however long the session is.
+    """
+    moves, steps = transitions(course), len(course)
+
+    def step(state: list, row: tuple) -> tuple:
+        """state: events seen, steps done, whether it is over."""
+        state[0] += 1
+        if not state[2] and state[1] < steps:
+            done = moves.get((state[1], row[0]))
+            if done is None:
+                state[2] = True
+                return state[0], state[1], row[0], True
+            state[1] = done
+        return state[0], state[1], None, False
+
+    kind = pa.schema([("n", pa.int32()), ("done", pa.int32()), ("got", pa.string()), ("failed", pa.bool_())])
+    events = stg_events.where("session_key IS NOT NULL").select("session_key", "event_timestamp", "event_key", "event_name")
+    judged = ordered_fold(events, ["session_key"], ["event_timestamp", "event_key"], ["event_name"], lambda row: [0, 0, False], step, kind)
+    # the failure if there is one, else the last event
+    last = judged.groupBy("session_key").agg(F.max(F.struct("failed", "n", "done", "got")).alias("e")).where(F.col("e.failed") | (F.col("e.done") < steps))
+    at = F.when(F.col("e.failed"), F.col("e.n")).otherwise(F.col("e.n") + 1).alias("first_mismatch")
+    return last.select("session_key", at, F.get(F.array(*[F.lit(name) for name, _ in course]), F.col("e.done")).alias("expected"), F.col("e.got").alias("got"))
 
 
 @query("j27_first_event", "SELECT session_key, arg_min(event_name, (event_timestamp, event_key)) AS first_event, count(*) FILTER (event_name = 'page_view') AS page_views FROM stg_events WHERE session_key IS NOT NULL GROUP BY 1 HAVING arg_min(event_name, (event_timestamp, event_key)) <> 'page_view' OR count(*) FILTER (event_name = 'page_view') <> 1")
