@@ -42,6 +42,18 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[F.col(f"`{c}`") for c in df.columns if c.lower() in taken])
 
 
+#: A key is hot if at least one row in so many has it, so there are at most as many hot keys.
+HOT_SHARE = 1_000
+
+
+def joined_by_share(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (key, n, ...) by equality, where n of the ``total`` rows have a key. The few keys that a large share of the rows has are sent to them, so that their rows never meet in one task."""
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(keys.where(is_hot))
+    rest = rows.join(hot.select(key), key, "left_anti")  # before the shuffle
+    return rows.join(hot, key).unionByName(rest.join(keys.where(~is_hot), key))
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the value's decimal text, modulo; -1 for null, which belongs to no fold."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import arrow_function, bounded_batches, crc_mod, worker_slot
 
-#: A model learns from at most so many labelled texts of at most so many characters, drawn by a hash and spread evenly over the languages.
+#: A model learns from at most so many labelled texts of at most so many characters, drawn by a hash and spread evenly over the languages (at most as many). SAMPLE_SPARE times as many are ranked.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PARTS = 4_000, 10_000, 32
+SAMPLE_SPARE = 3
 LONGEST = 4
 #: A word or n-gram that the sample has fewer times isn't known: what was seen once says little, and unseen words are like words seen once.
 LEAST_WORD, LEAST_GRAM = 3, 2
@@ -159,14 +160,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, fold_modulus: int = 5, held_out: int = 0) -> DataFrame:
-    """(lang, text): the texts that a model learns from. Only rows with a language and an id outside the held-out fold; a text that many rows of a language share counts once."""
+    """(lang, text): the texts that a model learns from. Only rows with a language and an id outside the held-out fold; a text that many rows of a language share counts once.
+
+    A share of each language's texts, by their hash, is a few times what is wanted of it; only that is ranked, so no language's texts meet in one task.
+    """
     fold = crc_mod("doc_id", fold_modulus)
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where((fold >= 0) & (fold != held_out)).where(F.length("text") <= SAMPLE_CHARS)
-    each = max(1, SAMPLE_DOCS // max(1, docs.where("lang IS NOT NULL").agg(F.count_distinct("lang")).first()[0]))
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where((fold >= 0) & (fold != held_out)).where(F.length("text") <= SAMPLE_CHARS).select("lang", "text", F.xxhash64("text").alias("__h"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("__h").alias("n")).orderBy(F.xxhash64("lang"), "lang").limit(SAMPLE_DOCS).collect()
+    each = SAMPLE_DOCS // max(1, len(sizes))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, SAMPLE_SPARE * each / max(r["n"], 1)) * 2**32)) for r in sizes], "lang string, __share long")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod("__h", F.lit(2**32)) < F.col("__share")).groupBy("lang", "__h", "text").agg(F.count("*"))
     order = Window.partitionBy("lang").orderBy("__h", "text")
-    # ranks are cut in each partition before the rows move, so a language's texts are never gathered; copies of a text stand together by its hash
-    drawn = rows.select("lang", "text", F.xxhash64("text").alias("__h")).withColumn("__r", F.dense_rank().over(order)).where(F.col("__r") <= each)
-    return drawn.groupBy("lang", "text").agg(F.first("__h").alias("__h")).orderBy("__h", "lang").limit(SAMPLE_DOCS).select("lang", "text")
+    return drawn.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= each).select("lang", "text")
 
 
 def fit(docs: DataFrame, fold_modulus: int = 5, held_out: int = 0) -> Model:

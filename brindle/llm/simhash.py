@@ -15,8 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import arrow_function, bounded_batches, checkpointed
+from brindle.llm.common import arrow_function, bounded_batches, checkpointed, joined_by_share
 from brindle.llm.components import components
+from brindle.session import kept
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -24,8 +25,6 @@ SEED = 42
 RADIUS = 2
 #: Variants shared by more fingerprints than this are not paired but taken apart exactly by ``_crowded_links``.
 PAIRED = 32
-#: A key that more than one in so many rows has is joined by broadcast: there can be no more than so many of them.
-HOT_SHARE = 1_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -85,14 +84,6 @@ def _crowded_links(fps: DataFrame) -> DataFrame:
     return around.select("a", F.explode("all").alias("b")).where("a != b").distinct()
 
 
-def _with_keys(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``keys`` (key, n, ...) by equality, where n of the ``total`` rows have a key. The few keys that a large share of the rows has are sent to them, so that their rows never meet in one task."""
-    is_hot = F.col("n") * HOT_SHARE > total
-    hot = F.broadcast(keys.where(is_hot))
-    rest = rows.join(hot.select(key), key, "left_anti")  # before the shuffle
-    return rows.join(hot, key).unionByName(rest.join(keys.where(~is_hot), key))
-
-
 def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fps`` (fp), which join exactly those that chains of steps of at most RADIUS bits join.
 
@@ -106,17 +97,23 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     few = shared.where(F.col("n").between(3, paired)).select("key")
     met = variants.join(few, "key")
     pairs = met.select("key", F.col("fp").alias("a")).join(met.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_near("a", "b")).select("a", "b")
-    crowded = _with_keys(variants, shared.where(F.col("n") > paired), "key", 64 * fps.count()).select("fp").distinct()
+    crowded = joined_by_share(variants, shared.where(F.col("n") > paired), "key", 64 * fps.count()).select("fp").distinct()
     return twos.union(pairs).union(_crowded_links(crowded)).distinct()
 
 
-def _classes(prints: DataFrame) -> DataFrame:
-    """(fp, n, head, component_id) for each distinct fingerprint of ``prints`` (doc_id, fp): its rows, its smallest doc_id and the smallest that is reachable."""
-    heads = checkpointed(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")))
+def _heads(prints: DataFrame, *more) -> DataFrame:
+    """(fp, n, head, ...) for each distinct fingerprint of ``prints`` (doc_id, fp): its rows and its smallest doc_id. more: other aggregates."""
+    return checkpointed(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("head"), *more))
+
+
+def _classes(heads: DataFrame) -> tuple[DataFrame, int]:
+    """(heads with component_id, the smallest doc_id that is reachable from each fingerprint; how many rows all heads have)."""
+    rows = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = components(links(heads.select("fp"))).select(F.col("node").alias("fp"), "root")
-    linked = heads.join(roots, "fp")
-    classes = linked.join(linked.groupBy("root").agg(F.min("head").alias("component_id")), "root").select("fp", "component_id")
-    return checkpointed(heads.join(classes, "fp", "left").select("fp", "n", "head", F.coalesce("component_id", "head").alias("component_id")))
+    linked = checkpointed(heads.select("fp", "head").join(roots, "fp"))
+    least = checkpointed(linked.groupBy("root").agg(F.count("*").alias("n"), F.min("head").alias("component_id")))
+    classes = joined_by_share(linked.select("fp", "root"), least, "root", linked.count()).select("fp", "component_id")
+    return checkpointed(heads.join(classes, "fp", "left").withColumn("component_id", F.coalesce("component_id", "head"))), rows
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,20 +124,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Extra columns are not read.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col))
-    return _with_keys(prints, _classes(prints), "fp", prints.count()).select("doc_id", "fp", "component_id")
+    classes, rows = _classes(_heads(prints))
+    return joined_by_share(prints, classes, "fp", rows).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, of which one stays for each component: the one with the smallest doc_id.
 
     Of repeated rows with one doc_id and one fingerprint one stays. Where every doc_id of a component is null, one row
-    stays for each of its fingerprints. Rows are written once with their fingerprints and numbers; only the numbers of those that go are joined to them.
+    stays for each of its fingerprints. Rows are written once, as Parquet, with their fingerprints and numbers, and read whole once, for the result; all that is decided reads only the
+    fingerprints, ids and numbers.
     """
     bounded_batches(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = checkpointed(docs.select(whole.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("at"), _fingerprints(F.col(f"`{text_col}`")).alias("fp")))
-    prints = rows.select("doc_id", "fp")
-    first = rows.groupBy("fp").agg(F.min_by("at", F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("first"))
-    stays = _classes(prints).join(first, "fp").select("fp", "n", F.when(F.col("head").eqNullSafe(F.col("component_id")), F.col("first")).alias("first"))
-    gone = _with_keys(rows.select("fp", "at"), stays, "fp", rows.count()).where("first IS NULL OR at != first").select("at")
+    rows = kept(docs.select(whole.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("at"), _fingerprints(F.col(f"`{text_col}`")).alias("fp")))
+    heads = _heads(rows.select("doc_id", "fp", "at"), F.min_by("at", F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("first"))
+    classes, n = _classes(heads)
+    stays = classes.select("fp", "n", F.when(F.col("head").eqNullSafe(F.col("component_id")), F.col("first")).alias("first"))
+    gone = joined_by_share(rows.select("fp", "at"), stays, "fp", n).where("first IS NULL OR at != first").select("at")
     return rows.join(gone, "at", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

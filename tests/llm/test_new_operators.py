@@ -230,3 +230,24 @@ def test_no_language_can_be_learnt(spark):
     df = spark.createDataFrame([(1, "some text", None, "s", 1), (2, None, None, "s", 0)], DOCS)
     assert [tuple(r)[2:] for r in language_id.language_id(df).collect()] == [("und", 0.0)] * 2
     assert language_id.language_id(df.limit(0)).count() == 0
+
+
+# --- joins on hot keys ------------------------------------------------------------------------------
+
+
+def test_a_star_s_links_never_meet_in_one_task(spark):
+    from brindle.llm import common, components
+
+    n = 20_000
+    star = spark.range(1, n).selectExpr("id AS a", "0L AS b")
+    got = components.components(star)
+    assert got.count() == n and got.where("root != 0").count() == 0
+    both = star.unionByName(star.selectExpr("b AS a", "a AS b"))
+    least = both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
+    joined = common.joined_by_share(both, least, "a", 2 * n)
+    assert joined.count() == 2 * (n - 1)
+    # of the rows that a shuffle deals by the key, none has the hot one
+    rest = both.join(F.broadcast(least.where(F.col("n") * common.HOT_SHARE > 2 * n)).select("a"), "a", "left_anti")
+    seen = [r["a"] for r in rest.where("a = 0").collect()]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert not seen and plan.count("BroadcastHashJoin") >= 2 and "LeftAnti" in plan
