@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from brindle.llm.common import checkpointed
 
 NEAREST = 20
-#: Shards grow with the square root of the vectors, from FEW_ROWS up to MOST_ROWS, which is what a task can hold: with n vectors there are
+#: Shards grow with the square root of the vectors, from FEW_ROWS up to MOST_ROWS and to MOST_BYTES of doubles, which is what a task can hold: with n vectors there are
 #: sqrt(n / FEW_ROWS) of them, so a query walks few graphs, and the walks of all queries grow with n to the power of 1.5.
-FEW_ROWS, MOST_ROWS = 6_000, 200_000
+FEW_ROWS, MOST_ROWS, MOST_BYTES = 6_000, 200_000, 256 << 20
 #: Queries of a block: one task holds a graph of a shard and a block.
 BLOCK_ROWS = 20_000
 DEGREE, BUILD_BEAM, ALPHA = 24, 40, 1.2
@@ -129,8 +129,17 @@ def build(points: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
     return edges, start
 
 
-def _matrix(rows: list[list[float]]) -> np.ndarray:
-    return np.array(rows, np.float64).reshape(len(rows), -1)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as a matrix, without a Python object for each component."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _edges(column: pa.ChunkedArray) -> np.ndarray:
+    """The neighbours of each node, -1 where it has fewer than DEGREE."""
+    lists = column.combine_chunks()
+    edges = np.full((len(lists), DEGREE), -1, np.int64)
+    edges[np.arange(DEGREE) < lists.value_lengths().to_numpy(zero_copy_only=False)[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return edges
 
 
 def _points(vectors: np.ndarray) -> np.ndarray:
@@ -149,7 +158,7 @@ def _directions(queries: np.ndarray) -> np.ndarray:
 
 def _grow(group: pa.Table) -> pa.Table:
     group = group.sort_by("node")
-    edges, start = build(_points(_matrix(group["embedding"].to_pylist())))
+    edges, start = build(_points(_matrix(group["embedding"])))
     flags = np.zeros(len(edges), bool)
     flags[start] = True
     lists = [row[row >= 0] for row in edges.astype(np.int32)]
@@ -162,13 +171,11 @@ def _answered(k: int, beam: int):
         if not shard.num_rows or not block.num_rows:
             return kind.empty_table()
         shard = shard.sort_by("node")  # the order in which the edges count
-        vectors, queries = _matrix(shard["embedding"].to_pylist()), _matrix(block["embedding"].to_pylist())
+        vectors, queries = _matrix(shard["embedding"]), _matrix(block["embedding"])
         points, asked = _points(vectors), _directions(queries)
-        edges = np.full((len(points), DEGREE), -1, np.int64)
-        for i, row in enumerate(shard["edges"].to_pylist()):
-            edges[i, : len(row)] = row
-        start = shard["start"].to_pylist().index(True)
-        squares, nodes, ids = (points**2).sum(1), np.array(shard["node"].to_pylist(), np.int64), np.array(block["query_id"].to_pylist(), np.int64)
+        edges = _edges(shard["edges"])
+        start = int(np.argmax(shard["start"].to_numpy()))
+        squares, nodes, ids = (points**2).sum(1), shard["node"].to_numpy(), block["query_id"].to_numpy()
         out = []
         for i in range(0, len(queries), BATCH):
             met, _ = _walk(points, squares, edges, start, asked[i : i + BATCH], max(beam, 2 * k))
@@ -210,16 +217,16 @@ def _band(embedding: Column) -> Column:
     return F.floor(F.log2(F.array_max(F.transform(embedding, F.abs))) / 8).cast("int")
 
 
-def shard_rows(n: int) -> int:
+def shard_rows(n: int, dim: int) -> int:
     """How many of n vectors a shard gets."""
-    return min(max(FEW_ROWS, math.isqrt(FEW_ROWS * n)), MOST_ROWS)
+    return max(1, min(max(FEW_ROWS, math.isqrt(FEW_ROWS * n)), MOST_ROWS, MOST_BYTES // (8 * max(dim, 1))))
 
 
 def index(vectors: DataFrame, k: int = NEAREST, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(graph, members): the graph's rows (dim, band, shard, node, embedding, edges, start), and each node's members. rows: vectors of a shard, else ``shard_rows`` of all."""
     nodes = checkpointed(_distinct(vectors, k + 1).withColumn("dim", F.size("embedding")))
-    n = nodes.count()
-    shards = max(1, -(-n // (rows or shard_rows(n))))
+    n, dim = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards = max(1, -(-n // (rows or shard_rows(n, dim))))
     dealt = nodes.select("dim", _band(F.col("embedding")).alias("band"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "embedding")
     # a number of partitions that is given isn't coalesced: each shard is a task of its own, but for a few that meet by hash
     graph = dealt.repartition(4 * shards, *SHARD).groupBy(*SHARD).applyInArrow(_grow, "dim int, band int, shard int, node long, embedding array<double>, edges array<int>, start boolean")

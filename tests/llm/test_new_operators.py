@@ -251,3 +251,26 @@ def test_a_star_s_links_never_meet_in_one_task(spark):
     seen = [r["a"] for r in rest.where("a = 0").collect()]
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert not seen and plan.count("BroadcastHashJoin") >= 2 and "LeftAnti" in plan
+
+
+# --- vector search ----------------------------------------------------------------------------------
+
+
+def test_a_shard_of_long_vectors_is_never_boxed():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from brindle.llm import vector_search
+
+    n, dim = 3_000, 768
+    raw = np.random.default_rng(0).normal(size=n * dim)
+    column = pa.chunked_array([pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(raw))])
+    tracemalloc.start()
+    matrix = vector_search._matrix(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (matrix == raw.reshape(n, dim)).all() and peak < 1.5 * raw.nbytes  # a Python float for each would take four times that
+    assert vector_search.shard_rows(10**9, dim) * dim * 8 <= vector_search.MOST_BYTES and vector_search.shard_rows(50_000, 64) == 17_320
+    lists = pa.chunked_array([pa.array([[3, 1], [], [2]], pa.list_(pa.int32()))])
+    assert vector_search._edges(lists)[:, :3].tolist() == [[3, 1, -1], [-1, -1, -1], [2, -1, -1]]
