@@ -73,14 +73,24 @@ _OTHER = r"(?:\d{1,3}\.){3}\d|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|\d{4}[ -]\d{6}[ -]\d
 _STEP = f"(?:{_GAP}(?!{_OTHER}))?"
 _KEYWORD = "api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password|passphrase|pwd"
 
+#: What issuers put before their keys; the key behind it is the secret. Fixed values.
+_ISSUED = (
+    r"(?:AKIA|ASIA|ABIA|ACCA)(?=[0-9A-Z]{16}(?![0-9A-Za-z]))|gh[oprsu]_(?=[A-Za-z0-9]{20})|github_pat_(?=\w{20})|glpat-(?=[\w-]{16})|xox[abeoprs]-(?=[A-Za-z0-9-]{10})"
+    r"|[prs]k_(?:live|test)_(?=[A-Za-z0-9]{10})|sk-(?=[A-Za-z_-]*\d)(?=[\w-]{20})|AIza(?=[\w-]{30})|npm_(?=[A-Za-z0-9]{30})|hf_(?=[A-Za-z0-9]{20})|eyJ(?=[\w-]{8,}\.[\w-]{4})"
+)
+_HAN = "[\u4e00-\u9fff]"
+
 # In the order in which they are tried at one place.
 ENTITIES = re.compile(
     rf"""
-      (?P<email> (?<![\w.+-]) [\w][\w.+-]{{0,63}} @ (?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}} \b )
-    | (?P<iban>  (?=[A-Z])\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b )
+      (?P<email> (?<![\w.+-]) [\w][\w.+-]{{0,63}} @ (?:[\w-]{{1,63}}\.){{1,8}}(?:xn--[A-Za-z0-9-]{{2,59}}|[^\W\d_]{{2,24}}) \b )
+    | (?P<token> (?=[AGefghnprsx])(?<![A-Za-z0-9_])(?:{_ISSUED})(?P<body>[\w-]+(?:\.[\w-]+)*) )
+    | (?P<bearer> (?=[Bb])(?<!\w)(?i:bearer)[ ]{{1,4}}(?P<borne>(?=[\w.~+/-]*\d)[\w.~+/-]{{7,}}[\w~+/-]=*) )
+    | (?P<login> (?<=://)[^\s/@:"'<>]{{0,128}}:(?P<password>[^\s/@"'<>]{{1,256}})(?=@) )
+    | (?P<iban>  (?=[A-Za-z])\b(?:[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?|[A-Za-z]{{2}}\d{{2}}(?:[ ]?[A-Za-z0-9]{{4}}){{3,7}}(?:[ ]?[A-Za-z0-9]{{1,3}})?)\b )
     | (?P<ip>    (?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d) )
     | (?P<ip6>   (?=[0-9A-Fa-f:])(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX} | (?:{_HEX}(?::{_HEX}){{0,6}})?::{_HEX}(?::{_HEX}){{0,6}} | {_HEX}(?::{_HEX}){{0,6}}::)(?![\w:]|\.\d) )
-    | (?P<phone> (?=[\d+(])(?:(?<![\d+])\+1{_GAP}?(?:\(\d{{3}}\)|\d{{3}}){_GAP}?\d{{3}}{_GAP}?\d{{4}}(?!\d) | (?<![\d+])\+3[34]{_GAP}?(?:\(0\){_GAP}?)?\d(?:{_GAP}?\d){{8}}(?!\d)
+    | (?P<phone> (?=[\d+(])(?<!\w)(?:(?<![\d+])\+1{_GAP}?(?:\(\d{{3}}\)|\d{{3}}){_GAP}?\d{{3}}{_GAP}?\d{{4}}(?!\d) | (?<![\d+])\+3[34]{_GAP}?(?:\(0\){_GAP}?)?\d(?:{_GAP}?\d){{8}}(?!\d)
                | (?:(?<![\d+])\+|{_NATIONAL}00(?=[1-9]))\d{{1,3}}{_STEP}(?:\(\d{{1,5}}\){_STEP})?\d(?:{_STEP}\d){{5,13}}(?!\d|\.\d)
                | {_NATIONAL}0[1-9](?:{_GAP}?\d{{2}}){{4}}(?!\d)
                | {_NATIONAL}0[1-9]\d{{1,3}}{_GAP}\d{{3,8}}(?:{_STEP}\d{{2,5}})?(?!\d|\.\d) | {_NATIONAL}0[1-9]\d{{8,10}}(?!\d)
@@ -92,13 +102,14 @@ ENTITIES = re.compile(
     | (?P<secret> (?=[AaPpSsTt])(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{_KEYWORD})(?i:[_-]?(?:key|value|id|hash))?(?![A-Za-z0-9_])["']?[ ]{{0,4}}(?:=>|:=|[=:])[ ]{{0,4}}
                  (?: "(?P<double>(?:[^"\\\n]|\\.){{8,}})" | '(?P<single>(?:[^'\\\n]|\\.){{8,}})'
                    | ["']?(?P<value>(?:[^\s"'<>,;&]|[,;&](?!\s|\w+["']?[=:]|$)){{7,}}[^\s"'<>,;&.:)\]}}]) ) )
-    | (?P<named> (?={_CAP}|[κг])\b(?:{_TITLE})\b\.?[ ] (?P<name>{_NAME}(?:[ ]{_NAME})*) )
+    | (?P<named> (?={_CAP}|[κг])\b(?:{_TITLE})\b\.?[ ] (?P<name>{_NAME}(?:[ ]{_NAME})*|{_HAN}{{1,4}}) )
+    | (?P<styled> (?={_HAN})(?<!{_HAN})(?P<bearing>{_HAN}{{1,3}})(?=先生|女士|小姐) )
     | (?P<given> (?={_CAP})(?<!\w)(?:(?:{_GIVEN})(?!\w)(?:-{_PART})*(?:[ ]{_NAME})*|(?:{_GIVEN_CAPS})(?:[ ]{_NAME})+) )
     """,
     re.VERBOSE,
 )
 #: A text without any of these can hold none of the entities.
-_HINT = re.compile(rf"[0-9@]|(?=[SsTtPpKk])(?i:secret|token|passw|passphrase|pwd|key)|::|(?={_CAP}|[κг])\b(?:{_TITLE}|{_GIVEN}|{_GIVEN_CAPS})\b")
+_HINT = re.compile(rf"[0-9@]|(?=[SsTtPpKk])(?i:secret|token|passw|passphrase|pwd|key)|(?=[先女小])(?:先生|女士|小姐)|::|(?={_CAP}|[κг])\b(?:{_TITLE}|{_GIVEN}|{_GIVEN_CAPS})\b")
 #: Words that may repeat one of a name.
 _CAPITALISED = re.compile(rf"(?<!\w)(?:{_CAP}['’](?={_CAP}))?{_CAP}\w+")
 TYPES = ("email", "iban", "ip", "phone", "ssn", "card", "secret", "name", "mention")
@@ -128,12 +139,22 @@ def _words(name: str) -> list[str]:
 
 def _entities(text: str | None) -> Iterator[tuple[str, int, int]]:
     """The entities that show by themselves."""
-    for m in ENTITIES.finditer(text) if text and _HINT.search(text) else ():
-        kind = m.lastgroup
+    at = 0 if text and _HINT.search(text) else None
+    while at is not None and (m := ENTITIES.search(text, at)):
+        kind, at = m.lastgroup, max(m.end(), m.start() + 1)
+        if kind == "iban" and m[0] != m[0].upper() and not _is_iban(m[0]):
+            at = m.start() + 1  # words and numbers of another kind: whatever else they hold is looked for
+            continue
         if kind in ("secret", "double", "single", "value"):
-            at = m.span(next(g for g in ("double", "single", "value") if m[g] is not None))
-            if any(map(_changes, text[at[0] : at[1]])):  # a row of asterisks hides its secret already
-                yield "secret", *at
+            span = m.span(next(g for g in ("double", "single", "value") if m[g] is not None))
+            if any(map(_changes, text[span[0] : span[1]])):  # a row of asterisks hides its secret already
+                yield "secret", *span
+        elif kind in ("token", "body", "bearer", "borne", "login", "password"):
+            span = m.span(next(g for g in ("body", "borne", "password") if m[g] is not None))
+            if any(map(_changes, text[span[0] : span[1]])):
+                yield "secret", *span
+        elif kind in ("styled", "bearing"):
+            yield "name", *m.span("bearing")
         elif kind in ("named", "name"):
             yield "name", *m.span("name")
         elif kind == "given":
@@ -152,6 +173,12 @@ def _changes(c: str) -> bool:
     return c.isalnum() if c.isascii() else len(c.lower()) == 1 and bool(_block(c.lower()))
 
 
+def _is_iban(text: str) -> bool:
+    """Whether the check number is right."""
+    packed = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+
+
 def _is_ip6(text: str) -> bool:
     """An address that isn't one of all hosts (::, ::1), nor two words of code about ::."""
     try:
@@ -266,13 +293,13 @@ class Surrogates:
         local, _, domain = text.rpartition("@")
         name, _, top = domain.rpartition(".")
         mark = lambda c: self._plain(c) or self._spoken(c) or ("" if c.isascii() or len(c.lower()) != 1 else _block(c.lower()))
-        return f"{self._by_class('local', local, mark)}@{'.'.join(self._by_class('label', x, self._plain) for x in name.split('.'))}.{top}"
+        return f"{self._by_class('local', local, mark)}@{'.'.join(self._by_class('label', x, mark) for x in name.split('.'))}.{top}"
 
     def iban(self, text: str) -> str:
         packed = text.replace(" ", "")
-        body = self._by_class(f"iban|{packed[:2]}", packed[4:], lambda c: "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz")
+        body = self._by_class(f"iban|{packed[:2].upper()}", packed[4:], lambda c: "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz")
         check = 98 - int("".join(str(int(c, 36)) for c in body + packed[:2] + "00")) % 97
-        if int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 != 1:
+        if not _is_iban(text):
             check = int(packed[2:4])  # a wrong check number stays as wrong as it was found
         new = iter(f"{packed[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(new) for c in text)
@@ -336,7 +363,7 @@ class Surrogates:
 
     def name(self, text: str) -> str:
         """Given names that a list has become others of its list; other words get other letters, vowels for vowels, and never a listed name. Particles stay."""
-        return re.sub(rf"{_CAP}[^\W\d_]*", lambda m: self._word(m[0]), text)
+        return re.sub(rf"{_CAP}[^\W\d_]*|{_HAN}+", lambda m: self._word(m[0]), text)
 
     mention = name
 
@@ -365,7 +392,7 @@ class Surrogates:
             return "+" * text.startswith("+") + "".join(c for c in text if c.isdigit())
         if kind == "ip":
             return ipaddress.IPv6Address(text).compressed if ":" in text else ".".join(str(int(x)) for x in text.split("."))
-        return text.replace(" ", "") if kind == "iban" else text if kind == "secret" else text.lower()
+        return text.replace(" ", "").upper() if kind == "iban" else text if kind == "secret" else text.lower()
 
     def of(self, kind: str, text: str) -> str:
         return getattr(self, kind)(text)
