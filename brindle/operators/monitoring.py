@@ -48,8 +48,13 @@ whole_table("l02_health_series", "health_series")
 
 @table("SELECT source, unnest(generate_series(min(date), greatest(max(date), DATE '2024-02-03'), INTERVAL 1 DAY))::DATE AS day FROM mart_kpi_daily GROUP BY 1")
 def source_calendar(mart_kpi_daily: DataFrame, through: str = "2024-02-03") -> DataFrame:
-    """Every day of each source from its first, up to its last or ``through``."""
-    span = mart_kpi_daily.groupBy("source").agg(F.min("date").alias("a"), F.greatest(F.max("date"), F.lit(through).cast("date")).alias("b"))
+    return calendar(mart_kpi_daily, through)
+
+
+def calendar(mart_kpi_daily: DataFrame, through: str | None = None) -> DataFrame:
+    """Every day of each source from its first, up to its last, or up to ``through`` if data was due until then."""
+    last = F.max("date") if through is None else F.greatest(F.max("date"), F.lit(through).cast("date"))
+    span = mart_kpi_daily.groupBy("source").agg(F.min("date").alias("a"), last.alias("b"))
     return span.select("source", F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
 
 

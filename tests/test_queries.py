@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 #: Some of each family; the others are compared in the same way by whoever runs all of oracle_sql().
 NAMES = """a01_scan a06_partitioned_sink c05_full_join d17_ordered_hash j28_opaque_ids l04_event_counts l14_detect a03_daily_over_intraday a08_replace_partitions a10_partition_expiry a13_insert_new b12_symmetric_difference b15_qualify c06_chained_full_joins c15_or_join d12_distinct_sorted_array d21_fingerprint e14_hash_rank e15_concentration
 f08_stock_health f18_top_movers g05_transfers g09_first_negative h12_order_id h15_items i01_identity i03_sessions i05_traffic_source i08_orders i10_campaign_mart i13_tag_health j23_value_math j29_encoded_pii k03_touches k12_attribution_daily
-l08_robust_band l13_vanished_rule m17_window m22_touched_sessions m25_equivalence n05_math o01_streaming_balances o02_streaming_first_purchase""".split()
+l08_robust_band l13_vanished_rule m17_window m22_touched_sessions m25_equivalence m26_table_diff m24_incremental_run g02_rejected_movements g02_apply_within_stock g05_rejected_transfers g10_refreshed_valuation j26_sequence l16_upsert n05_math o01_streaming_balances o02_streaming_first_purchase""".split()
 
 
 def plain(v):
