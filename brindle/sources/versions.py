@@ -137,7 +137,7 @@ class KeyedTable(VersionedTable):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("string")
 
     def upsert(self, changes: DataFrame, merge: Callable[[str], Column] | None = None, batch: int | None = None) -> int | None:
-        """Brings in one row for each changed key; the version made, or None if there was nothing to do.
+        """Brings in one row for each changed key (null is a key like any other); the version made, or None if there was nothing to do.
 
         merge: for each other column its new value, from the columns ``old.<c>`` and ``new.<c>`` of a key that is there already; the new one by default.
         batch: the number of a stream's batch. One that is in the table already changes nothing, so a stream that starts again may repeat its last batch.
@@ -151,8 +151,10 @@ class KeyedTable(VersionedTable):
         values = [c for c in changes.columns if c not in self.keys]
         rows = changes
         if before["slices"]:
-            old = self._rows(before, touched).select(*self.keys, F.struct(*values, F.lit(True).alias("__there")).alias("old"))
-            both = changes.select(*self.keys, F.struct(*values, F.lit(True).alias("__there")).alias("new")).join(old, self.keys, "full")
+            packed = lambda df, name: df.select(*[F.col(k).alias(f"__{name}_{k}") for k in self.keys], F.struct(*values, F.lit(True).alias("__there")).alias(name))
+            same = [F.col(f"__new_{k}").eqNullSafe(F.col(f"__old_{k}")) for k in self.keys]
+            both = packed(changes, "new").join(packed(self._rows(before, touched), "old"), same, "full")
+            both = both.withColumns({k: F.coalesce(f"__new_{k}", f"__old_{k}") for k in self.keys})
             merged = {c: merge(c) if merge else F.col(f"new.{c}") for c in values}
             pick = lambda c: F.when(F.col("new.__there").isNull(), F.col(f"old.{c}")).when(F.col("old.__there").isNull(), F.col(f"new.{c}")).otherwise(merged[c])
             rows = both.select(*self.keys, *[pick(c).cast(changes.schema[c].dataType).alias(c) for c in values])

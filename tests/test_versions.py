@@ -71,6 +71,8 @@ def test_an_upsert_rewrites_the_buckets_it_touches(spark, tmp_path):
     assert t.upsert(more, add, batch=2) and t.upsert(more, add, batch=2) is None  # a repeated batch adds nothing
     assert rows(t.read().where("k in (5, 500)")) == [(5, 101, None), (500, 7, None)]
     assert t.upsert(more.limit(0), batch=3) is None
+    t.upsert(spark.createDataFrame([(None, 1, "n")], "k int, v int, w string"), add, batch=4)
+    assert rows(t.read().where("k is null")) == [(None, 0, "n")]
     assert KeyedTable(spark, str(tmp_path / "t"), ["k"], buckets=99).buckets == 8
 
 
