@@ -352,3 +352,44 @@ def test_quality_scores_equal_the_rules_one_by_one(spark):
         return 1 / (1 + math.exp(-z))
 
     assert sorted(round(r["score"], 9) for r in got) == sorted(round(plain(t), 9) for _, t, *_ in rows)
+
+
+# --- earlier operators on odd rows ------------------------------------------------------------------
+
+
+def odd(spark, n=40):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("alpha beta gamma delta vilescum".split()[: 5 if i % 2 else 4]) for _ in range(40)) for i in range(n)] + [None, "", "   ", "same", "same"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, "no id", "en", "s", 0), (1, texts[1], "en", "s", 0)]
+    clash = {c: F.lit("clash") for c in ("score", "predicted", "held_out", "n_tokens", "ids", "r", "toxic", "label")}
+    return spark.createDataFrame(rows, DOCS).withColumns(clash), rows, spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+
+
+def test_toxicity_of_odd_rows_and_clashing_columns(spark):
+    import corpus_pipeline
+    from brindle.llm import toxicity
+
+    df, rows, labels = odd(spark)
+    got = toxicity.toxicity(df, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(rows) and all(0 <= s <= 1 and p == (s >= 0.5) for _, _, s, p in found)
+    assert len({s for i, _, s, _ in found if i in (43, 44)}) == 1 and [s for i, _, s, _ in found if i == 1][0] == [s for i, _, s, _ in found if i == 1][1]
+    assert toxicity.toxicity(df.limit(0), labels).count() == 0 and toxicity.toxicity(df, labels.limit(0)).count() == len(rows)
+    left = toxicity.accepted(df, labels)
+    assert left.columns == df.columns and left.count() == sum(p == 0 for *_, p in found)
+    assert corpus_pipeline.STAGES[0][1] is corpus_pipeline.reject_toxic
+
+
+def test_tokens_of_odd_rows_and_clashing_columns(spark):
+    import sentencepiece
+
+    import corpus_pipeline
+    from brindle.llm import queries
+
+    df, rows, _ = odd(spark)
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+    got = corpus_pipeline.tokenize(spark, df, "").collect()
+    digest = lambda t: hashlib.sha256(",".join(map(str, library.encode(t or ""))).encode()).hexdigest()
+    assert sorted((r["doc_id"] or -1, r["ids_sha256"]) for r in got) == sorted((i or -1, digest(t)) for i, t, *_ in rows)
+    assert corpus_pipeline.tokenize(spark, df.limit(0), "").count() == 0
