@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontamination, pii, queries, sentencepiece_bpe, simhash, toxicity
-from brindle.llm.common import checkpointed, table
+from brindle.llm.common import table
+from brindle.session import kept
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between two of them the rows are cut off by a checkpoint in the shared folder."""
+    """All stages over ``documents``; between two of them the rows are written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, checkpointed(docs) if i else docs, sf_dir)
+        docs = stage(spark, kept(docs) if i else docs, sf_dir)
     return docs
