@@ -15,6 +15,7 @@ from brindle.operators import orders, staging
 from brindle.operators.diff import same_rows, table_diff
 from brindle.operators.relational import symmetric_difference
 from brindle.registry import TABLES, query, table
+from brindle.session import kept
 
 SINCE, LOOK_BACK_DAYS = "2024-01-20", 4
 
@@ -103,9 +104,9 @@ def window_plan(export_listing: DataFrame, recorded_days: DataFrame) -> DataFram
 def replace_window(old: DataFrame, new: DataFrame, starts: DataFrame, day: str) -> DataFrame:
     """The old rows of days before each source's window and the new rows from it on."""
     s = F.broadcast(starts.withColumnRenamed("since", "__since"))
-    kept = old.join(s, "source", "left").where(F.col("__since").isNull() | (F.col(day) < F.col("__since"))).drop("__since")
+    before = old.join(s, "source", "left").where(F.col("__since").isNull() | (F.col(day) < F.col("__since"))).drop("__since")
     added = new.join(s, "source").where(F.col(day) >= F.col("__since")).drop("__since")
-    return kept.unionByName(added)
+    return before.unionByName(added)
 
 
 @query("m18_replace_window", "SELECT source, event_key, event_date FROM flat_events")
@@ -170,9 +171,9 @@ def affected_days(early_events: DataFrame, flat_events: DataFrame) -> DataFrame:
 @query("m25_equivalence", "SELECT (SELECT count(*) FROM fct_sessions) AS rows, true AS equal")
 def equivalence(fct_sessions: DataFrame, early_fct_sessions: DataFrame, stg_events: DataFrame, int_identity: DataFrame) -> DataFrame:
     """Whether the sessions followed from the early state are those of a full build, in all columns."""
-    followed = followed_sessions(early_fct_sessions, stg_events, int_identity, SINCE)
-    equal = same_rows(fct_sessions, followed, ["session_key"])
-    return fct_sessions.agg(F.count("*").alias("rows"), F.lit(equal).alias("equal"))
+    full, followed = kept(fct_sessions), followed_sessions(early_fct_sessions, stg_events, int_identity, SINCE)
+    equal = same_rows(full, followed, ["session_key"])
+    return full.agg(F.count("*").alias("rows"), F.lit(equal).alias("equal"))
 
 
 @query("m26_table_diff", """WITH a AS (SELECT * FROM early_stg_events EXCEPT ALL SELECT * FROM stg_events), b AS (SELECT * FROM stg_events EXCEPT ALL SELECT * FROM early_stg_events), n AS (
@@ -182,4 +183,4 @@ def equivalence(fct_sessions: DataFrame, early_fct_sessions: DataFrame, stg_even
     FROM (VALUES ('only in first'), ('only in second')) s(side)""")
 def events_diff(early_stg_events: DataFrame, stg_events: DataFrame) -> DataFrame:
     """The staged events before and after the new days, in all columns: new rows, and rows whose order changed."""
-    return table_diff(early_stg_events, stg_events, ["source", "event_key"]).withColumn("examples", F.array_join("examples", " "))
+    return table_diff(kept(early_stg_events), kept(stg_events), ["source", "event_key"]).withColumn("examples", F.array_join("examples", " "))

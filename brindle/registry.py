@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.session import kept, scanned, stand_in
+from brindle.session import jobs_of, kept, scanned, stand_in
 
 #: Tables that a query writes out once when several parts of it read them; the others are computed where they are read.
 KEPT = {"stg_events", "fct_sessions", "fct_orders", "mart_kpi_daily", "mart_tag_health_daily", "early_stg_events", "early_fct_sessions"}
@@ -109,10 +109,14 @@ class Tables:
                     scans[n] += 1
                     asked[n] |= columns
 
+        whole = {n: set(frames[n].columns) for n in shared if n in WRITTEN or self._readers[n] > 1}
         try:
-            note(trial._call(f))
-        except AnalysisException:  # a query that reads back what it has written can't be planned without rows: it gets whole tables
-            return {n: set(frames[n].columns) for n in shared}
+            with jobs_of(self.spark) as jobs:
+                note(trial._call(f))
+        except AnalysisException:  # it reads back what it has written, and that can't be planned without rows
+            return whole
+        if jobs():  # it looks at rows while it is built: what it needs isn't all in its plan
+            return whole
         for n in reversed(shared):
             if scans[n]:
                 asked[n] = asked[n] or {frames[n].columns[0]}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,23 @@ def stand_in(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path.split(":", 1)[-1]
 
 
+@contextmanager
+def jobs_of(spark: SparkSession) -> Iterator[Callable[[], int]]:
+    """Gives a function that counts the jobs which the block has started."""
+    sc, group, key = spark.sparkContext, f"planned-{uuid.uuid4().hex}", "spark.jobGroup.id"
+    before = sc.getLocalProperty(key)
+    sc.setLocalProperty(key, group)
+
+    def count() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+
+    try:
+        yield count
+    finally:
+        sc.setLocalProperty(key, before)
+
+
 def scanned(df: DataFrame) -> list[tuple[str, set[str]]]:
     """(path, columns read) of each scan of files that is left in df's physical plan."""
     leaves, found = df._jdf.queryExecution().sparkPlan().collectLeaves(), []
