@@ -156,13 +156,14 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, license_id, n_units, whole_text, kinds): for each document and license, how many distinct units of the document are known texts of that license, whether the whole document is one, and what they are, of identifier, notice and text.
 
     Documents without a hit have no row. A null text has no units; rows with one doc_id, null included, are counted together, repeated rows as often as they stand. Only units as long as some
-    known text are hashed: no other can equal one. Extra columns are not read. ``more`` (license_id, text) are further known texts, of which there may be some thousands: they are broadcast.
+    known text are hashed: no other can equal one. Extra columns are not read. ``more`` (license_id, text) are further known texts, however many: the built-in ones alone are broadcast, with more of them the optimiser chooses the join by their size.
     """
     known = known_digests(docs.sparkSession, more)
     longest, shortest = known.agg(F.max("length"), F.min("length")).first()
+    known = known.select("digest", "license_id", "kind")
     marked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical(F.col(f"`{text_col}`")).alias("marked"))
     each = marked.select("doc_id", _whole(F.col("marked")).alias("whole"), F.explode(units(F.col("marked"))).alias("unit")).where(F.length("unit").between(shortest, longest))
-    hits = each.select("doc_id", F.sha2("unit", 256).alias("digest"), (F.col("unit") == F.col("whole")).alias("is_whole")).join(F.broadcast(known.select("digest", "license_id", "kind")), "digest")
+    hits = each.select("doc_id", F.sha2("unit", 256).alias("digest"), (F.col("unit") == F.col("whole")).alias("is_whole")).join(F.broadcast(known) if more is None else known, "digest")
     kinds = F.array_join(F.array_sort(F.collect_set("kind")), ",")
     return hits.groupBy("doc_id", "license_id").agg(F.count("*").alias("n_units"), F.bool_or("is_whole").alias("whole_text"), kinds.alias("kinds"))
 

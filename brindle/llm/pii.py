@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import arrow_function, bounded_batches, checkpointed, without
+from brindle.session import kept
 
 ROUNDS = 6
 FEW = 1_024  # lists of digits up to which their order is written out
@@ -407,32 +408,26 @@ def _luhn(digits: list[str]) -> bool:
 
 
 _FOUND = pa.list_(pa.struct([("type", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
-_REPLACED = pa.struct([("text", pa.string()), ("counts", pa.list_(pa.int64()))])
-
-
-def _finder(key: bytes):
-    @arrow_function(_FOUND)
-    def find(texts: pa.Array) -> pa.Array:
-        s, out = Surrogates(key), []
-        for text in texts.to_pylist():
-            seen = {(kind, s.canonical(kind, e := text[a:b])): s.canonical(kind, s.of(kind, e)) for kind, a, b in entities(text)}
-            out.append([{"type": kind, "entity": e, "surrogate": new} for (kind, e), new in seen.items()])
-        return pa.array(out, _FOUND)
-
-    return find
+_REPLACED = pa.struct([("text", pa.string()), ("counts", pa.list_(pa.int64())), ("found", _FOUND)])
 
 
 def _replacer(key: bytes):
+    """A function from texts to the texts with their surrogates, the mentions of each type, and the distinct entities with their surrogates in canonical form: all from one search."""
+
     @arrow_function(_REPLACED)
     def replace(texts: pa.Array) -> pa.Array:
         s, out = Surrogates(key), []
         for text in texts.to_pylist():
-            parts, at, counts = [], 0, [0] * len(TYPES)
+            parts, at, counts, seen = [], 0, [0] * len(TYPES), {}
             for kind, a, b in entities(text):
-                parts += [text[at:a], s.of(kind, text[a:b])]
+                entity = text[a:b]
+                new = s.of(kind, entity)
+                parts += [text[at:a], new]
                 at = b
                 counts[TYPES.index(kind)] += 1
-            out.append({"text": text if not parts else "".join([*parts, text[at:]]), "counts": counts})
+                seen[kind, s.canonical(kind, entity)] = s.canonical(kind, new)
+            found = [{"type": kind, "entity": e, "surrogate": new} for (kind, e), new in seen.items()]
+            out.append({"text": text if not parts else "".join([*parts, text[at:]]), "counts": counts, "found": found})
         return pa.array(out, _REPLACED)
 
     return replace
@@ -441,8 +436,11 @@ def _replacer(key: bytes):
 def mapping(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """(type, entity, surrogate): each distinct entity of the corpus in its canonical form, with its surrogate's."""
     bounded_batches(docs.sparkSession)
-    found = docs.select(_finder(key)(F.col(f"`{text_col}`")).alias("found"))
-    return found.select(F.inline("found")).distinct()
+    return _mapped(docs.select(_replacer(key)(F.col(f"`{text_col}`")).alias("done")).select("done.found"))
+
+
+def _mapped(done: DataFrame) -> DataFrame:
+    return done.select(F.inline("found")).distinct()
 
 
 def collisions(pairs: DataFrame) -> DataFrame:
@@ -453,24 +451,27 @@ def collisions(pairs: DataFrame) -> DataFrame:
     return two.select("type", F.col("surrogate").alias("of"), "n", "first", "last").union(twice.select("type", F.col("entity").alias("of"), "n", "first", "last")).union(same)
 
 
-def checked_key(docs: DataFrame, key: bytes, text_col: str = "text", attempts: int = 4) -> bytes:
-    """The key, or one derived from it, under which no two entities of ``docs`` share a surrogate, none has two and none is its own."""
-    for attempt in range(attempts):
-        tried = key if not attempt else hashlib.blake2b(f"attempt {attempt}".encode(), key=key, digest_size=32).digest()
-        if collisions(checkpointed(mapping(docs, tried, text_col))).isEmpty():
-            return tried
-    raise RuntimeError("surrogates collide under every key that was tried")
+def _keys(key: bytes, attempts: int) -> Iterator[bytes]:
+    """The key, then others derived from it."""
+    yield key
+    for attempt in range(1, attempts):
+        yield hashlib.blake2b(f"attempt {attempt}".encode(), key=key, digest_size=32).digest()
 
 
-def replaced(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: bytes, text_col: str = "text", attempts: int = 4) -> DataFrame:
     """``docs`` with every entity of ``text_col`` replaced, and a column n_<type> with the number of mentions for each type.
 
-    Lengths stay, but for addresses (ip) and listed names. A null text stays null and has no entities; columns named n_<type> are replaced.
+    Each text is searched once. The rows with their surrogates are written as Parquet in the shared folder, and only their lists of entities are read for the check:
+    no two entities may share a surrogate, none may have two and none may be its own. Where one does, all is done again under a key derived from this one.
+    Lengths stay, but for addresses (ip) and listed names. A null text stays null and has no entities, repeated rows stay repeated, no rows give no rows; columns named n_<type> are replaced.
     """
     bounded_batches(docs.sparkSession)
     out = without(docs, [f"n_{t}" for t in TYPES])
-    good = checked_key(docs, key, text_col)
-    done = "__r" + "_" * max(map(len, out.columns))  # longer than any name that the rows have
-    got = out.withColumn(done, _replacer(good)(F.col(f"`{text_col}`")))
-    columns = [F.col(f"{done}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in out.columns]
-    return got.select(*columns, *[F.col(f"{done}.counts")[i].cast("long").alias(f"n_{t}") for i, t in enumerate(TYPES)])
+    place = {c: f"c{i}" for i, c in enumerate(out.columns) if c != text_col}  # Parquet takes no two names that differ in case alone
+    for tried in _keys(key, attempts):
+        got = out.select(*[F.col(f"`{c}`").alias(p) for c, p in place.items()], _replacer(tried)(F.col(f"`{text_col}`")).alias("done"))
+        done = kept(got.select(*place.values(), "done.*"))
+        if collisions(checkpointed(_mapped(done))).isEmpty():
+            columns = [F.col(place.get(c, "text")).alias(c) for c in out.columns]
+            return done.select(*columns, *[F.col("counts")[i].cast("long").alias(f"n_{t}") for i, t in enumerate(TYPES)])
+    raise RuntimeError("surrogates collide under every key that was tried")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import hard_negatives, language_id, vector_codes
+from brindle.session import kept
 
 VECTORS = "vec_id long, embedding array<double>, label int"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -331,6 +332,31 @@ def test_replacing_equals_a_plain_replacement(spark):
     assert sum(sum(r[f"n_{k}"] for k in pii.TYPES) for r in got) == 2 * sum(len(list(pii.entities(t))) for t in texts)
 
 
+def test_another_key_is_taken_where_the_check_finds_something(spark, monkeypatch):
+    from brindle.llm import pii
+
+    real, asked = pii.collisions, []
+    monkeypatch.setattr(pii, "collisions", lambda pairs: asked.append(1) or (pairs if len(asked) == 1 else real(pairs)))
+    rows = spark.createDataFrame([(1, "Ask a@b.fr", 2, 3), (None, None, 5, 6), (1, "Ask a@b.fr", 2, 3)], "doc_id long, text string, n_email long, c0 long")
+    got = pii.replaced(rows, b"key")
+    other = pii.Surrogates(list(pii._keys(b"key", 2))[1])
+    new = f"Ask {other.of('email', 'a@b.fr')}"
+    assert len(asked) == 2 and got.columns[:3] == ["doc_id", "text", "c0"]
+    assert sorted((str(r["doc_id"]), r["text"], r["c0"], r["n_email"]) for r in got.collect()) == [("1", new, 3, 1), ("1", new, 3, 1), ("None", None, 6, 0)]
+    assert pii.replaced(rows.limit(0), b"key").collect() == []
+
+
+def test_each_text_is_searched_once(spark, monkeypatch):
+    """One Python function in the plan that is written, and none in the plans that read it."""
+    from brindle.llm import pii
+
+    plans = []
+    monkeypatch.setattr(pii, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    got = pii.replaced(spark.createDataFrame([(1, "Ask a@b.fr")], "doc_id long, text string"), b"key")
+    assert [p.count("ArrowEvalPython [") for p in plans] == [1]
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # --- quality ----------------------------------------------------------------------------------------
 
 
