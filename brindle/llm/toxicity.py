@@ -4,8 +4,9 @@ The labelled sample is dealt into parts, and in each part one dictionary is trai
 documents. What a window saves under the toxic one is how many bytes shorter it comes out than under the ordinary one. Text that only chance
 put into one document is in one part's dictionary alone, while text that toxic documents have in common is in all of them, so the
 mean over the parts is compared with thresholds. A window is a word between its spaces, two bytes a character: sizes are whole
-bytes, and one saved character must show. A document is told by how many of its windows save more than each threshold, and by
-a logistic calibration of these counts on the sample, where a document is never judged by the part that it is in.
+bytes, and one saved character must show. How well the dictionaries know a document's language is in all its windows, so a window's saving is
+compared with the document's mean. A document is told by how many of its windows save more than each threshold beyond it, and by
+a logistic calibration of these counts on the sample, where a document is never judged by the part that it is in. Every window is compressed under every part.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ REJECT_FROM = 0.5
 PARTS, PART_DOCS, DICTIONARY_BYTES = 24, 6, 65_536
 #: Dictionaries are trained on runs of so many words, by segments of SEGMENT bytes that are chosen for the strings of MATCH bytes that they hold.
 RUN_WORDS, SEGMENT, MATCH = 8, 32, 8
-#: All windows are compressed under the first SCREEN parts, and those that save SCREEN_FROM there in the mean under all others too.
-SCREEN, SCREEN_FROM = 6, 0.7
 SAVINGS = np.array((1, 1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5, 5.5, 6, 7))
 KEPT_WORDS, KEPT_LENGTH = 400_000, 40
 
@@ -87,16 +86,9 @@ class Windows:
         self.kept: dict[str, float] = {}
 
     def savings(self, windows: list[str]) -> np.ndarray:
-        """What each window saves under each part; nan where the first parts screen it out."""
-        out = np.full((len(windows), len(self.parts)), np.nan)
-        at, given = np.arange(len(windows)), [_bytes(w) for w in windows]
-        for j, (toxic, ordinary) in enumerate(self.parts):
-            if j == SCREEN:
-                at = np.flatnonzero(out[:, :SCREEN].mean(1) >= SCREEN_FROM)
-                given = [given[i] for i in at]
-            if given:
-                out[at, j] = ordinary(given) - toxic(given)
-        return out
+        """What each window saves under each part."""
+        given = [_bytes(w) for w in windows]
+        return np.array([ordinary(given) - toxic(given) for toxic, ordinary in self.parts]).T
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """The features of each text. Each distinct window is compressed once; a bounded number of them is kept."""
@@ -105,7 +97,7 @@ class Windows:
             kept.clear()
         new = list(dict.fromkeys(w for windows in split for w in windows if w not in kept))
         if new:
-            kept.update(zip(new, np.nanmean(self.savings(new), 1).tolist()))
+            kept.update(zip(new, self.savings(new).mean(1).tolist()))
         out = np.array([summary(np.array([kept[w] for w in windows])) for windows in split]).reshape(-1, FEATURES)
         for w in new:
             if len(w) > KEPT_LENGTH:
@@ -117,11 +109,11 @@ FEATURES = 2 * len(SAVINGS) + 2
 
 
 def summary(saved: np.ndarray) -> np.ndarray:
-    """How many windows, and which share, save each of SAVINGS or more, the mean, and the number of windows; zeros without any."""
+    """How many windows, and which share, save each of SAVINGS or more beyond the mean, the mean, and the number of windows; zeros without any."""
     n = len(saved)
     if not n:
         return np.zeros(FEATURES)
-    over = n - np.bincount(np.searchsorted(SAVINGS, saved, "right"), minlength=len(SAVINGS) + 1).cumsum()[:-1]
+    over = n - np.bincount(np.searchsorted(SAVINGS, np.round(saved - saved.mean(), 6), "right"), minlength=len(SAVINGS) + 1).cumsum()[:-1]
     return np.concatenate([np.log1p(over), over / n, [saved.mean(), np.log1p(n)]])
 
 
@@ -209,18 +201,13 @@ def _up_to(texts: list[str], chars: int) -> list[str]:
 
 
 def _judged_by_others(windows: Windows, texts: list[str], part: np.ndarray) -> np.ndarray:
-    """The features of texts of the sample, where the part of a text itself counts as the mean of the others."""
+    """The features of texts of the sample, each by the parts that it isn't in; by the one part, if there is no other."""
     place: dict[str, int] = {}
     split = [[place.setdefault(w, len(place)) for w in _windows(t)] for t in texts]
-    savings = windows.savings(list(place))
-    out = []
-    for at, own in zip(split, part):
-        mine = savings[at]
-        if savings.shape[1] > 1:
-            alike = [j for j in range(min(SCREEN, savings.shape[1])) if j != own]
-            mine[:, own] = mine[:, alike].mean(1) if own < SCREEN else np.nan
-        out.append(summary(np.nanmean(mine, 1) if len(mine) else np.zeros(0)))
-    return np.array(out)
+    savings = windows.savings(list(place)) if place else np.zeros((0, 1))
+    others = lambda own: np.delete(savings, own, 1) if savings.shape[1] > 1 else savings
+    means = {own: others(own).mean(1) for own in set(part.tolist())}
+    return np.array([summary(means[own][at] if at else np.zeros(0)) for at, own in zip(split, part.tolist())])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

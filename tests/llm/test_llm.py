@@ -327,16 +327,15 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def plain_toxicity(model, text):
-    """The score of one text, with nothing kept, screened or compressed together."""
+    """The score of one text, with nothing kept or compressed together."""
     how = zstandard.ZstdCompressionParameters.from_level(3, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
     size = lambda content, w: len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(content)).compress(w))
     saved = []
     for w in (text or "").lower().split():
         each = [size(o, f" {w} ".encode("utf-16-le")) - size(t, f" {w} ".encode("utf-16-le")) for t, o in model.dictionaries]
-        first = each[: toxicity.SCREEN]
-        saved.append(sum(each) / len(each) if sum(first) / len(first) >= toxicity.SCREEN_FROM else sum(first) / len(first))
+        saved.append(sum(each) / len(each))
     n = len(saved)
-    over = [sum(x >= t for x in saved) for t in toxicity.SAVINGS]
+    over = [sum(round(x - sum(saved) / n, 6) >= t for x in saved) for t in toxicity.SAVINGS]
     x = [*map(math.log1p, over), *(k / n for k in over), sum(saved) / n, math.log1p(n)] if n else [0.0] * toxicity.FEATURES
     return 1 / (1 + math.exp(-sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights)) - model.weights[-1]))
 
