@@ -104,6 +104,11 @@ class VersionedTable:
         before = self.manifest()
         return self.replace(rows, by, before["slices"], notes, before)
 
+    def note(self, notes: dict) -> int:
+        """A version with the same rows and further notes."""
+        before = self.manifest()
+        return self._commit(before | {"version": before["version"] + 1, "notes": before["notes"] | notes})
+
     def expire(self, slices: Iterable[str]) -> int:
         """A version without some slices; no row is read."""
         before, gone = self.manifest(), set(slices)
@@ -136,11 +141,12 @@ class KeyedTable(VersionedTable):
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("string")
 
-    def upsert(self, changes: DataFrame, merge: Callable[[str], Column] | None = None, batch: int | None = None) -> int | None:
+    def upsert(self, changes: DataFrame, merge: Callable[[str], Column] | None = None, batch: int | None = None, notes: dict | None = None) -> int | None:
         """Brings in one row for each changed key (null is a key like any other); the version made, or None if there was nothing to do.
 
         merge: for each other column its new value, from the columns ``old.<c>`` and ``new.<c>`` of a key that is there already; the new one by default.
         batch: the number of a stream's batch. One that is in the table already changes nothing, so a stream that starts again may repeat its last batch.
+        notes: what the new version's notes shall hold besides.
         """
         before = self.manifest()
         if batch is not None and before["notes"].get("batch", -1) >= batch:
@@ -158,4 +164,4 @@ class KeyedTable(VersionedTable):
             merged = {c: merge(c) if merge else F.col(f"new.{c}") for c in values}
             pick = lambda c: F.when(F.col("new.__there").isNull(), F.col(f"old.{c}")).when(F.col("old.__there").isNull(), F.col(f"new.{c}")).otherwise(merged[c])
             rows = both.select(*self.keys, *[pick(c).cast(changes.schema[c].dataType).alias(c) for c in values])
-        return self.replace(rows, self.bucket(), touched, {"buckets": self.buckets} | ({"batch": batch} if batch is not None else {}), before)
+        return self.replace(rows, self.bucket(), touched, {"buckets": self.buckets} | ({"batch": batch} if batch is not None else {}) | (notes or {}), before)

@@ -5,13 +5,11 @@ Each takes a stream of files and runs until all that is there has been read. Sta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from brindle.operators.ledger import KEY, delta
 from brindle.registry import query
@@ -69,43 +67,33 @@ def balances_from_stream(spark: SparkSession, stock_movements: DataFrame) -> Dat
 
 
 PURCHASE_KEYS = ["source", "order_key", "device"]
-_FIRST = "source string, order_key string, device string, event_timestamp timestamp_ntz, event_key string"
-
-
-def _earliest(horizon_ms: int):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = [x for f in frames for x in zip(f["event_timestamp"], f["event_key"])]
-        known = [(pd.Timestamp(t, unit="us"), k) for t, k in [state.get] if t is not None] if state.exists else []
-        first = min(rows + known)
-        until = int(max(t for t, _ in rows + known).timestamp() * 1000) + horizon_ms
-        if not known or first != known[0]:
-            state.update((first[0].value // 1000, first[1]))
-            yield pd.DataFrame([(*key, *first)], columns=[*PURCHASE_KEYS, "event_timestamp", "event_key"])
-        else:
-            state.update(state.get)
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-
-    return step
 
 
 def first_purchases(purchases: DataFrame, table: KeyedTable, late: str = "2 days", horizon_days: int = 2, state: str | None = None) -> StreamingQuery:
     """Keeps the earliest purchase of each (source, order, device), whatever order events arrive in.
 
-    The stream remembers a purchase for ``horizon_days`` behind the watermark, so that repeats in that time, which are nearly all, don't reach the table; then its state ends. The
-    table keeps the earlier one of what it has and what it gets, so a purchase that comes when its state has ended, or that is earlier than the one known, still ends right.
+    The stream remembers the least purchase of each key and span of ``horizon_days``, and lets through what is new or earlier than that, so that repeats, which are nearly all, don't
+    reach the table; a span's state ends behind the watermark. Rows that the watermark may have shut out of it (the table notes the latest event time of the batches before) go to the
+    table as they are. The table keeps the earlier one of what it has and what it gets, so a purchase that comes when its state has ended still ends right.
     """
-    known = purchases.where("event_timestamp IS NOT NULL").withColumn("at", F.col("event_timestamp").cast("timestamp")).withWatermark("at", late)
-    emitted = known.groupBy(*PURCHASE_KEYS).applyInPandasWithState(_earliest(horizon_days * 86_400_000), _FIRST, "at_us long, event_key string", "append", "EventTimeTimeout")
-    least = lambda c: F.least(F.struct("old.event_timestamp", "old.event_key"), F.struct("new.event_timestamp", "new.event_key"))[c]
+    known = purchases.where("event_timestamp IS NOT NULL").withColumn("at", F.col("event_timestamp").cast("timestamp")).withColumn("arrived", F.current_timestamp())
+    span = F.window("at", f"{horizon_days} days")
+    least = known.withWatermark("at", late).groupBy(span, *PURCHASE_KEYS).agg(F.min(F.struct("event_timestamp", "event_key", "arrived")).alias("f"))
+    news = least.where(F.col("f.arrived") == F.current_timestamp())  # the time of the batch: what it hasn't changed is older
+    value = ["event_timestamp", "event_key"]
+    both = news.select(*PURCHASE_KEYS, *[f"f.{c}" for c in value], F.lit(True).alias("is_new")).unionByName(known.select(*PURCHASE_KEYS, *value, F.lit(False).alias("is_new")))
+    earlier = lambda c: F.least(F.struct("old.event_timestamp", "old.event_key"), F.struct("new.event_timestamp", "new.event_key"))[c]
 
     def each(df: DataFrame, n: int) -> None:
-        first = df.groupBy(*PURCHASE_KEYS).agg(F.min(F.struct("event_timestamp", "event_key")).alias("f"))
-        table.upsert(first.select(*PURCHASE_KEYS, "f.*"), least, n)
-
-    return drained(emitted, "append", each, state)
+        latest, seen = table.manifest()["notes"].get("latest"), Observation()
+        shut_out = F.lit(False) if latest is None else F.col("event_timestamp") < F.lit(latest).cast("timestamp_ntz")
+        rows = kept(df.observe(seen, F.max("event_timestamp").cast("string").alias("latest")).where(F.col("is_new") | shut_out))
+        first = rows.groupBy(*PURCHASE_KEYS).agg(F.min(F.struct(*value)).alias("f"))
+        until = max(filter(None, (latest, seen.get["latest"])), default=None)
+        if table.upsert(first.select(*PURCHASE_KEYS, "f.*"), earlier, n, {"latest": until}) is None and until != latest:
+            table.note({"latest": until})
+
+    return drained(both, "update", each, state)
 
 
 @query("o02_streaming_first_purchase", "SELECT event_key FROM int_purchases WHERE NOT is_duplicate_purchase")

@@ -149,3 +149,37 @@ def test_first_purchases_end_their_state_and_late_ones_still_win(spark, tmp_path
         expected[s, order, device] = min(expected.get((s, order, device), ("9",)), (at, key))
     assert {(r["source"], r["order_key"], r["device"]): r["event_key"] for r in table.read().collect()} == {k: v[1] for k, v in expected.items()}
     assert max(held) >= 21 and held[-1] <= 4, held
+
+
+def test_first_purchases_behind_the_watermark_still_win(spark, tmp_path):
+    from brindle.streaming import twins
+
+    kind = "source string, event_key string, at string, order_key string, device string"
+    table = KeyedTable(spark, str(tmp_path / "p"), twins.PURCHASE_KEYS, buckets=4)
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    arrivals = [
+        [("s", "a", "2024-01-20 10:00:00", "o1", "d"), ("s", "b", "2024-01-20 10:00:00", "o2", "d")],
+        [("s", "c", "2024-03-01 00:00:00", "o1", "d")],  # a repeat moves the watermark, and nothing reaches the table
+        [("s", "d", "2024-01-05 00:00:00", "o2", "d"), ("s", "e", "2024-02-10 00:00:00", "o3", "d"), ("s", "f", "2024-01-21 00:00:00", "o1", "d")],  # all behind it
+    ]
+    queries = []
+    for part in arrivals:
+        df = spark.createDataFrame(part, kind).withColumn("event_timestamp", F.col("at").cast("timestamp_ntz")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(source)
+        queries.append(twins.first_purchases(spark.readStream.schema(df.schema).parquet(source), table, state=state))
+    assert {r["order_key"]: r["event_key"] for r in table.read().collect()} == {"o1": "a", "o2": "d", "o3": "e"}
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in queries[-1].recentProgress for o in p["stateOperators"])
+    assert dropped == 3, dropped
+
+
+def test_first_purchases_need_no_python_for_each_key(spark, tmp_path, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    from brindle.streaming import twins
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    df = spark.createDataFrame([("s", "a", "o", "d")], "source string, event_key string, order_key string, device string").withColumn("event_timestamp", F.lit("2024-01-20").cast("timestamp_ntz"))
+    df.write.parquet(str(tmp_path / "in"))
+    table = KeyedTable(spark, str(tmp_path / "p"), twins.PURCHASE_KEYS, buckets=4)
+    twins.first_purchases(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), table, state=str(tmp_path / "state"))
+    assert table.read().count() == 1
