@@ -16,6 +16,8 @@ from brindle.registry import query, table, whole_table
 LOOK_BACK_DAYS, HALF_LIFE_DAYS, ENDS = 30, 7.0, 0.4
 MODELS = ("last_click", "last_non_direct", "first_click", "linear", "time_decay", "position_based")
 ORDER = ["source", "order_id"]
+#: By what journeys are dealt: sorts tell rows apart by the first column's first bytes.
+BY = ["order_id", "source"]
 
 
 def is_direct() -> Column:
@@ -39,12 +41,12 @@ def journey_touches(attributable_orders: DataFrame, fct_sessions: DataFrame, day
     Own sessions and the person's come from two equi-joins; a touch found by both is one.
     """
     s = fct_sessions.select("source", "session_key", "person_id", "session_start_at", "session_source", "session_medium", "session_campaign")
-    own = attributable_orders.join(s.drop("person_id"), ["source", "session_key"]).withColumn("own", F.lit(True)).withColumn("order_session_key", F.col("session_key"))
+    own = attributable_orders.join(s.drop("person_id"), ["session_key", "source"]).withColumn("own", F.lit(True)).withColumn("order_session_key", F.col("session_key"))
     ends = own.select(*ORDER, "order_date", "ordered_at", "person_id", "revenue", "order_session_key", F.col("session_start_at").alias("ends_at"))
-    earlier = look_back(ends, s, ["source", "person_id"], "ordered_at", "session_start_at", days).where("session_start_at <= ends_at AND session_key <> order_session_key").withColumn("own", F.lit(False))
+    earlier = look_back(ends, s, ["person_id", "source"], "ordered_at", "session_start_at", days).where("session_start_at <= ends_at AND session_key <> order_session_key").withColumn("own", F.lit(False))
     touch = ["order_date", "ordered_at", "person_id", "order_session_key", "revenue", "own", "session_key", "session_start_at", "session_source", "session_medium", "session_campaign"]
     rows = own.select(*ORDER, *touch).unionByName(earlier.select(*ORDER, *touch))
-    journey = Window.partitionBy(*ORDER)
+    journey = Window.partitionBy(*BY)
     starts = F.broadcast(s.groupBy("source").agg(F.min("session_start_at").alias("start_at")))
     rows = rows.join(starts, "source")
     return rows.select(*ORDER, *touch, F.row_number().over(journey.orderBy("session_start_at", "own", "session_key")).alias("position"), F.count("*").over(journey).alias("touches"), is_direct().alias("direct"),
@@ -54,7 +56,7 @@ def journey_touches(attributable_orders: DataFrame, fct_sessions: DataFrame, day
 def scores(half_life: float = HALF_LIFE_DAYS, ends: float = ENDS) -> dict[str, Column]:
     """Each model's score of a touch, of any scale."""
     p, n = F.col("position"), F.col("touches")
-    sourced = F.max(F.when(~F.col("direct"), p)).over(Window.partitionBy(*ORDER))
+    sourced = F.max(F.when(~F.col("direct"), p)).over(Window.partitionBy(*BY))
     edge = (p == 1) | (p == n)
     return {
         "last_click": p == n,
@@ -76,7 +78,7 @@ def fct_attribution(journey_touches: DataFrame) -> DataFrame:
     scored = scored.withColumnsRenamed({"direct": "is_direct", "days_before": "days_before_order"})
     ids = ["source", "order_id", "order_date", "ordered_at", "person_id", "order_session_key", "session_key", "session_start_at", "session_source", "session_medium", "session_campaign"]
     ids += ["position", "touches", "own", "is_direct", "days_before_order", "complete", "revenue"]
-    total = Window.partitionBy(*ORDER)
+    total = Window.partitionBy(*BY)
     shares = scored.select(*ids, *[(F.col(m) / F.sum(m).over(total)).alias(m) for m in MODELS])
     return shares.unpivot(ids, list(MODELS), "model", "weight").withColumn("attributed_revenue_usd", F.col("weight") * F.col("revenue"))
 
@@ -109,7 +111,7 @@ whole_table("k12_attribution_daily", "mart_attribution_daily")
 
 def gate(attribution: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(problem, n): what makes an attribution unfit to be written; no rows when it is fit. One pass over orders and models and one over models."""
-    per = attribution.groupBy(*ORDER, "model").agg(F.sum("weight").alias("w"), F.min("weight").alias("least"), F.max("weight").alias("most"), F.count_if((F.col("model") == "last_click") & (F.col("weight") > 0) & ~F.col("own")).alias("astray"), F.max("revenue").alias("revenue"), F.sum(F.col("weight") * F.col("revenue")).alias("given"))
+    per = attribution.groupBy(*BY, "model").agg(F.sum("weight").alias("w"), F.min("weight").alias("least"), F.max("weight").alias("most"), F.count_if((F.col("model") == "last_click") & (F.col("weight") > 0) & ~F.col("own")).alias("astray"), F.max("revenue").alias("revenue"), F.sum(F.col("weight") * F.col("revenue")).alias("given"))
     per_order = per.groupBy(*ORDER).agg(F.count("*").alias("models"))
     faults = {"weights don't sum to one": F.abs(F.col("w") - 1) > tolerance, "weight outside 0 to 1": (F.col("least") < 0) | (F.col("most") > 1 + tolerance), "last click not on the order's session": F.col("astray") > 0, "revenue not conserved": F.abs(F.col("given") - F.col("revenue")) > 0.005}
     found = per.select(F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in faults.items()]))).alias("problem"))
@@ -164,5 +166,5 @@ def channel_share(fct_attribution: DataFrame, n: int = 3) -> DataFrame:
 
 @query("k17_journey_lengths", "SELECT source, touches, count(*) AS orders, floor(sum(revenue::DECIMAL(38,9))::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS mean_revenue FROM (SELECT source, order_id, max(touches) AS touches, max(revenue) AS revenue FROM journey_touches GROUP BY 1, 2) GROUP BY 1, 2")
 def journey_lengths(journey_touches: DataFrame) -> DataFrame:
-    orders = journey_touches.groupBy(*ORDER).agg(F.max("touches").alias("touches"), F.max("revenue").alias("revenue"))
+    orders = journey_touches.groupBy(*BY).agg(F.max("touches").alias("touches"), F.max("revenue").alias("revenue"))
     return orders.groupBy("source", "touches").agg(F.count("*").alias("orders"), exact_sum(F.col("revenue"), 9).alias("__sum")).select("source", "touches", "orders", money_rate("__sum", "orders").alias("mean_revenue"))

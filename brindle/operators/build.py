@@ -51,7 +51,7 @@ class IncrementalBuild:
         days = listing.orderBy("source", "day").collect()  # a row for each source and day
         recorded = self.read("record")
         known = [tuple(r) for r in recorded.orderBy("source", "day").collect()] if recorded is not None else []
-        if known == [tuple(r) for r in days]:
+        if recorded is not None and known == [tuple(r) for r in days]:
             return []
         self._run = hashlib.sha256(repr((known, [tuple(r) for r in days])).encode()).hexdigest()[:16]
         listing = self.spark.createDataFrame(days, listing.schema)
@@ -101,7 +101,7 @@ class IncrementalBuild:
 
     def _sessions(self, table, export, listing, made, stale) -> None:
         """Sessions with an event in the window, before or now, are built anew from all their events; the others get their device's person of today."""
-        keys = ["source", "user_pseudo_id", "ga_session_id"]
+        keys = ["user_pseudo_id", "ga_session_id", "source"]
         events, identity = staging.stg_events(self._now("events", made)), self._now("identity", made)
         old, old_events = self.read("sessions"), self.read("events")
         touched = self._window(events, "event_date").select(*keys)

@@ -141,7 +141,7 @@ def identity_diff(int_identity: DataFrame, early_int_identity: DataFrame) -> Dat
 
 def followed_sessions(old: DataFrame, events: DataFrame, identity: DataFrame, since: str) -> DataFrame:
     """Sessions after new days: those with an event in the window are built anew from all their events; the others only get their device's person of today."""
-    keys = ["source", "user_pseudo_id", "ga_session_id"]
+    keys = ["user_pseudo_id", "ga_session_id", "source"]
     touched = events.where(F.col("event_date") >= F.lit(since).cast("date")).where("user_pseudo_id IS NOT NULL").select(*keys).distinct()
     anew = orders.fct_sessions(events.join(touched, keys, "left_semi"), identity)
     own = F.when(F.col("identity_rule") == "session_account", F.col("user_id"))
@@ -156,9 +156,9 @@ def sessions_after_window(early_fct_sessions: DataFrame, stg_events: DataFrame,
 
 @query("m23_changed_orders", "WITH d AS (SELECT source, order_id FROM ((SELECT source, order_id, person_id, revenue_usd, session_source FROM fct_orders EXCEPT SELECT source, order_id, person_id, revenue_usd, session_source FROM early_fct_orders) UNION ALL (SELECT source, order_id, person_id, revenue_usd, session_source FROM early_fct_orders EXCEPT SELECT source, order_id, person_id, revenue_usd, session_source FROM fct_orders))) SELECT source, order_id, line_number FROM fct_order_items WHERE (source, order_id) IN (SELECT (source, order_id) FROM d)")
 def lines_of_changed_orders(fct_orders: DataFrame, early_fct_orders: DataFrame, fct_order_items: DataFrame) -> DataFrame:
-    columns = ["source", "order_id", "person_id", "revenue_usd", "session_source"]
+    columns = ["order_id", "source", "person_id", "revenue_usd", "session_source"]
     changed = symmetric_difference(early_fct_orders.select(*columns), fct_orders.select(*columns)).select("source", "order_id")
-    return fct_order_items.join(changed, ["source", "order_id"], "left_semi").select("source", "order_id", "line_number")
+    return fct_order_items.join(changed, ["order_id", "source"], "left_semi").select("source", "order_id", "line_number")
 
 
 @query("m24_affected_days", "SELECT DISTINCT source, event_date AS day FROM (SELECT source, event_date, event_key FROM flat_events EXCEPT SELECT source, event_date, event_key FROM early_events)")

@@ -36,7 +36,7 @@ def catalog_cost(items: DataFrame, margins: dict[str, float] = MARGINS, otherwis
     FROM stg_events WHERE user_pseudo_id IS NOT NULL GROUP BY 1, 2)""")
 def int_identity(int_device_days: DataFrame) -> DataFrame:
     """Which person each device is: its one account, or itself when it had none or several. Adds up the device's days."""
-    days = int_device_days.groupBy("source", "user_pseudo_id").agg(F.array_distinct(F.flatten(F.collect_list("user_ids"))).alias("ids"), F.min("first_seen_at").alias("first_seen_at"), F.min("first_signed_in_at").alias("first_signed_in_at"),
+    days = int_device_days.groupBy("user_pseudo_id", "source").agg(F.array_distinct(F.flatten(F.collect_list("user_ids"))).alias("ids"), F.min("first_seen_at").alias("first_seen_at"), F.min("first_signed_in_at").alias("first_signed_in_at"),
         F.max("last_seen_at").alias("last_seen_at"), F.sum("events").alias("events"), F.size(F.array_distinct(F.flatten(F.collect_list("ga_session_ids")))).cast("long").alias("sessions"))
     n = F.size("ids")
     named = days.select("source", "user_pseudo_id", F.when(n == 0, "anonymous_device").when(n == 1, "user_id").otherwise("shared_device").alias("identity_rule"), F.when(n == 1, F.element_at("ids", 1)).alias("user_id"), n.cast("long").alias("user_id_count"), "first_seen_at", "first_signed_in_at", "last_seen_at", "events", "sessions")
@@ -56,7 +56,7 @@ def sessions_of(events: DataFrame) -> DataFrame:
     The source at landing is the first page view's, else the earliest before it; a source first seen after the landing is not the session's. Two candidates decide it once
     the time of landing is known: the earliest page view that has a source, if it is the landing, else the earliest event that has one, if it isn't later.
     """
-    keys = ["source", "user_pseudo_id", "ga_session_id"]
+    keys = ["user_pseudo_id", "ga_session_id", "source"]
     at = F.struct("event_timestamp", "event_key")
     first = lambda value: F.min_by(value, F.when(value.isNotNull(), at))
     last = lambda value: F.max_by(value, F.when(value.isNotNull(), at))
@@ -129,7 +129,7 @@ def with_person(sessions: DataFrame, identity: DataFrame) -> DataFrame:
     """Sessions with person_id, user_id and identity_rule: the session's own last account first, then its device's person."""
     device = identity.select("source", "user_pseudo_id", F.col("person_id").alias("__person"), F.col("user_id").alias("__user"), F.concat(F.lit("device:"), "identity_rule").alias("__rule"))
     account, owner = F.col("session_user_id"), F.col("__person")
-    claimed = sessions.join(device, ["source", "user_pseudo_id"], "left").withColumn("__claim", first_claim((account, account, "session_account"), (owner, F.col("__user"), F.col("__rule"))))
+    claimed = sessions.join(device, ["user_pseudo_id", "source"], "left").withColumn("__claim", first_claim((account, account, "session_account"), (owner, F.col("__user"), F.col("__rule"))))
     named = {"person_id": F.col("__claim.person"), "user_id": F.col("__claim.user"), "identity_rule": F.coalesce("__claim.rule", F.lit("none"))}
     return claimed.withColumns(named).drop("__person", "__user", "__rule", "__claim")
 
@@ -148,13 +148,13 @@ def with_person(sessions: DataFrame, identity: DataFrame) -> DataFrame:
 def fct_orders(int_purchases: DataFrame, fct_sessions: DataFrame, int_identity: DataFrame) -> DataFrame:
     """One row for each order, its first purchase, with the person who placed it: the account of the purchase, else the session's person, else the device's, else one of its own."""
     row = F.struct(*[c for c in int_purchases.columns if c not in ("source", "order_id")])
-    placed = int_purchases.groupBy("source", "order_id").agg(F.min_by(row, F.struct("event_timestamp", "event_key")).alias("buy"), (F.count("*") - 1).alias("duplicate_purchase_events"))
+    placed = int_purchases.groupBy("order_id", "source").agg(F.min_by(row, F.struct("event_timestamp", "event_key")).alias("buy"), (F.count("*") - 1).alias("duplicate_purchase_events"))
     placed = placed.select("source", "order_id", "duplicate_purchase_events", "buy.*")
     session = fct_sessions.select("session_key", "session_date", F.col("person_id").alias("__visitor"), F.col("identity_rule").alias("__rule"), "session_source", "session_medium", "session_campaign")
     device = int_identity.select("source", "user_pseudo_id", F.col("person_id").alias("__owner"))
     account, visitor, owner, nobody = F.col("user_id"), F.col("__visitor"), F.col("__owner"), F.concat(F.lit("cookieless:"), "source", F.lit(":"), "order_id")
     claim = first_claim((account, account, "purchase_account"), (visitor, account, F.col("__rule")), (owner, account, "device"), (nobody, account, "no_device"))
-    found = placed.join(session, "session_key", "left").join(device, ["source", "user_pseudo_id"], "left").withColumn("__claim", claim)
+    found = placed.join(session, "session_key", "left").join(device, ["user_pseudo_id", "source"], "left").withColumn("__claim", claim)
     return found.select(
         "source", "order_id", "transaction_id", F.col("transaction_id").isNotNull().alias("has_transaction_id"), "is_zero_value_without_id", "is_transaction_id_collision", F.col("event_key").alias("purchase_event_key"),
         F.col("event_date").alias("order_date"), F.col("event_timestamp").alias("ordered_at"), "session_key", "session_date", "user_pseudo_id", F.col("__claim.person").alias("person_id"), F.col("__claim.rule").alias("identity_rule"),
@@ -169,7 +169,7 @@ def fct_orders(int_purchases: DataFrame, fct_sessions: DataFrame, int_identity:
     SELECT source, order_id, line_number, order_date, ordered_at, person_id, session_key, item_id, item_name, item_brand, item_variant, item_category, quantity, price_usd, paid AS line_revenue_usd, ours AS is_catalog_product, unit_cost AS unit_cost_usd, round(spent, 2) AS line_cost_usd, round(left_over, 2) AS gross_margin_usd, floor(left_over / nullif(paid, 0) * 10000 + 0.5) / 10000.0 AS gross_margin_rate FROM earned""")
 def fct_order_items(fct_orders: DataFrame, stg_items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Order lines, at the price that the item was sold for, else the catalog's; cost and margin only where the store's items are the catalog's."""
-    lines = fct_orders.select("source", "order_id", "order_date", "ordered_at", "person_id", "session_key", F.col("purchase_event_key").alias("event_key")).join(stg_items.drop("event_date"), ["source", "event_key"])
+    lines = fct_orders.select("source", "order_id", "order_date", "ordered_at", "person_id", "session_key", F.col("purchase_event_key").alias("event_key")).join(stg_items.drop("event_date"), ["event_key", "source"])
     listed = lines.join(catalog.select("item_id", F.col("price_usd").alias("__listed"), "unit_cost_usd"), "item_id", "left")
     priced = listed.withColumn("price_usd", F.coalesce("price_usd", "__listed"))
     own = F.col("source") == "store_a"

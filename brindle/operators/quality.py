@@ -269,7 +269,7 @@ def tag_health_coverage(mart_tag_health_daily: DataFrame, stg_events: DataFrame)
 @query("j14_weights_sum", "SELECT source, order_id, model, round(sum(weight), 6) AS weight FROM fct_attribution WHERE touches <> 5 OR position <> 2 GROUP BY 1, 2, 3 HAVING abs(sum(weight) - 1) > 1e-6")
 def weights_sum(fct_attribution: DataFrame) -> DataFrame:
     """On an attribution that lacks the second touch of five."""
-    per = fct_attribution.where("touches <> 5 OR position <> 2").groupBy("source", "order_id", "model").agg(F.sum("weight").alias("w"))
+    per = fct_attribution.where("touches <> 5 OR position <> 2").groupBy("order_id", "source", "model").agg(F.sum("weight").alias("w"))
     return per.where("abs(w - 1) > 1e-6").select("source", "order_id", "model", F.round("w", 6).alias("weight"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from brindle.session import jobs_of, kept, scanned, stand_in
 
 #: Tables that a query writes out once when several parts of it read them; the others are computed where they are read.
-KEPT = {"stg_events", "fct_sessions", "fct_orders", "mart_kpi_daily", "mart_tag_health_daily", "early_stg_events", "early_fct_sessions"}
+KEPT = {"flat_events", "stg_events", "int_identity", "fct_sessions", "fct_orders", "mart_kpi_daily", "mart_tag_health_daily", "early_stg_events", "early_int_identity", "early_fct_sessions"}
 #: Always written out: its columns are long expressions that a reader uses several times, and would be worked out anew at each use.
 WRITTEN = {"bands"}
 

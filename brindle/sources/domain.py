@@ -135,6 +135,7 @@ def numbered_events(events: DataFrame) -> DataFrame:
     """The given events with the number in their props, microseconds, and the number of their session's day."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     rows = events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+    rows = rows.repartition("event_id")  # narrow rows, dealt to all cores however few row groups their file has: what follows is wide and slow
     return rows.withColumn("micros", micros).withColumn("day", F.floor((F.col("micros") - 21600000000) / 86400000000).cast("long"))
 
 
