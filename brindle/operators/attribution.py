@@ -72,15 +72,15 @@ def scores(half_life: float = HALF_LIFE_DAYS, ends: float = ENDS) -> dict[str, C
     WHEN 'last_non_direct' THEN (position = coalesce(sourced, touches))::INT WHEN 'time_decay' THEN pow(2, -days_before / 7) / decay WHEN 'position_based' THEN CASE WHEN touches = 1 THEN 1 WHEN touches = 2 THEN 0.5 WHEN position IN (1, touches) THEN 0.4 ELSE 0.2 / (touches - 2) END END::DOUBLE AS weight
     FROM (SELECT *, max(CASE WHEN NOT direct THEN position END) OVER w AS sourced, sum(pow(2, -days_before / 7)) OVER w AS decay FROM journey_touches WINDOW w AS (PARTITION BY source, order_id)), (VALUES ('last_click'), ('last_non_direct'), ('first_click'), ('linear'), ('time_decay'), ('position_based')) m(model))
     SELECT *, weight * revenue AS attributed_revenue_usd FROM weighed""")
-def fct_attribution(journey_touches: DataFrame) -> DataFrame:
-    """One row for each order, touch and model."""
-    scored = journey_touches.select("*", *[c.cast("double").alias(m) for m, c in scores().items()])
+def fct_attribution(journey_touches: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """One row for each order, touch and model. Who reads some models only names them: no others' scores are worked out."""
+    scored = journey_touches.select("*", *[c.cast("double").alias(m) for m, c in scores().items() if m in models])
     scored = scored.withColumnsRenamed({"direct": "is_direct", "days_before": "days_before_order"})
     ids = ["source", "order_id", "order_date", "ordered_at", "person_id", "order_session_key", "session_key", "session_start_at", "session_source", "session_medium", "session_campaign"]
     ids += ["position", "touches", "own", "is_direct", "days_before_order", "complete", "revenue"]
     total = Window.partitionBy(*BY)
-    shares = scored.select(*ids, *[(F.col(m) / F.sum(m).over(total)).alias(m) for m in MODELS])
-    return shares.unpivot(ids, list(MODELS), "model", "weight").withColumn("attributed_revenue_usd", F.col("weight") * F.col("revenue"))
+    shares = scored.select(*ids, *[(F.col(m) / F.sum(m).over(total)).alias(m) for m in models])
+    return shares.unpivot(ids, list(models), "model", "weight").withColumn("attributed_revenue_usd", F.col("weight") * F.col("revenue"))
 
 
 def attributed(digits: int = 4) -> Column:
@@ -100,7 +100,7 @@ query("k02_is_direct", "SELECT session_key, coalesce(session_source = '(direct)'
 query("k03_touches", "SELECT source, order_id, session_key, position, touches, own, direct, round(days_before, 6) AS days_before FROM journey_touches")(lambda journey_touches: journey_touches.select("source", "order_id", "session_key", "position", "touches", "own", "direct", F.round("days_before", 6).alias("days_before")))
 query("k04_look_back_complete", "SELECT DISTINCT source, order_id, complete FROM journey_touches")(lambda journey_touches: journey_touches.select("source", "order_id", "complete").distinct())
 for _k, _m in zip(("k05", "k06", "k07", "k08", "k09", "k10"), MODELS):
-    query(f"{_k}_{_m}", f"SELECT source, order_id, session_key, round(weight, 9) AS weight FROM fct_attribution WHERE model = '{_m}'")(lambda fct_attribution, m=_m: fct_attribution.where(F.col("model") == m).select("source", "order_id", "session_key", F.round("weight", 9).alias("weight")))
+    query(f"{_k}_{_m}", f"SELECT source, order_id, session_key, round(weight, 9) AS weight FROM fct_attribution WHERE model = '{_m}'")(lambda journey_touches, m=_m: fct_attribution(journey_touches, (m,)).select("source", "order_id", "session_key", F.round("weight", 9).alias("weight")))
 @query("k11_attribution", "SELECT * REPLACE (round(days_before_order, 6) AS days_before_order, round(weight, 9) AS weight, round(attributed_revenue_usd, 9) AS attributed_revenue_usd) FROM fct_attribution")
 def attribution(fct_attribution: DataFrame) -> DataFrame:
     return fct_attribution.withColumns({c: F.round(c, digits) for c, digits in (("days_before_order", 6), ("weight", 9), ("attributed_revenue_usd", 9))})

@@ -142,7 +142,8 @@ def numbered_events(events: DataFrame) -> DataFrame:
 @table()
 def web_export(numbered_events: DataFrame, part: DataFrame) -> DataFrame:
     """A nested event export as an analytics service writes it: parameters as an array of typed values, items as an array of records, and every 50th event twice."""
-    e = numbered_events.crossJoin(F.broadcast(part.agg(F.count("*").alias("parts"))))
+    copies = F.sequence(F.lit(1), F.when(F.col("event_id") % 50 == 0, 2).otherwise(1))  # of narrow rows, before they are nested
+    e = numbered_events.withColumn("copy", F.explode(copies)).drop("copy").crossJoin(F.broadcast(part.agg(F.count("*").alias("parts"))))
     e = e.withColumn("event_name", F.expr(_EVENT_NAME)).withColumn("pseudo", F.expr("CASE WHEN event_id % 20 <> 0 THEN concat('d', user_id) END"))
     param = lambda key, string="NULL", int_="NULL", double="NULL": f"named_struct('key', '{key}', 'value', named_struct('string_value', cast({string} AS string), 'int_value', cast({int_} AS bigint), 'double_value', cast({double} AS double)))"
     params = ", ".join([
@@ -160,7 +161,7 @@ def web_export(numbered_events: DataFrame, part: DataFrame) -> DataFrame:
     item = "transform(sequence(0, k % 3), p -> named_struct('item_id', cast((event_id * 7 + p) % parts AS string), 'item_name', CASE WHEN p = 1 THEN '(not set)' ELSE concat(' item ', p, ' ') END, 'quantity', cast(1 + k % 4 AS bigint), 'coupon', CASE WHEN p = 2 THEN '' ELSE 'C1' END, "
     item += "'item_brand', concat('B', p), 'item_variant', CASE WHEN p = 1 THEN ' ' ELSE concat('v', p) END, 'item_category', CASE WHEN p = 2 THEN '(not set)' ELSE concat('cat ', k % 4) END, 'item_list_name', concat('List ', k % 4), 'item_list_index', cast(p + 1 AS string), "
     item += "'price_in_usd', CASE WHEN k % 5 < 3 THEN cast(5 + k % 20 + p AS double) END, 'price', CASE WHEN k % 5 < 4 THEN cast(4 + k % 20 + p AS double) END, 'item_revenue_in_usd', CASE WHEN k % 5 = 0 THEN cast((5 + k % 20 + p) * (1 + k % 4) AS double) END))"
-    rows = e.select(
+    return e.select(
         F.when(F.col("user_id") % 3 == 0, "store_b").otherwise("store_a").alias("source"), F.date_format("ts", "yyyyMMdd").alias("event_date"), F.col("micros").alias("event_timestamp"), "event_name", "event_id",
         F.expr(f"array({params})").alias("event_params"), F.expr(_ACCOUNT.format(text="string")).alias("user_id"), F.col("pseudo").alias("user_pseudo_id"),
         F.struct(F.when(F.col("pseudo").isNull(), "No").otherwise("Yes").alias("analytics_storage"), F.expr(_ADS_STORAGE).alias("ads_storage"), F.when(F.col("pseudo").isNull(), "Yes").otherwise("No").alias("uses_transient_token")).alias("privacy_info"),
@@ -174,7 +175,6 @@ def web_export(numbered_events: DataFrame, part: DataFrame) -> DataFrame:
             bought("CASE WHEN k % 3 > 0 THEN 4.5D END", "double").alias("shipping_value_in_usd"), bought("(k % 3 + 1) * (1 + k % 4)", "bigint").alias("total_item_quantity"), bought("k % 3 + 1", "bigint").alias("unique_items")).alias("ecommerce"),
         F.expr(f"CASE WHEN event_type = 'purchase' THEN {item} ELSE array() END").alias("items"),
     )
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 50 == 0, 2).otherwise(1)))).drop("copy")
 
 
 @table(f"""SELECT CASE WHEN user_id % 3 = 0 THEN 'store_b' ELSE 'store_a' END AS source,

@@ -1,5 +1,7 @@
 """Steps that many queries share: what they move and how often they are done."""
 
+from pyspark.sql import functions as F
+
 from brindle import plans, registry
 from brindle.operators import staging
 
@@ -45,3 +47,30 @@ def test_a_first_run_over_an_empty_export_makes_empty_tables(spark, sf_dir, tmp_
     empty = registry.Tables(spark, sf_dir)["flat_events"].where("false")
     assert build.run(empty) and build.run(empty) == []
     assert build.read("orders").count() == 0
+
+
+def test_wide_events_are_not_shuffled_again(spark, sf_dir):
+    plans.load()
+    flat = registry.Tables(spark, sf_dir)["flat_events"]
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan  # of narrow rows, before they are nested
+
+
+def test_only_purchases_are_joined_with_their_orders(spark, sf_dir):
+    plans.load()
+    flat = registry.Tables(spark, sf_dir)["flat_events"]
+    staged = staging.stg_events(flat)
+    plan = staged.where("event_name <> 'purchase'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan, plan
+    some = spark.createDataFrame(flat.limit(30).collect(), flat.schema)
+    some = some.unionByName(some.withColumns({"event_name": F.lit(None).cast("string"), "event_id": F.lit(None).cast("bigint"), "event_key": F.concat("event_key", F.lit("x"))}))
+    rows = staging.stg_events(some).collect()
+    assert len(rows) == 60 and all((r["order_id"] is not None) == (r["event_name"] == "purchase") for r in rows)
+
+
+def test_a_query_of_one_model_works_out_no_other(spark):
+    plans.load()
+    touch = "source string, order_id string, order_date date, ordered_at timestamp_ntz, person_id string, order_session_key string, revenue double, own boolean, session_key string, session_start_at timestamp_ntz, "
+    touch += "session_source string, session_medium string, session_campaign string, position int, touches bigint, direct boolean, days_before double, complete boolean"
+    df = registry.QUERIES["k10_position_based"][0](journey_touches=spark.createDataFrame([], touch))
+    assert "time_decay" not in df._jdf.queryExecution().analyzed().toString()
