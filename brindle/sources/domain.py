@@ -119,6 +119,7 @@ _TEXT_PARAMS = {
     "payment_type": "CASE WHEN event_type = 'purchase' THEN 'card' END",
     "currency": "CASE WHEN event_type = 'purchase' THEN CASE WHEN user_id % 3 = 0 THEN 'EUR' ELSE 'USD' END END",
 }
+_DAY = "replace(cast(cast(ts AS date) AS string), '-', '')"
 _ADS_STORAGE = "CASE WHEN event_id % 20 = 0 THEN 'No' WHEN k % 2 = 0 THEN 'Yes' ELSE 'No' END"
 _TERM = "CASE WHEN k % 6 = 0 THEN 'shoes' END"
 _DEVICE = "CASE user_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END"
@@ -141,39 +142,46 @@ def numbered_events(events: DataFrame) -> DataFrame:
 
 @table()
 def web_export(numbered_events: DataFrame, part: DataFrame) -> DataFrame:
-    """A nested event export as an analytics service writes it: parameters as an array of typed values, items as an array of records, and every 50th event twice."""
-    copies = F.sequence(F.lit(1), F.when(F.col("event_id") % 50 == 0, 2).otherwise(1))  # of narrow rows, before they are nested
-    e = numbered_events.withColumn("copy", F.explode(copies)).drop("copy").crossJoin(F.broadcast(part.agg(F.count("*").alias("parts"))))
-    e = e.withColumn("event_name", F.expr(_EVENT_NAME)).withColumn("pseudo", F.expr("CASE WHEN event_id % 20 <> 0 THEN concat('d', user_id) END"))
-    param = lambda key, string="NULL", int_="NULL", double="NULL": f"named_struct('key', '{key}', 'value', named_struct('string_value', cast({string} AS string), 'int_value', cast({int_} AS bigint), 'double_value', cast({double} AS double)))"
-    params = ", ".join([
-        param("ga_session_id", int_="day"),
-        param("ga_session_number", string="CASE WHEN event_id % 2 = 1 THEN day % 5 + 1 END", int_="CASE WHEN event_id % 2 = 0 THEN day % 5 + 1 END"),
-        param("page_location", string="concat('https://shop.example/', event_name, '/', k, '?utm_source=', k % 6)"),
-        param("engagement_time_msec", int_="k * 10"),
-        param("session_engaged", string="CASE WHEN k % 4 <> 0 THEN '1' ELSE '0' END"),
-        param("method", string="CASE WHEN event_type = 'signup' THEN 'password' END"),
-        param("value", double="value"),
-        *[param(name, string=sql.format(text="string")) for name, sql in _TEXT_PARAMS.items()],
-    ])
-    bought = lambda sql, kind: F.expr(f"CASE WHEN event_type = 'purchase' THEN cast({sql} AS {kind}) END")
-    revenue = "CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 10 = 0 THEN 0.0D ELSE cast(cast(value AS decimal(18,2)) AS double) END END"
+    """A nested event export as an analytics service writes it: parameters as an array of typed values, items as an array of records, and every 50th event twice.
+
+    What is nested are columns that stand below the copies: a plan that takes a nested column apart again is left with those that it reads.
+    """
+    e = numbered_events.crossJoin(F.broadcast(part.agg(F.count("*").alias("parts"))))
+    e = e.withColumns({"event_name": F.expr(_EVENT_NAME), "pseudo": F.expr("CASE WHEN event_id % 20 <> 0 THEN concat('d', user_id) END")})
+    bought = lambda sql, kind: f"CASE WHEN event_type = 'purchase' THEN cast({sql} AS {kind}) END"
     item = "transform(sequence(0, k % 3), p -> named_struct('item_id', cast((event_id * 7 + p) % parts AS string), 'item_name', CASE WHEN p = 1 THEN '(not set)' ELSE concat(' item ', p, ' ') END, 'quantity', cast(1 + k % 4 AS bigint), 'coupon', CASE WHEN p = 2 THEN '' ELSE 'C1' END, "
     item += "'item_brand', concat('B', p), 'item_variant', CASE WHEN p = 1 THEN ' ' ELSE concat('v', p) END, 'item_category', CASE WHEN p = 2 THEN '(not set)' ELSE concat('cat ', k % 4) END, 'item_list_name', concat('List ', k % 4), 'item_list_index', cast(p + 1 AS string), "
     item += "'price_in_usd', CASE WHEN k % 5 < 3 THEN cast(5 + k % 20 + p AS double) END, 'price', CASE WHEN k % 5 < 4 THEN cast(4 + k % 20 + p AS double) END, 'item_revenue_in_usd', CASE WHEN k % 5 = 0 THEN cast((5 + k % 20 + p) * (1 + k % 4) AS double) END))"
+    values = {
+        "source": "CASE WHEN user_id % 3 = 0 THEN 'store_b' ELSE 'store_a' END", "event_date": _DAY, "account": _ACCOUNT.format(text="string"),
+        "ga_session_number_string": "CASE WHEN event_id % 2 = 1 THEN day % 5 + 1 END", "ga_session_number_int": "CASE WHEN event_id % 2 = 0 THEN day % 5 + 1 END",
+        "page_location": "concat('https://shop.example/', event_name, '/', k, '?utm_source=', k % 6)", "engagement": "k * 10", "engaged": "CASE WHEN k % 4 <> 0 THEN '1' ELSE '0' END", "method": "CASE WHEN event_type = 'signup' THEN 'password' END",
+        **{name: sql.format(text="string") for name, sql in _TEXT_PARAMS.items()},
+        "analytics_storage": "CASE WHEN pseudo IS NULL THEN 'No' ELSE 'Yes' END", "ads_storage": _ADS_STORAGE, "uses_transient_token": "CASE WHEN pseudo IS NULL THEN 'Yes' ELSE 'No' END",
+        "category": _DEVICE, "system": _SYSTEM, "browser": _BROWSER, "country": _COUNTRY, "region": _REGION, "stream_id": _STREAM, "export_table": f"concat('events_', {_DAY})", "value_in_usd": "CASE WHEN user_id % 3 <> 0 THEN value END",
+        "collected_source": _SOURCE, "collected_medium": _MEDIUM, "collected_campaign": _CAMPAIGN, "collected_term": _TERM, "click_source": "CASE WHEN event_id % 11 = 0 THEN 'ads' END", "click_medium": "CASE WHEN event_id % 11 = 0 THEN 'cpc' END",
+        "first_source": "CASE WHEN user_id % 4 = 0 THEN 'partner' END", "first_medium": "CASE WHEN user_id % 4 = 0 THEN 'referral' END", "first_campaign": "CASE WHEN user_id % 4 = 0 THEN 'p1' END",
+        "transaction_id": _TRANSACTION, "revenue": "CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 10 = 0 THEN 0.0D ELSE cast(cast(value AS decimal(18,2)) AS double) END END",
+        "tax_usd": bought("CASE WHEN k % 2 = 0 THEN k * 0.5D END", "double"), "tax": bought("k * 0.25D", "double"), "shipping": bought("CASE WHEN k % 3 > 0 THEN 4.5D END", "double"),
+        "quantity": bought("(k % 3 + 1) * (1 + k % 4)", "bigint"), "unique_items": bought("k % 3 + 1", "bigint"), "items": f"CASE WHEN event_type = 'purchase' THEN {item} ELSE array() END",
+    }
+    e = e.withColumns({f"e_{name}": F.expr(sql) for name, sql in values.items()})
+    e = e.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 50 == 0, 2).otherwise(1)))).drop("copy")
+    param = lambda key, string="NULL", int_="NULL", double="NULL": f"named_struct('key', '{key}', 'value', named_struct('string_value', cast({string} AS string), 'int_value', cast({int_} AS bigint), 'double_value', cast({double} AS double)))"
+    params = ", ".join([
+        param("ga_session_id", int_="day"), param("ga_session_number", string="e_ga_session_number_string", int_="e_ga_session_number_int"), param("page_location", string="e_page_location"), param("engagement_time_msec", int_="e_engagement"),
+        param("session_engaged", string="e_engaged"), param("method", string="e_method"), param("value", double="value"), *[param(name, string=f"e_{name}") for name in _TEXT_PARAMS],
+    ])
+    record = lambda **fields: F.struct(*[F.col(f"e_{c}").alias(name) for name, c in fields.items()])
     return e.select(
-        F.when(F.col("user_id") % 3 == 0, "store_b").otherwise("store_a").alias("source"), F.date_format("ts", "yyyyMMdd").alias("event_date"), F.col("micros").alias("event_timestamp"), "event_name", "event_id",
-        F.expr(f"array({params})").alias("event_params"), F.expr(_ACCOUNT.format(text="string")).alias("user_id"), F.col("pseudo").alias("user_pseudo_id"),
-        F.struct(F.when(F.col("pseudo").isNull(), "No").otherwise("Yes").alias("analytics_storage"), F.expr(_ADS_STORAGE).alias("ads_storage"), F.when(F.col("pseudo").isNull(), "Yes").otherwise("No").alias("uses_transient_token")).alias("privacy_info"),
-        F.struct(F.expr(_DEVICE).alias("category"), F.expr(_SYSTEM).alias("operating_system"), F.struct(F.expr(_BROWSER).alias("browser")).alias("web_info")).alias("device"),
-        F.struct(F.expr(_COUNTRY).alias("country"), F.expr(_REGION).alias("region"), F.lit("(not set)").alias("city")).alias("geo"), F.lit("WEB").alias("platform"), F.expr(_STREAM).alias("stream_id"),
-        F.concat(F.lit("events_"), F.date_format("ts", "yyyyMMdd")).alias("export_table"), F.expr("CASE WHEN user_id % 3 <> 0 THEN value END").alias("event_value_in_usd"),
-        F.struct(F.expr(_SOURCE).alias("manual_source"), F.expr(_MEDIUM).alias("manual_medium"), F.expr(_CAMPAIGN).alias("manual_campaign_name"), F.expr(_TERM).alias("manual_term")).alias("collected_traffic_source"),
-        F.struct(F.expr("CASE WHEN event_id % 11 = 0 THEN 'ads' END").alias("source"), F.expr("CASE WHEN event_id % 11 = 0 THEN 'cpc' END").alias("medium"), F.lit(None).cast("string").alias("campaign")).alias("session_traffic_source_last_click"),
-        F.struct(F.expr("CASE WHEN user_id % 4 = 0 THEN 'partner' END").alias("source"), F.expr("CASE WHEN user_id % 4 = 0 THEN 'referral' END").alias("medium"), F.expr("CASE WHEN user_id % 4 = 0 THEN 'p1' END").alias("name")).alias("traffic_source"),
-        F.struct(F.expr(_TRANSACTION).alias("transaction_id"), F.expr(revenue).alias("purchase_revenue_in_usd"), bought("CASE WHEN k % 2 = 0 THEN k * 0.5D END", "double").alias("tax_value_in_usd"), bought("k * 0.25D", "double").alias("tax_value"),
-            bought("CASE WHEN k % 3 > 0 THEN 4.5D END", "double").alias("shipping_value_in_usd"), bought("(k % 3 + 1) * (1 + k % 4)", "bigint").alias("total_item_quantity"), bought("k % 3 + 1", "bigint").alias("unique_items")).alias("ecommerce"),
-        F.expr(f"CASE WHEN event_type = 'purchase' THEN {item} ELSE array() END").alias("items"),
+        F.col("e_source").alias("source"), F.col("e_event_date").alias("event_date"), F.col("micros").alias("event_timestamp"), "event_name", "event_id", F.expr(f"array({params})").alias("event_params"), F.col("e_account").alias("user_id"), F.col("pseudo").alias("user_pseudo_id"),
+        record(analytics_storage="analytics_storage", ads_storage="ads_storage", uses_transient_token="uses_transient_token").alias("privacy_info"),
+        F.struct(F.col("e_category").alias("category"), F.col("e_system").alias("operating_system"), record(browser="browser").alias("web_info")).alias("device"), F.struct(F.col("e_country").alias("country"), F.col("e_region").alias("region"), F.lit("(not set)").alias("city")).alias("geo"),
+        F.lit("WEB").alias("platform"), F.col("e_stream_id").alias("stream_id"), F.col("e_export_table").alias("export_table"), F.col("e_value_in_usd").alias("event_value_in_usd"),
+        record(manual_source="collected_source", manual_medium="collected_medium", manual_campaign_name="collected_campaign", manual_term="collected_term").alias("collected_traffic_source"),
+        F.struct(F.col("e_click_source").alias("source"), F.col("e_click_medium").alias("medium"), F.lit(None).cast("string").alias("campaign")).alias("session_traffic_source_last_click"),
+        record(source="first_source", medium="first_medium", name="first_campaign").alias("traffic_source"),
+        record(transaction_id="transaction_id", purchase_revenue_in_usd="revenue", tax_value_in_usd="tax_usd", tax_value="tax", shipping_value_in_usd="shipping", total_item_quantity="quantity", unique_items="unique_items").alias("ecommerce"), F.col("e_items").alias("items"),
     )
 
 

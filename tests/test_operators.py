@@ -152,3 +152,19 @@ def test_parts_arrive_in_order_and_are_the_whole(spark):
     assert sorted(r for p in parts for r in p if r[0]) == sorted(r for r in rows(table, "at", "i") if r[0]) and sum(map(len, parts)) == 51
     assert all(max(r[0] for r in a if r[0]) < min(r[0] for r in b if r[0]) for a, b in zip(parts, parts[1:]))
     assert [p.count() for p in twins.arriving(table.limit(0), "at")] == [0]
+
+
+def test_flat_events_nest_nothing_on_their_way(spark, sf_dir):
+    from brindle.registry import Tables
+
+    flat = Tables(spark, sf_dir)["flat_events"].select("event_key", "ga_session_number", "session_key", "page_path", "transaction_id", "tax_usd")
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct" not in plan and "page_title" not in plan
+
+
+def test_day_of_a_text(spark):
+    texts = spark.createDataFrame([("20240229",), ("19991231",), (None,)], "t string")
+    assert [r[0] for r in texts.select(staging.day_of("t")).collect()] == [date(2024, 2, 29), date(1999, 12, 31), None]
+    for wrong in ("20230229", "2024-1-5", "2024011", " 2024011"):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT|CANNOT_PARSE"):
+            texts.select(staging.day_of("t")).union(spark.createDataFrame([(wrong,)], "t string").select(staging.day_of("t"))).collect()
