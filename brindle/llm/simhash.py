@@ -1,9 +1,9 @@
 """SimHash near-dedup by deletion-variant signatures.
 
-A fingerprint has 64 bits. To find all pairs that differ in at most RADIUS bits it is cut into so few
-segments that one of them differs in at most one bit (two segments of 32 bits for two bits). Each
-segment is indexed once for each of its bits, with that bit taken out: two segments at most one bit apart
-share such a variant. Fingerprints that share a variant meet by an equality join and are verified over all
+A fingerprint has 64 bits. To find all pairs that differ in at most RADIUS bits it is cut into two segments
+of 32 bits. The lower one is indexed once for each of its bits, with that bit taken out: two segments at most
+one bit apart share such a variant. Where the lower ones differ in both bits the upper ones are equal, so they
+are indexed whole. Fingerprints that share an index entry, a variant, meet by an equality join and are verified over all
 64 bits.
 """
 
@@ -64,10 +64,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): a key for each of the 64 bits: which bit is taken out, and the rest of its 32-bit segment."""
-    v = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
-    half = F.expr("(CASE WHEN v < 32 THEN fp ELSE shiftrightunsigned(fp, 32) END) & 4294967295L")
-    return v.select((F.shiftleft(F.col("v").cast("long"), 32).bitwiseOR(half.bitwiseAND(F.expr("~shiftleft(1L, v % 32)")))).alias("key"), "fp")
+    """(key, fp): a key for each of the lower 32 bits: which bit is taken out, and the rest of the lower segment; and one for the whole upper segment."""
+    v = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("v"))
+    return v.select(F.expr("shiftleft(CAST(v AS BIGINT), 32) | CASE WHEN v < 32 THEN fp & 4294967295L & ~shiftleft(1L, v) ELSE shiftrightunsigned(fp, 32) END").alias("key"), "fp")
 
 
 def _near(a: str, b: str):
@@ -97,7 +96,7 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     few = shared.where(F.col("n").between(3, paired)).select("key")
     met = variants.join(few, "key")
     pairs = met.select("key", F.col("fp").alias("a")).join(met.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_near("a", "b")).select("a", "b")
-    crowded = joined_by_share(variants, shared.where(F.col("n") > paired), "key", 64 * fps.count()).select("fp").distinct()
+    crowded = joined_by_share(variants, shared.where(F.col("n") > paired), "key", 33 * fps.count()).select("fp").distinct()
     return twos.union(pairs).union(_crowded_links(crowded)).distinct()
 
 
@@ -140,6 +139,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = kept(docs.select(whole.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.monotonically_increasing_id().alias("at"), _fingerprints(F.col(f"`{text_col}`")).alias("fp")))
     heads = _heads(rows.select("doc_id", "fp", "at"), F.min_by("at", F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("first"))
     classes, n = _classes(heads)
+    # gone is written first, so that its size is known before the rows are read: they are shuffled only if it is too large to be sent to them
     stays = classes.select("fp", "n", F.when(F.col("head").eqNullSafe(F.col("component_id")), F.col("first")).alias("first"))
-    gone = joined_by_share(rows.select("fp", "at"), stays, "fp", n).where("first IS NULL OR at != first").select("at")
+    gone = kept(joined_by_share(rows.select("fp", "at"), stays, "fp", n).where("first IS NULL OR at != first").select("at"))
     return rows.join(gone, "at", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -210,6 +210,20 @@ def test_crowded_variants_lose_no_link(spark):
         assert groups({signed(p): roots.get(signed(p), signed(p)) for p in prints}) == groups(expected)
 
 
+def test_every_pair_of_bits_is_linked_with_few_variants(spark):
+    rnd = random.Random(9)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = [(x, x ^ (1 << i) ^ (1 << j)) for i in range(64) for j in range(i, 64) for x in [rnd.getrandbits(64)]]
+    df = spark.createDataFrame([(signed(p),) for pair in pairs for p in pair], "fp long").distinct()
+    assert {frozenset((r["a"], r["b"])) for r in simhash.links(df).collect()} == {frozenset(map(signed, p)) for p in pairs if p[0] != p[1]}
+    assert simhash._variants(df).count() == 33 * df.count()
+
+
+def test_removed_rows_are_written_before_rows_are_read(spark):
+    plan = simhash.deduplicated(docs(spark, *["same text here"] * 50, *[f"other {i} words of it" for i in range(20)]))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = random.Random(7).sample(range(n), n)
