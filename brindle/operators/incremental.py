@@ -48,8 +48,8 @@ def early_int_device_days(early_stg_events: DataFrame) -> DataFrame:
 
 
 @table(_early("int_identity"))
-def early_int_identity(early_int_device_days: DataFrame) -> DataFrame:
-    return orders.int_identity(early_int_device_days)
+def early_int_identity(early_stg_events: DataFrame) -> DataFrame:
+    return orders.identity_of_events(early_stg_events)
 
 
 @table(_early("fct_sessions"))

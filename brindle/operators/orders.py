@@ -33,13 +33,29 @@ def catalog_cost(items: DataFrame, margins: dict[str, float] = MARGINS, otherwis
 @table("""SELECT *, coalesce(user_id, 'anon:' || source || ':' || user_pseudo_id) AS person_id, count(*) OVER (PARTITION BY coalesce(user_id, 'anon:' || source || ':' || user_pseudo_id)) AS person_device_count FROM (
     SELECT source, user_pseudo_id, CASE count(DISTINCT user_id) WHEN 0 THEN 'anonymous_device' WHEN 1 THEN 'user_id' ELSE 'shared_device' END AS identity_rule, CASE WHEN count(DISTINCT user_id) = 1 THEN min(user_id) END AS user_id,
     count(DISTINCT user_id) AS user_id_count, min(event_timestamp) AS first_seen_at, min(event_timestamp) FILTER (user_id IS NOT NULL) AS first_signed_in_at, max(event_timestamp) AS last_seen_at, count(*) AS events, count(DISTINCT ga_session_id) AS sessions
-    FROM stg_events WHERE user_pseudo_id IS NOT NULL GROUP BY 1, 2)""")
+    FROM stg_events WHERE user_pseudo_id IS NOT NULL GROUP BY 1, 2)""", name="int_identity")
+def identity_of_events(stg_events: DataFrame) -> DataFrame:
+    """Which person each device is, from all events at once. The first aggregate leaves a row for each device and account and keeps numbers only, so it hashes where sets and texts would be sorted."""
+    device, seen = ["user_pseudo_id", "source"], stg_events.where("user_pseudo_id IS NOT NULL")
+    accounts = seen.groupBy(*device, "user_id").agg(F.min("event_timestamp").alias("first_at"), F.max("event_timestamp").alias("last_at"), F.count("*").alias("n"))
+    signed = F.when(F.col("user_id").isNotNull(), F.col("first_at"))
+    days = accounts.groupBy(*device).agg(F.count("user_id").alias("user_id_count"), F.max("user_id").alias("__one"), F.min("first_at").alias("first_seen_at"), F.min(signed).alias("first_signed_in_at"), F.max("last_at").alias("last_seen_at"), F.sum("n").alias("events"))
+    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null one is equal to itself; plain keys let a reader without need of sessions leave the join out
+    sessions = seen.select("user_pseudo_id", source.alias("__source"), "ga_session_id").distinct().groupBy("user_pseudo_id", "__source").agg(F.count("ga_session_id").alias("sessions"))
+    return _named(days.withColumn("__source", source).join(sessions, ["user_pseudo_id", "__source"], "left"))
+
+
 def int_identity(int_device_days: DataFrame) -> DataFrame:
     """Which person each device is: its one account, or itself when it had none or several. Adds up the device's days."""
     days = int_device_days.groupBy("user_pseudo_id", "source").agg(F.array_distinct(F.flatten(F.collect_list("user_ids"))).alias("ids"), F.min("first_seen_at").alias("first_seen_at"), F.min("first_signed_in_at").alias("first_signed_in_at"),
         F.max("last_seen_at").alias("last_seen_at"), F.sum("events").alias("events"), F.size(F.array_distinct(F.flatten(F.collect_list("ga_session_ids")))).cast("long").alias("sessions"))
-    n = F.size("ids")
-    named = days.select("source", "user_pseudo_id", F.when(n == 0, "anonymous_device").when(n == 1, "user_id").otherwise("shared_device").alias("identity_rule"), F.when(n == 1, F.element_at("ids", 1)).alias("user_id"), n.cast("long").alias("user_id_count"), "first_seen_at", "first_signed_in_at", "last_seen_at", "events", "sessions")
+    return _named(days.withColumn("user_id_count", F.size("ids").cast("long")).withColumn("__one", F.element_at("ids", F.when(F.size("ids") > 0, 1))))
+
+
+def _named(devices: DataFrame) -> DataFrame:
+    """Devices with their number of accounts, and one of these, as persons."""
+    n = F.col("user_id_count")
+    named = devices.select("source", "user_pseudo_id", F.when(n == 0, "anonymous_device").when(n == 1, "user_id").otherwise("shared_device").alias("identity_rule"), F.when(n == 1, F.col("__one")).alias("user_id"), "user_id_count", "first_seen_at", "first_signed_in_at", "last_seen_at", "events", "sessions")
     person = F.coalesce("user_id", F.concat(F.lit("anon:"), "source", F.lit(":"), "user_pseudo_id"))
     return named.withColumn("person_id", person).withColumn("person_device_count", F.count("*").over(Window.partitionBy("person_id")))
 
@@ -64,7 +80,8 @@ def sessions_of(events: DataFrame) -> DataFrame:
     with_source = F.struct("event_timestamp", "event_key", collected.alias("record"))
     kept = (F.col("event_name") == "purchase") & ~F.coalesce("is_duplicate_purchase", F.lit(False))
     had = lambda name: F.bool_or(F.col("event_name") == name)
-    found = events.where("user_pseudo_id IS NOT NULL AND ga_session_id IS NOT NULL").groupBy(*keys).agg(
+    # hardly any two events of a session come from one task: plain rows are shuffled, and sorted once, instead of sorted aggregates of them
+    found = events.where("user_pseudo_id IS NOT NULL AND ga_session_id IS NOT NULL").repartition(*keys).groupBy(*keys).agg(
         F.max("ga_session_number").alias("ga_session_number"), F.min_by("event_date", at).alias("session_date"), F.min("event_timestamp").alias("session_start_at"), F.max("event_timestamp").alias("session_end_at"),
         last(F.col("user_id")).alias("session_user_id"), F.count_distinct("user_id").alias("session_user_id_count"), first(_record("last_click")).alias("last_click"),
         F.min(F.when(view, F.col("event_timestamp"))).alias("__landing"), F.min(F.when(view & collected.isNotNull(), with_source)).alias("__viewed"), F.min(F.when(collected.isNotNull(), with_source)).alias("__any"), first(_record("first_user")).alias("first_user"),

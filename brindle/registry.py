@@ -25,9 +25,9 @@ TABLES: dict[str, tuple[Callable, str | None]] = {}
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
 
-def table(sql: str | None = None) -> Callable:
+def table(sql: str | None = None, name: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
-        TABLES[f.__name__] = (f, sql)
+        TABLES[name or f.__name__] = (f, sql)
         return f
 
     return add

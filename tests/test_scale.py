@@ -74,3 +74,43 @@ def test_a_query_of_one_model_works_out_no_other(spark):
     touch += "session_source string, session_medium string, session_campaign string, position int, touches bigint, direct boolean, days_before double, complete boolean"
     df = registry.QUERIES["k10_position_based"][0](journey_touches=spark.createDataFrame([], touch))
     assert "time_decay" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_purchases_are_shuffled_once_to_find_their_orders(spark, sf_dir):
+    plans.load()
+    flat = spark.createDataFrame([], registry.Tables(spark, sf_dir)["flat_events"].schema)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(staging.with_orders(flat.where("event_name = 'purchase'"))) == 1
+    assert exchanges(staging.stg_events(flat).select("event_key", "user_pseudo_id")) == 0  # who asks for no orders has none worked out
+
+
+def test_purchases_of_no_source_have_no_order(spark, sf_dir):
+    plans.load()
+    flat = registry.Tables(spark, sf_dir)["flat_events"].where("event_name = 'purchase'").limit(20)
+    some = spark.createDataFrame(flat.collect(), flat.schema)
+    got = staging.stg_events(some.withColumn("source", F.when(F.col("event_id") % 2 == 0, F.col("source")))).collect()
+    assert len(got) == 20 and all((r["source"] is None) == (r["order_id"] is None) == (r["is_duplicate_purchase"] is None) == (r["is_zero_value_without_id"] is None) for r in got)
+
+
+def test_sessions_are_sorted_and_shuffled_once(spark, sf_dir):
+    from brindle.operators import orders
+
+    plans.load()
+    staged = staging.stg_events(spark.createDataFrame([], registry.Tables(spark, sf_dir)["flat_events"].schema))
+    plan = orders.sessions_of(staged).select("session_start_at", "last_click", "collected")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan, plan
+
+
+def test_identity_of_all_events_is_that_of_their_days(spark):
+    from datetime import datetime
+
+    from brindle.operators import orders
+
+    at = lambda day: datetime(2024, 1, day)
+    data = [("a", "d1", "u1", 1, 1), ("a", "d1", "u1", 2, 2), ("a", "d1", None, None, 3), ("a", "d2", "u1", 5, 4), ("a", "d2", "u2", 5, 5), ("b", "d2", None, 7, 6), (None, "d3", "u3", 8, 7), (None, "d3", "u3", 9, 8), ("", "d3", None, 1, 9), ("a", None, "u9", 1, 9)]
+    events = spark.createDataFrame([(*r[:4], at(r[4]), at(r[4]).date()) for r in data], "source string, user_pseudo_id string, user_id string, ga_session_id bigint, event_timestamp timestamp_ntz, event_date date")
+    got, want = orders.identity_of_events(events), orders.int_identity(staging.int_device_days(events))
+    assert got.schema.names == want.schema.names
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got.select("source", "user_pseudo_id", "person_id")._jdf.queryExecution().executedPlan().toString()
+    assert "collect" not in plan and "LeftOuter" not in plan, plan
